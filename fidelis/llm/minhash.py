@@ -7,8 +7,9 @@ what is left is confirmed on the full shingle sets.
 
 Groups of copies never become all their pairs. Equal sets are one class from the start. Within a bucket, a
 first round confirms only a spanning forest of the plausible pairs, by blocks of BLOCK members; a second
-round takes every plausible pair whose ends are still in different components, so no link between different
-texts is lost. Buckets of any size go through both.
+round holds every plausible pair whose ends are still in different components against the full sets, inside
+blocks that get the sets, and hands on only links that join components. So no link between different texts is
+lost, buckets of any size go through both rounds, and neither makes more rows than members times a few.
 
 Defined results: a null or empty text, or one without words, has n_shingles 0 and is its own component;
 repeated rows come back once for each row; extra columns of the input are ignored; an empty table gives none.
@@ -31,8 +32,8 @@ from fidelis.llm.hashing import U, mix, shingle_sets
 BANDS, ROWS, MANTISSA = 40, 5, 10
 REGISTERS = BANDS * ROWS
 EMPTY = np.uint16(0xFFFF)
-#: Members of a bucket that are compared at once.
-BLOCK = 256
+#: Members of a bucket that are compared at once, and about so many shingle hashes of theirs.
+BLOCK, BLOCK_HASHES = 256, 1 << 21
 #: For register i, the order in which it looks for a filled bucket when its own is empty.
 _PROBES = np.stack([np.concatenate(([i], np.random.Generator(np.random.PCG64(i)).permutation(REGISTERS))) for i in range(REGISTERS)])
 
@@ -116,11 +117,42 @@ def _find(parent: list[int], x: int) -> int:
     return x
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], threshold: float, forest: bool) -> Iterator[pa.RecordBatch]:
-    """Plausible pairs of each cell's members with different components; rows of a cell come together, ordered.
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    both = np.concatenate((p, q))
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
 
-    forest: of the plausible pairs only a spanning forest, likeliest first. Rows: cell, side, rid, n,
-    component, registers; where side is 1, only pairs with a row of another side count.
+
+def _alike(p: np.ndarray, q: np.ndarray, threshold: float) -> bool:
+    """Whether the Jaccard similarity of two sets reaches the threshold, given in hundredths, in whole numbers."""
+    common = _common(p, q)
+    return 100 * common >= round(threshold * 100) * (len(p) + len(q) - common)
+
+
+def _plausible(n: np.ndarray, comp: np.ndarray, side: np.ndarray, rid: np.ndarray, regs: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+    """Pairs of a cell's members in different components that the registers don't rule out, likeliest first."""
+    many = []
+    for i in range(len(n) - 1):
+        js = np.arange(i + 1, len(n))
+        js = js[(comp[js] != comp[i]) & ~((side[js] == 1) & (side[i] == 1)) & (rid[js] != rid[i])]
+        js = js[np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i])]
+        if len(js):
+            likely = estimate((regs[js] == regs[i]).sum(axis=1))
+            ok = likely >= sift(np.minimum(n[js], n[i]), threshold)
+            many.append((likely[ok], np.full(int(ok.sum()), i), js[ok]))
+    if not many:
+        return [], []
+    likely, a, b = (np.concatenate([m[x] for m in many]) for x in range(3))
+    order = np.argsort(-likely, kind="stable")
+    return a[order].tolist(), b[order].tolist()
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """A spanning forest, over components, of each cell's plausible pairs; rows of a cell come one after another.
+
+    Rows: cell, rid, n, component, side, registers and, in the second round, shingles. With shingles a pair is
+    confirmed on the full sets before it joins the forest, so what comes out are links and the forest spans all
+    links of the cell; without them it is likeliest first. Pairs with side 1 at both ends don't count.
     """
     held: list[tuple] = []
     left: list[int] = []
@@ -131,29 +163,14 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float, forest: bool) ->
             return
         rid, n, comp, side = (np.array([h[i] for h in held]) for i in (1, 2, 3, 4))
         regs = np.frombuffer(b"".join(h[5] for h in held), np.uint16).reshape(len(held), REGISTERS)
-        many = []
-        for i in range(len(held) - 1):
-            js = np.arange(i + 1, len(held))
-            js = js[(comp[js] != comp[i]) & ~((side[js] == 1) & (side[i] == 1)) & (rid[js] != rid[i])]
-            js = js[np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i])]
-            if len(js):
-                likely = estimate((regs[js] == regs[i]).sum(axis=1))
-                ok = likely >= sift(np.minimum(n[js], n[i]), threshold)
-                many.append((likely[ok], np.full(int(ok.sum()), i), js[ok]))
-        if not many:
-            return
-        likely, a, b = (np.concatenate([m[x] for m in many]) for x in range(3))
-        if forest:
-            parent = list(range(len(held)))
-            for x in np.argsort(-likely, kind="stable").tolist():
-                p, q = _find(parent, int(a[x])), _find(parent, int(b[x]))
-                if p != q:
-                    parent[p] = q
-                    left.append(int(rid[a[x]]))
-                    right.append(int(rid[b[x]]))
-        else:
-            left.extend(rid[a].tolist())
-            right.extend(rid[b].tolist())
+        first: dict[int, int] = {}
+        parent = [first.setdefault(c, i) for i, c in enumerate(comp.tolist())]
+        for a, b in zip(*_plausible(n, comp, side, rid, regs, threshold), strict=True):
+            p, q = _find(parent, a), _find(parent, b)
+            if p != q and (len(held[a]) == 6 or _alike(np.frombuffer(held[a][6], np.uint64), np.frombuffer(held[b][6], np.uint64), threshold)):
+                parent[p] = q
+                left.append(int(rid[a]))
+                right.append(int(rid[b]))
 
     def out() -> pa.RecordBatch:
         a, b = np.array(left, np.int64), np.array(right, np.int64)
@@ -162,7 +179,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float, forest: bool) ->
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in (batch.column(x) for x in ("cell", "rid", "n", "component", "side", "registers"))), strict=True):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and held[0][0] != row[0]:
                 close()
                 held.clear()
@@ -172,28 +189,27 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float, forest: bool) ->
     yield out()
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, text_a, text_b) whose full shingle sets reach the threshold, in whole-number arithmetic."""
-    num, den = round(threshold * 100), 100
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for a, b in text_chunks(texts):
+            shingles, counts = shingle_sets(texts[a:b], k)
+            ends = np.cumsum(counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([shingles[e - n : e].tobytes() for e, n in zip(ends, counts, strict=True)], pa.binary())], ["rid", "shingles"])
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Those pairs (a, b, set_a, set_b) whose full sets are alike."""
     for batch in batches:
-        ta, tb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        keep = []
-        for i in range(0, len(ta), 64):
-            j = min(i + 64, len(ta))
-            s, n = shingle_sets(ta[i:j] + tb[i:j], k)
-            ends = np.cumsum(n)
-            for x in range(j - i):
-                y = x + j - i
-                p, q = s[ends[x] - n[x] : ends[x]], s[ends[y] - n[y] : ends[y]]
-                both = np.sort(np.concatenate((p, q)))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(den * common >= num * (len(p) + len(q) - common))
+        sets = zip(batch.column(2), batch.column(3), strict=True)
+        keep = [_alike(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair), threshold) for pair in sets]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    joined = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
-    return map_arrow(joined.select("a", "b", "text_a", "text_b"), lambda it: _confirm(it, k, threshold), "a long, b long").distinct()
+def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    ends = [sets.select(F.col("rid").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
+    joined = pairs.join(ends[0], "a").join(ends[1], "b")
+    return map_arrow(joined.select("a", "b", "set_a", "set_b"), lambda it: _confirm(it, threshold), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.75) -> DataFrame:
@@ -215,22 +231,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.75) -> Dat
     members = scratch.write(bands.join(buckets, "band").join(classes.select("rid", "n", "registers"), "rid"), "members")
     ids = scratch.write(members.select("rid").distinct(), "ids")
     n_ids = ids.count()
-    links = spark.createDataFrame([], "a long, b long")
     if n_ids:
-        found = base.join(sized(ids.withColumnRenamed("rid", "doc_id"), n_ids), "doc_id", "left_semi")
-        texts = scratch.write(found.select(F.col("doc_id").alias("rid"), "text").dropDuplicates(["rid"]), "texts")
+        found = base.join(sized(ids.withColumnRenamed("rid", "doc_id"), n_ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        sets = scratch.write(map_arrow(found, lambda it: _sets(it, k), "rid long, shingles binary"), "sets")
         # Round one: a spanning forest of each bucket's plausible pairs, by blocks.
-        cells = members.select(F.xxhash64("band", F.pmod(F.xxhash64("rid", "band"), F.ceil(F.col("size") / BLOCK))).alias("cell"), "rid", "n", F.col("rid").alias("component"), F.lit(0).alias("side"), "registers")
-        tried = scratch.write(_candidates(cells, threshold, True), "pairs")
-        links = scratch.write(_verify(tried, texts, k, threshold), "verified")
-        # Round two: every other plausible pair whose ends are not yet in one component.
+        salt = F.pmod(F.xxhash64("rid", "band"), F.ceil(F.col("size") / BLOCK))
+        cells = members.select(F.xxhash64("band", salt).alias("cell"), "rid", "n", F.col("rid").alias("component"), F.lit(0).alias("side"), "registers")
+        pairs = scratch.write(_in_cells(cells, threshold), "pairs")
+        links = scratch.write(_verify(pairs, sets, threshold), "links")
+        # Round two: what links there still are between components, confirmed inside the cells.
         comps = components(links, scratch)
         placed = members.join(comps.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-        more = scratch.write(_candidates(_cells(placed), threshold, False).join(tried, ["a", "b"], "left_anti"), "more")
+        more = scratch.write(_in_cells(_cells(placed).join(sets, "rid").select("cell", "rid", "n", "component", "side", "registers", "shingles"), threshold), "more")
         if more.head(1):
-            links = scratch.write(links.unionAll(_verify(more, texts, k, threshold)), "links")
-            comps = components(links, scratch)
-        scratch.drop(texts, tried, more)
+            comps = components(links.unionAll(more), scratch)
+        scratch.drop(sets, pairs, links, more)
     else:
         comps = spark.createDataFrame([], "node long, component long")
     scratch.drop(members, ids)
@@ -242,9 +257,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.75) -> Dat
     )
 
 
-def _candidates(cells: DataFrame, threshold: float, forest: bool) -> DataFrame:
+def _in_cells(cells: DataFrame, threshold: float) -> DataFrame:
     ordered = cells.repartition("cell").sortWithinPartitions("cell", "rid")
-    return map_arrow(ordered, lambda it: _pairs(it, threshold, forest), "a long, b long").distinct()
+    return map_arrow(ordered, lambda it: _pairs(it, threshold), "a long, b long").distinct()
 
 
 def _cells(placed: DataFrame) -> DataFrame:
@@ -253,10 +268,12 @@ def _cells(placed: DataFrame) -> DataFrame:
     The bucket's largest component goes to blocks, each member to one; the others meet each of those blocks
     and, block by block, one another. A bucket of one component has no cell.
     """
-    by = placed.groupBy("band", "component").agg(F.count("*").alias("c"))
-    shape = by.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("size"), F.count("*").alias("k")).where("k > 1")
-    rows = placed.drop("size").join(shape, "band").withColumn("in_main", F.col("component") == F.col("main"))
-    blocks_main, blocks_rest = F.ceil(F.col("n_main") / BLOCK), F.ceil((F.col("size") - F.col("n_main")) / BLOCK)
+    by = placed.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum("n").alias("h"))
+    main = F.max_by(F.struct("component", "c", "h"), F.struct("c", "component")).alias("main")
+    shape = by.groupBy("band").agg(main, F.sum("c").alias("c"), F.sum("h").alias("h"), F.count("*").alias("k")).where("k > 1")
+    rows = placed.join(shape.select("band", "main", "c", "h"), "band").withColumn("in_main", F.col("component") == F.col("main.component"))
+    blocks = lambda c, h: F.ceil(F.greatest(c / BLOCK, h / BLOCK_HASHES))
+    blocks_main, blocks_rest = blocks(F.col("main.c"), F.col("main.h")), blocks(F.col("c") - F.col("main.c"), F.col("h") - F.col("main.h"))
     own = F.pmod(F.xxhash64("rid", "band"), F.when(F.col("in_main"), blocks_main).otherwise(blocks_rest))
     with_main = F.transform(F.sequence(F.lit(0).cast("long"), blocks_main - 1), lambda i: F.struct(F.lit("m").alias("kind"), i.alias("i"), F.lit(0).cast("long").alias("j"), F.lit(1).alias("side")))
     with_rest = F.transform(F.sequence(F.lit(0).cast("long"), blocks_rest - 1), lambda i: F.struct(F.lit("r").alias("kind"), F.least(i, own).alias("i"), F.greatest(i, own).alias("j"), F.lit(0).alias("side")))
