@@ -33,9 +33,9 @@ BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_s
 #: Patch edge and merge factor of images, tokens a second of sound, tokens a page.
 PATCH, MERGE, PER_SECOND, PER_PAGE = 14, 4, 25, 256
 
-_CONTROL = re.compile(r"\\|<(?=/?s>|\|)|\[(?=/?INST\])")
-_ESCAPED = re.compile(r"\\([\\lb])")
-_TO, _FROM = {"\\": "\\\\", "<": "\\l", "[": "\\b"}, {"\\": "\\", "l": "<", "b": "["}
+_CONTROL = re.compile(r"\\|<(?=/?s>|\|)|\[(?=/?INST\])|\|(?=>)")
+_ESCAPED = re.compile(r"\\([\\lbp])")
+_TO, _FROM = {"\\": "\\\\", "<": "\\l", "[": "\\b", "|": "\\p"}, {"\\": "\\", "l": "<", "b": "[", "p": "|"}
 _TURN = re.compile(r"<s>\[INST\] (?P<user>.*?) \[/INST\]| (?P<assistant>.*?)</s>|<\|turn:(?P<role>.*?)\|>(?P<other>.*?)<\|end\|>", re.DOTALL)
 
 

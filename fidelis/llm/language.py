@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fidelis.llm.common import map_arrow, text_chunks
 
@@ -30,7 +31,7 @@ UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes that belong to words: ASCII letters, and all bytes of other scripts; the rest become a blank.
 _KEEP = np.array([b if chr(b).isalpha() and b < 128 or b >= 128 else 32 for b in range(256)], np.uint8)
-PREDICTION = "lang_pred string, score double, languages string"
+PREDICTION = ("lang_pred", "score", "languages")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -147,20 +148,21 @@ def learn(rows: DataFrame) -> LanguageModel:
     return LanguageModel(languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, text_at: int) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, text_at: int, names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(text_at).to_pylist()
         for a, b in text_chunks(texts):
             got = list(zip(*model.predict(texts[a:b]), strict=True))
             part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.string())], [*part.schema.names, "lang_pred", "score", "languages"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.string())], [*part.schema.names, *names])
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs (doc_id, text and no column of PREDICTION's names) with lang_pred, score and the chosen languages."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+def predict(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str] = PREDICTION) -> DataFrame:
+    """docs (text and whatever else, but no column of these names) with the language, its score and the chosen set."""
+    kinds = (T.StringType(), T.DoubleType(), T.StringType())
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
     at = docs.columns.index("text")
-    return map_arrow(docs, lambda it: _predict(it, model, at), f"{schema}, {PREDICTION}")
+    return docs.mapInArrow(lambda it: _predict(it, model, at, names), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

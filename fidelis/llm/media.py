@@ -3,8 +3,9 @@
 A payload is a text's UTF-8, zero-padded to a positive multiple of UNIT bytes. It is stored without loss as
 unsigned 8-bit samples of a mono WAV; what is returned is computed from the samples that the wave module reads
 back from the stored bytes. Frames of FRAME samples, half overlapping, go through a Hann-windowed Fourier
-transform. A frame's peak is its strongest bin above the constant part; each peak is paired with those of the
-next FAN frames. A pair's code holds both bins and the distance, and its time is the first frame.
+transform. A frame's peaks are its two strongest bins above the constant part; the strongest is paired with the
+second and with the strongest of the next FAN frames. A pair's code holds both bins and the distance, and its
+time is the first frame.
 
 Frames are taken in blocks, so memory does not grow with the length of a text. Equal texts give equal values,
 for each is transformed by itself. Defined results: a null text is the empty one, which is UNIT zero bytes;
@@ -48,16 +49,19 @@ def from_wav(media: bytes) -> bytes:
 
 
 def peaks(samples: np.ndarray) -> np.ndarray:
-    """The strongest bin, from 1 on, of each frame; 0 where a frame is silent. The last frame is filled with silence."""
+    """The two strongest bins, from 1 on, of each frame; 0 where a frame is silent. The last frame is filled with silence."""
     n = max(1, -(-(len(samples) - FRAME) // HOP) + 1)
-    out = np.zeros(n, np.int32)
+    out = np.zeros((n, 2), np.int32)
     for a in range(0, n, BLOCK):
         b = min(a + BLOCK, n)
         part = samples[a * HOP : (b - 1) * HOP + FRAME].astype(np.float32)
         part = np.pad(part, (0, (b - 1 - a) * HOP + FRAME - len(part)), constant_values=128) - 128
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP] * _HANN
         power = np.abs(np.fft.rfft(frames, axis=1))[:, 1:]
-        out[a:b] = np.where(power.max(axis=1) > 1e-3, power.argmax(axis=1) + 1, 0)
+        first, at = power.argmax(axis=1), np.arange(b - a)
+        loud = power[at, first] > 1e-3
+        power[at, first] = -1
+        out[a:b] = np.where(loud[:, None], np.column_stack((first, power.argmax(axis=1))) + 1, 0)
     return out
 
 
@@ -65,10 +69,10 @@ def fingerprint(samples: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of frames, and the times and codes of all peak pairs, by time, then distance."""
     bins = peaks(samples)
     n = len(bins)
-    time, gap = np.repeat(np.arange(n, dtype=np.int32), FAN), np.tile(np.arange(1, FAN + 1, dtype=np.int32), n)
+    time, gap = np.repeat(np.arange(n, dtype=np.int32), FAN + 1), np.tile(np.arange(FAN + 1, dtype=np.int32), n)
     ok = time + gap < n
     time, gap = time[ok], gap[ok]
-    first, second = bins[time], bins[time + gap]
+    first, second = bins[time, 0], np.where(gap == 0, bins[time, 1], bins[time + gap, 0])
     ok = (first > 0) & (second > 0)
     return n, time[ok], ((first << 16) | (second << 8) | gap)[ok].astype(np.int32)
 
