@@ -49,14 +49,15 @@ def from_wav(media: bytes) -> bytes:
 
 
 def peaks(samples: np.ndarray) -> np.ndarray:
-    """The two strongest bins, from 1 on, of each frame; 0 where a frame is silent. The last frame is filled with silence."""
+    """The two strongest bins, from 1 on, of each frame; 0 where a frame is silent. The last frame is filled with the last sample."""
     n = max(1, -(-(len(samples) - FRAME) // HOP) + 1)
     out = np.zeros((n, 2), np.int32)
     for a in range(0, n, BLOCK):
         b = min(a + BLOCK, n)
         part = samples[a * HOP : (b - 1) * HOP + FRAME].astype(np.float32)
-        part = np.pad(part, (0, (b - 1 - a) * HOP + FRAME - len(part)), constant_values=128) - 128
-        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP] * _HANN
+        part = np.pad(part, (0, (b - 1 - a) * HOP + FRAME - len(part)), mode="edge")
+        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
+        frames = (frames - frames.mean(axis=1, keepdims=True)) * _HANN
         power = np.abs(np.fft.rfft(frames, axis=1))[:, 1:]
         first, at = power.argmax(axis=1), np.arange(b - a)
         loud = power[at, first] > 1e-3
