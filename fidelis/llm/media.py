@@ -3,8 +3,8 @@
 A payload is a text's UTF-8, zero-padded to a positive multiple of UNIT bytes. It is stored without loss as
 unsigned 8-bit samples of a mono WAV; what is returned is computed from the samples that the wave module reads
 back from the stored bytes. Frames of FRAME samples, half overlapping, go through a Hann-windowed Fourier
-transform. A frame's peaks are its two strongest bins above the constant part; the strongest is paired with the
-second and with the strongest of the next FAN frames. A pair's code holds both bins and the distance, and its
+transform. A frame's peaks are its PEAKS strongest bins above the constant part; the strongest is paired with the
+others and with the strongest of the next FAN frames. A pair's code holds both bins and the distance, and its
 time is the first frame.
 
 Frames are taken in blocks, so memory does not grow with the length of a text. Equal texts give equal values,
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from fidelis.llm.common import map_arrow
 
-UNIT, RATE, FRAME, HOP, FAN, BLOCK = 64, 8000, 256, 128, 3, 2048
+UNIT, RATE, FRAME, HOP, PEAKS, FAN, BLOCK = 64, 8000, 256, 128, 4, 3, 2048
 MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, times array<int>, codes array<int>, media binary"
 _HANN = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
@@ -49,9 +49,9 @@ def from_wav(media: bytes) -> bytes:
 
 
 def peaks(samples: np.ndarray) -> np.ndarray:
-    """The two strongest bins, from 1 on, of each frame; 0 where a frame is silent. The last frame is filled with the last sample."""
+    """The PEAKS strongest bins, strongest first and from 1 on, of each frame; 0 where a frame is silent. The last frame is filled with the last sample."""
     n = max(1, -(-(len(samples) - FRAME) // HOP) + 1)
-    out = np.zeros((n, 2), np.int32)
+    out = np.zeros((n, PEAKS), np.int32)
     for a in range(0, n, BLOCK):
         b = min(a + BLOCK, n)
         part = samples[a * HOP : (b - 1) * HOP + FRAME].astype(np.float32)
@@ -59,21 +59,24 @@ def peaks(samples: np.ndarray) -> np.ndarray:
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
         frames = (frames - frames.mean(axis=1, keepdims=True)) * _HANN
         power = np.abs(np.fft.rfft(frames, axis=1))[:, 1:]
-        first, at = power.argmax(axis=1), np.arange(b - a)
-        loud = power[at, first] > 1e-3
-        power[at, first] = -1
-        out[a:b] = np.where(loud[:, None], np.column_stack((first, power.argmax(axis=1))) + 1, 0)
+        top = np.argpartition(power, -PEAKS, axis=1)[:, -PEAKS:]
+        high = np.take_along_axis(power, top, axis=1)
+        order = np.argsort(-high, axis=1, kind="stable")
+        loud = np.take_along_axis(high, order, axis=1) > 1e-3
+        out[a:b] = np.where(loud, np.take_along_axis(top, order, axis=1) + 1, 0)
     return out
 
 
 def fingerprint(samples: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of frames, and the times and codes of all peak pairs, by time, then distance."""
+    """Number of frames, and the times and codes of all peak pairs, by time; within a frame, then by distance."""
     bins = peaks(samples)
     n = len(bins)
-    time, gap = np.repeat(np.arange(n, dtype=np.int32), FAN + 1), np.tile(np.arange(FAN + 1, dtype=np.int32), n)
+    steps = PEAKS - 1 + FAN
+    time, step = np.repeat(np.arange(n, dtype=np.int32), steps), np.tile(np.arange(1, steps + 1, dtype=np.int32), n)
+    gap = np.maximum(0, step - PEAKS + 1)
     ok = time + gap < n
-    time, gap = time[ok], gap[ok]
-    first, second = bins[time, 0], np.where(gap == 0, bins[time, 1], bins[time + gap, 0])
+    time, step, gap = time[ok], step[ok], gap[ok]
+    first, second = bins[time, 0], np.where(gap == 0, bins[time, np.minimum(step, PEAKS - 1)], bins[time + gap, 0])
     ok = (first > 0) & (second > 0)
     return n, time[ok], ((first << 16) | (second << 8) | gap)[ok].astype(np.int32)
 

@@ -33,7 +33,7 @@ def test_a_tone_is_one_peak_per_frame():
     tone = (128 + 100 * np.sin(2 * np.pi * 20 * t / media.FRAME)).astype(np.uint8)
     assert set(media.peaks(tone)[:-1, 0].tolist()) == {20}
     n, times, codes = media.fingerprint(tone)
-    assert n == 31 and times[:4].tolist() == [0, 0, 0, 0] and codes[1] == 20 << 16 | 20 << 8 | 1
+    assert n == 31 and times[:6].tolist() == [0] * 6 and codes[3] == 20 << 16 | 20 << 8 | 1
 
 
 def test_blocks_do_not_show(monkeypatch):
