@@ -56,8 +56,8 @@ def peaks(samples: np.ndarray) -> np.ndarray:
         b = min(a + BLOCK, n)
         part = samples[a * HOP : (b - 1) * HOP + FRAME].astype(np.float32)
         part = np.pad(part, (0, (b - 1 - a) * HOP + FRAME - len(part)), mode="edge")
-        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
-        frames = (frames - frames.mean(axis=1, keepdims=True)) * _HANN
+        part = np.diff(part, prepend=part[:1] if a == 0 else np.float32(samples[a * HOP - 1]))
+        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP] * _HANN
         power = np.abs(np.fft.rfft(frames, axis=1))[:, 1:]
         top = np.argpartition(power, -PEAKS, axis=1)[:, -PEAKS:]
         high = np.take_along_axis(power, top, axis=1)
