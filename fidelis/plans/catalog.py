@@ -1,10 +1,807 @@
-"""queries() and oracle_sql() of the engine's own operators."""
+"""queries() and oracle_sql() of the engine's own operators, one entry for each operator or family of it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fidelis.functions import stats, text
+from fidelis.operators import assemble, assurance, calibrate, conditions, evaluate, gates, grid, identity, images, ingest, ledger, views
+from fidelis.plans import roles as R
+from fidelis.streaming import ledger_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- decisions ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {R.RESOLVED} SELECT res, count(*) AS n, round(avg(o_totalprice), 2) AS avg_total FROM resolved GROUP BY res")
+def resolve_candidates(spark, d):
+    return R.resolved(spark, d).groupBy("res").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 2).alias("avg_total"))
+
+
+@query(f"WITH {R.FOLDED} SELECT instance, n_destructive, flip_count FROM folded")
+def condition_a_flips(spark, d):
+    return conditions.fold_readings(R.readings(spark, d).withColumn("baseline", F.col("instance") % 3)).select("instance", "n_destructive", "flip_count")
+
+
+@query(f"WITH {R.FOLDED} SELECT k, CASE WHEN flip_count IS NULL THEN 'INDETERMINATE' WHEN flip_count >= k THEN 'TRUE' ELSE 'FALSE' END AS verdict, count(*) AS n FROM folded, (VALUES (2), (3)) AS g(k) GROUP BY ALL")
+def condition_a_verdicts(spark, d):
+    folded = R.folded(spark, d)
+    both = [folded.select(F.lit(k).alias("k"), conditions.condition_a(F.col("flip_count"), k).alias("verdict")) for k in conditions.K_GRID]
+    return both[0].unionAll(both[1]).groupBy("k", "verdict").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {R.READINGS} SELECT instance, regime, list_position(scores, list_max(scores))::BIGINT - 1 AS best FROM readings")
+def argmax_first(spark, d):
+    return R.readings(spark, d).select("instance", "regime", stats.argmax_first(F.col("scores")).alias("best"))
+
+
+@query(f"WITH {R.CANDIDATES} SELECT generator, count(*) FILTER (WHERE drift >= 45) AS tracking, count(*) AS n FROM candidates GROUP BY generator")
+def condition_b_tracks(spark, d):
+    drift = R.candidates(spark, d).withColumn("drift", F.col("drift").cast("double")).withColumn("theta", F.lit(float(R.THETA)))
+    return conditions.condition_b(drift, "drift", "theta").groupBy("generator").agg(F.count_if("tracks").alias("tracking"), F.count("*").alias("n"))
+
+
+_LABEL = "CASE WHEN res IN ('S1', 'S2') THEN 'unfaithful' WHEN res = 'S3' THEN 'faithful' END AS label, CASE res WHEN 'S1' THEN 'D1' WHEN 'S2' THEN 'D2' END AS reason"
+
+
+@query(f"WITH {R.RESOLVED} SELECT {_LABEL}, count(*) AS n FROM resolved GROUP BY ALL")
+def label_projection(spark, d):
+    res = F.col("res")
+    return R.resolved(spark, d).select(conditions.label_of(res).alias("label"), conditions.reason_of(res).alias("reason")).groupBy("label", "reason").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {R.RESOLVED} SELECT count(*) AS sealed, count(*) FILTER (WHERE res LIKE 'E%') AS routed FROM resolved")
+def seal_check(spark, d):
+    res = R.resolved(spark, d).withColumn("spec_versions", F.array(F.lit("1.0")))
+    code = F.when(F.col("res").startswith("E"), F.col("res"))
+    rows = res.select("spec_versions", code.alias("e_code"), F.when(code.isNull(), F.col("res")).alias("state"), conditions.label_of(F.col("res")).alias("label"), conditions.reason_of(F.col("res")).alias("reason_code"))
+    return rows.agg(F.count_if(conditions.legal_seal()).alias("sealed"), F.count_if(F.col("e_code").isNotNull()).alias("routed"))
+
+
+@query(f"WITH {R.RESOLVED} SELECT res AS e_code, count(*) AS n FROM resolved WHERE res LIKE 'E%' GROUP BY res")
+def routed_counts(spark, d):
+    return R.resolved(spark, d).where(F.col("res").startswith("E")).groupBy(F.col("res").alias("e_code")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS resolved, 0::BIGINT AS unresolved, 0::BIGINT AS unknown, 0::BIGINT AS repeated FROM orders")
+def resolution_totality(spark, d):
+    res = R.resolved(spark, d)
+    outcomes = res.where(F.col("res").startswith("S")).select("instance").unionAll(res.where(F.col("res").startswith("E")).select("instance"))
+    return assemble.totality(R.candidates(spark, d), outcomes, "instance")
+
+
+# --- text and gates ----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {R.EXTRACTED} SELECT instance, answer FROM extracted")
+def mc_extract(spark, d):
+    return R.extracted(spark, d).select("instance", "answer")
+
+
+@query(f"WITH {R.EXTRACTED} SELECT instance, rationale FROM extracted")
+def rationale_extract(spark, d):
+    return R.extracted(spark, d).select("instance", "rationale")
+
+
+@query(f"WITH {R.EXTRACTED} SELECT instance, plain FROM extracted")
+def think_strip(spark, d):
+    return R.extracted(spark, d).select("instance", "plain")
+
+
+@query("""SELECT p_partkey AS instance, 'Question: ' || p_name || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || p_type || chr(10) || chr(10)
+ || 'Answer with the letter of the correct option on the first line, then explain your reasoning after "Rationale:".' AS prompt FROM part""")
+def prompt_render(spark, d):
+    return R.table(spark, d, "part").select(F.col("p_partkey").alias("instance"), text.render_prompt(F.col("p_name"), F.array("p_brand", "p_type")).alias("prompt"))
+
+
+@query(f"WITH {R.EXTRACTED} SELECT instance, sha256(to_json({{'chosen_answer': answer, 'rationale': rationale}})) AS digest FROM extracted")
+def baseline_digest(spark, d):
+    return R.extracted(spark, d).select("instance", identity.baseline_digest(F.col("answer"), F.col("rationale")).alias("digest"))
+
+
+@query(f"WITH {R.EXTRACTED} SELECT count(*) AS verified FROM extracted")
+def digest_verify(spark, d):
+    rows = R.extracted(spark, d)
+    held = rows.withColumn("digest", identity.baseline_digest(F.col("answer"), F.col("rationale")))
+    return identity.verify_digest(held, "answer", "rationale", "digest").agg(F.count("*").alias("verified"))
+
+
+@query("""SELECT doc_id, to_json({'dataset': lang, 'record_id': doc_id::VARCHAR})::VARCHAR AS source, to_json({'dtype': source, 'name': lang})::VARCHAR AS generator FROM documents""")
+def canonical_keys(spark, d):
+    docs = R.table(spark, d, "documents")
+    components = F.create_map(F.lit("name"), "lang", F.lit("dtype"), "source")
+    return docs.select("doc_id", identity.source_key(F.col("lang"), F.col("doc_id").cast("string")).alias("source"), identity.generator_key(components).alias("generator"))
+
+
+@query("SELECT conv_id, turn, contains(lower(text), ' left') OR contains(lower(text), ' right') OR contains(lower(text), 'left ') OR contains(lower(text), 'right ') AS lateral FROM conversations")
+def spatial_flag(spark, d):
+    return R.table(spark, d, "conversations").select("conv_id", "turn", text.spatial_lateral(F.col("text")).alias("lateral"))
+
+
+@query(f"WITH {R.EXTRACTED} SELECT instance, coalesce(list_position(list_transform(options, lambda o: lower(trim(o))), lower(trim(answer))), 0)::BIGINT - 1 AS baseline FROM extracted WHERE answer IS NOT NULL")
+def baseline_index(spark, d):
+    rows = R.extracted(spark, d).where("answer is not null")
+    place = F.array_position(F.transform("options", text.folded), text.folded(F.col("answer"))) - 1
+    return rows.select("instance", place.cast("long").alias("baseline"))
+
+
+_HIT = " OR ".join("regexp_matches({0}, '(?i)" + p + "')" for p in R.HITS)
+
+
+@query(f"SELECT doc_id, {_HIT.format('text')} AS hit FROM documents")
+def registry_scan(spark, d):
+    return R.table(spark, d, "documents").select("doc_id", text.registry_hit(F.col("text"), R.HITS).alias("hit"))
+
+
+_GATED = (
+    f"{R.EXTRACTED}, gated AS (SELECT *, coalesce({R.sql_strip('rationale')} <> '' AND len(list_filter(options, lambda o: lower(trim(o)) = lower(trim(answer)))) = 1, false) AS p1, "
+    f"coalesce(NOT ({_HIT.format('rationale')}) AND {R.sql_tokens('rationale')} >= 5 AND lower(regexp_replace({R.sql_strip('rationale')}, '[.]+\\z', '')) <> lower(regexp_replace({R.sql_strip('answer')}, '[.]+\\z', '')), false) AS p2, turn % 3 <> 2 AS p3 FROM extracted), "
+    "coded AS (SELECT *, CASE WHEN NOT p1 THEN 'E1' WHEN NOT p2 THEN 'E2' WHEN NOT p3 THEN 'E3' END AS e_code, CASE WHEN NOT p1 THEN 1 WHEN NOT p2 THEN 2 ELSE 3 END AS reached FROM gated)"
+)
+
+
+def _gated(spark, d):
+    rows = R.extracted(spark, d)
+    answer, rationale, options = F.col("answer"), F.col("rationale"), F.col("options")
+    p3 = gates.in_scope(F.lit(True), options, F.concat(F.lit("s"), (F.col("turn") % 3).cast("string")), ["s0", "s1"])
+    return rows.select("*", gates.complete(answer, rationale, options).alias("p1"), gates.bona_fide(answer, rationale, R.HITS).alias("p2"), p3.alias("p3")).withColumn("gate", gates.cascade(F.col("p1"), F.col("p2"), F.col("p3")))
+
+
+@query(f"WITH {_GATED} SELECT e_code, reached::BIGINT AS gates, count(*) AS n FROM coded GROUP BY ALL")
+def p_gate_cascade(spark, d):
+    return _gated(spark, d).groupBy("gate.e_code", F.size("gate.gates").cast("long").alias("gates")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_GATED} SELECT count(*) FILTER (WHERE p1) AS complete, count(*) FILTER (WHERE p2) AS bona_fide, count(*) FILTER (WHERE p3) AS in_scope FROM coded")
+def p_gates_each(spark, d):
+    return _gated(spark, d).agg(F.count_if("p1").alias("complete"), F.count_if("p2").alias("bona_fide"), F.count_if("p3").alias("in_scope"))
+
+
+_COHERENT = f"""{R.PAIRS}, counted AS (SELECT *, {R.sql_tokens("baseline")} AS nb, {R.sql_tokens("counterfactual")} AS nc FROM pairs),
+cohered AS (SELECT *, CASE WHEN {R.sql_strip("counterfactual")} = '' THEN 'empty' WHEN nc < greatest(5, ceil(0.25 * nb)) OR nc > floor(4.0 * nb) THEN 'length'
+ WHEN {_HIT.format("counterfactual")} THEN 'abstention' ELSE 'pass' END AS coherence FROM counted)"""
+
+
+@query(f"WITH {_COHERENT} SELECT coherence, count(*) AS n FROM cohered GROUP BY coherence")
+def coherence_screen(spark, d):
+    return R.pairs(spark, d).select(gates.coherence(F.col("baseline"), F.col("counterfactual"), R.HITS).alias("coherence")).groupBy("coherence").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_COHERENT}, {R.DRIFTS.split(", worded AS")[0].replace("pairs AS", "pairs2 AS", 1)}, worded AS {R.DRIFTS.split(", worded AS", 1)[1]}, sided AS (SELECT c.instance, c.turn % 2 = 0 AS a_true, c.turn % 3 <> 0 AS held, contains(lower(c.baseline), 'the ') AS is_lateral,
+ c.coherence = 'pass' AS coherent, d.control, c.instance % 5 <> 0 AS applicable FROM cohered c JOIN drifts d USING (instance)),
+stated AS (SELECT *, CASE WHEN is_lateral THEN 'inapplicable' WHEN held THEN 'pass' ELSE 'fail' END AS hflip, CASE WHEN a_true THEN CASE WHEN coherent THEN 'pass' ELSE 'fail' END END AS coh,
+ CASE WHEN a_true THEN CASE WHEN NOT applicable THEN 'inapplicable' WHEN control < 0.4 THEN 'pass' ELSE 'fail' END END AS edit FROM sided)
+SELECT a_true, hflip <> 'fail' AND coalesce(coh <> 'fail', true) AND coalesce(edit <> 'fail', true) AS holds, count(*) AS n FROM stated GROUP BY ALL""")
+def p6_controls(spark, d):
+    rows = R.pairs(spark, d).join(R.drifts(spark, d).select("instance", "control"), "instance")
+    coherent = gates.coherence(F.col("baseline"), F.col("counterfactual"), R.HITS) == "pass"
+    lateral = F.lower("baseline").contains("the ")
+    results = gates.controls(F.col("turn") % 2 == 0, F.col("turn") % 3 != 0, lateral, F.lit(True), F.lit(True), coherent, F.col("control"), F.col("instance") % 5 != 0, F.lit(0.4))
+    return rows.groupBy((F.col("turn") % 2 == 0).alias("a_true"), gates.controls_hold(results).alias("holds")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {R.EXTRACTED} SELECT count(*) AS n, count(*) FILTER (WHERE answer IS NOT NULL) AS parsed, count(*) FILTER (WHERE rationale IS NOT NULL) AS with_rationale,
+ count(*) FILTER (WHERE starts_with(raw, '<think>')) AS opened, count(*) FILTER (WHERE plain IS NULL) AS unclosed, round(count(*) FILTER (WHERE answer = 'cigar') / greatest(1, count(*) FILTER (WHERE answer IS NOT NULL))::DOUBLE, 3) AS agreement FROM extracted""")
+def extraction_quality(spark, d):
+    parsed = F.count_if(F.col("answer").isNotNull())
+    return R.extracted(spark, d).agg(
+        F.count("*").alias("n"), parsed.alias("parsed"), F.count_if(F.col("rationale").isNotNull()).alias("with_rationale"), F.count_if(F.col("raw").startswith("<think>")).alias("opened"),
+        F.count_if(F.col("plain").isNull()).alias("unclosed"), F.round(F.count_if(F.col("answer") == "cigar") / F.greatest(F.lit(1), parsed), 3).alias("agreement"),
+    )
+
+
+# --- ingest, identity, ledger ------------------------------------------------------------------------------
+
+
+def _raw(spark, d):
+    c = F.col("conv_id") * 100 + F.col("turn")
+    m = lambda n, v: F.when(c % 11 == n, v)
+    return R.table(spark, d, "conversations").select(
+        m(0, F.lit("")).otherwise(c.cast("string")).alias("question_id"), m(1, F.lit(None).cast("string")).otherwise(F.col("turn").cast("string")).alias("image_id"),
+        m(2, F.lit(" 　 ")).otherwise(F.concat(F.lit("  "), F.col("text"), F.lit("\n"))).alias("question"),
+        m(3, F.array(F.lit("only"))).when(c % 11 == 4, F.array(F.lit("a"), F.lit(" \t"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("choices"),
+        m(5, F.lit(9)).when(c % 11 == 6, F.lit(-1)).otherwise(F.lit(1)).alias("correct_choice_idx"),
+    )
+
+
+_REASON = """CASE (conv_id * 100 + turn) % 11 WHEN 0 THEN 'missing question_id' WHEN 1 THEN 'missing image_id' WHEN 2 THEN 'empty question' WHEN 3 THEN 'malformed choices (need >=2 options)'
+ WHEN 4 THEN 'empty option text' WHEN 5 THEN 'gold index missing or out of range' WHEN 6 THEN 'gold index missing or out of range' END"""
+
+
+@query(f"SELECT CASE WHEN (conv_id * 100 + turn) % 11 = 0 THEN '<missing question_id>' ELSE (conv_id * 100 + turn)::VARCHAR END AS raw_record_id, 'pool' AS dataset, {_REASON} AS reason FROM conversations WHERE {_REASON} IS NOT NULL")
+def normalize_exclusions(spark, d):
+    return ingest.exclusions(ingest.normalize(_raw(spark, d), "pool"))
+
+
+@query(f"SELECT (conv_id * 100 + turn)::VARCHAR AS record_id, 'coco/' || turn AS image_ref, {R.sql_strip('text')} AS question, 1 AS gold_answer_idx FROM conversations WHERE {_REASON} IS NULL")
+def normalize_records(spark, d):
+    return ingest.records(ingest.normalize(_raw(spark, d), "pool")).select("record_id", "image_ref", "question", "gold_answer_idx")
+
+
+@query("SELECT count(*) AS n, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS digest FROM documents")
+def pool_digest(spark, d):
+    return identity.ids_digest(R.table(spark, d, "documents"), "doc_id")
+
+
+@query("SELECT o_orderkey AS instance, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders")
+def pool_positions(spark, d):
+    return identity.assign_position(R.table(spark, d, "orders").select(F.col("o_orderkey").alias("instance")), "instance")
+
+
+@query("SELECT doc_id, pos, coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS partner FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)")
+def derangement(spark, d):
+    return identity.derangement(identity.assign_position(R.table(spark, d, "documents").select("doc_id"), "doc_id"), "doc_id")
+
+
+@query("SELECT CASE WHEN pos % 2 = 0 THEN 'calibration' ELSE 'verification' END AS fold, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM (SELECT n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) GROUP BY 1")
+def fold_parity(spark, d):
+    placed = identity.assign_position(R.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return placed.groupBy(calibrate.fold(F.col("pos")).alias("fold")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT doc_id, pos FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) WHERE pos BETWEEN 20 AND 69")
+def shard_slice(spark, d):
+    from fidelis.sources.readers import shard
+
+    return shard(identity.assign_position(R.table(spark, d, "documents").select("doc_id"), "doc_id"), 20, 70)
+
+
+@query("SELECT doc_id, rn FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE n_chars >= 500) WHERE rn > 30 AND rn <= 60")
+def valid_window(spark, d):
+    placed = identity.assign_position(R.table(spark, d, "documents").where("n_chars >= 500").select("doc_id"), "doc_id")
+    return placed.where("pos >= 30 and pos < 60").select("doc_id", (F.col("pos") + 1).alias("rn"))
+
+
+@query("SELECT o_custkey % 10 AS slot, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT user_id FROM events) GROUP BY 1")
+def resume_antijoin(spark, d):
+    done = R.table(spark, d, "events").select(F.col("user_id").alias("o_orderkey")).distinct()
+    return ledger.uncommitted(R.table(spark, d, "orders"), done, "o_orderkey").groupBy((F.col("o_custkey") % 10).alias("slot")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, count(l.doc_id) AS present, count(*) - count(l.doc_id) AS missing FROM documents d LEFT JOIN labels l USING (doc_id)")
+def missing_payloads(spark, d):
+    both = ledger.with_payloads(R.table(spark, d, "documents").select("doc_id"), R.table(spark, d, "labels"), "doc_id")
+    return both.agg(F.count("*").alias("n"), F.count_if("present").alias("present"), F.count_if(~F.col("present")).alias("missing"))
+
+
+@query("SELECT event_id::VARCHAR || '::output_tuple' AS key, event_id::VARCHAR AS instance FROM events")
+def ledger_keys(spark, d):
+    key = ledger.output_key(F.col("event_id"))
+    return R.table(spark, d, "events").select(key.alias("key"), ledger.instance_of(key).alias("instance"))
+
+
+@query("SELECT count(*) AS keys, sum(1)::BIGINT AS commits FROM events")
+def ledger_no_duplicates(spark, d):
+    return ledger.no_duplicates(R.table(spark, d, "events"), "event_id").agg(F.count("*").alias("keys"), F.sum("commits").alias("commits"))
+
+
+@query("SELECT count(*) AS comparable, count(*) FILTER (WHERE a.n_chars IS NOT DISTINCT FROM CASE WHEN a.doc_id % 9 <> 0 THEN a.n_chars END) AS identical FROM documents a")
+def determinism_check(spark, d):
+    docs = R.table(spark, d, "documents").select("doc_id", "n_chars")
+    return ledger.determinism(docs, docs.withColumn("n_chars", F.when(F.col("doc_id") % 9 != 0, F.col("n_chars"))), "doc_id", ["n_chars"])
+
+
+# --- calibration -------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {R.DRIFTS}, m AS (SELECT count(*) AS n, (median(targeted) + median(control)) / 2 AS theta, quantile_cont(targeted, 0.75) - quantile_cont(targeted, 0.25) AS iqr FROM drifts),
+s AS (SELECT avg((targeted >= theta)::INT) AS ts, avg((control >= theta)::INT) AS cs FROM drifts, m)
+SELECT n, round(theta, 6) AS theta, round(iqr, 6) AS targeted_iqr, round(ts, 6) AS targeted_share, round(cs, 6) AS control_share, theta > 0 AND iqr >= 0.05 AND ts >= 0.25 AND cs <= 0.1 AS viable FROM m, s""")
+def theta_midpoint(spark, d):
+    out = calibrate.theta_midpoint(R.drifts(spark, d), least=10)
+    return out.select("n", "viable", *(F.round(c, 6).alias(c) for c in ("theta", "targeted_iqr", "targeted_share", "control_share")))
+
+
+@query(f"WITH {R.DRIFTS} SELECT round(quantile_cont(control, 0.9), 6) AS theta FROM drifts WHERE pos % 2 = 0")
+def theta_p90(spark, d):
+    return calibrate.theta_p90(R.drifts(spark, d).where(calibrate.fold(F.col("pos")) == "calibration")).select(F.round("theta", 6).alias("theta"))
+
+
+@query(f"WITH {R.FOLDED} SELECT round(quantile_cont(max_drop, 0.1), 6) AS floor FROM folded WHERE instance % 2 = 0")
+def saliency_floor(spark, d):
+    return calibrate.saliency_floor(R.folded(spark, d).where("instance % 2 = 0")).select(F.round("floor", 6).alias("floor"))
+
+
+_AGREE = f"{R.FOLDED}, judged AS (SELECT g.k, avg(((f.flip_count >= g.k) = (f.instance % 3 > 0))::INT) AS agreement FROM folded f, (VALUES (2), (3)) AS g(k) WHERE f.flip_count IS NOT NULL GROUP BY g.k)"
+
+
+@query(f"WITH {_AGREE} SELECT max(k)::BIGINT AS k FROM judged WHERE agreement = (SELECT max(agreement) FROM judged)")
+def choose_k_agreement(spark, d):
+    known = R.folded(spark, d).where("flip_count is not null")
+    rows = known.select("flip_count", "instance", F.explode(F.array(F.lit(2), F.lit(3)).cast("array<bigint>")).alias("k"))
+    return calibrate.choose_k_agreement(rows.groupBy("k").agg(F.avg(((F.col("flip_count") >= F.col("k")) == (F.col("instance") % 3 > 0)).cast("double")).alias("agreement")))
+
+
+@query("""WITH p AS (SELECT event_type, avg((value < 20)::INT) AS p_noise FROM events GROUP BY event_type), t AS (SELECT *, 6 * p_noise**2 * (1 - p_noise)**2 + 4 * p_noise**3 * (1 - p_noise) + p_noise**4 AS t2,
+ 4 * p_noise**3 * (1 - p_noise) + p_noise**4 AS t3 FROM p) SELECT event_type, round(p_noise, 6) AS p_noise, CASE WHEN t2 <= 0.05 THEN 2 WHEN t3 <= 0.05 THEN 3 END::BIGINT AS k FROM t""")
+def choose_k_binomial(spark, d):
+    noise = R.table(spark, d, "events").groupBy("event_type").agg(F.avg((F.col("value") < 20).cast("double")).alias("p_noise"))
+    return calibrate.choose_k_binomial(noise).withColumn("p_noise", F.round("p_noise", 6))
+
+
+@query("""SELECT source, count(*) AS n, sum(quality)::BIGINT AS hits, round(greatest(0.0::DOUBLE, (p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 6) AS low,
+ round(least(1.0::DOUBLE, (p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)), 6) AS high
+ FROM (SELECT source, quality, count(*) OVER w::DOUBLE AS n, sum(quality) OVER w / (count(*) OVER w)::DOUBLE AS p FROM documents JOIN labels USING (doc_id) WINDOW w AS (PARTITION BY source)) GROUP BY source, n, p""".replace("count(*) OVER w::DOUBLE AS n", "(count(*) OVER w)::DOUBLE AS n").replace("count(*) AS n, sum", "count(*) AS n_docs, sum"))
+def wilson(spark, d):
+    docs = R.table(spark, d, "documents").select("doc_id", "source").join(R.table(spark, d, "labels"), "doc_id")
+    rates = docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("quality").alias("hits"))
+    ci = stats.wilson(F.col("hits"), F.col("n_docs"))
+    return rates.select("source", "n_docs", "hits", F.round(ci["low"], 6).alias("low"), F.round(ci["high"], 6).alias("high"))
+
+
+_GATE = "SELECT count(*) AS n, count(*) FILTER (WHERE answer IS NOT NULL) AS parsed, count(*) FILTER (WHERE answer = 'cigarette') AS agreed FROM extracted WHERE conv_id BETWEEN 10 AND 59"
+
+
+@query(f"WITH {R.EXTRACTED}, g AS ({_GATE}) SELECT n, round(parsed / n::DOUBLE, 4) AS parseability, coalesce(round(agreed / nullif(parsed, 0)::DOUBLE, 4), 0.0::DOUBLE) AS agreement, parsed / n::DOUBLE >= 0.9 AND coalesce(agreed / nullif(parsed, 0)::DOUBLE, 0) >= 0.6 AS passed FROM g")
+def calibration_gate(spark, d):
+    part = R.extracted(spark, d).where("conv_id between 10 and 59")
+    sums = part.agg(F.count("*").alias("n"), F.count_if(F.col("answer").isNotNull()).alias("parsed"), F.count_if(F.col("answer") == "cigarette").alias("agreed"))
+    share, agreement = F.try_divide("parsed", "n"), F.coalesce(F.try_divide("agreed", "parsed"), F.lit(0.0))
+    return sums.select("n", F.round(share, 4).alias("parseability"), F.round(agreement, 4).alias("agreement"), ((share >= 0.9) & (agreement >= 0.6)).alias("passed"))
+
+
+@query(f"WITH {R.READINGS} SELECT regime, count(*) AS n, count(*) FILTER (WHERE scores[instance % 3 + 1] >= list_max(scores)) AS with_ties, count(*) FILTER (WHERE list_position(scores, list_max(scores)) = instance % 3 + 1) AS first_only FROM readings GROUP BY regime")
+def scorer_agreement(spark, d):
+    base = F.col("instance") % 3
+    return R.readings(spark, d).groupBy("regime").agg(F.count("*").alias("n"), F.count_if(stats.baseline_held(F.col("scores"), base)).alias("with_ties"), F.count_if(stats.argmax_first(F.col("scores")) == base).alias("first_only"))
+
+
+@query(f"WITH {R.DRIFTS} SELECT instance, round(targeted, 9) AS drift FROM drifts")
+def jaccard_drift(spark, d):
+    return R.drifts(spark, d).select("instance", F.round("targeted", 9).alias("drift"))
+
+
+@query("""SELECT a.vec_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS drift FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def embed_cosine_drift(spark, d):
+    a = R.table(spark, d, "embeddings").select("vec_id", "embedding")
+    b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return a.join(b, "vec_id").select("vec_id", F.round(1 - stats.cosine(F.col("embedding"), F.col("next")), 6).alias("drift"))
+
+
+_AUC = """SELECT {by} round(sum(wins) / nullif(sum(pos) * sum(neg), 0)::DOUBLE, 6) AS auroc, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg FROM (SELECT *, pos * (coalesce(sum(neg) OVER ({part} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2) AS wins
+ FROM (SELECT {by} s, count(*) FILTER (WHERE t = 1) AS pos, count(*) FILTER (WHERE t = 0) AS neg FROM scored GROUP BY {by} s)) {group}"""
+
+
+@query(f"WITH {R.DRIFTS}, scored AS (SELECT targeted AS s, 1 AS t FROM drifts UNION ALL SELECT control, 0 FROM drifts) {_AUC.format(by='', part='', group='')}")
+def drift_auroc(spark, d):
+    rows = R.drifts(spark, d)
+    scored = rows.select(F.explode(F.array(F.struct(F.col("targeted").alias("s"), F.lit(1).alias("t")), F.struct(F.col("control").alias("s"), F.lit(0).alias("t"))))).select("col.*")
+    return evaluate.auroc(scored, "s", "t").withColumn("auroc", F.round("auroc", 6))
+
+
+@query(f"WITH {R.DRIFTS} SELECT round(median(targeted - control), 6) AS delta, median(targeted - control) > 0 AS positive FROM drifts")
+def paired_delta(spark, d):
+    return R.drifts(spark, d).agg(F.median(F.col("targeted") - F.col("control")).alias("m")).select(F.round("m", 6).alias("delta"), (F.col("m") > 0).alias("positive"))
+
+
+@query(f"WITH {R.DRIFTS} SELECT instance % 2 = 0 AS flipped, count(*) AS n, round(avg(targeted), 6) AS mean_drift, round(median(targeted), 6) AS median_drift FROM drifts GROUP BY 1")
+def drift_by_flip(spark, d):
+    return R.drifts(spark, d).groupBy((F.col("instance") % 2 == 0).alias("flipped")).agg(F.count("*").alias("n"), F.round(F.avg("targeted"), 6).alias("mean_drift"), F.round(F.median("targeted"), 6).alias("median_drift"))
+
+
+@query(f"WITH {R.RESOLVED}, a AS (SELECT instance, res LIKE 'S%' AS on_res, drift >= 50 AS off_res FROM resolved), g AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE on_res <> off_res) AS flips FROM a) SELECT flips, n::BIGINT AS n, round((flips / n + 3.8416 / (2 * n) - 1.96 * sqrt(flips / n * (1 - flips / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS low FROM g")
+def ablation_flips(spark, d):
+    rows = R.resolved(spark, d)
+    off = R.candidates(spark, d).select("instance", (F.col("drift") >= 50).alias("off_res"))
+    both = rows.select("instance", F.col("res").startswith("S").alias("on_res")).join(off, "instance")
+    sums = both.agg(F.count_if(F.col("on_res") != F.col("off_res")).alias("flips"), F.count("*").alias("n"))
+    return sums.select("flips", "n", F.round(stats.wilson(F.col("flips"), F.col("n"))["low"], 6).alias("low"))
+
+
+# --- grids and images --------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey AS instance, cell, (cell // 8) * h // 8 AS top, (cell % 8) * w // 8 AS \"left\", (cell // 8 + 1) * h // 8 AS bottom, (cell % 8 + 1) * w // 8 AS \"right\" FROM (SELECT p_partkey, 64 + p_partkey % 200 AS h, 96 + (p_partkey * 7) % 150 AS w FROM part), range(64) AS t(cell)")
+def cell_boxes(spark, d):
+    cells = R.drops(spark, d)
+    box = grid.cell_box(F.col("row"), F.col("col"), F.col("height"), F.col("width"))
+    return cells.select("instance", "cell", box.alias("b")).select("instance", "cell", "b.*")
+
+
+@query(f"""WITH {R.DROPS}, m AS (SELECT *, max("drop") OVER (PARTITION BY instance) AS max_drop FROM drops) SELECT instance, min("row" * height // 8) AS top, min(col * width // 8) AS "left",
+ max(("row" + 1) * height // 8) AS bottom, max((col + 1) * width // 8) AS "right", max(max_drop) AS max_drop, count(*) AS n_cells FROM m WHERE max_drop >= 0.9::DOUBLE AND "drop" >= 0.5::DOUBLE * max_drop GROUP BY instance""")
+def localize(spark, d):
+    return grid.localize(R.drops(spark, d), "instance", 0.9)
+
+
+@query(f"""WITH {R.BOXES}, s AS (SELECT *, bottom - top AS h, "right" - "left" AS w FROM boxes), placed AS (SELECT *, greatest(0, least("left", width - w)) AS ac, greatest(0, least(top, height - h)) AS ar FROM s),
+cand AS (SELECT instance, top, "left", h, w, 0 AS o, 0 AS r, ac AS c FROM placed WHERE top >= h UNION ALL SELECT instance, top, "left", h, w, 1, height - h, ac FROM placed WHERE height - bottom >= h
+ UNION ALL SELECT instance, top, "left", h, w, 2, ar, 0 FROM placed WHERE "left" >= w UNION ALL SELECT instance, top, "left", h, w, 3, ar, width - w FROM placed WHERE width - "right" >= w),
+best AS (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY (r - top) * (r - top) + (c - "left") * (c - "left") DESC, o) AS rn FROM cand)
+SELECT b.instance, x.r AS c_top, x.c AS c_left, x.r + x.h AS c_bottom, x.c + x.w AS c_right FROM boxes b LEFT JOIN best x ON x.instance = b.instance AND x.rn = 1""")
+def control_box(spark, d):
+    c = grid.control_box(*(F.col(x) for x in ("top", "left", "bottom", "right", "height", "width")))
+    return R.boxes(spark, d).withColumn("c", c).select("instance", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("top", "left", "bottom", "right")))
+
+
+_TILES = f"""{R.BOXES}, tiles AS (SELECT b.*, r * 16 AS r0, c * 16 AS c0 FROM boxes b, range(0, 20) AS rr(r), range(0, 20) AS cc(c) WHERE r * 16 + 16 <= height AND c * 16 + 16 <= width
+ AND (r * 16 + 16 <= top OR r * 16 >= bottom OR c * 16 + 16 <= "left" OR c * 16 >= "right")),
+ranked AS (SELECT *, coalesce(sum(256) OVER (PARTITION BY instance ORDER BY r0, c0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tiles),
+kept AS (SELECT * FROM ranked WHERE before < (bottom - top) * ("right" - "left"))"""
+
+
+@query(f"""WITH {_TILES}, sums AS (SELECT instance, count(*) AS n, max(r0 * 1000 + c0) AS last_tile FROM kept GROUP BY instance) SELECT b.instance, coalesce(n, 0) AS n_patches, coalesce(last_tile, -1) AS last_tile,
+ round(coalesce(n, 0) * 256 / ((bottom - top) * ("right" - "left"))::DOUBLE, 3) AS coverage, coalesce(n, 0) * 256 >= 0.25 * (bottom - top) * ("right" - "left") AS applicable FROM boxes b LEFT JOIN sums USING (instance)""")
+def control_patches(spark, d):
+    out = grid.control_patches(R.boxes(spark, d))
+    last = F.element_at(F.col("patches"), -1)
+    area = (F.col("bottom") - F.col("top")) * (F.col("right") - F.col("left"))
+    return out.select("instance", F.size("patches").cast("long").alias("n_patches"), F.when(F.size("patches") > 0, last["top"] * 1000 + last["left"]).otherwise(F.lit(-1)).alias("last_tile"), F.round(F.col("covered") / area, 3).alias("coverage"), "applicable")
+
+
+@query("""WITH a AS (SELECT doc_id, list_transform(string_split(source || '-' || lang, ''), lambda c: ascii(c)) AS x, list_transform(string_split(source || '!' || doc_id || '?-' || lang, ''), lambda c: ascii(c)) AS y FROM documents)
+SELECT doc_id, len(source)::BIGINT AS start, (len(source) + 2 + len(doc_id::VARCHAR))::BIGINT AS "end" FROM documents JOIN a USING (doc_id)""")
+def reply_span(spark, d):
+    codes = lambda c: F.transform(F.split(c, ""), F.ascii)
+    docs = R.table(spark, d, "documents")
+    before, after = F.concat_ws("-", "source", "lang"), F.concat("source", F.lit("!"), F.col("doc_id").cast("string"), F.lit("?-"), "lang")
+    return docs.select("doc_id", grid.common_span(codes(before), codes(after)).alias("s")).select("doc_id", "s.*")
+
+
+@query("SELECT doc_id, (len(source) + 1)::BIGINT AS start, (len(source) + 3)::BIGINT AS \"end\", 1::BIGINT AS n FROM documents")
+def refine_span(spark, d):
+    docs = R.table(spark, d, "documents").select("doc_id", F.split(F.concat("source", F.lit("# A.\n")), "").alias("ids"), F.length("source").cast("long").alias("at"))
+    span = grid.refine_span(F.col("ids"), F.col("at"), F.col("at") + 5, F.lit("A."), lambda ids: F.regexp_replace(F.array_join(ids, ""), r"[ \n#]+", "#"))
+    return docs.select("doc_id", span.alias("s")).select("doc_id", (F.col("s.start") - 1).alias("start"), (F.col("s.end") - 1).alias("end"), "s.n")
+
+
+def _images(spark, d):
+    """Tiny images from parts, with their derangement partners and boxes."""
+    small = R.table(spark, d, "part").where("p_size <= 50").select(F.col("p_partkey").alias("instance"), F.lit(32).alias("height"), F.lit(48).alias("width"))
+    pixel = F.transform(F.sequence(F.lit(0), F.lit(32 * 48 * 3 - 1)), lambda i: F.lpad(F.hex((i * 7 + F.col("instance") * 13) % 256), 2, "0"))
+    placed = identity.assign_position(small.withColumn("pixels", F.unhex(F.array_join(pixel, ""))), "instance")
+    partner = placed.select(F.col("instance").alias("partner"), F.col("height").alias("p_height"), F.col("width").alias("p_width"), F.col("pixels").alias("p_pixels"))
+    return identity.derangement(placed, "instance").join(partner, "partner")
+
+
+@query()
+def image_regimes(spark, d):
+    return images.apply_regimes(_images(spark, d)).select("instance", "regime", F.sha2("pixels", 256).alias("digest"))
+
+
+@query()
+def image_edits(spark, d):
+    box = _images(spark, d).select("*", F.lit(4).alias("top"), (F.col("instance") % 20).alias("left"), F.lit(20).alias("bottom"), (F.col("instance") % 20 + 17).alias("right"))
+    placed = grid.control_patches(box).withColumn("box", F.struct("top", "left", "bottom", "right"))
+    return images.apply_edits(placed).select("instance", F.sha2("targeted", 256).alias("targeted"), F.sha2("control", 256).alias("control"))
+
+
+@query("SELECT doc_id, 'A. ' || lang AS reply, n_chars::DOUBLE AS score FROM documents WHERE n_chars >= 200")
+def model_call(spark, d):
+    def model():
+        return lambda frame: frame.assign(reply="A. " + frame["lang"], score=frame["n_chars"].astype(float))[["doc_id", "reply", "score"]]
+
+    rows = R.table(spark, d, "documents").where("n_chars >= 200").select("doc_id", "lang", "n_chars")
+    return images.call_model(rows, model, "doc_id long, reply string, score double")
+
+
+# --- assembly and views ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {R.PREDICTED} SELECT instance, scene, split FROM predicted")
+def split_assign(spark, d):
+    return R.predicted(spark, d).select("instance", "scene", "split")
+
+
+@query(f"WITH {R.PREDICTED}, q AS (SELECT split, min(n) AS quota FROM (SELECT split, label, count(*) AS n FROM predicted WHERE split IN ('train', 'validation') GROUP BY ALL) GROUP BY split), r AS (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY md5(instance::VARCHAR), instance) AS rn FROM predicted) SELECT instance, split, label FROM r LEFT JOIN q USING (split) WHERE quota IS NULL OR rn <= quota")
+def balance_split(spark, d):
+    return assemble.balance(R.predicted(spark, d)).select("instance", "split", "label")
+
+
+@query(f"WITH {R.PREDICTED} SELECT split, count(*) AS n FROM predicted WHERE instance NOT IN (SELECT item_id * 3 FROM benchmark) GROUP BY split")
+def quarantine(spark, d):
+    touched = R.table(spark, d, "benchmark").select((F.col("item_id") * 3).alias("instance"))
+    return assemble.quarantine(R.predicted(spark, d), touched, "instance").groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {R.PREDICTED}, r AS (SELECT *, row_number() OVER (PARTITION BY dataset, qtype, truth ORDER BY md5(instance::VARCHAR), instance) AS rn FROM predicted) SELECT a.dataset, a.qtype, a.rn::INTEGER AS rank, a.instance AS negative, b.instance AS positive FROM r a JOIN r b USING (dataset, qtype, rn) WHERE a.truth = 0 AND b.truth = 1")
+def hard_core(spark, d):
+    return assemble.matched_pairs(R.predicted(spark, d), ["dataset", "qtype"], "truth", "instance")
+
+
+@query(f"WITH {R.PREDICTED}, s AS (SELECT DISTINCT split, scene FROM predicted) SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared FROM s a JOIN s b USING (scene) WHERE a.split < b.split GROUP BY ALL")
+def split_disjointness(spark, d):
+    return assemble.disjointness(R.predicted(spark, d), "scene")
+
+
+@query(f"WITH {R.PREDICTED} SELECT split, label, count(*) AS n, count(DISTINCT generator) AS generators, count(DISTINCT scene) AS scenes FROM predicted GROUP BY ROLLUP (split, label)")
+def manifest_counts(spark, d):
+    return assemble.manifest(R.predicted(spark, d))
+
+
+@query(f"WITH {R.PREDICTED} SELECT count(*) AS entries FROM predicted")
+def corpus_assembly(spark, d):
+    return assemble.assemble(R.predicted(spark, d), ("instance", "label", "split", "scene", "generator")).agg(F.count("*").alias("entries"))
+
+
+def _released(spark, d):
+    return R.predicted(spark, d).withColumnsRenamed({"instance": "instance_id", "reason": "reason_code"}).withColumns({"state": F.when(F.col("label") == "faithful", "S3").otherwise("S1"), "generator_id": F.col("generator")})
+
+
+@query(f"WITH {R.PREDICTED} SELECT instance AS instance_id, split FROM predicted")
+def predictor_view(spark, d):
+    return views.predictor_view(_released(spark, d))
+
+
+@query(f"WITH {R.PREDICTED} SELECT instance AS instance_id, label, reason AS reason_code, split FROM predicted")
+def hidden_view(spark, d):
+    return views.hidden_view(_released(spark, d))
+
+
+@query(f"WITH {R.PREDICTED} SELECT sha256('salt|' || instance) AS audit_id, CASE WHEN label = 'faithful' THEN 'S3' ELSE 'S1' END AS state, generator AS generator_id FROM predicted")
+def audit_view(spark, d):
+    return views.audit_view(_released(spark, d), "salt")
+
+
+def _views(spark, d):
+    entries = _released(spark, d)
+    predictor = views.predictor_view(entries).withColumn("extra", F.when(F.col("instance_id") % 17 == 0, F.create_map(F.lit("margins"), F.lit("1"))).otherwise(F.create_map(F.lit("note"), F.lit("1"))))
+    labels = entries.where("split = 'train' or instance_id % 13 = 0").select("instance_id", "label").unionAll(spark.createDataFrame([(-1, "faithful")], "instance_id long, label string"))
+    audit = entries.select(F.when(F.col("instance_id") % 19 == 0, F.col("instance_id").cast("string")).otherwise(views.severed(F.col("instance_id"), "salt")).alias("audit_id"))
+    return predictor, labels, audit
+
+
+def _verdict(where: str, name: str, key: str = "instance::VARCHAR") -> str:
+    return f"SELECT '{name}' AS \"check\", count(*) = 0 AS passed, count(*) AS violations, min({key}) AS first_violation FROM {where}"
+
+
+_LABELS = "labelled AS (SELECT instance, split FROM predicted WHERE split = 'train' OR instance % 13 = 0 UNION ALL SELECT -1, NULL)"
+_CHECKS = [
+    _verdict("predicted WHERE instance % 17 = 0", "predictor_view_exclusions"),
+    _verdict("labelled WHERE split IS DISTINCT FROM 'train'", "train_label_join_restriction"),
+    _verdict("labelled WHERE coalesce(split, '') NOT IN ('train', 'validation')", "split_isolation"),
+    _verdict("predicted WHERE instance % 19 = 0", "audit_non_joinability"),
+]
+
+
+@query(f"WITH {R.PREDICTED} {_CHECKS[0]}")
+def boundary_exclusions(spark, d):
+    return views.check_exclusions(_views(spark, d)[0])
+
+
+@query(f"WITH {R.PREDICTED}, {_LABELS} {_CHECKS[1]}")
+def boundary_label_join(spark, d):
+    predictor, labels, _ = _views(spark, d)
+    return views.check_label_join(labels, predictor)
+
+
+@query(f"WITH {R.PREDICTED}, {_LABELS} {_CHECKS[2]}")
+def boundary_split_isolation(spark, d):
+    predictor, labels, _ = _views(spark, d)
+    return views.check_split_isolation(labels, predictor)
+
+
+@query(f"WITH {R.PREDICTED} {_CHECKS[3]}")
+def boundary_audit(spark, d):
+    predictor, _, audit = _views(spark, d)
+    return views.check_audit(audit, predictor.withColumn("instance_id", F.col("instance_id").cast("string")))
+
+
+@query(f"WITH {R.PREDICTED}, {_LABELS} " + " UNION ALL ".join(_CHECKS))
+def boundary_report(spark, d):
+    predictor, labels, audit = _views(spark, d)
+    text_ids = predictor.withColumn("instance_id", F.col("instance_id").cast("string"))
+    return views.boundary_report({"predictor_view": text_ids, "train_labels": labels.withColumn("instance_id", F.col("instance_id").cast("string")), "hidden_view": views.hidden_view(_released(spark, d)), "audit_view": audit})
+
+
+@query("""SELECT event_id, CASE WHEN contains(props, 'a') THEN 'a' END AS flag FROM events WHERE contains(props, 'zzz') OR event_id % 100 = 0""")
+def ragged_props(spark, d):
+    ev = R.table(spark, d, "events")
+    return ev.where(F.col("props").contains("zzz") | (F.col("event_id") % 100 == 0)).select("event_id", F.when(F.col("props").contains("a"), "a").alias("flag"))
+
+
+# --- evaluation --------------------------------------------------------------------------------------------
+
+_F1 = "coalesce(2.0::DOUBLE * {0} / nullif(2.0::DOUBLE * {0} + {1} + {2}, 0), 0.0::DOUBLE)"
+
+
+def _macro(t: str, p: str) -> str:
+    n = lambda a, b: f"count(*) FILTER (WHERE {t} = {a} AND {p} = {b})"
+    return f"(({_F1.format(n(1, 1), n(0, 1), n(1, 0))}) + ({_F1.format(n(0, 0), n(1, 0), n(0, 1))})) / 2"
+
+
+@query(f"WITH {R.PREDICTED} SELECT split, round({_macro('truth', 'pred')}, 6) AS macro_f1, count(*) AS n FROM predicted GROUP BY split")
+def macro_f1_by_split(spark, d):
+    return R.predicted(spark, d).groupBy("split").agg(F.round(evaluate.macro_f1(F.col("truth"), F.col("pred")), 6).alias("macro_f1"), F.count("*").alias("n"))
+
+
+@query(f"WITH {R.PREDICTED}, r AS (SELECT *, row_number() OVER (PARTITION BY dataset, qtype, truth ORDER BY md5(instance::VARCHAR), instance) AS rn FROM predicted), m AS (SELECT a.instance AS x, b.instance AS y FROM r a JOIN r b USING (dataset, qtype, rn) WHERE a.truth = 0 AND b.truth = 1), scored AS (SELECT score AS s, truth AS t FROM predicted WHERE instance IN (SELECT x FROM m UNION ALL SELECT y FROM m)) {_AUC.format(by='', part='', group='')}")
+def auroc_hard_core(spark, d):
+    entries = R.predicted(spark, d)
+    core = assemble.matched_pairs(entries, ["dataset", "qtype"], "truth", "instance").select(F.explode(F.array("negative", "positive")).alias("instance"))
+    return evaluate.auroc(entries.join(core, "instance", "left_semi"), "score", "truth").withColumn("auroc", F.round("auroc", 6))
+
+
+@query(f"WITH {R.PREDICTED}, scored AS (SELECT split, score AS s, truth AS t FROM predicted) {_AUC.format(by='split,', part='PARTITION BY split', group='GROUP BY split')}")
+def auroc_by_split(spark, d):
+    return evaluate.auroc(R.predicted(spark, d), "score", "truth", ["split"]).withColumn("auroc", F.round("auroc", 6))
+
+
+_SWEEP = f"""swept AS (SELECT score AS threshold, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () - sum(pos) OVER w AS fn, sum(neg) OVER () - sum(neg) OVER w AS tn
+ FROM (SELECT score, count(*) FILTER (WHERE truth = 1) AS pos, count(*) FILTER (WHERE truth = 0) AS neg FROM predicted WHERE split = 'validation' GROUP BY score) WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+pointed AS (SELECT threshold, round(({_F1.format('tp', 'fp', 'fn')} + {_F1.format('tn', 'fn', 'fp')}) / 2, 12) AS macro_f1 FROM swept),
+frozen AS (SELECT threshold, macro_f1 FROM pointed ORDER BY macro_f1 DESC, threshold DESC LIMIT 1)"""
+
+
+@query(f"WITH {R.PREDICTED}, {_SWEEP} SELECT threshold, round(macro_f1, 6) AS macro_f1 FROM frozen")
+def operating_point(spark, d):
+    return evaluate.operating_point(R.predicted(spark, d).where("split = 'validation'"), "score", "truth").withColumn("macro_f1", F.round("macro_f1", 6))
+
+
+@query(f"WITH {R.PREDICTED}, {_SWEEP}, scored AS (SELECT p.*, (score >= threshold)::BIGINT AS chosen FROM predicted p, frozen) SELECT split, round({_macro('truth', 'chosen')}, 6) AS macro_f1 FROM scored GROUP BY split")
+def operating_point_applied(spark, d):
+    entries = R.predicted(spark, d)
+    frozen = evaluate.operating_point(entries.where("split = 'validation'"), "score", "truth").select("threshold")
+    chosen = entries.crossJoin(F.broadcast(frozen)).withColumn("chosen", (F.col("score") >= F.col("threshold")).cast("long"))
+    return chosen.groupBy("split").agg(F.round(evaluate.macro_f1(F.col("truth"), F.col("chosen")), 6).alias("macro_f1"))
+
+
+_PRIOR = "prior AS (SELECT (avg(truth) >= 0.5)::BIGINT AS majority FROM predicted WHERE split = 'train')"
+
+
+@query(f"WITH {R.PREDICTED}, {_PRIOR}, based AS (SELECT p.*, majority, ({R.sql_uniform("'random'", 'instance')} < 0.5::DOUBLE)::BIGINT AS guess FROM predicted p, prior) SELECT split, round({_macro('truth', 'majority')}, 6) AS majority_f1, round({_macro('truth', 'guess')}, 6) AS random_f1 FROM based GROUP BY split")
+def random_and_majority_baselines(spark, d):
+    entries = R.predicted(spark, d)
+    prior = entries.where("split = 'train'").agg((F.avg("truth") >= 0.5).cast("long").alias("majority"))
+    based = entries.crossJoin(F.broadcast(prior)).withColumn("guess", (stats.hash_uniform(F.lit("random"), F.col("instance")) < 0.5).cast("long"))
+    return based.groupBy("split").agg(F.round(evaluate.macro_f1(F.col("truth"), F.col("majority")), 6).alias("majority_f1"), F.round(evaluate.macro_f1(F.col("truth"), F.col("guess")), 6).alias("random_f1"))
+
+
+@query(f"WITH {R.PREDICTED}, {_PRIOR} SELECT split, round({_macro('truth', 'pred')} - {_macro('truth', 'majority')}, 6) AS floor_gap, round(1 - {_macro('truth', 'pred')}, 6) AS oracle_gap FROM predicted, prior GROUP BY split")
+def floor_gap(spark, d):
+    entries = R.predicted(spark, d)
+    prior = entries.where("split = 'train'").agg((F.avg("truth") >= 0.5).cast("long").alias("majority"))
+    own, floor = (evaluate.macro_f1(F.col("truth"), F.col(c)) for c in ("pred", "majority"))
+    return entries.crossJoin(F.broadcast(prior)).groupBy("split").agg(F.round(own - floor, 6).alias("floor_gap"), F.round(1 - own, 6).alias("oracle_gap"))
+
+
+@query(f"WITH {R.PREDICTED}, m AS (SELECT split, {_macro('truth', 'pred')} AS f FROM predicted GROUP BY split) SELECT o.split, round(i.f - o.f, 6) AS transfer_gap FROM m o, m i WHERE i.split = 'iid-test' AND o.split LIKE 'ood-%'")
+def transfer_gap(spark, d):
+    metric = R.predicted(spark, d).groupBy("split").agg(evaluate.macro_f1(F.col("truth"), F.col("pred")).alias("f"))
+    home = metric.where("split = 'iid-test'").select(F.col("f").alias("home"))
+    return metric.where(F.col("split").startswith("ood-")).crossJoin(F.broadcast(home)).select("split", F.round(F.col("home") - F.col("f"), 6).alias("transfer_gap"))
+
+
+@query(f"WITH {R.PREDICTED}, u AS (SELECT (reason = 'D1')::BIGINT AS t, pred AS p FROM predicted WHERE label = 'unfaithful') SELECT round({_macro('t', 'p')}, 6) AS reason_f1, count(*) AS n FROM u")
+def reason_code_f1(spark, d):
+    u = R.predicted(spark, d).where("label = 'unfaithful'").select((F.col("reason") == "D1").cast("long").alias("t"), F.col("pred").alias("p"))
+    return u.agg(F.round(evaluate.macro_f1(F.col("t"), F.col("p")), 6).alias("reason_f1"), F.count("*").alias("n"))
+
+
+@query("""WITH o AS (SELECT o_custkey % 500 AS question, o_orderkey % 4 AS gen, max(o_totalprice) > 300000 AS v FROM orders GROUP BY 1, 2), p AS (SELECT a.gen AS gen_a, b.gen AS gen_b, a.v AS x, b.v AS y FROM o a JOIN o b ON a.question = b.question AND a.gen < b.gen),
+s AS (SELECT gen_a, gen_b, count(*) AS n, avg((x = y)::INT) AS po, avg(x::INT) * avg(y::INT) + (1 - avg(x::INT)) * (1 - avg(y::INT)) AS pe FROM p GROUP BY ALL) SELECT gen_a, gen_b, n, round((po - pe) / (1 - pe), 6) AS kappa FROM s""")
+def kappa_pairs(spark, d):
+    votes = R.table(spark, d, "orders").groupBy((F.col("o_custkey") % 500).alias("question"), (F.col("o_orderkey") % 4).alias("gen")).agg((F.max("o_totalprice") > 300000).alias("v"))
+    a, b = votes.select("question", F.col("gen").alias("gen_a"), F.col("v").alias("x")), votes.select("question", F.col("gen").alias("gen_b"), F.col("v").alias("y"))
+    both = a.join(b, "question").where("gen_a < gen_b")
+    s = both.groupBy("gen_a", "gen_b").agg(F.count("*").alias("n"), F.avg((F.col("x") == F.col("y")).cast("double")).alias("po"), F.avg(F.col("x").cast("double")).alias("px"), F.avg(F.col("y").cast("double")).alias("py"))
+    pe = F.col("px") * F.col("py") + (1 - F.col("px")) * (1 - F.col("py"))
+    return s.select("gen_a", "gen_b", "n", F.round((F.col("po") - pe) / (1 - pe), 6).alias("kappa"))
+
+
+@query(f"""WITH {R.ENTRIES}, s AS (SELECT count(*)::DOUBLE AS n, avg((truth = pred)::INT) AS po, avg(truth) * avg(pred) + (1 - avg(truth)) * (1 - avg(pred)) AS pe FROM entries)
+SELECT round((po - pe) / (1 - pe), 6) AS kappa, round((po - pe) / (1 - pe) - 1.96 * sqrt(po * (1 - po) / (n * (1 - pe) * (1 - pe))), 6) AS low, round((po - pe) / (1 - pe) + 1.96 * sqrt(po * (1 - po) / (n * (1 - pe) * (1 - pe))), 6) AS high, n::BIGINT AS n FROM s""")
+def kappa(spark, d):
+    return evaluate.kappa(R.entries(spark, d), "truth", "pred").select(*(F.round(c, 6).alias(c) for c in ("kappa", "low", "high")), "n")
+
+
+_U = R.sql_uniform("replicate", "instance")
+
+
+@query(f"""WITH {R.ENTRIES}, w AS (SELECT replicate, dataset, (truth = pred)::INT::DOUBLE AS v, {_U} AS u FROM entries, range(200) AS t(replicate)),
+x AS (SELECT replicate, dataset, v, (u >= 0.36787944117144233::DOUBLE)::INT + (u >= 0.7357588823428847::DOUBLE)::INT + (u >= 0.9196986029286058::DOUBLE)::INT + (u >= 0.9810118431238462::DOUBLE)::INT + (u >= 0.9963401531726563::DOUBLE)::INT AS w FROM w),
+s AS (SELECT replicate, dataset, sum(w) AS w, sum(w * v) AS wv, count(*) AS n FROM x GROUP BY ALL), m AS (SELECT replicate, sum(n * wv / w) / sum(n) AS mean FROM s WHERE w > 0 GROUP BY replicate)
+SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, count(*) AS replicates FROM m""")
+def bootstrap_ci(spark, d):
+    rows = R.entries(spark, d).withColumn("hit", F.col("truth") == F.col("pred"))
+    ci = evaluate.bootstrap(rows.select("instance", F.col("hit").cast("double").alias("hit"), "dataset"), "instance", "hit", ["dataset"])
+    return ci.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "replicates")
+
+
+_P = "ps AS (SELECT p_brand AS family, p_partkey AS test, (p_retailprice % 100) / 1000.0::DOUBLE AS p FROM part)"
+
+
+def _tests(spark, d):
+    return R.table(spark, d, "part").select(F.col("p_brand").alias("family"), F.col("p_partkey").alias("test"), ((F.col("p_retailprice") % 100) / 1000.0).alias("p"))
+
+
+@query(f"WITH {_P}, s AS (SELECT *, least(1.0::DOUBLE, p * (count(*) OVER (PARTITION BY family) - row_number() OVER w + 1)) AS step FROM ps WINDOW w AS (PARTITION BY family ORDER BY p, test)) SELECT family, test, round(max(step) OVER (PARTITION BY family ORDER BY p, test ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM s")
+def holm(spark, d):
+    return evaluate.holm(_tests(spark, d), "p", ["family"], "test").select("family", "test", F.round("adjusted", 6).alias("adjusted"))
+
+
+@query(f"WITH {_P}, s AS (SELECT *, least(1.0::DOUBLE, p * count(*) OVER (PARTITION BY family) / row_number() OVER w) AS step FROM ps WINDOW w AS (PARTITION BY family ORDER BY p, test)) SELECT family, test, round(min(step) OVER (PARTITION BY family ORDER BY p, test ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS adjusted FROM s")
+def bh(spark, d):
+    return evaluate.benjamini_hochberg(_tests(spark, d), "p", ["family"], "test").select("family", "test", F.round("adjusted", 6).alias("adjusted"))
+
+
+@query(f"WITH {R.PREDICTED} SELECT split, generator, dataset, count(*) AS n, round(avg((truth = pred)::INT), 6) AS accuracy, round({_macro('truth', 'pred')}, 6) AS macro_f1, count(*) >= 20 AS headline_ok FROM predicted GROUP BY GROUPING SETS ((split), (split, generator), (dataset), ())")
+def sliced_metrics(spark, d):
+    card = evaluate.scorecard(R.predicted(spark, d), "truth", "pred", [["split"], ["split", "generator"], ["dataset"], []], 20)
+    return card.withColumn("accuracy", F.round("accuracy", 6)).withColumn("macro_f1", F.round("macro_f1", 6))
+
+
+@query("SELECT count(*) FILTER (WHERE l.doc_id IS NULL) AS missing, 0::BIGINT AS unknown, count(*) FILTER (WHERE l.doc_id % 10 = 0) AS repeated, count(*) FILTER (WHERE l.doc_id IS NULL) = 0 AND count(*) FILTER (WHERE l.doc_id % 10 = 0) = 0 AS conformant FROM documents d LEFT JOIN labels l USING (doc_id)")
+def coverage_conformance(spark, d):
+    predictions = R.table(spark, d, "labels").select("doc_id")
+    return evaluate.coverage(predictions.unionAll(predictions.where("doc_id % 10 = 0")), R.table(spark, d, "documents"), "doc_id")
+
+
+_GRAMS = "list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')))"
+
+
+@query(f"""WITH b AS (SELECT DISTINCT unnest({_GRAMS}) AS gram FROM (SELECT string_split(text, ' ') AS w FROM benchmark)), g AS (SELECT doc_id, unnest({_GRAMS}) AS gram FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))
+SELECT doc_id, count(*) AS shared FROM g WHERE gram IN (SELECT gram FROM b) GROUP BY doc_id""")
+def contamination(spark, d):
+    def grams(df, *keep):
+        words = F.split("text", " ")
+        every = F.transform(F.sequence(F.lit(1), F.size(words) - 7), lambda i: F.array_join(F.slice(words, i, F.lit(8)), " "))
+        return df.where(F.size(words) >= 8).select(*keep, F.explode(F.array_distinct(every)).alias("gram"))
+
+    held = grams(R.table(spark, d, "benchmark")).distinct()
+    return grams(R.table(spark, d, "documents"), "doc_id").join(held, "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
+
+
+@query(f"WITH {R.PREDICTED} SELECT dataset, qtype, label, count(*) AS n FROM predicted GROUP BY CUBE (dataset, qtype, label)")
+def composition_cube(spark, d):
+    return R.predicted(spark, d).cube("dataset", "qtype", "label").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {R.PREDICTED}, divided AS (SELECT scene FROM predicted WHERE split IN ('train', 'validation') GROUP BY scene HAVING count(DISTINCT split) > 1) SELECT 'one_entry_per_instance' AS "check", 0::BIGINT AS violations, true AS passed
+ UNION ALL SELECT 'label_table', 0, true UNION ALL SELECT 'split_present', count(*) FILTER (WHERE split IS NULL), count(*) FILTER (WHERE split IS NULL) = 0 FROM predicted UNION ALL SELECT 'scene_in_one_split', count(*), count(*) = 0 FROM divided""")
+def assurance_checks(spark, d):
+    return assurance.release_report(assurance.standard_checks(_sealed(spark, d)))
+
+
+def _sealed(spark, d):
+    state = F.when(F.col("label") == "faithful", "S3").when(F.col("reason") == "D1", "S1").otherwise("S2")
+    return R.predicted(spark, d).withColumn("state", state).withColumnRenamed("reason", "reason_code")
+
+
+@query("SELECT true AS releasable, 0::BIGINT AS violations")
+def release_rollup(spark, d):
+    return assurance.releasable(assurance.release_report(assurance.standard_checks(_sealed(spark, d))))
+
+
+# --- streaming, batch twins --------------------------------------------------------------------------------
+
+
+@query()
+def ledger_stream_commits(spark, d):
+    """The event log streamed twice into one ledger; each key is there once."""
+    import uuid
+
+    from fidelis.sources.scratch import shared_dir
+
+    root = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    schema = R.table(spark, d, "events").schema
+    for run in range(2):
+        rows = spark.readStream.schema(schema).parquet(f"{d.rstrip('/')}/events.parquet*").select("event_id", "user_id", "event_type")
+        ledger_stream.commit_stream(rows, f"{root}/log", "event_id", f"{root}/checkpoint-{run}").awaitTermination()
+    return spark.read.parquet(f"{root}/log").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("keys"))
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR AS instance, event_id AS seq, CASE WHEN event_id % 37 = 0 THEN 'seal' ELSE 'append' END AS kind FROM events), s AS (SELECT instance, min(seq) AS sealed_at FROM e WHERE kind = 'seal' GROUP BY instance)
+SELECT kind, coalesce(seq <= sealed_at, true) AS accepted, count(*) AS n FROM e LEFT JOIN s USING (instance) GROUP BY ALL""")
+def sealed_log(spark, d):
+    kind = F.when(F.col("event_id") % 37 == 0, "seal").otherwise("append")
+    rows = R.table(spark, d, "events").select(F.col("user_id").cast("string").alias("instance"), F.col("event_id").alias("seq"), kind.alias("kind"))
+    return ledger_stream.sealed_log_batch(rows).groupBy("kind", "accepted").agg(F.count("*").alias("n"))
