@@ -24,7 +24,8 @@ def wilson(successes: Column, n: Column, z: float = 1.96) -> Column:
     n = F.nullif(n.cast("double"), F.lit(0.0))
     p = successes / n
     mid, spread = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return F.struct(F.greatest(F.lit(0.0), (mid - spread) / (1 + z * z / n)).alias("low"), F.least(F.lit(1.0), (mid + spread) / (1 + z * z / n)).alias("high"))
+    low, high = (mid - spread) / (1 + z * z / n), (mid + spread) / (1 + z * z / n)
+    return F.struct(F.when(n.isNotNull(), F.greatest(F.lit(0.0), low)).alias("low"), F.when(n.isNotNull(), F.least(F.lit(1.0), high)).alias("high"))
 
 
 def binomial_tail(n: int, k: int, p: Column) -> Column:
