@@ -805,3 +805,90 @@ def sealed_log(spark, d):
     kind = F.when(F.col("event_id") % 37 == 0, "seal").otherwise("append")
     rows = R.table(spark, d, "events").select(F.col("user_id").cast("string").alias("instance"), F.col("event_id").alias("seq"), kind.alias("kind"))
     return ledger_stream.sealed_log_batch(rows).groupBy("kind", "accepted").agg(F.count("*").alias("n"))
+
+
+# --- descriptives and remaining joins ----------------------------------------------------------------------
+
+
+_CUT = "array_to_string(list_slice(regexp_extract_all({0}, '[^ \\n]+'), 1, least(len(regexp_extract_all(baseline, '[^ \\n]+')), len(regexp_extract_all(counterfactual, '[^ \\n]+')))), ' ')"
+
+
+@query(f"""WITH {R.PAIRS}, cut AS (SELECT instance, {_CUT.format('baseline')} AS a, {_CUT.format('counterfactual')} AS b FROM pairs), worded AS (SELECT *, {R.sql_words('a')} AS p, {R.sql_words('b')} AS q FROM cut)
+SELECT instance, round(CASE WHEN len(list_distinct(list_concat(p, q))) = 0 THEN 0.0::DOUBLE ELSE 1 - len(list_intersect(p, q))::DOUBLE / len(list_distinct(list_concat(p, q))) END, 9) AS drift FROM worded""")
+def length_robust_drift(spark, d):
+    """Word drift of rationales cut to the shorter one's number of tokens."""
+    words = lambda c: F.regexp_extract_all(F.col(c), F.lit("[^ \\n]+"), F.lit(0))
+    least = F.least(F.size(words("baseline")), F.size(words("counterfactual")))
+    cut = lambda c: F.array_join(F.slice(words(c), F.lit(1), least), " ")
+    return R.pairs(spark, d).select("instance", F.round(text.jaccard_drift(cut("baseline"), cut("counterfactual")), 9).alias("drift"))
+
+
+@query(f"WITH {R.PAIRS}, w AS (SELECT {R.sql_words('baseline')} AS p, {R.sql_words('counterfactual')} AS q FROM pairs) SELECT count(*) AS n, count(*) FILTER (WHERE len(list_intersect(list_slice(list_sort(p), 1, 3), q)) = 0) AS dropped FROM w")
+def evidence_mention_flip(spark, d):
+    """Counterfactual rationales that mention none of the baseline's three content words that come first in the alphabet."""
+    p, q = text.content_words(F.col("baseline")), text.content_words(F.col("counterfactual"))
+    return R.pairs(spark, d).agg(F.count("*").alias("n"), F.count_if(F.size(F.array_intersect(F.slice(F.array_sort(p), 1, 3), q)) == 0).alias("dropped"))
+
+
+@query(f"WITH {R.RESOLVED} SELECT count(*) AS n, round(avg((res = CASE WHEN res = 'S3' AND drift < 50 THEN 'S2' ELSE res END)::INT), 6) AS agreement FROM resolved")
+def label_stability(spark, d):
+    """Agreement of outcomes with those derived again under a larger theta."""
+    first = R.resolved(spark, d).select("instance", "res", "drift")
+    again = first.select("instance", F.when((F.col("res") == "S3") & (F.col("drift") < 50), "S2").otherwise(F.col("res")).alias("again"))
+    return first.join(again, "instance").agg(F.count("*").alias("n"), F.round(F.avg((F.col("res") == F.col("again")).cast("double")), 6).alias("agreement"))
+
+
+@query(f"WITH {R.PREDICTED} SELECT split, count(DISTINCT generator) AS generators, count(DISTINCT scene) AS scenes, count(DISTINCT dataset) AS datasets, count(DISTINCT qtype) AS qtypes FROM predicted GROUP BY split")
+def diversity_counts(spark, d):
+    return R.predicted(spark, d).groupBy("split").agg(*(F.countDistinct(c).alias(f"{c}s") for c in ("generator", "scene", "dataset", "qtype")))
+
+
+@query("SELECT n_nationkey, count(c_custkey) AS entries, count(DISTINCT c_mktsegment) AS sources FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+def bidirectional_trace(spark, d):
+    """Every source with its entries, sources without any included."""
+    left, right = R.table(spark, d, "nation"), R.table(spark, d, "customer")
+    return left.join(right, left.n_nationkey == right.c_nationkey, "left").groupBy("n_nationkey").agg(F.count("c_custkey").alias("entries"), F.countDistinct("c_mktsegment").alias("sources"))
+
+
+@query("SELECT 'orders' AS origin, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+def union_of_files(spark, d):
+    a = R.table(spark, d, "orders").select(F.lit("orders").alias("origin"))
+    return a.unionAll(R.table(spark, d, "lineitem").select(F.lit("lineitem").alias("origin"))).groupBy("origin").agg(F.count("*").alias("n"))
+
+
+@query("SELECT (SELECT count(*) FROM (SELECT lang FROM documents EXCEPT SELECT x FROM (VALUES ('en'), ('de')) AS g(x))) AS beyond, (SELECT count(*) FROM (SELECT x FROM (VALUES ('en'), ('de'), ('xx')) AS g(x) EXCEPT SELECT lang FROM documents)) AS unmet")
+def grid_equality(spark, d):
+    """Values outside a registered grid, and grid values that don't occur."""
+    seen = R.table(spark, d, "documents").select("lang").distinct()
+    grid_of = lambda xs: spark.createDataFrame([(x,) for x in xs], "lang string")
+    beyond = seen.subtract(grid_of(["en", "de"])).agg(F.count("*").alias("beyond"))
+    return beyond.crossJoin(grid_of(["en", "de", "xx"]).subtract(seen).agg(F.count("*").alias("unmet")))
+
+
+@query(f"WITH {R.RESOLVED} SELECT (SELECT count(*) FROM resolved WHERE res LIKE 'S%') AS corpus, (SELECT count(*) FROM resolved WHERE res LIKE 'E%') AS routed, 0::BIGINT AS both, 0::BIGINT AS lost")
+def corpus_and_routed(spark, d):
+    """Corpus and routed-aside sets: disjoint, and together the candidates."""
+    res = R.resolved(spark, d)
+    corpus, routed = res.where(F.col("res").startswith("S")).select("instance"), res.where(F.col("res").startswith("E")).select("instance")
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    lost = R.candidates(spark, d).select("instance").exceptAll(corpus.unionAll(routed))
+    return n(corpus, "corpus").crossJoin(n(routed, "routed")).crossJoin(n(corpus.intersect(routed), "both")).crossJoin(n(lost, "lost"))
+
+
+@query(f"WITH {R.EXTRACTED} SELECT turn % 4 AS style, count(*) FILTER (WHERE answer = 'cigar') AS by_letter, count(*) FILTER (WHERE lower(trim(plain)) LIKE 'pen%') AS by_text, count(*) AS n FROM extracted GROUP BY 1")
+def scorer_diagnostic(spark, d):
+    rows = R.extracted(spark, d)
+    return rows.groupBy((F.col("turn") % 4).alias("style")).agg(F.count_if(F.col("answer") == "cigar").alias("by_letter"), F.count_if(F.lower(F.trim("plain")).startswith("pen")).alias("by_text"), F.count("*").alias("n"))
+
+
+@query("""SELECT event_type, median(value) AS med, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events GROUP BY event_type""".replace("median(value) AS med", "round(median(value), 6) AS med").replace("quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr", "round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr"))
+def median_and_iqr(spark, d):
+    return R.table(spark, d, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("med"), F.round(calibrate.iqr(F.col("value")), 6).alias("iqr"))
+
+
+@query(f"WITH {R.READINGS} SELECT instance, count(*) AS regimes, max(scores[1]) AS top FROM readings GROUP BY instance")
+def regime_map(spark, d):
+    """Long readings to one map for each instance and back to long; folded again."""
+    packed = R.readings(spark, d).groupBy("instance").agg(F.map_from_entries(F.collect_list(F.struct("regime", "scores"))).alias("readings"))
+    back = packed.select("instance", F.explode("readings").alias("regime", "scores"))
+    return back.groupBy("instance").agg(F.count("*").alias("regimes"), F.max(F.get("scores", F.lit(0))).alias("top"))
