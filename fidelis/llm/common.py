@@ -68,6 +68,13 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Small batches, so that what is made of one at a time stays small however Spark batches them."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 #: A side of at most so many rows of one long column each (16 MB) may be broadcast after counting it.
 BROADCAST_IDS = 1_000_000
 

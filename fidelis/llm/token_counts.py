@@ -1,7 +1,9 @@
 """Token counts behind a cache that is keyed by content digest and tokenizer version.
 
-Contents are digested where they are read; only digests are grouped and joined. One row of each content that
-the cache lacks is encoded, whole, and appended to the cache; then every document takes its content's count.
+Contents are digested where they are read. Texts travel once, compressed, to meet their equals; copies within a
+task are dropped before that. One of each content that the cache lacks is encoded, whole, and appended to the
+cache; then every document takes its content's count by a join of digests, whose two sides are plain shuffles, so
+that a content that a third of all documents has can be split.
 
 The cache is a Parquet table (content binary, version string, n_tokens long). Appending is safe to repeat:
 equal keys have equal counts, and reading takes one of them.
@@ -15,20 +17,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import Scratch, map_arrow, sized, text_chunks
+from fidelis.llm.common import Scratch, map_arrow, slices, text_chunks
 from fidelis.llm.tokenizers import counter, version
 
 CACHE = "content binary, version string, n_tokens long"
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in slices(batches):
+        packed = [squeeze(x.as_buffer()) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["content", "packed"])
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, stamp: str) -> Iterator[pa.RecordBatch]:
-    count = counter(path)
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
+    count, unpack = counter(path), zstandard.ZstdDecompressor().decompress
+    for batch in slices(batches):
+        texts = [unpack(x).decode() for x in batch.column(1).to_pylist()]
         n = [x for a, b in text_chunks(texts) for x in count(texts[a:b])]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([stamp] * len(n), pa.string()), pa.array(n, pa.int64())], ["content", "version", "n_tokens"])
 
@@ -48,16 +58,9 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, cache: str
     cache, stamp = cache or scratch.path("cache"), version(tokenizer)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text")).withColumn("content", F.unhex(F.sha2("text", 256)))
-    wanted = scratch.write(
-        keyed.groupBy("content").agg(F.min("doc_id").alias("doc_id")).join(read_cache(docs, cache, stamp), "content", "left_anti"),
-        "misses",
-    )
-    n_misses = wanted.count()
-    if n_misses:
-        one = sized(wanted.select(F.col("content").alias("c"), F.col("doc_id").alias("d")), n_misses)
-        misses = keyed.join(one, keyed.doc_id.eqNullSafe(one.d) & (keyed.content == one.c), "left_semi")
-        encoded = map_arrow(misses.select("content", "text"), lambda it: _encode(it, tokenizer, stamp), CACHE)
-        encoded.write.mode("append").option("compression", "zstd").parquet(cache)
-    scratch.drop(wanted)
-    counted = keyed.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")).join(read_cache(docs, cache, stamp), "content")
+    packed = map_arrow(keyed.select("content", "text"), _pack, "content binary, packed binary")
+    misses = packed.groupBy("content").agg(F.first("packed").alias("packed")).join(read_cache(docs, cache, stamp), "content", "left_anti")
+    map_arrow(misses, lambda it: _encode(it, tokenizer, stamp), CACHE).write.mode("append").option("compression", "zstd").parquet(cache)
+    counts = scratch.write(read_cache(docs, cache, stamp), "counts")
+    counted = keyed.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "content")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -35,8 +35,3 @@ def test_repeated_rows_and_ids_and_none(docs_of):
     n = {t: len(MODEL.encode(t)) for t in ("x y", "z")}
     assert got == sorted([(1, 3, n["x y"], False)] * 2 + [(1, 1, n["z"], False), (2, 1, n["z"], False)])
     assert token_counts.token_counts(docs_of(["a"]).where("false"), PATH).count() == 0
-
-
-def test_shuffled_misses_give_the_same(docs_of, monkeypatch):
-    monkeypatch.setattr("fidelis.llm.common.BROADCAST_IDS", 0)
-    assert sorted(map(tuple, token_counts.token_counts(docs_of(TEXTS), PATH).collect())) == want(TEXTS)
