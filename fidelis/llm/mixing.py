@@ -72,11 +72,12 @@ def probabilities(mass: np.ndarray, weight: np.ndarray, share: float) -> np.ndar
     alive = (mass > 0) & (weight > 0)
     if not alive.any() or share >= 1:
         return np.ones(len(mass))
-    low, high = 0.0, float(1 / weight[alive].min())
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (mass * np.minimum(1, mid * weight)).sum() < share * mass.sum() else (low, mid)
-    return np.minimum(1, high * weight)
+    order = np.argsort(-weight, kind="stable")
+    m, w = mass[order], weight[order]
+    # With the first k cells at 1, the others must carry what is left of the share.
+    full, rest = np.cumsum(m) - m, np.cumsum((m * w)[::-1])[::-1]
+    factor = (share * mass.sum() - full) / np.where(rest > 0, rest, np.inf)
+    return np.minimum(1, factor[np.flatnonzero((factor * w <= 1) & (rest > 0))[0]] * weight)
 
 
 def calibrate(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE, temperature: float = TEMPERATURE) -> DataFrame:

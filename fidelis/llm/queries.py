@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fidelis.llm import chat, language, media, minhash, mixing, neighbours, packing, secrets, substrings, token_counts
 from fidelis.llm.common import table
+from fidelis.llm.oracles import ORACLE_SQL
 from fidelis.llm.tokenizers import public_path
 
 
@@ -52,7 +53,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(table(spark, sf_dir, "documents"))
+    out = mixing.mixture(table(spark, sf_dir, "documents"))
+    return out.withColumn("weight", F.round("weight", 6)).withColumn("prob", F.round("prob", 6))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -63,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
