@@ -5,8 +5,8 @@ case, blanks collapsed, outer punctuation dropped) and digested to 128 bits; tho
 are left alone, as they meet by chance. Digests are grouped over all documents, the earliest occurrence by
 (doc_id, start) is kept, and every other one is removed, with its offsets in the original text retained.
 
-Grouping sums on the map side, and only digests that occur twice are joined with the units again, so a line that
-a third of all documents has is no single task's. Offsets are code points, ends exclusive. Defined results: a null or
+Grouping sums on the map side, and digests that occur twice, written first, are joined with the units again by
+plain shuffles that can be split, so a line that a third of all documents has is no single task's. Offsets are code points, ends exclusive. Defined results: a null or
 empty text has no units; of repeated rows all but one are removed unit by unit; rows without a doc_id come last;
 other columns are ignored; an empty table gives none.
 """
@@ -15,14 +15,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from hashlib import blake2b
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import Scratch, map_arrow, sized
+from fidelis.llm.common import Scratch, map_arrow, slices
 
 MIN_WORDS = 6
 UNITS = "doc_id long, start long, end long, words int, h1 long, h2 long"
@@ -45,20 +45,18 @@ def units(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def _units(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
-            ids, place, digests = [], [], []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                for start, end, unit in units(text or ""):
-                    n = unit.count(" ") + 1
-                    if n >= least:
-                        ids.append(doc)
-                        place.append((start, end, n))
-                        digests.append(blake2b(unit.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            where = np.array(place, np.int64).reshape(-1, 3)
-            h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(where[:, 0]), pa.array(where[:, 1]), pa.array(where[:, 2].astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "start", "end", "words", "h1", "h2"])
+    for part in slices(batches, 1000):
+        ids, place, digests = [], [], []
+        for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for start, end, unit in units(text or ""):
+                n = unit.count(" ") + 1
+                if n >= least:
+                    ids.append(doc)
+                    place.append((start, end, n))
+                    digests.append(md5(unit.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
+        where = np.array(place, np.int64).reshape(-1, 3)
+        h = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(where[:, 0]), pa.array(where[:, 1]), pa.array(where[:, 2].astype(np.int32)), pa.array(h[:, 0].astype(np.int64)), pa.array(h[:, 1].astype(np.int64))], ["doc_id", "start", "end", "words", "h1", "h2"])
 
 
 def repeated_units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -69,7 +67,7 @@ def repeated_units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
     shared = found.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
     shared = scratch.write(shared.select("h1", "h2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "n"), "shared")
-    joined = found.join(sized(shared, shared.count()), ["h1", "h2"])
+    joined = found.join(shared, ["h1", "h2"])
     kept = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("start") == F.col("first_start"))
     digest = F.lower(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")))
     return joined.where(~kept).select("doc_id", "start", "end", "words", digest.alias("digest"), "first_doc_id", "first_start", F.col("n").alias("occurrences"))
