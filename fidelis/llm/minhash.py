@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import Scratch, map_arrow, sized, text_chunks
+from fidelis.llm.common import Scratch, map_arrow, sized, slices, text_chunks
 from fidelis.llm.components import components
 from fidelis.llm.hashing import U, mix, shingle_sets
 
@@ -88,7 +88,7 @@ def sift(n: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         for a, b in text_chunks(texts):
             shingles, counts = shingle_sets(texts[a:b], k)
@@ -100,14 +100,12 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 2000):
-            part = batch.slice(a, 2000)
-            regs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), regs.shape[:2])
-            for j in range(ROWS):
-                key = mix(key ^ (regs[:, :, j] << U(16)), 31 + j)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["band", "rid"])
+    for part in slices(batches, 1000):
+        regs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
+        key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), regs.shape[:2])
+        for j in range(ROWS):
+            key = mix(key ^ (regs[:, :, j] << U(16)), 31 + j)
+        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["band", "rid"])
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -178,7 +176,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
         right.clear()
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and held[0][0] != row[0]:
                 close()
@@ -190,7 +188,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.R
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(1).to_pylist()
         for a, b in text_chunks(texts):
             shingles, counts = shingle_sets(texts[a:b], k)
@@ -242,7 +240,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.75) -> Dat
         # Round two: what links there still are between components, confirmed inside the cells.
         comps = components(links, scratch)
         placed = members.join(comps.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-        more = scratch.write(_in_cells(_cells(placed).join(sets, "rid").select("cell", "rid", "n", "component", "side", "registers", "shingles"), threshold), "more")
+        more = scratch.write(_in_cells(_cells(placed, scratch).join(sets, "rid").select("cell", "rid", "n", "component", "side", "registers", "shingles"), threshold), "more")
         if more.head(1):
             comps = components(links.unionAll(more), scratch)
         scratch.drop(sets, pairs, links, more)
@@ -262,7 +260,7 @@ def _in_cells(cells: DataFrame, threshold: float) -> DataFrame:
     return map_arrow(ordered, lambda it: _pairs(it, threshold), "a long, b long").distinct()
 
 
-def _cells(placed: DataFrame) -> DataFrame:
+def _cells(placed: DataFrame, scratch: Scratch) -> DataFrame:
     """Cells for every pair of a bucket's members in different components.
 
     The bucket's largest component goes to blocks, each member to one; the others meet each of those blocks
@@ -271,7 +269,8 @@ def _cells(placed: DataFrame) -> DataFrame:
     by = placed.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum("n").alias("h"))
     main = F.max_by(F.struct("component", "c", "h"), F.struct("c", "component")).alias("main")
     shape = by.groupBy("band").agg(main, F.sum("c").alias("c"), F.sum("h").alias("h"), F.count("*").alias("k")).where("k > 1")
-    rows = placed.join(shape.select("band", "main", "c", "h"), "band").withColumn("in_main", F.col("component") == F.col("main.component"))
+    shape = scratch.write(shape.select("band", "main", "c", "h"), "shape")
+    rows = placed.join(sized(shape, shape.count()), "band").withColumn("in_main", F.col("component") == F.col("main.component"))
     blocks = lambda c, h: F.ceil(F.greatest(c / BLOCK, h / BLOCK_HASHES))
     blocks_main, blocks_rest = blocks(F.col("main.c"), F.col("main.h")), blocks(F.col("c") - F.col("main.c"), F.col("h") - F.col("main.h"))
     own = F.pmod(F.xxhash64("rid", "band"), F.when(F.col("in_main"), blocks_main).otherwise(blocks_rest))

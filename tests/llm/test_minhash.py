@@ -86,3 +86,11 @@ def test_estimate_follows_similarity():
     regs = minhash.registers(s, n)
     true = len(np.intersect1d(s[: n[0]], s[n[0] :])) / len(np.union1d(s[: n[0]], s[n[0] :]))
     assert abs(minhash.estimate((regs[0] == regs[1]).sum()) - true) < 0.12
+
+
+def test_shuffled_sides_give_the_same(docs_of, monkeypatch):
+    monkeypatch.setattr("fidelis.llm.common.BROADCAST_IDS", 0)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    texts = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(40)] + ODD
+    assert got(docs_of(texts)) == brute(dict(enumerate(texts)))
