@@ -11,11 +11,11 @@ from fidelis.operators.guard import guard
 K_GRID, DESTRUCTIVE, HFLIP = (2, 3), 4, 5
 
 
-def fold_readings(readings: DataFrame, key: str = "instance") -> DataFrame:
+def fold_readings(readings: DataFrame, key: str = "instance", *also: Column) -> DataFrame:
     """One row per subject of long readings (key, regime, scores, baseline).
 
     Regimes 1 to DESTRUCTIVE should move the answer; HFLIP should not. One pass: counts and sums are partial
-    before the shuffle. flip_count is null while a destructive reading is absent or null.
+    before the shuffle. flip_count is null while a destructive reading is absent or null. also: further aggregates.
     """
     held = baseline_held(F.col("scores"), F.col("baseline"))
     destructive = F.col("regime") <= DESTRUCTIVE
@@ -24,6 +24,7 @@ def fold_readings(readings: DataFrame, key: str = "instance") -> DataFrame:
         F.count_if(destructive & held.isNull()).alias("n_null"),
         F.count_if(destructive & ~held).alias("n_flips"),
         F.max(F.when(F.col("regime") == HFLIP, held)).alias("hflip_held"),
+        *also,
     ).withColumn("flip_count", F.when((F.col("n_destructive") >= DESTRUCTIVE) & (F.col("n_null") == 0), F.col("n_flips")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidelis.functions.stats import f1, hash_uniform
+from fidelis.operators.ranges import running
 
 
 def macro_f1(truth: Column, pred: Column) -> Column:
@@ -18,22 +19,23 @@ def macro_f1(truth: Column, pred: Column) -> Column:
 def auroc(df: DataFrame, score: str, truth: str, by: list[str] | None = None) -> DataFrame:
     """Mann-Whitney with ties at half, for each group; null for a single class.
 
-    Rows are first counted by score, so ranking runs over distinct scores.
+    Rows are first counted by score, so ranking runs over distinct scores, and by ranges of them.
     """
     by = by or []
     counts = df.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
-    total = ranked.groupBy(*by).agg(F.sum("wins").alias("w"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return total.select(*by, F.try_divide(F.col("w"), F.col("pos") * F.col("neg")).alias("auroc"), F.col("pos").cast("long").alias("n_pos"), F.col("neg").cast("long").alias("n_neg"))
+    # Negatives below run over all groups in a row; each group's own start is taken off in its sum.
+    ranked = running(counts, [*map(F.col, by), F.col(score)], {"below": F.col("neg")})
+    wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) - F.sum("pos") * F.min("below")
+    total = ranked.groupBy(*by).agg(wins.alias("w"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return total.select(*by, F.try_divide(F.col("w"), F.col("pos").cast("double") * F.col("neg")).alias("auroc"), F.col("pos").cast("long").alias("n_pos"), F.col("neg").cast("long").alias("n_neg"))
 
 
 def operating_point(df: DataFrame, score: str, truth: str) -> DataFrame:
     """The threshold (predict 1 at or above) of largest macro-F1, the larger one on ties; one row."""
     counts = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
-    up = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     total = counts.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    swept = counts.withColumn("tp", F.sum("pos").over(up).cast("double")).withColumn("fp", F.sum("neg").over(up).cast("double")).crossJoin(F.broadcast(total))
+    above = running(counts, [F.desc("threshold")], {"pos_above": F.col("pos"), "neg_above": F.col("neg")})
+    swept = above.withColumn("tp", (F.col("pos_above") + F.col("pos")).cast("double")).withColumn("fp", (F.col("neg_above") + F.col("neg")).cast("double")).crossJoin(F.broadcast(total))
     fn, tn = F.col("all_pos") - F.col("tp"), F.col("all_neg") - F.col("fp")
     swept = swept.withColumn("macro_f1", F.round((f1(F.col("tp"), F.col("fp"), fn) + f1(tn, fn, F.col("fp"))) / 2, 12))
     return swept.agg(F.max_by("threshold", F.struct("macro_f1", "threshold")).alias("threshold"), F.max("macro_f1").alias("macro_f1"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fidelis.operators.guard import guard
+from fidelis.operators.ranges import running
 
 
 def source_key(dataset: Column, record: Column) -> Column:
@@ -36,16 +37,8 @@ def verify_digest(df: DataFrame, answer: str, rationale: str, digest: str) -> Da
 
 
 def assign_position(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
-    """Dense 0-based positions by key, without a window over all rows.
-
-    Rows are ranged by key; a window numbers each range by itself, and the ranges' sizes, one row for each
-    range, give the offsets. Equal keys are numbered in any order among themselves.
-    """
-    ranged = df.repartitionByRange(key).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(key))
-    return ranged.withColumn("__rank", within).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__rank") - 1).drop("__part", "__rank", "__before")
+    """Dense 0-based positions by key; equal keys are numbered in any order among themselves."""
+    return running(df, [F.col(key)], {name: F.lit(1)})
 
 
 def derangement(positioned: DataFrame, key: str, pos: str = "pos") -> DataFrame:

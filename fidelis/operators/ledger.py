@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fidelis.operators.guard import guard
@@ -38,9 +38,9 @@ def commit(rows: DataFrame, path: str, key: str) -> int:
     held = spark.read.schema(rows.schema).parquet(path) if exists else None
     fresh = rows.dropDuplicates([key])
     fresh = uncommitted(fresh, held, key) if held is not None else fresh
-    before = held.count() if held is not None else 0
-    fresh.write.mode("append").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path).count() - before
+    seen = Observation()
+    fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def determinism(first: DataFrame, second: DataFrame, key: str, columns: list[str]) -> DataFrame:

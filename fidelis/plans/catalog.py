@@ -512,7 +512,7 @@ def quarantine(spark, d):
     return assemble.quarantine(R.predicted(spark, d), touched, "instance").groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {R.PREDICTED}, r AS (SELECT *, row_number() OVER (PARTITION BY dataset, qtype, truth ORDER BY md5(instance::VARCHAR), instance) AS rn FROM predicted) SELECT a.dataset, a.qtype, a.rn::INTEGER AS rank, a.instance AS negative, b.instance AS positive FROM r a JOIN r b USING (dataset, qtype, rn) WHERE a.truth = 0 AND b.truth = 1")
+@query(f"WITH {R.PREDICTED}, r AS (SELECT *, row_number() OVER (PARTITION BY dataset, qtype, truth ORDER BY md5(instance::VARCHAR), instance) AS rn FROM predicted) SELECT a.dataset, a.qtype, a.rn AS rank, a.instance AS negative, b.instance AS positive FROM r a JOIN r b USING (dataset, qtype, rn) WHERE a.truth = 0 AND b.truth = 1")
 def hard_core(spark, d):
     return assemble.matched_pairs(R.predicted(spark, d), ["dataset", "qtype"], "truth", "instance")
 

@@ -36,8 +36,7 @@ def folded(spark: SparkSession, d: str) -> DataFrame:
     """One row for each instance that has readings: flips, hflip_held and max_drop. The baseline is a function of the
     key, so readings are folded before they meet candidates."""
     with_base = readings(spark, d).withColumn("baseline", F.col("instance") % 3)
-    drops = with_base.withColumn("drop", F.get("scores", F.lit(2)))
-    return conditions.fold_readings(drops).join(drops.groupBy("instance").agg(F.max("drop").alias("max_drop")), "instance")
+    return conditions.fold_readings(with_base, "instance", F.max(F.get("scores", F.lit(2))).alias("max_drop"))
 
 
 FOLDED = READINGS + """, marked AS (SELECT *, scores[instance % 3 + 1] >= list_max(scores) AS held FROM readings),
