@@ -752,9 +752,10 @@ _GRAMS = "list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_
 SELECT doc_id, count(*) AS shared FROM g WHERE gram IN (SELECT gram FROM b) GROUP BY doc_id""")
 def contamination(spark, d):
     def grams(df, *keep):
-        words = F.split("text", " ")
-        every = F.transform(F.sequence(F.lit(1), F.size(words) - 7), lambda i: F.array_join(F.slice(words, i, F.lit(8)), " "))
-        return df.where(F.size(words) >= 8).select(*keep, F.explode(F.array_distinct(every)).alias("gram"))
+        # The words are bound by a lambda of their own, else each gram would split the text again.
+        words = F.filter(F.array(F.split("text", " ")), lambda w: F.size(w) >= 8)
+        every = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.array_join(F.slice(w, i, F.lit(8)), " ")))
+        return df.select(*keep, F.explode(F.array_distinct(F.flatten(every))).alias("gram"))
 
     held = grams(R.table(spark, d, "benchmark")).distinct()
     return grams(R.table(spark, d, "documents"), "doc_id").join(held, "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
