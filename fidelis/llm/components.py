@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from fidelis.llm.common import Scratch
 
 
-def _stars(links: DataFrame, larger: bool) -> DataFrame:
+def _stars(links: DataFrame, larger: bool, scratch: Scratch) -> DataFrame:
     """One star round over links (u, v), u > v: each node's neighbours move to the least of them and itself.
 
-    Minima are partially aggregated before the shuffle; the join that hands a hub's minimum to its
-    neighbours is an inner one that adaptive execution may split.
+    Minima are partially aggregated before the shuffle and written, so that the join that hands a hub's minimum
+    to its neighbours has plain shuffles on both sides and can be split.
     """
     ends = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if larger else links
-    least = ends.groupBy("u").agg(F.min("v").alias("m0")).select("u", F.least("u", "m0").alias("m"))
+    least = scratch.write(ends.groupBy("u").agg(F.min("v").alias("m0")).select("u", F.least("u", "m0").alias("m")), "least")
     moved = ends.join(least, "u")
     if larger:
         out = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    out = scratch.write(out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    scratch.drop(least)
+    return out
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -36,6 +38,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first())
         if mark == said or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        old, said = now, mark
-        now = scratch.write(_stars(_stars(now, True), False), "stars")
-        scratch.drop(old)
+        said, wide = mark, _stars(now, True, scratch)
+        scratch.drop(now)
+        now = _stars(wide, False, scratch)
+        scratch.drop(wide)

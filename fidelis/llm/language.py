@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fidelis.llm.common import map_arrow, text_chunks
+from fidelis.llm.common import map_arrow, slices, text_chunks
 
 BITS = 15
 BINS = 1 << BITS
@@ -51,7 +51,7 @@ def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in slices(batches, 2000):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang in sorted(set(langs)):
             own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
@@ -149,7 +149,7 @@ def learn(rows: DataFrame) -> LanguageModel:
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, text_at: int, names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column(text_at).to_pylist()
         for a, b in text_chunks(texts):
             got = list(zip(*model.predict(texts[a:b]), strict=True))

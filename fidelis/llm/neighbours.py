@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from fidelis.llm.common import map_arrow
 
-M, SHARD, LEAF, CONFIDENCE = 8, 16384, 128, 0.97
+M, SHARD, LEAF, CONFIDENCE = 8, 16384, 256, 0.97
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -73,18 +73,18 @@ class Shard:
         length = math.sqrt(float((query**2).sum()))
         spot = (query * (self.norm / length)) @ self.directions
         away = (np.maximum(0.0, np.maximum(self.low - spot, spot - self.high)) ** 2).sum(axis=1)
-        ids, scores = np.empty(0, np.int64), np.empty(0)
+        ids, scores, slack = np.empty(0, np.int64), np.empty(0), 1e-9 * self.norm * length
         for leaf in np.argsort(away, kind="stable").tolist():
             if len(ids) == self.k:
                 kth = max(0.0, 2 * self.norm**2 - 2 * self.norm * float(scores[-1]) / length)
                 if away[leaf] > kth * quantile:
                     break
-            # Products row by row, so that equal vectors have equal scores.
-            got = (self.vectors[leaf] * query).sum(axis=1)
-            at = np.flatnonzero(got >= scores[-1]) if len(ids) == self.k else np.arange(len(got))
+            held = self.vectors[leaf]
+            at = np.flatnonzero(held @ query >= scores[-1] - slack) if len(ids) == self.k else np.arange(len(held))
             if len(at):
-                new = [self.ids[leaf][x] for x in at]
-                new_ids, new_scores = np.concatenate(new), np.repeat(got[at], [len(x) for x in new])
+                # What is not far below the k-th is taken again row by row, so that equal vectors have equal scores.
+                got, new = (held[at] * query).sum(axis=1), [self.ids[leaf][x] for x in at]
+                new_ids, new_scores = np.concatenate(new), np.repeat(got, [len(x) for x in new])
                 other = new_ids != query_id
                 ids, scores = np.concatenate((ids, new_ids[other])), np.concatenate((scores, new_scores[other]))
                 best = np.lexsort((ids, -scores))[: self.k]
