@@ -55,9 +55,8 @@ def quarantine(entries: DataFrame, touched: DataFrame, key: str) -> DataFrame:
 def matched_pairs(entries: DataFrame, stratum: list[str], label: str, key: str) -> DataFrame:
     """Negatives and positives paired within strata by rank; rank by digest of the key. What has no partner is left."""
     ranked = ranked_within(entries.select(*stratum, label, key), [*stratum, label], [F.md5(F.col(key).cast("string")), F.col(key)], "rank")
-    neg = ranked.where(F.col(label) == 0).select(*stratum, "rank", F.col(key).alias("negative"))
-    pos = ranked.where(F.col(label) == 1).select(*stratum, "rank", F.col(key).alias("positive"))
-    return neg.join(pos, [*stratum, "rank"])
+    of = lambda value: F.max(F.when(F.col(label) == value, F.col(key)))
+    return ranked.groupBy(*stratum, "rank").agg(of(0).alias("negative"), of(1).alias("positive")).where("negative is not null and positive is not null")
 
 
 def totality(candidates: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:

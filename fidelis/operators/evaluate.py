@@ -33,8 +33,8 @@ def auroc(df: DataFrame, score: str, truth: str, by: list[str] | None = None) ->
 def operating_point(df: DataFrame, score: str, truth: str) -> DataFrame:
     """The threshold (predict 1 at or above) of largest macro-F1, the larger one on ties; one row."""
     counts = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
-    total = counts.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     above = running(counts, [F.desc("threshold")], {"pos_above": F.col("pos"), "neg_above": F.col("neg")})
+    total = above.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     swept = above.withColumn("tp", (F.col("pos_above") + F.col("pos")).cast("double")).withColumn("fp", (F.col("neg_above") + F.col("neg")).cast("double")).crossJoin(F.broadcast(total))
     fn, tn = F.col("all_pos") - F.col("tp"), F.col("all_neg") - F.col("fp")
     swept = swept.withColumn("macro_f1", F.round((f1(F.col("tp"), F.col("fp"), fn) + f1(tn, fn, F.col("fp"))) / 2, 12))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.operators.guard import guard
+from fidelis.operators.ranges import running
 
 RAW = "question_id string, image_id string, question string, choices array<string>, correct_choice_idx int, rationales array<string>"
 
@@ -17,17 +18,36 @@ def raw_records(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.schema(RAW).json(paths, multiLine=True)
 
 
+def is_torn(spark: SparkSession, path: str) -> bool:
+    """Whether a file's last byte is no newline; only that byte is read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    n = fs.getFileStatus(where).getLen()
+    if not n:
+        return False
+    stream = fs.open(where)
+    try:
+        stream.seek(n - 1)
+        return stream.read() != 10
+    finally:
+        stream.close()
+
+
 def json_lines(spark: SparkSession, path: str, schema: str = "key string, payload string") -> DataFrame:
-    """A JSON-lines log of one file; an unreadable line inside stops the run, an unreadable last one without newline is dropped.
+    """A JSON-lines log of one file, by line; an unreadable line stops the run, a last one without newline is dropped.
 
-    The tail is told apart by its place: lines are numbered by their offsets in the file, and only the last may be torn.
+    The file is split as Spark likes: a line's place is its block's offset and its order within the block.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("value").alias("body"))
-    torn = ~F.col("body").endswith("\n")
-    lines = raw.select(F.posexplode(F.split("body", "\n")).alias("n", "line"), F.size(F.split("body", "\n")).alias("m"), torn.alias("torn"))
-    lines = lines.where(~((F.col("n") == F.col("m") - 1) & (F.col("torn") | (F.col("line") == ""))))
-    parsed = lines.select("n", F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("line").isNotNull().alias("ok"))
-    return guard(parsed, F.col("ok"), "corrupt line inside the log").select(F.col("n").cast("long").alias("line_no"), "r.*")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    tail = F.lit(False)
+    if is_torn(spark, path):
+        lines = lines.crossJoin(F.broadcast(lines.agg(F.max(F.struct("block", "nth")).alias("last"))))
+        tail = F.struct("block", "nth") == F.col("last")
+    # One test of both, for a filter of its own might be evaluated first.
+    ok = F.try_parse_json("value").isNotNull() | tail
+    parsed = guard(lines.select("block", "nth", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), tail.alias("tail"), ok.alias("ok")), F.col("ok"), "corrupt line inside the log")
+    placed = running(parsed.where(~F.col("tail")), [F.col("block"), F.col("nth")], {"line_no": F.lit(1)})
+    return placed.select("line_no", "r.*")
 
 
 def registry(spark: SparkSession, path: str) -> tuple[str, ...]:

@@ -71,9 +71,16 @@ def test_log_scan(spark, tmp_path):
     line = lambda k: json.dumps({"key": k, "payload": "p"})
     path.write_text(line("a") + "\n" + line("b") + "\n" + '{"key": "c", "pay')
     assert [r.key for r in readers.json_lines(spark, str(path)).orderBy("line_no").collect()] == ["a", "b"]
+    many = [f"k{i:05d}" for i in range(3000)]
+    path.write_text("".join(line(k) + "\n" for k in many) + line("torn"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    assert [(r.line_no, r.key) for r in readers.json_lines(spark, str(path)).orderBy("line_no").collect()] == list(enumerate(many))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    path.write_text("")
+    assert readers.json_lines(spark, str(path)).count() == 0
     path.write_text(line("a") + "\n" + "garbage\n" + line("b") + "\n")
     with pytest.raises(Exception, match="corrupt"):
-        readers.json_lines(spark, str(path)).count()
+        readers.json_lines(spark, str(path)).collect()
 
 
 def test_commits_are_once(spark, tmp_path):
