@@ -19,6 +19,3 @@ def docs_of(spark):
 @pytest.fixture(scope="session")
 def corpus(spark):
     return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-
-
-ODD = [None, "", " \n\t ", "one", "one two three four", "É è \x00 ß \U0001f600 x", "same text of more than five words", "same text of more than five words", "word " * 30000]

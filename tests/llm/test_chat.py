@@ -1,7 +1,7 @@
 import hashlib
 
 import pytest
-from conftest import ODD
+from odd_texts import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -1,6 +1,6 @@
 import zlib
 
-from conftest import ODD
+from odd_texts import ODD
 from pyspark.sql import functions as F
 
 from fidelis.llm import language

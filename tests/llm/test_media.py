@@ -4,7 +4,7 @@ import wave
 import zlib
 
 import numpy as np
-from conftest import ODD
+from odd_texts import ODD
 
 from fidelis.llm import media
 

@@ -3,7 +3,7 @@ import random
 import re
 
 import numpy as np
-from conftest import ODD
+from odd_texts import ODD
 
 from fidelis.llm import minhash
 from fidelis.llm.hashing import shingle_sets

@@ -2,7 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
-from conftest import ODD
+from odd_texts import ODD
 
 from fidelis.llm import mixing
 

@@ -2,7 +2,7 @@ import random
 import zlib
 
 import numpy as np
-from conftest import ODD
+from odd_texts import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from conftest import ODD
+from odd_texts import ODD
 
 from fidelis.llm import language, minhash, mixing, packing, secrets
 from fidelis.llm.tokenizers import public_path

@@ -3,7 +3,7 @@ import math
 import re
 from collections import Counter
 
-from conftest import ODD
+from odd_texts import ODD
 from pyspark.sql import functions as F
 
 from fidelis.llm import secrets

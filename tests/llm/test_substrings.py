@@ -1,4 +1,4 @@
-from conftest import ODD
+from odd_texts import ODD
 
 from fidelis.llm import substrings
 

@@ -1,5 +1,5 @@
 import sentencepiece
-from conftest import ODD
+from odd_texts import ODD
 
 from fidelis.llm import token_counts
 from fidelis.llm.tokenizers import public_path, version
