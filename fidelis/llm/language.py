@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str] =
     kinds = (T.StringType(), T.DoubleType(), T.StringType())
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
     at = docs.columns.index("text")
-    return docs.mapInArrow(lambda it: _predict(it, model, at, names), schema)
+    return map_arrow(docs, lambda it: _predict(it, model, at, names), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
