@@ -51,14 +51,28 @@ said AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILT
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_entropy, 0) AS n_entropy, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM documents LEFT JOIN said USING (doc_id)
 """
 
+_OUTER = _quoted("".join(c for c in substrings._OUTER if c.isprintable()))
+
+
+def _stripped(x: str) -> str:
+    return rf"regexp_replace({x}, '^[{_SPACE}]+|[{_SPACE}]+\z', '', 'g')"
+
+
+def _words(x: str) -> str:
+    return f"regexp_extract_all(trim(lower({x}), {_OUTER}), '[^{_SPACE}]+')"
+
+
 SUBSTRINGS = rf"""
 WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM cut),
 placed AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_at,
  string_split(regexp_replace(line, '([.!?]+)([{_SPACE}])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ss FROM lines),
 sentences AS (SELECT doc_id, i, line_at, unnest(ss) AS part, unnest(range(len(ss))) AS j FROM placed),
-offsets AS (SELECT doc_id, part, line_at + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM sentences),
-stripped AS (SELECT doc_id, place + length(part) - length(regexp_replace(part, '^[{_SPACE}]+', '')) AS start, regexp_replace(part, '^[{_SPACE}]+|[{_SPACE}]+\z', '', 'g') AS kept FROM offsets),
-worded AS (SELECT doc_id, start, start + length(kept) AS stop, regexp_extract_all(trim(lower(kept), {_quoted(substrings._OUTER.replace(chr(9), "").replace(chr(13), "").replace(chr(12), "").replace(chr(11), ""))}), '[^{_SPACE}]+') AS w FROM stripped),
+offsets AS (SELECT doc_id, i, j, part, line_at + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM sentences),
+counted AS (SELECT *, len({_words(_stripped('part'))}) >= {substrings.MIN_WORDS} AS long FROM offsets),
+islands AS (SELECT *, CASE WHEN long THEN 2 * j + 1 ELSE -1 - sum(long::INT) OVER (PARTITION BY doc_id, i ORDER BY j) END AS island FROM counted),
+joined AS (SELECT doc_id, min(place) AS place, string_agg(part, '' ORDER BY j) AS part FROM islands GROUP BY doc_id, i, island),
+stripped AS (SELECT doc_id, place + length(part) - length(regexp_replace(part, '^[{_SPACE}]+', '')) AS start, {_stripped('part')} AS kept FROM joined),
+worded AS (SELECT doc_id, start, start + length(kept) AS stop, {_words('kept')} AS w FROM stripped),
 units AS MATERIALIZED (SELECT doc_id, start::BIGINT AS start, stop::BIGINT AS stop, len(w) AS words, md5(array_to_string(w, ' ')) AS digest FROM worded WHERE len(w) >= {substrings.MIN_WORDS}),
 ranked AS (SELECT *, count(*) OVER (PARTITION BY digest) AS occurrences, first_value(doc_id) OVER w AS first_doc_id, first_value(start) OVER w AS first_start, row_number() OVER w AS nth FROM units WINDOW w AS (PARTITION BY digest ORDER BY doc_id, start))
 SELECT doc_id, start, stop AS "end", words::INTEGER AS words, digest, first_doc_id, first_start, occurrences FROM ranked WHERE nth > 1

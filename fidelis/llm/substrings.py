@@ -1,8 +1,9 @@
 """Substring deduplication by hashed units.
 
-Units are the lines of a text, and the sentences of a line that has several. A unit is normalised (lower
-case, blanks collapsed, outer punctuation dropped) and digested to 128 bits; those of fewer than MIN_WORDS words
-are left alone, as they meet by chance. Digests are grouped over all documents, the earliest occurrence by
+Units are the lines of a text, and the sentences of a line that has several; sentences of fewer than MIN_WORDS
+words that follow one another are one unit. A unit is normalised (lower case, blanks collapsed, outer
+punctuation dropped) and digested to 128 bits; those of fewer than MIN_WORDS words are left alone, as they meet
+by chance. Digests are grouped over all documents, the earliest occurrence by
 (doc_id, start) is kept, and every other one is removed, with its offsets in the original text retained.
 
 Grouping sums on the map side, and digests that occur twice, written first, are joined with the units again by
@@ -31,29 +32,40 @@ _END = re.compile(r"[.!?]+(?=\s)")
 _OUTER = " \t\r\f\v.,;:!?\"'()[]{}<>|*#%&$-"
 
 
-def units(text: str) -> Iterator[tuple[int, int, str]]:
-    """(start, end, normalised unit) of the sentences of each line, without outer blanks."""
+def normalise(part: str) -> str:
+    return " ".join(part.lower().strip(_OUTER).split())
+
+
+def units(text: str, least: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
+    """(start, end, normalised unit) of the units of each line that have enough words, without outer blanks."""
     for line in _LINE.finditer(text):
-        body, at = line[0], 0
+        body, at, run = line[0], 0, None
+        found: list[tuple[int, int]] = []
         for cut in [m.end() for m in _END.finditer(body)] + [len(body)]:
             part = body[at:cut]
-            kept = part.strip()
-            if kept:
+            if kept := part.strip():
                 start = line.start() + at + part.index(kept[0])
-                yield start, start + len(kept), " ".join(kept.lower().strip(_OUTER).split())
+                end = start + len(kept)
+                if normalise(kept).count(" ") + 1 >= least:
+                    found += [run, (start, end)] if run else [(start, end)]
+                    run = None
+                else:
+                    run = (run[0] if run else start, end)
             at = cut
+        for start, end in [*found, run] if run else found:
+            unit = normalise(text[start:end])
+            if unit.count(" ") + 1 >= least:
+                yield start, end, unit
 
 
 def _units(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, 1000):
         ids, place, digests = [], [], []
         for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            for start, end, unit in units(text or ""):
-                n = unit.count(" ") + 1
-                if n >= least:
-                    ids.append(doc)
-                    place.append((start, end, n))
-                    digests.append(md5(unit.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
+            for start, end, unit in units(text or "", least):
+                ids.append(doc)
+                place.append((start, end, unit.count(" ") + 1))
+                digests.append(md5(unit.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
         where = np.array(place, np.int64).reshape(-1, 3)
         h = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(where[:, 0]), pa.array(where[:, 1]), pa.array(where[:, 2].astype(np.int32)), pa.array(h[:, 0].astype(np.int64)), pa.array(h[:, 1].astype(np.int64))], ["doc_id", "start", "end", "words", "h1", "h2"])
