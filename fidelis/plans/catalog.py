@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fidelis.functions import stats, text
 from fidelis.operators import assemble, assurance, calibrate, conditions, evaluate, gates, grid, identity, images, ingest, ledger, views
 from fidelis.plans import roles as R
-from fidelis.streaming import ledger_stream
+from fidelis.streaming import ledger_stream as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -785,8 +785,8 @@ def release_rollup(spark, d):
 # --- streaming, batch twins --------------------------------------------------------------------------------
 
 
-@query()
-def ledger_stream_commits(spark, d):
+@query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS keys FROM events GROUP BY event_type")
+def ledger_stream(spark, d):
     """The event log streamed twice into one ledger; each key is there once."""
     import uuid
 
@@ -796,7 +796,7 @@ def ledger_stream_commits(spark, d):
     schema = R.table(spark, d, "events").schema
     for run in range(2):
         rows = spark.readStream.schema(schema).parquet(f"{d.rstrip('/')}/events.parquet*").select("event_id", "user_id", "event_type")
-        ledger_stream.commit_stream(rows, f"{root}/log", "event_id", f"{root}/checkpoint-{run}").awaitTermination()
+        streams.commit_stream(rows, f"{root}/log", "event_id", f"{root}/checkpoint-{run}").awaitTermination()
     return spark.read.parquet(f"{root}/log").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("keys"))
 
 
@@ -805,7 +805,7 @@ SELECT kind, coalesce(seq <= sealed_at, true) AS accepted, count(*) AS n FROM e
 def sealed_log(spark, d):
     kind = F.when(F.col("event_id") % 37 == 0, "seal").otherwise("append")
     rows = R.table(spark, d, "events").select(F.col("user_id").cast("string").alias("instance"), F.col("event_id").alias("seq"), kind.alias("kind"))
-    return ledger_stream.sealed_log_batch(rows).groupBy("kind", "accepted").agg(F.count("*").alias("n"))
+    return streams.sealed_log_batch(rows).groupBy("kind", "accepted").agg(F.count("*").alias("n"))
 
 
 # --- descriptives and remaining joins ----------------------------------------------------------------------
