@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -48,10 +48,13 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(where := self.path(name))
+    def write(self, df: DataFrame, name: str, **sums: Column) -> DataFrame:
+        """The table written and read back; `said` has its number of rows, `n`, and the given aggregates, all seen in passing."""
+        seen = Observation()
+        rows = df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in sums.items()))
+        rows.write.option("compression", "zstd").parquet(where := self.path(name))
         out = self.spark.read.schema(df.schema).parquet(where)
-        out.scratch_path = where
+        out.scratch_path, out.said = where, seen.get
         return out
 
     def drop(self, *frames: DataFrame) -> None:

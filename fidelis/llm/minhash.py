@@ -228,9 +228,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.75) -> Dat
     )
     members = scratch.write(bands.join(buckets, "band").join(classes.select("rid", "n", "registers"), "rid"), "members")
     ids = scratch.write(members.select("rid").distinct(), "ids")
-    n_ids = ids.count()
-    if n_ids:
-        found = base.join(sized(ids.withColumnRenamed("rid", "doc_id"), n_ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    if ids.said["n"]:
+        found = base.join(sized(ids.withColumnRenamed("rid", "doc_id"), ids.said["n"]), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         sets = scratch.write(map_arrow(found, lambda it: _sets(it, k), "rid long, shingles binary"), "sets")
         # Round one: a spanning forest of each bucket's plausible pairs, by blocks.
         salt = F.pmod(F.xxhash64("rid", "band"), F.ceil(F.col("size") / BLOCK))
@@ -241,8 +240,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.75) -> Dat
         comps = components(links, scratch)
         placed = members.join(comps.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
         more = scratch.write(_in_cells(_cells(placed, scratch).join(sets, "rid").select("cell", "rid", "n", "component", "side", "registers", "shingles"), threshold), "more")
-        if more.head(1):
-            comps = components(links.unionAll(more), scratch)
+        if more.said["n"]:
+            comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), scratch)
         scratch.drop(sets, pairs, links, more)
     else:
         comps = spark.createDataFrame([], "node long, component long")
@@ -270,7 +269,7 @@ def _cells(placed: DataFrame, scratch: Scratch) -> DataFrame:
     main = F.max_by(F.struct("component", "c", "h"), F.struct("c", "component")).alias("main")
     shape = by.groupBy("band").agg(main, F.sum("c").alias("c"), F.sum("h").alias("h"), F.count("*").alias("k")).where("k > 1")
     shape = scratch.write(shape.select("band", "main", "c", "h"), "shape")
-    rows = placed.join(sized(shape, shape.count()), "band").withColumn("in_main", F.col("component") == F.col("main.component"))
+    rows = placed.join(sized(shape, shape.said["n"]), "band").withColumn("in_main", F.col("component") == F.col("main.component"))
     blocks = lambda c, h: F.ceil(F.greatest(c / BLOCK, h / BLOCK_HASHES))
     blocks_main, blocks_rest = blocks(F.col("main.c"), F.col("main.h")), blocks(F.col("c") - F.col("main.c"), F.col("h") - F.col("main.h"))
     own = F.pmod(F.xxhash64("rid", "band"), F.when(F.col("in_main"), blocks_main).otherwise(blocks_rest))
