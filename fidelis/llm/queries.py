@@ -37,6 +37,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_units(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_best_fit_packing, op3_secret_scan, op4_media_columns, op5_nearest_neighbours,
-        op6_substring_dedup, op7_language_id, op8_chat_format, op9_token_counts, op10_mixing,
+        op6_substring_dedup, op6_repeated_passages, op7_language_id, op8_chat_format, op9_token_counts, op10_mixing,
     )
 }
 

@@ -10,6 +10,12 @@ Grouping sums on the map side, and digests that occur twice, written first, are
 plain shuffles that can be split, so a line that a third of all documents has is no single task's. Offsets are code points, ends exclusive. Defined results: a null or
 empty text has no units; of repeated rows all but one are removed unit by unit; rows without a doc_id come last;
 other columns are ignored; an empty table gives none.
+
+repeated_units leaves short lines, runs inside a longer sentence and scripts without blanks. repeated_passages adds
+two kinds of pieces for them. Lines: every whole line that isn't blank, whatever its length. Windows: SPAN tokens in
+a row, across lines and sentences, where a token is a word or, in scripts without blanks, a character; of each
+AHEAD windows in a row the one of least hash is taken, so that every shared run of SPAN + AHEAD - 1 = 51 tokens has
+a window that is the same on both sides, and those taken within a run leave no gap between them.
 """
 
 from __future__ import annotations
@@ -23,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import Scratch, map_arrow, slices
+from fidelis.llm.common import Scratch, map_arrow, slices, text_chunks
+from fidelis.llm.hashing import U, _power, mix
 
 MIN_WORDS = 6
 UNITS = "doc_id long, start long, end long, words int, h1 long, h2 long"
@@ -31,6 +38,14 @@ _LINE = re.compile(r"[^\n]+")
 _END = re.compile(r"[.!?]+(?=\s)")
 _OUTER = " \t\r\f\v.,;:!?\"'()[]{}<>|*#%&$-"
 
+SPAN = AHEAD = 26
+#: Thai, Lao, Myanmar, Khmer, kana, Han and their extensions: each character is a token.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x323AF))
+_BLANK, _ALONE = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+_BLANK[[c for c in range(0x3001) if chr(c).isspace()]] = True
+for _a, _b in _UNSPACED:
+    _ALONE[_a : _b + 1] = True
+
 
 def normalise(part: str) -> str:
     return " ".join(part.lower().strip(_OUTER).split())
@@ -85,6 +100,95 @@ def repeated_units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return joined.where(~kept).select("doc_id", "start", "end", "words", digest.alias("digest"), "first_doc_id", "first_start", F.col("n").alias("occurrences"))
 
 
+def lines(text: str, least: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
+    """(start, end, line in lower case with blanks collapsed) of the lines that aren't blank and aren't one unit as they are."""
+    for line in _LINE.finditer(text):
+        if not (kept := line[0].strip()):
+            continue
+        start = line.start() + line[0].index(kept[0])
+        if _END.search(kept) or normalise(kept).count(" ") + 1 < least:
+            yield start, start + len(kept), " ".join(kept.lower().split())
+
+
+def _lower(text: str) -> str:
+    """In lower case, character by character where the whole would change its length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def windows(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Text number, start, end and two hashes of the windows taken."""
+    each = np.array([len(t) + 1 for t in texts], np.int64)
+    chars = np.frombuffer("".join(f"{_lower(t)}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    full, alone = ~_BLANK[chars], _ALONE[chars]
+    apart = np.concatenate(([True], ~full[:-1] | ~full[1:] | alone[:-1] | alone[1:], [True]))
+    starts, ends = np.flatnonzero(full & apart[:-1]), np.flatnonzero(full & apart[1:]) + 1
+    n = len(starts) - SPAN + 1
+    if n < AHEAD:
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+    sums = np.concatenate(([U(0)], np.cumsum(mix(chars.astype(np.uint64)) * _power(len(chars), "up"), dtype=np.uint64)))
+    words = mix((sums[ends] - sums[starts]) * _power(len(chars), "down")[starts], 1)
+    of = np.repeat(np.arange(len(texts)), each)[starts]
+
+    def hashed(salt: int) -> np.ndarray:
+        total = np.concatenate(([U(0)], np.cumsum(mix(words, salt) * _power(len(words), "up"), dtype=np.uint64)))
+        return mix((total[SPAN:] - total[:-SPAN]) * _power(len(words), "down")[:n], salt)
+
+    h = hashed(41)
+    whole = np.flatnonzero(of[: n - AHEAD + 1] == of[SPAN + AHEAD - 2 :])
+    at = np.unique(whole + np.lib.stride_tricks.sliding_window_view(h, AHEAD).argmin(axis=1)[whole])
+    # Of equal windows in a row no more than keep one in each AHEAD.
+    same = np.flatnonzero((h[at[1:]] == h[at[:-1]]) & (of[at[1:]] == of[at[:-1]])) + 1
+    drop, run = np.zeros(len(at), bool), set(same.tolist())
+    last = -1
+    for i in same.tolist():
+        if not drop[i - 1]:
+            last = i - 1
+        if i + 1 in run and at[i + 1] - at[last] <= AHEAD:
+            drop[i] = True
+    at = at[~drop]
+    first = np.cumsum(each) - each
+    doc = of[at]
+    return doc, starts[at] - first[doc], ends[at + SPAN - 1] - first[doc], h[at], hashed(42)[at]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Units, lines and windows. Only those of one kind have digests in common."""
+    names = ["doc_id", "start", "end", "words", "h1", "h2", "kind"]
+    for part in slices(batches):
+        yield (found := next(_units(iter([part]), least))).append_column("kind", pa.array([0] * found.num_rows, pa.int32()))
+        ids, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
+        where, digests = [], []
+        for i, text in enumerate(texts):
+            for start, end, line in lines(text, least):
+                where.append((i, start, end, line.count(" ") + 1))
+                digests.append(md5(b"\n" + line.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
+        w, h = np.array(where, np.int64).reshape(-1, 4), np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(w[:, 0])), pa.array(w[:, 1]), pa.array(w[:, 2]), pa.array(w[:, 3].astype(np.int32)), pa.array(h[:, 0].astype(np.int64)), pa.array(h[:, 1].astype(np.int64)), pa.array(np.full(len(w), 1, np.int32))], names)
+        for a, b in text_chunks(texts, 1 << 17):
+            doc, start, end, h1, h2 = windows(texts[a:b])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + a)), pa.array(start), pa.array(end), pa.array(np.full(len(doc), SPAN, np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.full(len(doc), 2, np.int32))], names)
+
+
+def repeated_passages(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """Every occurrence of a unit, line or window to remove, as repeated_units has them, with its kind.
+
+    What an occurrence has in common with the kept one of its own document stays.
+    """
+    scratch = Scratch(docs.sparkSession, "passages")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = map_arrow(base, lambda it: _pieces(it, least), f"{UNITS}, kind int")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "end")
+    shared = found.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = scratch.write(shared.select("h1", "h2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), F.col("first.end").alias("first_end"), "n"), "shared")
+    joined = found.join(shared, ["h1", "h2"])
+    own = F.col("doc_id").eqNullSafe(F.col("first_doc_id"))
+    left = joined.where(~(own & (F.col("start") == F.col("first_start")))).withColumn("start", F.when(F.col("doc_id") == F.col("first_doc_id"), F.greatest("start", "first_end")).otherwise(F.col("start")))
+    digest = F.lower(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")))
+    kind = F.element_at(F.array(F.lit("unit"), F.lit("line"), F.lit("window")), F.col("kind") + 1)
+    return left.where("start < end").select("doc_id", "start", "end", "words", kind.alias("kind"), digest.alias("digest"), "first_doc_id", "first_start", F.col("n").alias("occurrences"))
+
+
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []

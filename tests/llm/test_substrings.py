@@ -50,3 +50,43 @@ def test_repeated_rows_and_none(docs_of):
     rows = substrings.repeated_units(docs_of([line] * 3, [5, 2, 2])).collect()
     assert {(r.doc_id, r.first_doc_id) for r in rows} == {(5, 2)}
     assert substrings.repeated_units(docs_of(["a"]).where("false")).count() == 0
+
+
+def left_by_passages(df):
+    out = {r.doc_id: r.text for r in substrings.remove_units(df, substrings.repeated_passages(df)).collect()}
+    return {d: " ".join((t or "").split()) for d, t in out.items()}
+
+
+def test_short_lines_and_verse_are_found(docs_of):
+    verse = "\n".join(f"row {i} of few words" for i in range(20))
+    left = left_by_passages(docs_of(["Les.\nOwn line here", "Another own line\nLes.", verse, f"Heading\n{verse}\nEnd"]))
+    assert left == {0: "Les. Own line here", 1: "Another own line", 2: " ".join(verse.split()), 3: "Heading End"}
+
+
+def test_verse_with_other_line_breaks_is_found(docs_of):
+    words = [f"w{i}" for i in range(60)]
+    texts = ["\n".join(" ".join(words[i : i + 3]) for i in range(a, 60, 3)) for a in (0, 1)]
+    assert len(left_by_passages(docs_of(texts))[1].split()) <= 50
+
+
+def test_a_script_without_blanks_is_found(docs_of):
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(120))
+    left = left_by_passages(docs_of([f"前文{han}", f"別的開頭說{han}結尾"]))
+    assert len(left[0]) == 122 and len(left[1]) < 57
+
+
+def test_one_word_over_and_over_keeps_its_first_window(docs_of):
+    left = left_by_passages(docs_of(["same " * 500, "same " * 500 + "end"]))
+    assert len(left[0].split()) >= substrings.SPAN and left[1].split()[-1] == "end" and len(left[1].split()) <= 51
+
+
+def test_windows_keep_one_in_each_stretch():
+    texts = ["a b " * 300, " ".join(f"t{i}" for i in range(400)), "few words"]
+    doc, start, end, h1, h2 = substrings.windows(texts)
+    assert set(doc.tolist()) == {0, 1}
+    for d in (0, 1):
+        at = [texts[d][: s].count(" ") for s in start[doc == d].tolist()]
+        assert at[0] < substrings.AHEAD and max(b - a for a, b in zip(at, at[1:], strict=False)) <= substrings.AHEAD
+        assert len(at) <= 3 * len(texts[d].split()) / substrings.AHEAD
+    for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True):
+        assert len(texts[d][s:e].split()) == substrings.SPAN
