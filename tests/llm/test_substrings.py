@@ -75,6 +75,15 @@ def test_a_script_without_blanks_is_found(docs_of):
     assert len(left[0]) == 122 and len(left[1]) < 57
 
 
+def test_a_run_of_51_words_inside_a_sentence_is_found(docs_of):
+    run = " ".join(f"word{i}" for i in range(51))
+    texts = [f"one {run} two three", *(f"{'x%d ' % n * 1}{' '.join(f'y{n}{j}' for j in range(n))} {run} z{n} and on" for n in range(1, 30))]
+    left = left_by_passages(docs_of(texts))
+    assert left[0] == texts[0]
+    for d, text in enumerate(texts[1:], 1):
+        assert len(text.split()) - len(left[d].split()) >= substrings.SPAN
+
+
 def test_one_word_over_and_over_keeps_its_first_window(docs_of):
     left = left_by_passages(docs_of(["same " * 500, "same " * 500 + "end"]))
     assert len(left[0].split()) >= substrings.SPAN and left[1].split()[-1] == "end" and len(left[1].split()) <= 51
