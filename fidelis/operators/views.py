@@ -50,6 +50,12 @@ def check_exclusions(predictor: DataFrame) -> DataFrame:
     return _verdict(predictor.where(bad), "predictor_view_exclusions", "instance_id")
 
 
+def ragged_keys(rows: DataFrame, props: str) -> DataFrame:
+    """The rows with the distinct keys of a JSON object as a sorted array, and those of them that are forbidden; null for what is no object."""
+    keys = F.array_sort(F.array_distinct(F.map_keys(F.from_json(props, "map<string,string>"))))
+    return rows.withColumn("keys", keys).withColumn("forbidden", F.array_sort(F.array_intersect("keys", F.array(*map(F.lit, FORBIDDEN)))))
+
+
 def _labels_with_split(labels: DataFrame, predictor: DataFrame) -> DataFrame:
     return labels.select("instance_id").join(predictor.select("instance_id", "split"), "instance_id", "left")
 

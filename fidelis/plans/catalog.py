@@ -608,6 +608,16 @@ def ragged_props(spark, d):
     return ev.where(F.col("props").contains("zzz") | (F.col("event_id") % 100 == 0)).select("event_id", F.when(F.col("props").contains("a"), "a").alias("flag"))
 
 
+_KEYS = "CASE WHEN json_valid(props) AND json_type(props) = 'OBJECT' THEN list_sort(list_distinct(json_keys(props))) END"
+_NAMED = ", ".join(f"'{name}'" for name in views.FORBIDDEN)
+
+
+@query(f"SELECT event_id, array_to_string(keys, ',') AS keys, array_to_string(list_filter(keys, lambda k: k IN ({_NAMED})), ',') AS forbidden FROM (SELECT event_id, {_KEYS} AS keys FROM events)")
+def ragged_view_rows(spark, d):
+    rows = views.ragged_keys(R.table(spark, d, "events").select("event_id", "props"), "props")
+    return rows.select("event_id", F.array_join("keys", ",").alias("keys"), F.array_join("forbidden", ",").alias("forbidden"))
+
+
 # --- evaluation --------------------------------------------------------------------------------------------
 
 _F1 = "coalesce(2.0::DOUBLE * {0} / nullif(2.0::DOUBLE * {0} + {1} + {2}, 0), 0.0::DOUBLE)"

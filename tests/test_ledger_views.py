@@ -150,6 +150,23 @@ def test_a_missing_view_halts_and_a_column_is_seen(spark):
     assert views.check_exclusions(df).first().violations == 1
 
 
+def test_forbidden_keys_of_every_event_are_seen(spark, tmp_path):
+    import duckdb
+    from parity import duck_rows, spark_rows
+
+    from fidelis.plans.catalog import ORACLE_SQL, QUERIES
+
+    props = ['{"k": 1}', '{"label": null, "k": {"margins": 1}}', '{"margins": 1, "a": 2, "correct": true}', "[1]", "x", None, "{}", '{"a": 1, "a": 2}', '{"labels": 1}']
+    spark.createDataFrame(list(enumerate(props, 1)), "event_id long, props string").write.parquet(str(tmp_path / "in"))
+    (tmp_path / "events.parquet").symlink_to(tmp_path / "in")
+    rows = {r.event_id: (r.keys, r.forbidden) for r in QUERIES["ragged_view_rows"](spark, str(tmp_path)).collect()}
+    assert rows[1] == ("k", "") and rows[2] == ("k,label", "label") and rows[3] == ("a,correct,margins", "correct,margins") and rows[9] == ("labels", "")
+    assert rows[4] == rows[5] == rows[6] == (None, None) and rows[7] == ("", "") and rows[8] == ("a", "")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/in/*.parquet'")
+    assert spark_rows(QUERIES["ragged_view_rows"](spark, str(tmp_path))) == duck_rows(con, ORACLE_SQL["ragged_view_rows"])
+
+
 def test_assurance(spark):
     rows = [(1, "faithful", "S3", None, "train", "a"), (1, "faithful", "S3", None, "validation", "a"), (2, "faithful", "S1", "D1", None, "b")]
     report = assurance.release_report(assurance.standard_checks(spark.createDataFrame(rows, "instance long, label string, state string, reason_code string, split string, scene string")))
