@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from fidelis.llm.common import Scratch, map_arrow, sized, slices, text_chunks
 from fidelis.llm.components import components
 from fidelis.llm.hashing import U, mix, shingle_sets
+from fidelis.operators.ranges import running
 
 BANDS, ROWS, MANTISSA = 40, 5, 10
 REGISTERS = BANDS * ROWS
@@ -210,6 +211,24 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return map_arrow(joined.select("a", "b", "set_a", "set_b"), lambda it: _confirm(it, threshold), "a long, b long")
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, int]]:
+    """docs with a number __node for each (doc_id, text), in the order of doc_id and null for a null one, and counts.
+
+    The counts are of ids that occur in more than one row, n, and with more than one text, several. Without the
+    latter doc_id is the number.
+    """
+    digest = F.coalesce(F.md5("text"), F.lit(""))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("__digest")).where("doc_id is not null")
+    ids = base.groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("__digest") != F.max("__digest")).alias("differ")).where("n > 1")
+    said = scratch.write(ids, "repeats", several=F.expr("count_if(differ)")).said
+    if not said["several"]:
+        return docs.withColumn("__node", F.col("doc_id").cast("long")), said
+    nodes = scratch.write(running(base.distinct(), [F.col("doc_id"), F.col("__digest")], {"__node": F.lit(1)}), "nodes")
+    ends = nodes.select(F.col("doc_id").alias("__doc"), "__digest", "__node")
+    joined = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__digest": digest}).join(ends, ["__doc", "__digest"], "left")
+    return joined.select(*docs.columns, "__node"), said
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text, ...)."""
     spark = docs.sparkSession

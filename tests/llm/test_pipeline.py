@@ -46,3 +46,16 @@ def test_odd_rows_pass_each_stage(spark, docs_of):
 def test_one_of_repeated_rows_stays(spark, docs_of):
     out = corpus_pipeline.drop_near_duplicates(spark, docs_of(["a b c d e f g", "a b c d e f g", "x y"], [1, 1, 2]), "")
     assert sorted(r.doc_id for r in out.collect()) == [1, 2]
+
+
+def test_documents_without_an_id_stay_beside_repeated_rows(spark, docs_of):
+    for more in ([], [1]):
+        texts, ids = ["a b c d e f g", "one", "two", None, *["a b c d e f g"] * len(more)], [1, None, None, None, *more]
+        out = corpus_pipeline.drop_near_duplicates(spark, docs_of(texts, ids), "")
+        assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, ""), (0, "one"), (0, "two"), (1, "a b c d e f g")]
+
+
+def test_texts_that_share_an_id_are_several_documents(spark, docs_of):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    out = corpus_pipeline.drop_near_duplicates(spark, docs_of([a, b, a, c, b, c, b, None, None], [3, 5, 5, 5, 7, 4, 5, 5, None]), "")
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, ""), (3, a), (4, c), (5, ""), (5, b)]
