@@ -13,7 +13,7 @@ lost, buckets of any size go through both rounds, and neither makes more rows th
 
 Defined results: a null or empty text, or one without words, has n_shingles 0 and is its own component;
 repeated rows come back once for each row; extra columns of the input are ignored; an empty table gives none.
-doc_id is the key: rows that share it are one node.
+doc_id is the key: rows that share it are in one component, whatever their texts.
 """
 
 from __future__ import annotations
@@ -230,13 +230,36 @@ def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, in
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.75) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text, ...)."""
+    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text, ...).
+
+    Where ids occur with several texts, each text is a node of its own and the nodes of an id are linked afterwards.
+    """
+    scratch = Scratch(docs.sparkSession, "nodes")
+    base, said = numbered(docs.select("doc_id", "text"), scratch)
+    if not said["several"]:
+        return of_nodes(docs, k, threshold)
+    found = of_nodes(base.select(F.col("__node").alias("doc_id"), "text"), k, threshold)
+    found = scratch.write(found.select(F.col("doc_id").alias("node"), "n_shingles", F.col("component_id").alias("root")), "found")
+    # Nodes are in the order of doc_id, so the least of a component is one of its least doc_id.
+    ids = scratch.write(base.where("__node is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__node").alias("node")).distinct(), "ids")
+    least = ids.groupBy("doc_id").agg(F.min("node").alias("b"))
+    same_id = ids.join(least, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
+    alike = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    comps = components(alike.unionAll(same_id), scratch)
+    named = found.join(ids, "node", "left").withColumn("at", F.coalesce("root", "node")).join(comps.withColumnRenamed("node", "at"), "at", "left")
+    named = named.withColumn("at", F.coalesce("component", "at")).select("doc_id", "n_shingles", "at")
+    roots = ids.select(F.col("node").alias("at"), F.col("doc_id").alias("component_id"))
+    return named.join(roots, "at", "left").select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def of_nodes(docs: DataFrame, k: int = 5, threshold: float = 0.75) -> DataFrame:
+    """near_duplicates of documents whose ids have one text each."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = scratch.write(map_arrow(base, lambda it: _sketches(it, k), SKETCH), "sketch")
     classes = scratch.write(
-        sketch.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rid"), F.first("registers").alias("registers")).dropDuplicates(["rid"]),
+        sketch.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rid"), F.first("registers").alias("registers")),
         "classes",
     )
     bands = map_arrow(classes.select("rid", "registers"), _bands, "band long, rid long")

@@ -94,3 +94,13 @@ def test_shuffled_sides_give_the_same(docs_of, monkeypatch):
     base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
     texts = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(40)] + ODD
     assert got(docs_of(texts)) == brute(dict(enumerate(texts)))
+
+
+def test_texts_that_share_an_id_keep_their_copies_together(docs_of):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    rows = minhash.near_duplicates(docs_of([a, b, b, b, c, a, c, "", b, a], [1, 1, 7, 9, 8, 12, 10, 8, None, 1])).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.n_shingles, r.kept) for r in rows) == sorted(
+        [(1, 1, 3, True)] * 3 + [(7, 1, 3, False), (9, 1, 3, False), (8, 8, 3, True), (12, 1, 3, False), (10, 8, 3, False), (8, 8, 0, True), (0, 1, 3, False)]
+    )
+    rows = minhash.near_duplicates(docs_of([c, a, b, b, c], [3, 5, 5, 7, 5])).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(3, 3), (5, 3), (7, 3)}
