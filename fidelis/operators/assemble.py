@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fidelis.functions.stats import hash_uniform
 from fidelis.operators.guard import guard
-from fidelis.operators.ranges import ranked_within
+from fidelis.operators.ranges import ranked_by_digest
 
 ENTRY = ("instance", "chosen_answer", "rationale", "label", "state", "split", "source", "generator")
 
@@ -43,7 +43,7 @@ def balance(entries: DataFrame, splits: tuple[str, ...] = ("train", "validation"
     """The given splits cut down to equal classes, choosing by digest of the key; the other splits as they are."""
     sizes = entries.where(F.col("split").isin(*splits)).groupBy("split", "label").agg(F.count("*").alias("n"))
     least = sizes.groupBy("split").agg(F.min("n").alias("quota"))
-    ranked = ranked_within(entries, ["split", "label"], [F.md5(F.col(key).cast("string")), F.col(key)], "__rank").join(F.broadcast(least), "split", "left")
+    ranked = ranked_by_digest(entries, ["split", "label"], key, "__rank").join(F.broadcast(least), "split", "left")
     return ranked.where(F.col("quota").isNull() | (F.col("__rank") <= F.col("quota"))).drop("__rank", "quota")
 
 
@@ -54,7 +54,7 @@ def quarantine(entries: DataFrame, touched: DataFrame, key: str) -> DataFrame:
 
 def matched_pairs(entries: DataFrame, stratum: list[str], label: str, key: str) -> DataFrame:
     """Negatives and positives paired within strata by rank; rank by digest of the key. What has no partner is left."""
-    ranked = ranked_within(entries.select(*stratum, label, key), [*stratum, label], [F.md5(F.col(key).cast("string")), F.col(key)], "rank")
+    ranked = ranked_by_digest(entries.select(*stratum, label, key), [*stratum, label], key, "rank")
     of = lambda value: F.max(F.when(F.col(label) == value, F.col(key)))
     return ranked.groupBy(*stratum, "rank").agg(of(0).alias("negative"), of(1).alias("positive")).where("negative is not null and positive is not null")
 

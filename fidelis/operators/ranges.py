@@ -1,11 +1,14 @@
-"""Running sums over a global order without a window over all rows."""
+"""Running sums over a global order, and ranks within groups, without a window over all rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fidelis.sources.scratch import shared_dir
+from fidelis.sources.scratch import Scratch
+
+#: Hexadecimal digits of a digest that deal a group's rows out: 4096 shares.
+DIGITS = 3
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -15,9 +18,9 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
     ranging need not agree. A window sums each range by itself; the ranges' totals, one row for each, give the rest.
     Rows of equal order are taken in any order.
     """
-    shared_dir(df.sparkSession)
     values = {f"__v_{n}": c.cast("long") for n, c in sums.items()}
-    ranged = df.withColumns(values).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    ranged = df.withColumns(values).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged = Scratch(df.sparkSession, "ranges").write(ranged, "ranged")
     totals = ranged.groupBy("__part").agg(*(F.sum(v).alias(f"__t_{v}") for v in values))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("__part", *(F.coalesce(F.sum(f"__t_{v}").over(earlier), F.lit(0)).alias(f"__b_{v}") for v in values))
@@ -27,8 +30,18 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
     return out.select(*df.columns, *sums)
 
 
-def ranked_within(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
-    """df with the 1-based rank of each row within its group; a group that holds most rows is still many tasks."""
-    placed = running(df, [*map(F.col, group), *order], {"__pos": F.lit(1)})
-    first = placed.groupBy(*group).agg(F.min("__pos").alias("__first"))
-    return placed.join(first, group).withColumn(name, F.col("__pos") - F.col("__first") + 1).drop("__pos", "__first")
+def ranked_by_digest(df: DataFrame, group: list[str], key: str, name: str) -> DataFrame:
+    """df with the 1-based rank of each row within its group, by digest of the key and then the key.
+
+    A group is dealt out by its digests' first digits, which are in order and of even size, so one that holds most
+    rows is many tasks; a share's rank is its own plus the sizes of the group's earlier shares.
+    """
+    # A struct is never null itself, so the join's keys are those that the rows are already dealt out by.
+    own = ["__group", "__share"]
+    digest = F.md5(F.col(key).cast("string"))
+    keyed = df.withColumns({"__group": F.struct(*group), "__digest": digest, "__share": F.coalesce(F.substring(digest, 1, DIGITS), F.lit(""))})
+    ranked = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy(*own).orderBy("__digest", key)))
+    sizes = ranked.groupBy(*own).agg(F.max("__nth").alias("__n"))
+    earlier = Window.partitionBy("__group").orderBy("__share").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*own, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    return ranked.join(sizes, own).withColumn(name, (F.col("__before") + F.col("__nth")).cast("long")).select(*df.columns, name)
