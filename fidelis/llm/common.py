@@ -1,90 +1,42 @@
-"""What the operators of this subpackage share: table access, scratch tables and batch helpers."""
+"""What the operators of this subpackage share: table access, batch helpers and counted broadcasts."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
+from fidelis.sources.scratch import Scratch, exists
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_to:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fidelis-"))
-        set_to = spark.sparkContext.getCheckpointDir()
-    return set_to.rstrip("/")
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Scratch:
-    """Tables written as Parquet below the shared folder; a lost executor costs no recomputation past them.
-
-    drop() removes what is no longer read. The table that a lazy result still reads stays until the
-    session's end, when it is removed too.
-    """
+__all__ = ["BROADCAST_IDS", "Scratch", "exists", "free_names", "sized", "slices", "table", "text_chunks"]
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/fidelis-{label}-{uuid.uuid4().hex}", 0
-        atexit.register(self._sweep)
 
-    def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}-{name}"
-
-    def write(self, df: DataFrame, name: str, **sums: Column) -> DataFrame:
-        """The table written and read back; `said` has its number of rows, `n`, and the given aggregates, all seen in passing."""
-        seen = Observation()
-        rows = df.observe(seen, F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in sums.items()))
-        rows.write.option("compression", "zstd").parquet(where := self.path(name))
-        out = self.spark.read.schema(df.schema).parquet(where)
-        out.scratch_path, out.said = where, seen.get
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            if where := getattr(df, "scratch_path", None):
-                delete_path(self.spark, where)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-    def _sweep(self) -> None:
-        with contextlib.suppress(Exception):
-            if self.spark.sparkContext._jsc is not None:
-                delete_path(self.spark, self.root)
 
+def free_names(df: DataFrame, *names: str) -> None:
+    """An error where df already has a column of one of these names."""
+    if held := sorted({c.lower() for c in df.columns} & {n.lower() for n in names}):
+        raise ValueError(f"columns {held} are added here, but the table has them already")
 
-#: Rows that Spark puts in an Arrow batch at most. Texts are long, and a task holds a batch on both sides.
-BATCH_ROWS = 1000
 
+#: Bytes of a batch that are taken up at once. Spark itself ends an Arrow batch at spark.sql.execution.arrow.maxBytesPerBatch.
+SLICE_BYTES = 4 << 20
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """df.mapInArrow in batches of at most BATCH_ROWS; the session's setting is lowered to that where it is larger."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
 
-
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Small batches, so that what is made of one at a time stays small however Spark batches them."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of at most so many rows and, of more than one row, about so many bytes."""
     for batch in batches:
-        for a in range(0, batch.num_rows, rows):
-            yield batch.slice(a, rows)
+        start, n = 0, batch.num_rows
+        while start < n:
+            part = batch.slice(start, rows)
+            while part.num_rows > 1 and part.nbytes > most:
+                part = part.slice(0, max(1, min(part.num_rows - 1, int(part.num_rows * most / part.nbytes))))
+            yield part
+            start += part.num_rows
 
 
 #: A side of at most so many rows of one long column each (16 MB) may be broadcast after counting it.
@@ -107,3 +59,7 @@ def text_chunks(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         held += n + 1
     if start < len(texts):
         yield start, len(texts)
+
+
+def map_arrow(df, fn, schema):
+    return df.mapInArrow(fn, schema)

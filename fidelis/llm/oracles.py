@@ -35,7 +35,9 @@ def _kind(name: str, pattern: str, group: int) -> str:
 {name}_at AS (SELECT doc_id, hit, part, (sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e FROM {name}_each)"""
 
 
-_ALLOWED = " OR ".join(f"regexp_matches(hit, {_quoted(p)})" for p in secrets.ALLOW)
+# Paths of words, as one pattern where the engine follows it without recursion.
+_PATH = "^/?([A-Za-z]+[0-9]{0,4}[/_=-]+)+[A-Za-z]*[0-9]{0,4}/?$"
+_ALLOWED = " OR ".join(f"regexp_matches(hit, {_quoted(p)})" for p in (*secrets.ALLOW, _PATH))
 _CLASS = " ".join(f"WHEN regexp_matches(hit, {_quoted(test)}) THEN {least}" for _, test, _, least in secrets.CLASSES)
 _WINDOWED = f"list_max(list_transform(range(1, length(hit) - {secrets.WINDOW - 2}), lambda i: list_entropy(string_split(substr(CASE WHEN regexp_matches(hit, {_quoted(secrets.CLASSES[0][1])}) THEN lower(hit) ELSE hit END, i, {secrets.WINDOW}), ''))))"
 _NAMES = "['assign', 'access', 'hex', 'entropy']"
@@ -48,7 +50,7 @@ apart AS (SELECT * FROM x_at x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.do
 spans AS (SELECT * FROM base UNION ALL SELECT doc_id, e - length(hit), 3, e FROM apart WHERE {_WINDOWED} >= CASE {_CLASS} END),
 said AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, count(*) FILTER (WHERE k = 3) AS n_entropy,
  coalesce({_JOINED} FILTER (WHERE k < 3), '') AS b, {_JOINED} AS a FROM spans GROUP BY doc_id)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_entropy, 0) AS n_entropy, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM documents LEFT JOIN said USING (doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(n_entropy, 0) AS n_entropy FROM documents LEFT JOIN said USING (doc_id)
 """
 
 _OUTER = _quoted("".join(c for c in substrings._OUTER if c.isprintable()))

@@ -3,6 +3,9 @@ import math
 import re
 from collections import Counter
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from odd_texts import ODD
 from pyspark.sql import functions as F
 
@@ -14,6 +17,9 @@ SPECS = (
     ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
 )
 
+#: Paths of words as one pattern, which Python follows without recursion.
+PATH = r"^/?([A-Za-z]+[0-9]{0,4}[/_=-]+)+[A-Za-z]*[0-9]{0,4}/?$"
+
 
 def base(text):
     text = text or ""
@@ -22,13 +28,16 @@ def base(text):
 
 
 def entropy(text):
-    return max(-sum(c / 20 * math.log2(c / 20) for c in Counter(text[i : i + 20]).values()) for i in range(len(text) - 19))
+    return max(-sum(c / 20 * math.log2(c / 20) for c in Counter(x).values()) for x in {text[i : i + 20] for i in range(len(text) - 19)})
 
 
 def every(text):
     found = base(text)
+    taken = bytearray(len(text or ""))
+    for s, _, e in found:
+        taken[s:e] = b"x" * (e - s)
     for m in re.finditer(secrets.CANDIDATE, text or ""):
-        if any(s < m.end() and m.start() < e for s, _, e in found if _ < 3) or any(re.search(p, m[0]) for p in secrets.ALLOW):
+        if any(taken[m.start() : m.end()]) or any(re.search(p, m[0]) for p in (*secrets.ALLOW, PATH)):
             continue
         name, _, _, least = next(c for c in secrets.CLASSES if re.search(c[1], m[0]))
         if entropy(m[0].lower() if name == "hex" else m[0]) >= least - 1e-9:
@@ -89,3 +98,45 @@ def test_no_python_in_the_plan_and_no_rows(docs_of):
     df = secrets.scan(docs_of(["a"]).where("false"))
     assert df.count() == 0
     assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_long_candidates_and_many_matches_match_plain_python(docs_of):
+    """Candidates of 10 kB, 100 kB and 1 MB, and 100,000 matches in one text: no deep recursion, no squares."""
+    import random
+
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    texts = [
+        "ab1/" * 2500, "ab1/" * 25_000, "ab1/" * 250_000, "a-" * 500_000 + "+", "ab" * 5000 + noise(50) + "1" * 20_000, "é" + "a1" * 60_000 + " x",
+        " ".join(f"k{i} token={noise(8)}" for i in range(100_000)), " ".join(noise(20) for _ in range(3000)) + ' "secret": "' + noise(30) + '"',
+        "token=abcdef " * 70 + noise(24) + "=password: zzzzzz", "".join(f"api_key={noise(6)}\n{noise(22)} " for _ in range(5000)),
+    ]
+    df = docs_of(texts)
+    rows = {r.doc_id: r for r in secrets.scan(df).collect()}
+    out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    for i, text in enumerate(texts):
+        own = every(text)
+        assert rows[i].spans == said(own), text[:50]
+        pieces, at = [], 0
+        for s, _, e in own:
+            if s >= at:
+                pieces += [text[at:s], secrets.MASK]
+            at = max(at, e)
+        assert out[i] == "".join(pieces) + text[at:], text[:50]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "Z", "/", "_", "=", "-", "+", "1", "23", "4567", "x9/"]), max_size=14).map("".join), min_size=60, max_size=60))
+def test_paths_of_words_are_those_of_the_one_pattern(spark, words):
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", secrets.allowed(F.col("w"))).collect()
+    for w, ok in got:
+        assert ok == any(re.search(p, w) for p in (*secrets.ALLOW, PATH)), w
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 5000])
+def test_running_joins_all_before(spark, n):
+    import itertools
+
+    values = [(i * 7919) % 1000 for i in range(n)]
+    row = spark.createDataFrame([(values,)], "v array<long>").select(secrets.running(F.col("v"), lambda a, b: a + b).alias("s"), secrets.running(F.col("v"), F.greatest).alias("m")).first()
+    assert row.s == list(itertools.accumulate(values)) and row.m == list(itertools.accumulate(values, max))
