@@ -75,9 +75,11 @@ islands AS (SELECT *, CASE WHEN long THEN 2 * j + 1 ELSE -1 - sum(long::INT) OVE
 joined AS (SELECT doc_id, min(place) AS place, string_agg(part, '' ORDER BY j) AS part FROM islands GROUP BY doc_id, i, island),
 stripped AS (SELECT doc_id, place + length(part) - length(regexp_replace(part, '^[{_SPACE}]+', '')) AS start, {_stripped('part')} AS kept FROM joined),
 worded AS (SELECT doc_id, start, start + length(kept) AS stop, {_words('kept')} AS w FROM stripped),
-units AS MATERIALIZED (SELECT doc_id, start::BIGINT AS start, stop::BIGINT AS stop, len(w) AS words, md5(array_to_string(w, ' ')) AS digest FROM worded WHERE len(w) >= {substrings.MIN_WORDS}),
-ranked AS (SELECT *, count(*) OVER (PARTITION BY digest) AS occurrences, first_value(doc_id) OVER w AS first_doc_id, first_value(start) OVER w AS first_start, row_number() OVER w AS nth FROM units WINDOW w AS (PARTITION BY digest ORDER BY doc_id, start))
-SELECT doc_id, start, stop AS "end", words::INTEGER AS words, digest, first_doc_id, first_start, occurrences FROM ranked WHERE nth > 1
+units AS MATERIALIZED (SELECT doc_id, start::BIGINT AS start, stop::BIGINT AS stop, len(w) AS words, md5(array_to_string(w, ' ')) AS digest, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS nth FROM worded WHERE len(w) >= {substrings.MIN_WORDS}),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY digest) AS occurrences, first_value(doc_id) OVER w AS first_doc_id, first_value(start) OVER w AS first_start, row_number() OVER w AS copy FROM units WINDOW w AS (PARTITION BY digest ORDER BY doc_id, start, stop)),
+repeats AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS island FROM ranked WHERE copy > 1),
+runs AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, island) AS run_words FROM repeats)
+SELECT doc_id, start, stop AS "end", words::INTEGER AS words, digest, first_doc_id, first_start, occurrences, run_words::BIGINT AS run_words FROM runs WHERE run_words >= {substrings.RUN}
 """
 
 _ESCAPES = " + ".join(f"(length(text) - length(replace(text, '{s}', ''))) // {len(s)}" for s in ("\\", "<s>", "</s>", "<|", "[INST]", "[/INST]", "|>"))

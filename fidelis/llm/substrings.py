@@ -3,13 +3,16 @@
 Units are the lines of a text, and the sentences of a line that has several; sentences of fewer than MIN_WORDS
 words that follow one another are one unit. A unit is normalised (lower case, blanks collapsed, outer
 punctuation dropped) and digested to 128 bits; those of fewer than MIN_WORDS words are left alone, as they meet
-by chance. Digests are grouped over all documents, the earliest occurrence by
-(doc_id, start) is kept, and every other one is removed, with its offsets in the original text retained.
+by chance. Digests are grouped over all documents, the earliest occurrence by (doc_id, start, end) is kept, and
+every other one is a repeat. Repeats that follow one another in a text, with no other unit between them, are a run; runs
+of at least RUN words are removed, with their units' offsets in the original text retained. Shorter ones, single
+lines that many clean documents have, stay unless `run` is lowered.
 
-Grouping sums on the map side, and digests that occur twice, written first, are joined with the units again by
-plain shuffles that can be split, so a line that a third of all documents has is no single task's. Offsets are code points, ends exclusive. Defined results: a null or
-empty text has no units; of repeated rows all but one are removed unit by unit; rows without a doc_id come last;
-other columns are ignored; an empty table gives none.
+Units are cut once and written. Grouping sums on the map side, and digests that occur twice, written too, are joined
+with the units again by plain shuffles that can be split, so a line that a third of all documents has is no single
+task's. Offsets are code points, ends exclusive. Defined results: a null or empty text has no units; of repeated rows
+all but one are removed unit by unit, for an occurrence is that of a row; rows without a doc_id come last; other columns
+are ignored; an empty table gives none.
 
 repeated_units leaves short lines, runs inside a longer sentence and scripts without blanks. repeated_passages adds
 two kinds of pieces for them. Lines: every whole line that isn't blank, whatever its length. Windows: SPAN tokens in
@@ -26,14 +29,16 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import Scratch, map_arrow, slices, text_chunks
+from fidelis.llm.common import Scratch, slices, text_chunks
 from fidelis.llm.hashing import U, _power, mix
 
-MIN_WORDS = 6
-UNITS = "doc_id long, start long, end long, words int, h1 long, h2 long"
+MIN_WORDS, RUN = 6, 15
+PIECES = "row long, doc_id long, start long, end long, words int, h1 long, h2 long, kind int, nth int"
+_NAMES = ["row", "doc_id", "start", "end", "words", "h1", "h2", "kind", "nth"]
+KINDS = ("unit", "line", "window")
 _LINE = re.compile(r"[^\n]+")
 _END = re.compile(r"[.!?]+(?=\s)")
 _OUTER = " \t\r\f\v.,;:!?\"'()[]{}<>|*#%&$-"
@@ -73,31 +78,65 @@ def units(text: str, least: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
                 yield start, end, unit
 
 
-def _units(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, 1000):
-        ids, place, digests = [], [], []
-        for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-            for start, end, unit in units(text or "", least):
-                ids.append(doc)
-                place.append((start, end, unit.count(" ") + 1))
-                digests.append(md5(unit.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
-        where = np.array(place, np.int64).reshape(-1, 3)
-        h = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(where[:, 0]), pa.array(where[:, 1]), pa.array(where[:, 2].astype(np.int32)), pa.array(h[:, 0].astype(np.int64)), pa.array(h[:, 1].astype(np.int64))], ["doc_id", "start", "end", "words", "h1", "h2"])
-
-
-def repeated_units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """Every occurrence to remove: doc_id, start, end, words, digest, and the kept one's first_doc_id and first_start."""
-    scratch = Scratch(docs.sparkSession, "units")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = map_arrow(base, lambda it: _units(it, least), UNITS)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start")
-    shared = found.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    shared = scratch.write(shared.select("h1", "h2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "n"), "shared")
+def _batch(part: pa.RecordBatch, where: np.ndarray, digests: np.ndarray, kind: int, nth: np.ndarray | None = None) -> pa.RecordBatch:
+    """Pieces: where has the row's number in the part, start, end and words of each."""
+    at, n = pa.array(where[:, 0]), len(where)
+    numbers = [pa.array(np.ascontiguousarray(x)) for x in (where[:, 1], where[:, 2], where[:, 3].astype(np.int32), digests[:, 0].astype(np.int64), digests[:, 1].astype(np.int64))]
+    order = pa.array(np.zeros(n, np.int32) if nth is None else nth)
+    return pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *numbers, pa.array(np.full(n, kind, np.int32)), order], _NAMES)
+
+
+def _hashed(part: pa.RecordBatch, found: Iterator[tuple[int, int, int, str]], kind: int) -> pa.RecordBatch:
+    """Pieces of (row's number, start, end, normalised text), with their place among their row's."""
+    where, digests, nth, last = [], [], [], (-1, -1)
+    salt = KINDS[kind].encode() if kind else b""
+    for i, start, end, piece in found:
+        last = (i, last[1] + 1 if last[0] == i else 0)
+        nth.append(last[1])
+        where.append((i, start, end, piece.count(" ") + 1))
+        digests.append(md5(salt + piece.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
+    h = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2)
+    return _batch(part, np.array(where, np.int64).reshape(-1, 4), h, kind, np.array(nth, np.int32))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], least: int, passages: bool) -> Iterator[pa.RecordBatch]:
+    """Units and, for passages, lines and windows. Only those of one kind have digests in common."""
+    for part in slices(batches):
+        texts = [t or "" for t in part.column(2).to_pylist()]
+        yield _hashed(part, ((i, *u) for i, t in enumerate(texts) for u in units(t, least)), 0)
+        if passages:
+            yield _hashed(part, ((i, *u) for i, t in enumerate(texts) for u in lines(t, least)), 1)
+            for a, b in text_chunks(texts, 1 << 17):
+                doc, start, end, h1, h2 = windows(texts[a:b])
+                yield _batch(part, np.column_stack((doc + a, start, end, np.full(len(doc), SPAN))), np.column_stack((h1.view(np.int64), h2.view(np.int64))), 2)
+
+
+def _repeats(rows: DataFrame, scratch: Scratch, least: int, passages: bool) -> DataFrame:
+    """Occurrences past the first of each digest, of rows (row, doc_id, text), with the first one's place in first."""
+    found = scratch.write(rows.mapInArrow(lambda it: _pieces(it, least, passages), PIECES), "pieces")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "end", "row")
+    shared = scratch.write(found.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("occurrences")).where("occurrences > 1"), "shared")
     joined = found.join(shared, ["h1", "h2"])
-    kept = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("start") == F.col("first_start"))
     digest = F.lower(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")))
-    return joined.where(~kept).select("doc_id", "start", "end", "words", digest.alias("digest"), "first_doc_id", "first_start", F.col("n").alias("occurrences"))
+    return joined.where("row <> first.row or start <> first.start").withColumn("digest", digest)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows with numbers; what is made of them is written at once, so that they are drawn once."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def _units_of(rows: DataFrame, scratch: Scratch, least: int, run: int) -> DataFrame:
+    found = _repeats(rows, scratch, least, False)
+    island = F.col("nth") - F.row_number().over(Window.partitionBy("row").orderBy("nth"))
+    found = found.withColumn("island", island)
+    return found.withColumn("run_words", F.sum("words").over(Window.partitionBy("row", "island"))).where(F.col("run_words") >= run)
+
+
+def repeated_units(docs: DataFrame, least: int = MIN_WORDS, run: int = RUN) -> DataFrame:
+    """Every occurrence to remove: doc_id, start, end, words, digest, the kept one's first_doc_id and first_start, occurrences, and the words of its run."""
+    found = _units_of(_numbered(docs), Scratch(docs.sparkSession, "units"), least, run)
+    return found.select("doc_id", "start", "end", "words", "digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "occurrences", "run_words")
 
 
 def lines(text: str, least: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
@@ -152,45 +191,22 @@ def windows(texts: list[str]) -> tuple[np.ndarray, ...]:
     return doc, starts[at] - first[doc], ends[at + SPAN - 1] - first[doc], h[at], hashed(42)[at]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Units, lines and windows. Only those of one kind have digests in common."""
-    names = ["doc_id", "start", "end", "words", "h1", "h2", "kind"]
-    for part in slices(batches):
-        yield (found := next(_units(iter([part]), least))).append_column("kind", pa.array([0] * found.num_rows, pa.int32()))
-        ids, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
-        where, digests = [], []
-        for i, text in enumerate(texts):
-            for start, end, line in lines(text, least):
-                where.append((i, start, end, line.count(" ") + 1))
-                digests.append(md5(b"\n" + line.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
-        w, h = np.array(where, np.int64).reshape(-1, 4), np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(w[:, 0])), pa.array(w[:, 1]), pa.array(w[:, 2]), pa.array(w[:, 3].astype(np.int32)), pa.array(h[:, 0].astype(np.int64)), pa.array(h[:, 1].astype(np.int64)), pa.array(np.full(len(w), 1, np.int32))], names)
-        for a, b in text_chunks(texts, 1 << 17):
-            doc, start, end, h1, h2 = windows(texts[a:b])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + a)), pa.array(start), pa.array(end), pa.array(np.full(len(doc), SPAN, np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.full(len(doc), 2, np.int32))], names)
+def _passages_of(rows: DataFrame, scratch: Scratch, least: int) -> DataFrame:
+    """What an occurrence has in common with the kept one of its own row stays."""
+    found = _repeats(rows, scratch, least, True)
+    found = found.withColumn("start", F.when(F.col("row") == F.col("first.row"), F.greatest("start", "first.end")).otherwise(F.col("start")))
+    return found.where("start < end")
 
 
 def repeated_passages(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """Every occurrence of a unit, line or window to remove, as repeated_units has them, with its kind.
-
-    What an occurrence has in common with the kept one of its own document stays.
-    """
-    scratch = Scratch(docs.sparkSession, "passages")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = map_arrow(base, lambda it: _pieces(it, least), f"{UNITS}, kind int")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "end")
-    shared = found.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    shared = scratch.write(shared.select("h1", "h2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), F.col("first.end").alias("first_end"), "n"), "shared")
-    joined = found.join(shared, ["h1", "h2"])
-    own = F.col("doc_id").eqNullSafe(F.col("first_doc_id"))
-    left = joined.where(~(own & (F.col("start") == F.col("first_start")))).withColumn("start", F.when(F.col("doc_id") == F.col("first_doc_id"), F.greatest("start", "first_end")).otherwise(F.col("start")))
-    digest = F.lower(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")))
-    kind = F.element_at(F.array(F.lit("unit"), F.lit("line"), F.lit("window")), F.col("kind") + 1)
-    return left.where("start < end").select("doc_id", "start", "end", "words", kind.alias("kind"), digest.alias("digest"), "first_doc_id", "first_start", F.col("n").alias("occurrences"))
+    """Every occurrence of a unit, line or window to remove, as repeated_units has them, with its kind."""
+    found = _passages_of(_numbered(docs), Scratch(docs.sparkSession, "passages"), least)
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
+    return found.select("doc_id", "start", "end", "words", kind.alias("kind"), "digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "occurrences")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         out = []
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             pieces, at = [], 0
@@ -201,8 +217,11 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(2)], ["doc_id", "text", "removed"])
 
 
-def remove_units(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """doc_id, the text without the removed spans, and those spans with their original offsets."""
-    spans = removed.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, "doc_id", "left")
-    return map_arrow(joined.select("doc_id", "text", "removed"), _without, "doc_id long, text string, removed array<struct<start:long,end:long>>")
+def remove_units(docs: DataFrame, least: int = MIN_WORDS, run: int = RUN, passages: bool = False) -> DataFrame:
+    """doc_id, the text without its repeats, and these with their original offsets, for each row of docs."""
+    scratch = Scratch(docs.sparkSession, "removal")
+    rows = scratch.write(_numbered(docs), "rows")
+    found = _passages_of(rows, scratch, least) if passages else _units_of(rows, scratch, least, run)
+    spans = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
+    joined = rows.join(spans, "row", "left")
+    return joined.select("doc_id", "text", "removed").mapInArrow(_without, "doc_id long, text string, removed array<struct<start:long,end:long>>")

@@ -32,7 +32,7 @@ def test_a_row_for_each_row(holes, name):
 
 
 def test_substrings_keep_a_row_with_an_id(holes):
-    assert {(r.doc_id, r.first_doc_id) for r in substrings.repeated_units(holes).collect()} == {(None, 1)}
+    assert {(r.doc_id, r.first_doc_id) for r in substrings.repeated_units(holes, run=6).collect()} == {(None, 1)}
 
 
 def test_stages(spark, holes):

@@ -3,23 +3,34 @@ from odd_texts import ODD
 from fidelis.llm import substrings
 
 
-def brute(rows, least=substrings.MIN_WORDS):
-    seen, out = {}, set()
-    for doc, text in sorted(rows, key=lambda r: r[0]):
-        for start, end, unit in substrings.units(text or ""):
-            if len(unit.split(" ")) >= least:
-                first = seen.setdefault(unit, (doc, start))
-                if first != (doc, start):
-                    out.add((doc, start, end, *first))
-    return out
-
-
-def got(df):
-    return {(r.doc_id, r.start, r.end, r.first_doc_id, r.first_start) for r in substrings.repeated_units(df).collect()}
+def brute(rows, least=substrings.MIN_WORDS, run=substrings.RUN):
+    """(doc_id, start, end, first doc_id, first start) of each occurrence to remove, with repetitions, by plain Python."""
+    found = [(doc, start, end, i, nth, unit) for i, (doc, text) in enumerate(rows) for nth, (start, end, unit) in enumerate(substrings.units(text or "", least))]
+    seen, again = {}, {}
+    for doc, start, end, i, nth, unit in sorted(found, key=lambda f: (f[0] is None, f[0] or 0, *f[1:4])):
+        first = seen.setdefault(unit, (doc, start))
+        if seen[unit] is not first or (i, nth) != again.setdefault(("kept", unit), (i, nth)):
+            again[i, nth] = (doc, start, end, *first, unit.count(" ") + 1)
+    out = []
+    for i, nth in (k for k in again if k[0] != "kept"):
+        a, b = nth, nth
+        while (i, a - 1) in again:
+            a -= 1
+        while (i, b + 1) in again:
+            b += 1
+        if sum(again[i, x][5] for x in range(a, b + 1)) >= run:
+            out.append(again[i, nth][:5])
+    return sorted(out, key=str)
+
+
+def got(df, **more):
+    return sorted(((r.doc_id, r.start, r.end, r.first_doc_id, r.first_start) for r in substrings.repeated_units(df, **more).collect()), key=str)
 
 
 def test_corpus_matches_brute_force(corpus):
-    assert got(corpus) == brute([(r.doc_id, r.text) for r in corpus.collect()])
+    rows = [(r.doc_id, r.text) for r in corpus.collect()]
+    assert got(corpus) == brute(rows)
+    assert got(corpus, run=1) == brute(rows, run=1)
 
 
 PASSAGE = "This is a passage of many words. It has several sentences, all of them long enough. And it ends with this one here."
@@ -27,15 +38,16 @@ PASSAGE = "This is a passage of many words. It has several sentences, all of the
 
 def test_a_passage_inside_other_text_is_found(docs_of):
     texts = [f"Start of one {PASSAGE} Tail of it.", f"Quite another beginning\n{PASSAGE}", "clean words that nobody else has said before.", *ODD]
-    rows = got(docs_of(texts))
-    assert rows == brute(list(enumerate(texts)))
+    rows = got(docs_of(texts), run=6)
+    assert rows == brute(list(enumerate(texts)), run=6)
     assert {(d, f) for d, _, _, f, _ in rows} == {(1, 0), (10, 9)}
+    assert {(d, f) for d, _, _, f, _ in got(docs_of(texts))} == {(1, 0)}
 
 
 def test_removal_keeps_the_rest_and_the_offsets(docs_of):
     texts = [PASSAGE, f"é {PASSAGE} Own words.", None]
     df = docs_of(texts)
-    out = {r.doc_id: r for r in substrings.remove_units(df, substrings.repeated_units(df)).collect()}
+    out = {r.doc_id: r for r in substrings.remove_units(df).collect()}
     assert out[0].text == PASSAGE and out[0].removed is None and out[2].text is None
     spans = [(s.start, s.end) for s in out[1].removed]
     keep, at = [], 0
@@ -45,15 +57,28 @@ def test_removal_keeps_the_rest_and_the_offsets(docs_of):
     assert out[1].text == "".join(keep) + texts[1][at:] and out[1].text.endswith("Own words.") and len(spans) == 2
 
 
-def test_repeated_rows_and_none(docs_of):
-    line = "six words are in this line"
-    rows = substrings.repeated_units(docs_of([line] * 3, [5, 2, 2])).collect()
-    assert {(r.doc_id, r.first_doc_id) for r in rows} == {(5, 2)}
+def test_of_repeated_rows_one_stays(docs_of):
+    line, other = "six words are in this line", "another line of more than six words"
+    for ids, want in (([5, 2, 2], [(2, 2), (5, 2)]), ([1, 1, 2], [(1, 1), (2, 1)]), ([4, 4, 4], [(4, 4)] * 2), ([None, None, 3], [(None, 3)] * 2)):
+        df = docs_of([line] * 3, ids)
+        assert [(d, f) for d, _, _, f, _ in got(df, run=6)] == sorted(want, key=str)
+        assert got(df, run=6) == brute([(i, line) for i in ids], run=6)
+        assert sorted(r.text for r in substrings.remove_units(df, run=6).collect()) == ["", "", line]
+        assert sorted(r.text for r in substrings.remove_units(df, passages=True).collect()) == ["", "", line]
+    # Rows that share an id but not a text lose their own repeats only.
+    df = docs_of([line, f"{other}\n{line}", other], [7, 7, 8])
+    assert sorted((r.doc_id, r.text) for r in substrings.remove_units(df, run=6).collect()) == [(7, f"{other}\n"), (7, line), (8, "")]
     assert substrings.repeated_units(docs_of(["a"]).where("false")).count() == 0
 
 
+def test_a_run_is_broken_by_a_unit_of_its_own(docs_of):
+    a, b, c, d = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue cyan pink grey", "oak ash elm fir yew box")
+    texts = ["\n".join((a, b, c)), "\n".join((a, b, d, c)), "\n".join((a, "short", b, c))]
+    assert {x[0] for x in got(docs_of(texts))} == {2} and got(docs_of(texts), run=12) == brute(list(enumerate(texts)), run=12)
+
+
 def left_by_passages(df):
-    out = {r.doc_id: r.text for r in substrings.remove_units(df, substrings.repeated_passages(df)).collect()}
+    out = {r.doc_id: r.text for r in substrings.remove_units(df, passages=True).collect()}
     return {d: " ".join((t or "").split()) for d, t in out.items()}
 
 
