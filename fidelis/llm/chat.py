@@ -2,7 +2,8 @@
 
 A visitor flattens a turn's text, image, audio and document parts, in order, into text with placeholders
 and records for each attachment its reference, place and expanded token count. Turns are marked by the
-template below; control strings inside texts are escaped, so that reading back restores every text.
+template below; control strings inside texts are escaped, so that reading back restores every text. Text parts that
+follow one another are one text: they are joined before they are escaped, as a control string may be split over them.
 
 Rows of a conversation are formatted one after another by turn, then role and text; a conversation is never
 held as a whole. The output has one row (a fragment) for each turn, with its place in the conversation's formatted
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import map_arrow
+from fidelis.llm.common import slices
 
 PARTS = "array<struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 ATTACHMENTS = "array<struct<ordinal:int,kind:string,ref:string,at:long,tokens:long>>"
@@ -49,10 +50,10 @@ def unescape(text: str) -> str:
 
 
 class Flatten:
-    """Visits the parts of a turn; `out` is the flattened text, `found` its attachments (place within out)."""
+    """Visits the parts of a turn; after close(), `out` is the flattened text, `found` its attachments (place within out)."""
 
     def __init__(self, ordinal: int = 0):
-        self.out, self.length, self.ordinal, self.found = [], 0, ordinal, []
+        self.out, self.length, self.ordinal, self.found, self.texts = [], 0, ordinal, [], []
 
     def visit(self, part: dict) -> None:
         method = getattr(self, f"visit_{part.get('type')}", None)
@@ -64,13 +65,21 @@ class Flatten:
         self.out.append(text)
         self.length += len(text)
 
+    def close(self) -> str:
+        """Puts the texts since the last attachment, escaped as one; the flattened text so far."""
+        if self.texts:
+            self._put(escape("".join(self.texts)))
+            self.texts = []
+        return "".join(self.out)
+
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
+        self.close()
         self.found.append({"ordinal": self.ordinal, "kind": kind, "ref": part.get("ref"), "at": self.length, "tokens": tokens})
         self._put(f"<|{kind}:{self.ordinal}|>")
         self.ordinal += 1
 
     def visit_text(self, part: dict) -> None:
-        self._put(escape(part.get("text") or ""))
+        self.texts.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
         rows, cols = (math.ceil(max(1, part.get(x) or 1) / PATCH) for x in ("height", "width"))
@@ -107,7 +116,7 @@ def parse(fragment: str) -> Iterator[tuple[str, str, int]]:
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, seq, at, ordinal = object(), 0, 0, 0
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for conv, role, text, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if conv != now:
@@ -115,7 +124,7 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             visitor = Flatten(ordinal)
             for part in parts if parts is not None else [{"type": "text", "text": text}]:
                 visitor.visit(part)
-            fragment, body = render(role or "", "".join(visitor.out))
+            fragment, body = render(role or "", visitor.close())
             ordinal = visitor.ordinal
             masks = [{"s": at + body, "e": at + body + visitor.length}] if role == "assistant" else []
             found = [x | {"at": at + body + x["at"]} for x in visitor.found]
@@ -132,7 +141,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     parts = F.col("parts").cast(PARTS) if "parts" in turns.columns else F.lit(None).cast(PARTS)
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text", parts.alias("parts"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return map_arrow(ordered.select("conv_id", "role", "text", "parts"), _format, FRAGMENTS)
+    return ordered.select("conv_id", "role", "text", "parts").mapInArrow(_format, FRAGMENTS)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +158,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for conv, fragment, start, masks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if not state or state["conv"] != conv:
                 close()
@@ -171,4 +180,4 @@ def read_back(fragments: DataFrame, ordered: bool = False) -> DataFrame:
     """BACK for each conversation, from its fragments alone; ordered: as format_chats returns them."""
     if not ordered:
         fragments = fragments.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
-    return map_arrow(fragments.select("conv_id", "fragment", "start", "masks"), _read, BACK)
+    return fragments.select("conv_id", "fragment", "start", "masks").mapInArrow(_read, BACK)

@@ -73,3 +73,25 @@ def test_typed_parts_become_ordered_placeholders(spark):
 def test_unknown_parts_are_refused():
     with pytest.raises(ValueError):
         chat.Flatten().visit({"type": "video"})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["</s>", "[/INST] y", "<|end|>", "\\l", "a|>b", "[INST]", "x"])).map("".join), st.lists(st.integers(0, 30)), st.sampled_from(["user", "assistant", "tool"]))
+def test_a_text_split_into_parts_anywhere_reads_back(text, cuts, role):
+    edges = [0, *sorted(min(c, len(text)) for c in cuts), len(text)]
+    visitor = chat.Flatten()
+    for a, b in zip(edges, edges[1:], strict=False):
+        visitor.visit({"type": "text", "text": text[a:b]})
+    assert [(r, t) for r, t, _ in chat.parse(chat.render(role, visitor.close())[0])] == [(role, text)]
+
+
+def test_control_strings_over_parts_are_one_turn(spark):
+    keys = ("type", "text", "ref", "width", "height", "seconds", "pages")
+    texts = lambda *xs: [dict.fromkeys(keys) | {"type": "text", "text": x} for x in xs]
+    image = dict.fromkeys(keys) | {"type": "image", "ref": "a", "width": 1, "height": 1}
+    rows = [(1, 0, "assistant", None, texts("<", "/s> x")), (2, 0, "user", None, texts("[", "/INST] y")), (3, 0, "user", None, [*texts("<"), image, *texts("|x", "|", ">")])]
+    made = chat.format_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, text string, parts {chat.PARTS}"))
+    got = {r.conv_id: r for r in chat.read_back(made).collect()}
+    for conv, said in ((1, "assistant\n</s> x\n"), (2, "user\n[/INST] y\n"), (3, "user\n<<|image:0|>|x|>\n")):
+        assert (got[conv].n_turns, got[conv].turns_sha256) == (1, digest([said]))
+    assert (got[1].loss_chars, got[1].loss_sha256) == (6, digest(["</s> x"]))
