@@ -2,7 +2,8 @@
 
 A payload is a text's UTF-8, zero-padded to a positive multiple of UNIT bytes. It is stored without loss as
 unsigned 8-bit samples of a mono WAV; what is returned is computed from the samples that the wave module reads
-back from the stored bytes. Frames of FRAME samples, half overlapping, go through a Hann-windowed Fourier
+back from the stored bytes. First differences of the samples (0 for the first one), which lift the high bins of text
+against its low ones, are cut into frames of FRAME, half overlapping, that go through a Hann-windowed Fourier
 transform. A frame's peaks are its PEAKS strongest bins above the constant part; the strongest is paired with the
 others and with the strongest of the next FAN frames. A pair's code holds both bins and the distance, and its
 time is the first frame.
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fidelis.llm.common import map_arrow, slices
+from fidelis.llm.common import slices
 
 UNIT, RATE, FRAME, HOP, PEAKS, FAN, BLOCK = 64, 8000, 256, 128, 4, 3, 2048
 MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, times array<int>, codes array<int>, media binary"
@@ -106,4 +107,4 @@ def _media(batches: Iterator[pa.RecordBatch], with_media: bool) -> Iterator[pa.R
 def media_columns(docs: DataFrame, with_media: bool = False) -> DataFrame:
     """A row of MEDIA for each row of docs (doc_id, text, ...); times and codes are parallel arrays."""
     base = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    return map_arrow(base, lambda it: _media(it, with_media), MEDIA)
+    return base.mapInArrow(lambda it: _media(it, with_media), MEDIA)

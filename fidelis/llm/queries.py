@@ -26,7 +26,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents")).drop("times", "codes", "media")
+    return media.media_columns(table(spark, sf_dir, "documents")).drop("media")
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
