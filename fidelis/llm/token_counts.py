@@ -5,6 +5,9 @@ task are dropped before that. One of each content that the cache lacks is encode
 cache; then every document takes its content's count by a join of digests, whose two sides are plain shuffles, so
 that a content that a third of all documents has can be split.
 
+Content is digested as it is: two texts that differ in anything, blanks or letter case too, can have different tokens, so
+a digest of anything coarser would give wrong counts.
+
 The cache is a Parquet table (content binary, version string, n_tokens long). Appending is safe to repeat:
 equal keys have equal counts, and reading takes one of them.
 
@@ -18,11 +21,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import Scratch, map_arrow, slices, text_chunks
+from fidelis.llm.common import Scratch, exists, slices, text_chunks
 from fidelis.llm.tokenizers import counter, version
 
 CACHE = "content binary, version string, n_tokens long"
@@ -44,11 +46,11 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, stamp: str) -> Iterato
 
 
 def read_cache(docs: DataFrame, path: str, stamp: str) -> DataFrame:
-    """The counts stored for one tokenizer version; none where nothing was stored yet."""
-    try:
-        held = docs.sparkSession.read.schema(CACHE).parquet(path)
-    except AnalysisException:
-        held = docs.sparkSession.createDataFrame([], CACHE)
+    """The counts stored for one tokenizer version; none where nothing is there yet. What is there and isn't a cache is an error."""
+    spark = docs.sparkSession
+    held = spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], CACHE)
+    if dict(held.dtypes) != {"content": "binary", "version": "string", "n_tokens": "bigint"}:
+        raise ValueError(f"{path} is no cache of token counts: {held.dtypes}")
     return held.where(F.col("version") == stamp).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
@@ -58,9 +60,9 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, cache: str
     cache, stamp = cache or scratch.path("cache"), version(tokenizer)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text")).withColumn("content", F.unhex(F.sha2("text", 256)))
-    packed = map_arrow(keyed.select("content", "text"), _pack, "content binary, packed binary")
+    packed = keyed.select("content", "text").mapInArrow(_pack, "content binary, packed binary")
     misses = packed.groupBy("content").agg(F.first("packed").alias("packed")).join(read_cache(docs, cache, stamp), "content", "left_anti")
-    map_arrow(misses, lambda it: _encode(it, tokenizer, stamp), CACHE).write.mode("append").option("compression", "zstd").parquet(cache)
+    misses.mapInArrow(lambda it: _encode(it, tokenizer, stamp), CACHE).write.mode("append").option("compression", "zstd").parquet(cache)
     counts = scratch.write(read_cache(docs, cache, stamp), "counts")
     counted = keyed.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "content")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

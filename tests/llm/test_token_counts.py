@@ -1,3 +1,4 @@
+import pytest
 import sentencepiece
 from odd_texts import ODD
 
@@ -35,3 +36,10 @@ def test_repeated_rows_and_ids_and_none(docs_of):
     n = {t: len(MODEL.encode(t)) for t in ("x y", "z")}
     assert got == sorted([(1, 3, n["x y"], False)] * 2 + [(1, 1, n["z"], False), (2, 1, n["z"], False)])
     assert token_counts.token_counts(docs_of(["a"]).where("false"), PATH).count() == 0
+
+
+def test_what_is_no_cache_is_refused(docs_of, spark, tmp_path):
+    path = str(tmp_path / "other")
+    spark.range(3).write.parquet(path)
+    with pytest.raises(ValueError, match="no cache"):
+        token_counts.token_counts(docs_of(["a"]), PATH, cache=path)
