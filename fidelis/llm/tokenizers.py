@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
 from functools import lru_cache
 from pathlib import Path
 
@@ -23,13 +24,25 @@ def version(path: str) -> str:
     return hashlib.sha256(Path(path).read_bytes()).hexdigest()
 
 
+@lru_cache(maxsize=4)
+def library(path: str):
+    """The tokenizers library's own reading of a file, without truncation or padding."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    held = Tokenizer.from_file(path)
+    held.no_truncation()
+    held.no_padding()
+    return held
+
+
 class ByteBpe:
     """Ids of a byte-level BPE file of the tokenizers library.
 
-    Its merges are ranks over byte strings, so the ids are those of the rank encoder that runs several times
+    Where a file's merges are ranks over byte strings, the ids are those of the rank encoder, which runs several times
     faster; the split pattern is the one that the file's byte-level pre-tokenizer stands for. Special strings
-    inside a text become their ids, as the library does by default. A text that the rank encoder refuses
-    goes to the library itself. tests/llm hold both equal.
+    inside a text become their ids, as the library does by default. `ranked` says whether all that holds (see _ranked);
+    if not, and for a text that the rank encoder refuses, the library itself is used. tests/llm hold both equal.
     """
 
     def __init__(self, path: str, pattern: str | None = None):
@@ -37,27 +50,48 @@ class ByteBpe:
         import tiktoken
 
         self.path, spec = path, json.loads(Path(path).read_text(encoding="utf-8"))
-        if spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
-            raise ValueError(f"{path}: only a plain byte-level BPE file can be read")
-        # The printable stand-ins of byte-level BPE: printable Latin-1 for itself, the others from U+0100 on.
+        self.ranked = self._ranked(spec)
+        if self.ranked:
+            special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+            ranks = {self._bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+            self.encoder = tiktoken.Encoding("byte-bpe", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    @staticmethod
+    @lru_cache(maxsize=1)
+    def _stand() -> dict[str, int]:
+        """The printable stand-ins of byte-level BPE: printable Latin-1 for itself, the others from U+0100 on."""
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        stand = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(stand[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.encoder = tiktoken.Encoding("byte-bpe", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self._library = None
+        return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)}
+
+    def _bytes(self, token: str) -> bytes:
+        stand = self._stand()
+        return bytes(stand[c] for c in token)
+
+    def _ranked(self, spec: dict) -> bool:
+        """Whether ids follow from ranks: a plain byte-level file, all bytes in it, and every merge making the next id up."""
+        pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+        if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            return False
+        if model["type"] != "BPE" or any(model.get(x) for x in ("dropout", "ignore_merges", "fuse_unk", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")):
+            return False
+        if any(t[x] for t in spec["added_tokens"] for x in ("single_word", "lstrip", "rstrip")) or any(not t["special"] and t["normalized"] for t in spec["added_tokens"]):
+            return False
+        special, vocab = {t["content"] for t in spec["added_tokens"]}, model["vocab"]
+        plain = {t: i for t, i in vocab.items() if t not in special}
+        made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        if any(c not in self._stand() for t in plain for c in t) or {t for t in plain if len(t) == 1} != set(self._stand()):
+            return False
+        ids = [vocab.get(t, -1) for t in made]
+        return all(a < b for a, b in zip(ids, ids[1:], strict=False)) and min(ids, default=0) > max(plain[c] for c in self._stand()) and set(made) | set(self._stand()) == set(plain)
 
     def ids(self, text: str) -> np.ndarray:
-        try:
-            return self.encoder.encode_to_numpy(text, allowed_special="all")
-        except BaseException as e:  # the encoder's panics are no Exception
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
-                raise
-            if self._library is None:
-                from tokenizers import Tokenizer
-
-                self._library = Tokenizer.from_file(self.path)
-            return np.array(self._library.encode(text, add_special_tokens=False).ids, np.uint32)
+        if self.ranked:
+            try:
+                return self.encoder.encode_to_numpy(text, allowed_special="all")
+            except BaseException as e:  # the encoder's panics are no Exception
+                if isinstance(e, (KeyboardInterrupt, SystemExit)):
+                    raise
+        return np.array(library(self.path).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -73,12 +107,4 @@ def counter(path: str):
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
-    return lambda texts: [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+    return lambda texts: [len(x.ids) for x in library(path).encode_batch(texts, add_special_tokens=False)]

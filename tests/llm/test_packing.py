@@ -103,3 +103,25 @@ def test_random_lengths_come_near_the_lower_bound():
     counts = {n: rng.randrange(1, 50) for n in range(1, 1025)}
     _, used = packing.plan_slots(counts, 1024)
     assert least_sequences(counts) <= used <= 1.01 * least_sequences(counts)
+
+
+def test_files_whose_ids_do_not_follow_from_ranks_go_to_the_library(tmp_path):
+    import json
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    assert byte_bpe(PATH).ranked
+    stand = sorted(spec["model"]["vocab"], key=spec["model"]["vocab"].get)
+    letters = {t: i for i, t in enumerate([t for t in stand if len(t) == 1])}
+    n, text = len(letters), "abab ab aba don't"
+    changes = {
+        "plain": ({**letters, "ab": n, "aba": n + 1}, ["a b", "ab a"], {}, {}),
+        "order": ({**letters, "ab": n + 1, "ba": n}, ["a b", "b a"], {}, {}),
+        "merges": ({**letters, "ab": n, "abab": n + 1}, ["a b"], {"ignore_merges": True}, {}),
+        "regex": ({**letters, "ab": n, "bĠ": n + 1}, ["a b", "b Ġ"], {}, {"use_regex": False}),
+    }
+    for name, (vocab, merges, model, pre) in changes.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(spec | {"added_tokens": [], "model": spec["model"] | {"vocab": vocab, "merges": merges, "unk_token": None} | model, "pre_tokenizer": spec["pre_tokenizer"] | pre, "post_processor": None}), encoding="utf-8")
+        held = byte_bpe(str(path))
+        assert held.ranked == (name == "plain"), name
+        assert held.ids(text).tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
