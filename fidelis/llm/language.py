@@ -1,14 +1,15 @@
 """Language mixtures of documents by expectation-maximisation over n-gram likelihoods.
 
-Training counts byte trigrams of lower-cased letters, hashed to BINS, for every language over all labelled rows;
-the driver receives languages times BINS numbers at most, whatever the corpus size (label sets are taken to be
-small). A document is a mixture: each word comes from one language, with the document's proportions. These are
+Training counts byte trigrams of lower-cased letters, hashed to BINS, for every language over all its labelled rows.
+A model has MOST languages at most, a documented parameter: those with most labelled rows, ties by name. So what a task
+and the driver hold is bounded, whatever a dirty column has for labels: MOST times BINS numbers. A document is a mixture: each word comes from one language, with the document's proportions. These are
 estimated by expectation-maximisation; the language set is grown in order of proportion for as long as the
 log-likelihood gains more than PENALTY * log(1 + words) for each language added.
 
 Defined results: `und`, with score 0, for a null text, one without a letter, and any text where nothing was
-learned; a repeated row is predicted again; other columns are ignored; an empty table gives none. Rows without
-a language or text teach nothing.
+learned; a repeated row is predicted again; other columns are kept by predict, which refuses a table that has a column
+of the names it adds; an empty table gives none. Rows without a language or text teach nothing. Equal likelihoods go to
+the language whose name comes first.
 """
 
 from __future__ import annotations
@@ -18,14 +19,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fidelis.llm.common import map_arrow, slices, text_chunks
+from fidelis.llm.common import free_names, slices, text_chunks
 
 BITS = 15
 BINS = 1 << BITS
+MOST = 256
+#: Characters whose trigrams are summed at once; a piece of text ends at a blank, so only a longer word makes it longer.
+PIECE = 1 << 19
 PENALTY, ROUNDS, SMOOTH, FAINT = 4.0, 6, 0.5, 0.01
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -72,18 +77,8 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, str]]:
         if not self.languages:
             return [(UNKNOWN, 0.0, "")] * len(texts)
-        buf, bins, doc_at = _grams(texts)
-        blank = buf == 32
-        starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-        ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-        # A word's trigrams: those that start at the blank before it up to the one that ends with the blank after.
-        word = np.empty((len(starts), len(self.languages)), np.float64)
-        for i in range(len(self.languages)):
-            sums = np.concatenate(([0.0], np.cumsum(self.table[i][bins], dtype=np.float64)))
-            word[:, i] = sums[ends - 1] - sums[starts - 1]
-        edge = np.searchsorted(starts, doc_at[:-1] + 1)
-        edge = np.append(edge, len(starts))
-        size = np.diff(edge)
+        got = [self._words(t) for t in texts] if max(map(len, (t for t in texts if t)), default=0) > PIECE else [self._words_of(texts)]
+        word, size = (np.concatenate(x) for x in zip(*got, strict=True))
         some = np.flatnonzero(size)
         out: list[tuple[str, float, str]] = [(UNKNOWN, 0.0, "")] * len(texts)
         if len(some):
@@ -96,6 +91,34 @@ class LanguageModel:
                     out[d] = (self.languages[best[row]], min(1.0, max(0.0, float(share[row, best[row]]))), ",".join(f"{n}:{-s:.3f}" for s, n in names))
         return out
 
+    def _words(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """_words_of one text, by pieces that end at blanks."""
+        parts, at, text = [], 0, text or ""
+        while at < len(text):
+            end = at + PIECE
+            if end < len(text):
+                cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+                after = [x for x in (text.find(" ", end), text.find("\n", end)) if x >= 0]
+                end = cut + 1 if cut >= at else min(after, default=len(text) - 1) + 1
+            parts.append(self._words_of([text[at:end]])[0])
+            at = end
+        word = np.concatenate(parts) if parts else np.empty((0, len(self.languages)))
+        return word, np.array([len(word)])
+
+    def _words_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods of the words in each language, one text after another, and the texts' numbers of words."""
+        buf, bins, doc_at = _grams(texts)
+        blank = buf == 32
+        starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+        ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+        # A word's trigrams: those that start at the blank before it up to the one that ends with the blank after.
+        word = np.empty((len(starts), len(self.languages)), np.float64)
+        for i in range(len(self.languages)):
+            sums = np.concatenate(([0.0], np.cumsum(self.table[i][bins], dtype=np.float64)))
+            word[:, i] = sums[ends - 1] - sums[starts - 1]
+        edge = np.searchsorted(starts, doc_at[:-1] + 1)
+        return word, np.diff(np.append(edge, len(starts)))
+
     @staticmethod
     def _em(like: np.ndarray, first: np.ndarray, size: np.ndarray, share: np.ndarray) -> np.ndarray:
         """Proportions after ROUNDS of expectation-maximisation; like: each word's likelihoods, its largest 1."""
@@ -138,31 +161,36 @@ class LanguageModel:
         return share, chosen
 
 
-def learn(rows: DataFrame) -> LanguageModel:
-    """The model of all rows (lang, text) that have both."""
-    counts = map_arrow(rows.where("lang is not null and text is not null").select("lang", "text"), _count, "lang string, bin int, n long")
+def learn(rows: DataFrame, most: int = MOST) -> LanguageModel:
+    """The model of all rows (lang, text) that have both, of the `most` languages with most rows."""
+    rows = rows.where("lang is not null and text is not null").select("lang", "text")
+    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    languages = sorted(r["lang"] for r in common.collect())
+    if not languages:
+        return LanguageModel([], np.empty((0, BINS), np.float32))
+    counts = rows.where(F.col("lang").isin(languages)).mapInArrow(_count, "lang string, bin int, n long")
     got = counts.groupBy("lang", "bin").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(got["lang"].unique().tolist())
     table = np.full((len(languages), BINS), SMOOTH)
     table[np.searchsorted(languages, got["lang"].to_numpy()) if len(got) else [], got["bin"].to_numpy()] += got["n"].to_numpy()
     return LanguageModel(languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
-def _predict(batches: Iterator[pa.RecordBatch], model: LanguageModel, text_at: int, names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], model: Broadcast, text_at: int, names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         texts = batch.column(text_at).to_pylist()
-        for a, b in text_chunks(texts):
-            got = list(zip(*model.predict(texts[a:b]), strict=True))
+        for a, b in text_chunks(texts, PIECE):
+            got = list(zip(*model.value.predict(texts[a:b]), strict=True))
             part = batch.slice(a, b - a)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.string())], [*part.schema.names, *names])
 
 
 def predict(docs: DataFrame, model: LanguageModel, names: tuple[str, str, str] = PREDICTION) -> DataFrame:
     """docs (text and whatever else, but no column of these names) with the language, its score and the chosen set."""
+    free_names(docs, *names)
     kinds = (T.StringType(), T.DoubleType(), T.StringType())
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, kinds, strict=True))])
-    at = docs.columns.index("text")
-    return map_arrow(docs, lambda it: _predict(it, model, at, names), schema)
+    at, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(lambda it: _predict(it, shared, at, names), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
