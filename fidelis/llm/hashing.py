@@ -36,22 +36,51 @@ def _power(n: int, which: str) -> np.ndarray:
     return held[:n]
 
 
+#: Bytes that are hashed at once; a window ends before a blank, so only a longer word makes it longer.
+WINDOW = 1 << 20
+
+
+def _windows(space: np.ndarray) -> list[int]:
+    """Edges of the windows: 0, the length, and blanks in between."""
+    edges, n = [0], len(space)
+    while n - edges[-1] > WINDOW:
+        at = edges[-1] + WINDOW
+        back = np.flatnonzero(space[edges[-1] + 1 : at])
+        if len(back):
+            at = edges[-1] + 1 + int(back[-1])
+        else:
+            # A word of more than a window: on to its end, a window at a time.
+            while at < n and not (ahead := np.flatnonzero(space[at : at + WINDOW])).size:
+                at += WINDOW
+            at = n if at >= n else at + int(ahead[0])
+        edges.append(at)
+    return [*edges, n] if edges[-1] < n else edges
+
+
+def _words_of(buf: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words of some bytes."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
+    starts, ends = edge[0::2], edge[1::2]
+    sums = np.empty(len(buf) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE[buf] * _power(len(buf), "up"), dtype=np.uint64, out=sums[1:])
+    return starts, mix((sums[ends] - sums[starts]) * _power(len(buf), "down")[starts], 1) ^ mix((ends - starts).astype(np.uint64), 2)
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts in order, and the number of words of each text.
 
-    Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; a null text has none.
+    Words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z; a null text has none. What is held for each byte is held for a
+    window of them only.
     """
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     buf = np.frombuffer(b"\n".join(raw), dtype=np.uint8)
     if not len(buf):
         return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
     space = _SPACE[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
-    starts, ends = edge[0::2], edge[1::2]
-    sums = np.empty(len(buf) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE[buf] * _power(len(buf), "up"), dtype=np.uint64, out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * _power(len(buf), "down")[starts], 1) ^ mix((ends - starts).astype(np.uint64), 2)
+    edges = _windows(space)
+    found = [(a, *_words_of(buf[a:b], space[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
+    starts, words = np.concatenate([a + s for a, s, _ in found]), np.concatenate([w for _, _, w in found])
     at = np.cumsum([0, *(len(r) + 1 for r in raw)])
     return words, np.diff(np.searchsorted(starts, at))
 

@@ -104,3 +104,14 @@ def test_texts_that_share_an_id_keep_their_copies_together(docs_of):
     )
     rows = minhash.near_duplicates(docs_of([c, a, b, b, c], [3, 5, 5, 7, 5])).collect()
     assert {(r.doc_id, r.component_id) for r in rows} == {(3, 3), (5, 3), (7, 3)}
+
+
+def test_hashing_by_windows_does_not_show(monkeypatch):
+    from fidelis.llm import hashing
+
+    texts = ["a b " * 500, "w" * 900 + " x " + "y" * 50, None, "", "end", "é" * 200 + "\n" + "of a " * 90]
+    words, n = hashing.word_hashes(texts)
+    for size in (1, 7, 64, 300):
+        monkeypatch.setattr(hashing, "WINDOW", size)
+        got, m = hashing.word_hashes(texts)
+        assert (got == words).all() and (n == m).all()
