@@ -59,7 +59,3 @@ def text_chunks(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         held += n + 1
     if start < len(texts):
         yield start, len(texts)
-
-
-def map_arrow(df, fn, schema):
-    return df.mapInArrow(fn, schema)

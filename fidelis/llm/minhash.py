@@ -8,8 +8,14 @@ what is left is confirmed on the full shingle sets.
 Groups of copies never become all their pairs. Equal sets are one class from the start. Within a bucket, a
 first round confirms only a spanning forest of the plausible pairs, by blocks of BLOCK members; a second
 round holds every plausible pair whose ends are still in different components against the full sets, inside
-blocks that get the sets, and hands on only links that join components. So no link between different texts is
-lost, buckets of any size go through both rounds, and neither makes more rows than members times a few.
+cells that get the sets, and hands on only links that join components. Buckets of any size go through both rounds.
+
+A bucket's cells are its largest component's blocks, each with the other members, and pairs of blocks of these. Where
+that would make more than FAN rows a member, as in a large bucket of look-alikes that no link joins, the bucket is
+refined instead: members that agree in a second band too are a bucket of their own, BANDS - 1 rows a member. A pair at
+the threshold that shares a band shares another but for a chance of 3 in 100,000, the same as that of sharing none at
+all. Refining is done DEPTH times; so the second round makes at most FAN + BANDS rows a member, but for members that
+agree in DEPTH + 1 bands, 20 registers, and are linked by nothing: these meet in pairs of blocks, all of them.
 
 Defined results: a null or empty text, or one without words, has n_shingles 0 and is its own component;
 repeated rows come back once for each row; extra columns of the input are ignored; an empty table gives none.
@@ -25,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import Scratch, map_arrow, sized, slices, text_chunks
+from fidelis.llm.common import Scratch, sized, slices, text_chunks
 from fidelis.llm.components import components
 from fidelis.llm.hashing import U, mix, shingle_sets
 from fidelis.operators.ranges import running
@@ -33,6 +39,8 @@ from fidelis.operators.ranges import running
 BANDS, ROWS, MANTISSA = 40, 5, 10
 REGISTERS = BANDS * ROWS
 EMPTY = np.uint16(0xFFFF)
+#: Rows a member that pairs of blocks may make before a bucket is refined, and how often.
+FAN, DEPTH = 40, 3
 #: Members of a bucket that are compared at once, and about so many shingle hashes of theirs.
 BLOCK, BLOCK_HASHES = 256, 1 << 21
 #: For register i, the order in which it looks for a filled bucket when its own is empty.
@@ -100,15 +108,37 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(counts), pa.array(d1), pa.array(d2), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "n", "d1", "d2", "registers"])
 
 
+def _band_keys(regs: np.ndarray) -> np.ndarray:
+    """A key for each band of each row of registers."""
+    regs = regs.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), regs.shape[:2])
+    for j in range(ROWS):
+        key = mix(key ^ (regs[:, :, j] << U(16)), 31 + j)
+    return key
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, 1000):
-        regs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), regs.shape[:2])
-        for j in range(ROWS):
-            key = mix(key ^ (regs[:, :, j] << U(16)), 31 + j)
+        key = _band_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16))
         yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["band", "rid"])
 
 
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, used, rid, n, component, registers) once for each band that is not used yet, its key joined to that of the bucket."""
+    for part in slices(batches, 200):
+        keys = _band_keys(np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint16))
+        used = part.column(1).to_pylist()
+        free = np.array([[i not in u for i in range(BANDS)] for u in used], bool).reshape(-1, BANDS)
+        row, band = np.nonzero(free)
+        # Which bands are joined counts and not their order, so that a set of bands is one bucket.
+        joined = part.column(0).to_numpy().view(np.uint64)[row] + mix(keys[row, band], 61)
+        rows = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(joined.view(np.int64)), pa.array([[*used[r], b] for r, b in zip(row.tolist(), band.tolist(), strict=True)], pa.list_(pa.int32())), *(part.column(i).take(rows) for i in range(2, 6))],
+            ["band", "used", "rid", "n", "component", "registers"],
+        )
+
+
 def _find(parent: list[int], x: int) -> int:
     while parent[x] != x:
         parent[x] = parent[parent[x]]
@@ -199,7 +229,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 def _confirm(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Those pairs (a, b, set_a, set_b) whose full sets are alike."""
-    for batch in batches:
+    for batch in slices(batches):
         sets = zip(batch.column(2), batch.column(3), strict=True)
         keep = [_alike(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair), threshold) for pair in sets]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -208,7 +238,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     ends = [sets.select(F.col("rid").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
     joined = pairs.join(ends[0], "a").join(ends[1], "b")
-    return map_arrow(joined.select("a", "b", "set_a", "set_b"), lambda it: _confirm(it, threshold), "a long, b long")
+    return joined.select("a", "b", "set_a", "set_b").mapInArrow(lambda it: _confirm(it, threshold), "a long, b long")
 
 
 def numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, dict[str, int]]:
@@ -257,22 +287,17 @@ def of_nodes(docs: DataFrame, k: int = 5, threshold: float = 0.75) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = scratch.write(map_arrow(base, lambda it: _sketches(it, k), SKETCH), "sketch")
+    sketch = scratch.write(base.mapInArrow(lambda it: _sketches(it, k), SKETCH), "sketch")
     classes = scratch.write(
         sketch.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rid"), F.first("registers").alias("registers")),
         "classes",
     )
-    bands = map_arrow(classes.select("rid", "registers"), _bands, "band long, rid long")
-    # Buckets of more than one class; of those with the same members, one.
-    buckets = (
-        bands.groupBy("band").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.sum(F.xxhash64("rid") % 1_000_003).alias("s"))
-        .where("size > 1").groupBy("size", "x", "s").agg(F.min("band").alias("band")).select("band", "size")
-    )
-    members = scratch.write(bands.join(buckets, "band").join(classes.select("rid", "n", "registers"), "rid"), "members")
+    bands = classes.select("rid", "registers").mapInArrow(_bands, "band long, rid long")
+    members = scratch.write(bands.join(_buckets(bands), "band").join(classes.select("rid", "n", "registers"), "rid"), "members")
     ids = scratch.write(members.select("rid").distinct(), "ids")
     if ids.said["n"]:
         found = base.join(sized(ids.withColumnRenamed("rid", "doc_id"), ids.said["n"]), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        sets = scratch.write(map_arrow(found, lambda it: _sets(it, k), "rid long, shingles binary"), "sets")
+        sets = scratch.write(found.mapInArrow(lambda it: _sets(it, k), "rid long, shingles binary"), "sets")
         # Round one: a spanning forest of each bucket's plausible pairs, by blocks.
         salt = F.pmod(F.xxhash64("rid", "band"), F.ceil(F.col("size") / BLOCK))
         cells = members.select(F.xxhash64("band", salt).alias("cell"), "rid", "n", F.col("rid").alias("component"), F.lit(0).alias("side"), "registers")
@@ -298,25 +323,42 @@ def of_nodes(docs: DataFrame, k: int = 5, threshold: float = 0.75) -> DataFrame:
 
 def _in_cells(cells: DataFrame, threshold: float) -> DataFrame:
     ordered = cells.repartition("cell").sortWithinPartitions("cell", "rid")
-    return map_arrow(ordered, lambda it: _pairs(it, threshold), "a long, b long").distinct()
+    return ordered.mapInArrow(lambda it: _pairs(it, threshold), "a long, b long").distinct()
+
+
+def _buckets(bands: DataFrame) -> DataFrame:
+    """Bands of more than one row; of those with the same members, one."""
+    marks = bands.groupBy("band").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.sum(F.xxhash64("rid") % 1_000_003).alias("s"))
+    return marks.where("size > 1").groupBy("size", "x", "s").agg(F.min("band").alias("band")).select("band", "size")
 
 
-def _cells(placed: DataFrame, scratch: Scratch) -> DataFrame:
+def _cells(placed: DataFrame, scratch: Scratch, depth: int = DEPTH) -> DataFrame:
     """Cells for every pair of a bucket's members in different components.
 
     The bucket's largest component goes to blocks, each member to one; the others meet each of those blocks
-    and, block by block, one another. A bucket of one component has no cell.
+    and, block by block, one another. A bucket of one component has no cell; one that would make too many rows is refined.
     """
     by = placed.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum("n").alias("h"))
     main = F.max_by(F.struct("component", "c", "h"), F.struct("c", "component")).alias("main")
     shape = by.groupBy("band").agg(main, F.sum("c").alias("c"), F.sum("h").alias("h"), F.count("*").alias("k")).where("k > 1")
-    shape = scratch.write(shape.select("band", "main", "c", "h"), "shape")
-    rows = placed.join(sized(shape, shape.said["n"]), "band").withColumn("in_main", F.col("component") == F.col("main.component"))
     blocks = lambda c, h: F.ceil(F.greatest(c / BLOCK, h / BLOCK_HASHES))
-    blocks_main, blocks_rest = blocks(F.col("main.c"), F.col("main.h")), blocks(F.col("c") - F.col("main.c"), F.col("h") - F.col("main.h"))
-    own = F.pmod(F.xxhash64("rid", "band"), F.when(F.col("in_main"), blocks_main).otherwise(blocks_rest))
-    with_main = F.transform(F.sequence(F.lit(0).cast("long"), blocks_main - 1), lambda i: F.struct(F.lit("m").alias("kind"), i.alias("i"), F.lit(0).cast("long").alias("j"), F.lit(1).alias("side")))
-    with_rest = F.transform(F.sequence(F.lit(0).cast("long"), blocks_rest - 1), lambda i: F.struct(F.lit("r").alias("kind"), F.least(i, own).alias("i"), F.greatest(i, own).alias("j"), F.lit(0).alias("side")))
-    as_main = F.array(F.struct(F.lit("m").alias("kind"), own.alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side")))
-    cells = rows.withColumn("at", F.explode(F.when(F.col("in_main"), as_main).otherwise(F.concat(with_main, with_rest))))
-    return cells.select(F.xxhash64("band", "at.kind", "at.i", "at.j").alias("cell"), "rid", "n", "component", "at.side", "registers")
+    rest = F.col("c") - F.col("main.c")
+    shape = shape.withColumns({"blocks_main": blocks(F.col("main.c"), F.col("main.h")), "blocks_rest": blocks(rest, F.col("h") - F.col("main.h"))})
+    shape = shape.withColumn("refine", F.lit(depth > 0) & (F.col("main.c") + rest * (F.col("blocks_main") + F.col("blocks_rest")) > FAN * F.col("c")))
+    shape = scratch.write(shape.select("band", F.col("main.component").alias("largest"), "blocks_main", "blocks_rest", "refine"), "shape", refined=F.count_if("refine"))
+    rows = placed.join(sized(shape, shape.said["n"]), "band")
+    in_main = F.col("component") == F.col("largest")
+    own = F.pmod(F.xxhash64("rid", "band"), F.when(in_main, F.col("blocks_main")).otherwise(F.col("blocks_rest")))
+    at = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    zero = F.lit(0).cast("long")
+    with_main = F.transform(F.sequence(zero, F.col("blocks_main") - 1), lambda i: at("m", i, zero, 1))
+    with_rest = F.transform(F.sequence(zero, F.col("blocks_rest") - 1), lambda i: at("r", F.least(i, own), F.greatest(i, own), 0))
+    cells = rows.where("not refine").withColumn("at", F.explode(F.when(in_main, F.array(at("m", own, zero, 0))).otherwise(F.concat(with_main, with_rest))))
+    cells = cells.select(F.xxhash64("band", "at.kind", "at.i", "at.j").alias("cell"), "rid", "n", "component", "at.side", "registers")
+    if not shape.said["refined"]:
+        return cells
+    used = F.col("used") if "used" in placed.columns else F.array().cast("array<int>")
+    large = rows.where("refine").select("band", used.alias("used"), "rid", "n", "component", "registers")
+    finer = scratch.write(large.mapInArrow(_refined, "band long, used array<int>, rid long, n long, component long, registers binary"), "finer")
+    kept = _buckets(finer.select("band", "rid")).select("band")
+    return cells.unionAll(_cells(scratch.write(finer.join(kept, "band"), "refined"), scratch, depth - 1))

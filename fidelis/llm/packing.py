@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fidelis.llm.common import Scratch, map_arrow, slices
+from fidelis.llm.common import Scratch, slices
 from fidelis.llm.tokenizers import byte_bpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -48,7 +48,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: in
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
     """One row for each piece; all but a document's first are full."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_arrow(base, lambda it: _cut(it, tokenizer, end_id, capacity, with_ids), PIECES)
+    return base.mapInArrow(lambda it: _cut(it, tokenizer, end_id, capacity, with_ids), PIECES)
 
 
 def plan_slots(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:

@@ -115,3 +115,52 @@ def test_hashing_by_windows_does_not_show(monkeypatch):
         monkeypatch.setattr(hashing, "WINDOW", size)
         got, m = hashing.word_hashes(texts)
         assert (got == words).all() and (n == m).all()
+
+
+def placed_bucket(spark, n):
+    """One bucket of n members, each a component of its own: equal in the first band, by fours in the second, else of random registers."""
+    rng = np.random.Generator(np.random.PCG64(3))
+    regs = rng.integers(0, 1 << 16, (n, minhash.REGISTERS)).astype(np.uint16)
+    regs[:, : minhash.ROWS] = 7
+    regs[:, minhash.ROWS : 2 * minhash.ROWS] = (np.arange(n) // 4)[:, None]
+    key = int(minhash._band_keys(regs[:1])[0, 0].view(np.int64))
+    rows = [(key, i, 50, i, bytearray(r.tobytes())) for i, r in enumerate(regs)]
+    return spark.createDataFrame(rows, "band long, rid long, n long, component long, registers binary")
+
+
+def test_rows_of_cells_grow_with_the_members(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    seen = []
+
+    class Counted(minhash.Scratch):
+        def write(self, df, name, **sums):
+            out = super().write(df, name, **sums)
+            seen.append(out.said["n"])
+            return out
+
+    counts = []
+    for n in (500, 2000):
+        seen.clear()
+        cells = minhash._cells(placed_bucket(spark, n), Counted(spark, "test")).collect()
+        together = {}
+        for c in cells:
+            together.setdefault(c.cell, set()).add(c.rid)
+        assert all(any({4 * i + x, 4 * i + y} <= t for t in together.values()) for i in range(n // 4) for x in range(4) for y in range(x))
+        counts.append(len(cells) + sum(seen))
+        assert counts[-1] <= (minhash.FAN + minhash.BANDS) * n
+    assert counts[1] <= 5 * counts[0]
+
+
+def test_refined_buckets_lose_no_link(docs_of, monkeypatch):
+    for name, x in {"BLOCK": 2, "FAN": 2, "DEPTH": 2}.items():
+        monkeypatch.setattr(minhash, name, x)
+    monkeypatch.setattr(minhash._cells, "__defaults__", (2,))
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(3, 11)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    assert got(docs_of(texts)) == brute(dict(enumerate(texts)))
