@@ -127,11 +127,14 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (band, used, rid, n, component, registers) once for each band that is not used yet, its key joined to that of the bucket."""
     for part in slices(batches, 200):
         keys = _band_keys(np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint16))
-        used = part.column(1).to_pylist()
+        bucket, used = part.column(0).to_numpy().view(np.uint64), part.column(1).to_pylist()
+        # A bucket that wasn't refined has the key of one band for its own.
+        raw = np.array([not u for u in used], bool)
+        used = [u or np.flatnonzero(k == b).tolist() for u, k, b in zip(used, keys, bucket, strict=True)]
         free = np.array([[i not in u for i in range(BANDS)] for u in used], bool).reshape(-1, BANDS)
         row, band = np.nonzero(free)
         # Which bands are joined counts and not their order, so that a set of bands is one bucket.
-        joined = part.column(0).to_numpy().view(np.uint64)[row] + mix(keys[row, band], 61)
+        joined = np.where(raw, mix(bucket, 61), bucket)[row] + mix(keys[row, band], 61)
         rows = pa.array(row)
         yield pa.RecordBatch.from_arrays(
             [pa.array(joined.view(np.int64)), pa.array([[*used[r], b] for r, b in zip(row.tolist(), band.tolist(), strict=True)], pa.list_(pa.int32())), *(part.column(i).take(rows) for i in range(2, 6))],
