@@ -92,9 +92,9 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 """
 
 MIXING = rf"""
-WITH RECURSIVE docs AS (SELECT doc_id, source, lang, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_tokens, CASE WHEN regexp_matches(text, '( \| [^|\n]*){{3}}') THEN 'table' WHEN regexp_matches(text, '(?i)licen[sc]e|copyright') THEN 'licence'
+WITH RECURSIVE docs AS (SELECT doc_id, source, lang, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS n_words, CASE WHEN regexp_matches(text, '( \| [^|\n]*){{3}}') THEN 'table' WHEN regexp_matches(text, '(?i)licen[sc]e|copyright') THEN 'licence'
  WHEN regexp_matches(text, '[{{}};=]\s*\n|\b(def|class|return|import)\b') THEN 'code' WHEN length(text) < 1000 THEN 'short' ELSE 'prose' END AS topic FROM documents),
-cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS mass FROM docs GROUP BY ALL),
+cells AS (SELECT source, lang, topic, sum(n_words)::DOUBLE AS mass FROM docs GROUP BY ALL),
 shared AS (SELECT *, sum(mass) OVER () AS total, pow(sum(mass) OVER (PARTITION BY source), {mixing.TEMPERATURE}) AS ps, pow(sum(mass) OVER (PARTITION BY lang), {mixing.TEMPERATURE}) AS pl, pow(sum(mass) OVER (PARTITION BY topic), {mixing.TEMPERATURE}) AS pt FROM cells),
 goals AS (SELECT source, lang, topic, mass, total, ps / (SELECT sum(p) FROM (SELECT DISTINCT source, ps AS p FROM shared)) * total AS gs, pl / (SELECT sum(p) FROM (SELECT DISTINCT lang, pl AS p FROM shared)) * total AS gl,
  pt / (SELECT sum(p) FROM (SELECT DISTINCT topic, pt AS p FROM shared)) * total AS gt FROM shared),
@@ -104,7 +104,7 @@ ordered AS (SELECT *, sum(mass) OVER o AS full_mass, sum(mass * w) OVER () - sum
 stepped AS (SELECT *, ({mixing.SHARE} * total - full_mass + mass) / (rest + mass * w) AS f FROM ordered),
 factor AS (SELECT f FROM stepped WHERE f * w <= 1 ORDER BY k LIMIT 1),
 plan AS (SELECT source, lang, topic, w, least(1.0::DOUBLE, w * g.f) AS p FROM ordered, factor AS g)
-SELECT doc_id, source, lang, topic, n_tokens::BIGINT AS n_tokens, round(w, 6) AS weight, round(p, 6) AS prob, ('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < p AS sampled FROM docs JOIN plan USING (source, lang, topic)
+SELECT doc_id, source, lang, topic, n_words, round(w, 6) AS weight, round(p, 6) AS prob, ('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < p AS sampled FROM docs JOIN plan USING (source, lang, topic)
 """
 ORACLE_SQL = {
     "op1_minhash_near_dedup": NEAR_DUPLICATES,

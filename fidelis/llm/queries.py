@@ -56,16 +56,25 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_path("piece_bpe_32k.model"))
 
 
+def _rounded(mixed: DataFrame) -> DataFrame:
+    return mixed.withColumn("weight", F.round("weight", 6)).withColumn("prob", F.round("prob", 6))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mixture(table(spark, sf_dir, "documents"))
-    return out.withColumn("weight", F.round("weight", 6)).withColumn("prob", F.round("prob", 6))
+    """Sizes in words, which SQL can count too."""
+    return _rounded(mixing.mixture(table(spark, sf_dir, "documents")))
+
+
+def op10_token_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on sizes in tokens, as the pipeline has it."""
+    return _rounded(mixing.mixture(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_best_fit_packing, op3_secret_scan, op4_media_columns, op5_nearest_neighbours,
-        op6_substring_dedup, op6_repeated_passages, op7_language_id, op8_chat_format, op9_token_counts, op10_mixing,
+        op6_substring_dedup, op6_repeated_passages, op7_language_id, op8_chat_format, op9_token_counts, op10_mixing, op10_token_mixing,
     )
 }
 

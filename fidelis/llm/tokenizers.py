@@ -108,3 +108,11 @@ def counter(path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
     return lambda texts: [len(x.ids) for x in library(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def sizes(path: str):
+    """A function from texts, null as empty, to their numbers of tokens, by the fastest way that has the file's own ids."""
+    if path.endswith(".json") and (held := byte_bpe(path)).ranked:
+        return lambda texts: [len(held.ids(t)) if t else 0 for t in texts]
+    count = counter(path)
+    return lambda texts: count([t or "" for t in texts])
