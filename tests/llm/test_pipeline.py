@@ -1,4 +1,14 @@
+import collections
+import hashlib
+import itertools
+import re
+import zlib
+
 import corpus_pipeline
+import numpy as np
+import test_minhash
+import test_packing
+import test_secrets
 from odd_texts import ODD
 
 from fidelis.llm import language, minhash, mixing, packing, secrets
@@ -23,7 +33,7 @@ def test_stages_follow_one_another(spark, tmp_path, corpus):
         elif name == "secret_scan":
             assert ids == set(before) and secrets.scan(out).where("n_assign + n_access + n_hex > 0").count() == 0
         elif name == "mixing":
-            assert ids == {r.doc_id for r in mixing.mixture(docs).where("sampled").collect()}
+            assert ids == {r.doc_id for r in mixing.mixture(docs, public_path("byte_bpe_50k.json")).where("sampled").collect()}
         else:
             plain = packing.pack_documents(docs, public_path("byte_bpe_50k.json"))
             cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -31,9 +41,69 @@ def test_stages_follow_one_another(spark, tmp_path, corpus):
         docs, before = out, {r.doc_id: r for r in out.collect()}
 
 
-def test_run_gives_the_last_stages_rows(spark):
+def plain_topic(text):
+    if re.search(r"( \| [^|\n]*){3}", text):
+        return "table"
+    if re.search(r"licen[sc]e|copyright", text, re.IGNORECASE):
+        return "licence"
+    if re.search(r"[{};=][ \t\n\x0b\f\r]*\n|\b(def|class|return|import)\b", text, re.ASCII):
+        return "code"
+    return "short" if len(text) < 1000 else "prose"
+
+
+def plain_run(rows):
+    """The ids of the pieces that the pipeline must give, by (doc_id, piece), from plain Python and the tokenizers library."""
+    rows = [r for r in rows if re.search(r"[^\W\d_]", r.text or "")]
+    assert all(r.lang for r in rows)
+    kept = test_minhash.brute({r.doc_id: r.text for r in rows})
+    texts = {}
+    for r in rows:
+        if kept[r.doc_id][2]:
+            pieces, at = [], 0
+            for s, _, e in test_secrets.every(r.text):
+                if s >= at:
+                    pieces += [r.text[at:s], secrets.MASK]
+                at = max(at, e)
+            texts[r.doc_id] = "".join(pieces) + r.text[at:]
+    ids = {d: test_packing.LIBRARY.encode(t, add_special_tokens=False).ids for d, t in texts.items()}
+    cell = {r.doc_id: (r.source or "unknown", r.lang, plain_topic(texts[r.doc_id])) for r in rows if r.doc_id in texts}
+    mass = collections.Counter()
+    for d, c in cell.items():
+        mass[c] += len(ids[d])
+    weight, total = dict.fromkeys(mass, 1.0), sum(mass.values())
+    for step in range(3 * mixing.ROUNDS):
+        i = step % 3
+        before, now = collections.Counter(), collections.Counter()
+        for c, m in mass.items():
+            before[c[i]] += m
+            now[c[i]] += m * weight[c]
+        lifted = {v: m**mixing.TEMPERATURE for v, m in before.items()}
+        weight = {c: w * lifted[c[i]] / sum(lifted.values()) * total / now[c[i]] for c, w in weight.items()}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(m * min(1, mid * weight[c]) for c, m in mass.items()) < mixing.SHARE * total else (low, mid)
+    out = {}
+    for d, c in cell.items():
+        if int(hashlib.md5(f"{mixing.SEED}:{d}".encode()).hexdigest()[:12], 16) / 16**12 < min(1, high * weight[c]):
+            own = [*ids[d], 2]
+            first = len(own) % 1024 or 1024
+            for piece, (a, b) in enumerate(itertools.pairwise([0, *range(first, len(own) + 1, 1024)])):
+                out[d, piece] = own[a:b]
+    return out
+
+
+def test_run_matches_a_plain_version(spark, corpus):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert rows and {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(rows[0].asDict())
+    want = plain_run(corpus.collect())
+    assert {(r.doc_id, r.piece): np.frombuffer(bytes(r.ids), "<u4").tolist() for r in rows} == want and len(rows) == len(want)
+    places = {}
+    for r in rows:
+        assert r.length == len(want[r.doc_id, r.piece]) and r.ids_crc32 == zlib.crc32(bytes(r.ids))
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        assert [o for o, _ in sorted(own)] == [0, *itertools.accumulate(n for _, n in sorted(own))][:-1] and sum(n for _, n in own) <= 1024
+    assert len(places) <= -(-sum(r.length for r in rows) // 1024) + 2
 
 
 def test_odd_rows_pass_each_stage(spark, docs_of):
