@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fidelis.functions.stats import hash_uniform
+from fidelis.operators.assurance import set_digest
 from fidelis.operators.guard import guard
 from fidelis.operators.ranges import ranked_by_digest
 
@@ -31,12 +32,12 @@ def assign_splits(entries: DataFrame, families: list[str], datasets: list[str],
 
     A scene that holds a held-out question type anywhere leaves train and validation as a whole.
     """
-    closed = F.max(F.col("qtype").isin(*qtypes).cast("int")).over(Window.partitionBy("scene")) == 1
+    closed = entries.where(F.col("qtype").isin(*qtypes)).select("scene").distinct().withColumn("__closed", F.lit(True))
     split = (
         F.when(F.col("generator").isin(*families), "ood-model").when(F.col("dataset").isin(*datasets), "ood-dataset")
-        .when(F.col("qtype").isin(*qtypes), "ood-qtype").when(closed, "iid-test").otherwise(scene_split(F.col("scene")))
+        .when(F.col("qtype").isin(*qtypes), "ood-qtype").when(F.col("__closed"), "iid-test").otherwise(scene_split(F.col("scene")))
     )
-    return entries.withColumn("split", split)
+    return entries.join(closed, "scene", "left").withColumn("split", split).select(*entries.columns, "split")
 
 
 def balance(entries: DataFrame, splits: tuple[str, ...] = ("train", "validation"), key: str = "instance") -> DataFrame:
@@ -52,9 +53,12 @@ def quarantine(entries: DataFrame, touched: DataFrame, key: str) -> DataFrame:
     return entries.join(touched.select(key).distinct(), key, "left_anti")
 
 
-def matched_pairs(entries: DataFrame, stratum: list[str], label: str, key: str) -> DataFrame:
-    """Negatives and positives paired within strata by rank; rank by digest of the key. What has no partner is left."""
-    ranked = ranked_by_digest(entries.select(*stratum, label, key), [*stratum, label], key, "rank")
+def matched_pairs(entries: DataFrame, stratum: list[str], label: str, key: str, salt: str = "") -> DataFrame:
+    """Negatives and positives paired within strata by rank; rank by digest of the salt and the key. What has no partner is left.
+
+    Another salt gives another pairing at random, as a control sample with the same strata.
+    """
+    ranked = ranked_by_digest(entries.select(*stratum, label, key), [*stratum, label], key, "rank", salt)
     of = lambda value: F.max(F.when(F.col(label) == value, F.col(key)))
     return ranked.groupBy(*stratum, "rank").agg(of(0).alias("negative"), of(1).alias("positive")).where("negative is not null and positive is not null")
 
@@ -76,6 +80,16 @@ def disjointness(entries: DataFrame, column: str) -> DataFrame:
     return a.join(b, column).where("split_a < split_b").groupBy("split_a", "split_b").agg(F.count("*").alias("shared"))
 
 
-def manifest(entries: DataFrame) -> DataFrame:
+def control_sample(entries: DataFrame, stratum: list[str], label: str, key: str, share: float, salt: str = "control") -> DataFrame:
+    """Pairs as matched_pairs has them, drawn at random: of each stratum's, the first by a salted digest, at least the share of them."""
+    pairs = matched_pairs(entries, stratum, label, key, salt)
+    most = pairs.groupBy(*stratum).agg(F.max("rank").alias("__most"))
+    kept = pairs.withColumn("__s", F.struct(*stratum)).join(most.withColumn("__s", F.struct(*stratum)).select("__s", "__most"), "__s")
+    return kept.where(F.col("rank") <= F.ceil(F.col("__most") * share)).drop("__s", "__most")
+
+
+def manifest(entries: DataFrame, columns: list[str]) -> DataFrame:
     """Counts and an order-free digest of each split and class, with all subtotals."""
-    return entries.rollup("split", "label").agg(F.count("*").alias("n"), F.countDistinct("generator").alias("generators"), F.countDistinct("scene").alias("scenes"))
+    x, s = set_digest(*(F.col(c) for c in columns))
+    digest = F.concat_ws(":", F.count("*").cast("string"), x.cast("string"), s.cast("string"))
+    return entries.rollup("split", "label").agg(F.count("*").alias("n"), F.countDistinct("generator").alias("generators"), F.countDistinct("scene").alias("scenes"), digest.alias("digest"))

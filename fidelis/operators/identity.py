@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,10 @@ def baseline_digest(answer: Column, rationale: Column) -> Column:
     return F.sha2(canonical_json(answer, rationale), 256)
 
 
+def digest_holds(answer: str, rationale: str, digest: str) -> Column:
+    return F.coalesce(baseline_digest(F.col(answer), F.col(rationale)) == F.col(digest), F.lit(False))
+
+
 def verify_digest(df: DataFrame, answer: str, rationale: str, digest: str) -> DataFrame:
     return guard(df, baseline_digest(F.col(answer), F.col(rationale)) == F.col(digest), "baseline digest mismatch")
 
@@ -50,5 +58,19 @@ def derangement(positioned: DataFrame, key: str, pos: str = "pos") -> DataFrame:
 
 
 def ids_digest(df: DataFrame, key: str) -> DataFrame:
-    """SHA-256 of all ids in order, one a line, with their number; one row. For registered pools, which fit one value."""
-    return df.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n"), 256).alias("digest"))
+    """SHA-256 of all ids in order, one a line, with their number; one row.
+
+    A digest of ids in a row is one task's by its nature; that task sorts, with spilling, and hashes them as they pass, so
+    it holds a batch at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, digest = 0, hashlib.sha256()
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                digest.update(f"\n{x}".encode("utf-8", "surrogatepass") if n else x.encode("utf-8", "surrogatepass"))
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], ["n", "digest"])
+
+    ids = df.select(F.col(key).cast("string").alias("id")).where("id is not null")
+    return ids.repartition(1).sortWithinPartitions("id").mapInArrow(run, "n long, digest string")

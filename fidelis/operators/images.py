@@ -84,6 +84,19 @@ def apply_regimes(images: DataFrame) -> DataFrame:
     return images.mapInPandas(run, "instance long, regime string, pixels binary")
 
 
+def sweep_cells(images: DataFrame, side: int = 8) -> DataFrame:
+    """(instance, cell, pixels): each image of (instance, height, width, pixels) once for each cell of the grid, that cell blackened."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                image, cells = _array(r.pixels, r.height, r.width), range(side * side)
+                boxes = [(c // side * r.height // side, c % side * r.width // side, (c // side + 1) * r.height // side, (c % side + 1) * r.width // side) for c in cells]
+                yield pd.DataFrame({"instance": r.instance, "cell": list(cells), "pixels": [occlude_cell(image, b).tobytes() for b in boxes]})
+
+    return images.select("instance", "height", "width", "pixels").mapInPandas(run, "instance long, cell long, pixels binary")
+
+
 def apply_edits(images: DataFrame) -> DataFrame:
     """(instance, targeted, control): images edited in `box` and in `patches`; control is null without patches."""
 

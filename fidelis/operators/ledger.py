@@ -30,6 +30,11 @@ def no_duplicates(log: DataFrame, key: str) -> DataFrame:
     return guard(log.groupBy(key).agg(F.count("*").alias("commits")), F.col("commits") == 1, "a key was committed twice")
 
 
+def duplicates(log: DataFrame, key: str) -> DataFrame:
+    """Keys that were committed more than once, with their number of commits."""
+    return log.groupBy(key).agg(F.count("*").alias("commits")).where("commits > 1")
+
+
 def commit(rows: DataFrame, path: str, key: str) -> int:
     """Append the rows whose key is not in the log at path; how many. Running it again appends none."""
     spark = rows.sparkSession

@@ -30,15 +30,15 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
     return out.select(*df.columns, *sums)
 
 
-def ranked_by_digest(df: DataFrame, group: list[str], key: str, name: str) -> DataFrame:
-    """df with the 1-based rank of each row within its group, by digest of the key and then the key.
+def ranked_by_digest(df: DataFrame, group: list[str], key: str, name: str, salt: str = "") -> DataFrame:
+    """df with the 1-based rank of each row within its group, by digest of the salt and the key, and then the key.
 
     A group is dealt out by its digests' first digits, which are in order and of even size, so one that holds most
     rows is many tasks; a share's rank is its own plus the sizes of the group's earlier shares.
     """
     # A struct is never null itself, so the join's keys are those that the rows are already dealt out by.
     own = ["__group", "__share"]
-    digest = F.md5(F.col(key).cast("string"))
+    digest = F.md5(F.concat(F.lit(salt), F.col(key).cast("string")))
     keyed = df.withColumns({"__group": F.struct(*group), "__digest": digest, "__share": F.coalesce(F.substring(digest, 1, DIGITS), F.lit(""))})
     ranked = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy(*own).orderBy("__digest", key)))
     sizes = ranked.groupBy(*own).agg(F.max("__nth").alias("__n"))

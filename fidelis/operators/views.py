@@ -12,15 +12,23 @@ FORBIDDEN = (
 )
 OPEN_SPLITS = ("train", "validation")
 PREDICTOR = ("instance_id", "split", "image", "question", "options", "chosen_answer", "rationale")
+HIDDEN, AUDIT = ("instance_id", "label", "reason_code", "split"), ("state", "generator_id", "margins", "sealed_provenance")
 ATTESTED = ("predictor isolation at run time", "generator fingerprint review")
 
 
+def _complete(entries: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The columns, all of them; a view that lacks one must not be released."""
+    if lacking := [c for c in columns if c not in entries.columns]:
+        raise ValueError(f"the view lacks {lacking}")
+    return entries.select(*columns)
+
+
 def predictor_view(entries: DataFrame) -> DataFrame:
-    return entries.select(*(c for c in PREDICTOR if c in entries.columns))
+    return _complete(entries, PREDICTOR)
 
 
 def hidden_view(entries: DataFrame) -> DataFrame:
-    return entries.select("instance_id", "label", "reason_code", "split")
+    return _complete(entries, HIDDEN)
 
 
 def severed(instance: Column, salt: str) -> Column:
@@ -29,7 +37,7 @@ def severed(instance: Column, salt: str) -> Column:
 
 
 def audit_view(entries: DataFrame, salt: str) -> DataFrame:
-    return entries.select(severed(F.col("instance_id"), salt).alias("audit_id"), *(c for c in ("state", "generator_id", "margins", "sealed_provenance") if c in entries.columns))
+    return _complete(entries, ("instance_id", *AUDIT)).select(severed(F.col("instance_id"), salt).alias("audit_id"), *AUDIT)
 
 
 def _verdict(bad: DataFrame, name: str, key: str) -> DataFrame:
@@ -56,6 +64,11 @@ def ragged_keys(rows: DataFrame, props: str) -> DataFrame:
     return rows.withColumn("keys", keys).withColumn("forbidden", F.array_sort(F.array_intersect("keys", F.array(*map(F.lit, FORBIDDEN)))))
 
 
+def check_ragged(rows: DataFrame, props: str, key: str) -> DataFrame:
+    """No forbidden name among the keys of a JSON object, for rows of any shape."""
+    return _verdict(ragged_keys(rows, props).where(F.size("forbidden") > 0), "ragged_exclusions", key)
+
+
 def _labels_with_split(labels: DataFrame, predictor: DataFrame) -> DataFrame:
     return labels.select("instance_id").join(predictor.select("instance_id", "split"), "instance_id", "left")
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.functions import stats, text
-from fidelis.operators import assemble, assurance, calibrate, conditions, evaluate, gates, grid, identity, images, ingest, ledger, views
+from fidelis.operators import assemble, assurance, calibrate, conditions, descriptives, evaluate, gates, grid, identity, images, ingest, ledger, run, views
 from fidelis.plans import roles as R
+from fidelis.sources.scratch import Scratch
 from fidelis.streaming import ledger_stream as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,10 +82,13 @@ def routed_counts(spark, d):
     return R.resolved(spark, d).where(F.col("res").startswith("E")).groupBy(F.col("res").alias("e_code")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS resolved, 0::BIGINT AS unresolved, 0::BIGINT AS unknown, 0::BIGINT AS repeated FROM orders")
+@query("""WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 31 <> 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 37 = 0 UNION ALL SELECT -1), n AS (SELECT k, count(*) AS n FROM o GROUP BY k)
+SELECT count(*) FILTER (WHERE n IS NULL) AS unresolved, count(*) FILTER (WHERE o_orderkey IS NULL) AS unknown, count(*) FILTER (WHERE n > 1) AS repeated, count(*) FILTER (WHERE o_orderkey IS NOT NULL AND n = 1) AS resolved FROM orders FULL JOIN n ON o_orderkey = k""")
 def resolution_totality(spark, d):
+    """Outcomes of which some are missing, some are there twice and one has no candidate."""
     res = R.resolved(spark, d)
-    outcomes = res.where(F.col("res").startswith("S")).select("instance").unionAll(res.where(F.col("res").startswith("E")).select("instance"))
+    once, twice = res.where("instance % 31 <> 0").select("instance"), res.where("instance % 37 = 0").select("instance")
+    outcomes = once.unionAll(twice).unionAll(spark.createDataFrame([(-1,)], "instance long"))
     return assemble.totality(R.candidates(spark, d), outcomes, "instance")
 
 
@@ -117,11 +121,13 @@ def baseline_digest(spark, d):
     return R.extracted(spark, d).select("instance", identity.baseline_digest(F.col("answer"), F.col("rationale")).alias("digest"))
 
 
-@query(f"WITH {R.EXTRACTED} SELECT count(*) AS verified FROM extracted")
+@query(f"WITH {R.EXTRACTED} SELECT count(*) AS n, count(*) FILTER (WHERE instance % 7 <> 0) AS verified, count(*) FILTER (WHERE instance % 7 = 0) AS altered FROM extracted")
 def digest_verify(spark, d):
-    rows = R.extracted(spark, d)
-    held = rows.withColumn("digest", identity.baseline_digest(F.col("answer"), F.col("rationale")))
-    return identity.verify_digest(held, "answer", "rationale", "digest").agg(F.count("*").alias("verified"))
+    """Rationales that were altered after their digest was taken, one in seven, against those that weren't."""
+    rows = R.extracted(spark, d).withColumn("digest", identity.baseline_digest(F.col("answer"), F.col("rationale")))
+    later = rows.withColumn("rationale", F.when(F.col("instance") % 7 == 0, F.concat(F.coalesce("rationale", F.lit("")), F.lit("!"))).otherwise(F.col("rationale")))
+    same = identity.digest_holds("answer", "rationale", "digest")
+    return later.agg(F.count("*").alias("n"), F.count_if(same).alias("verified"), F.count_if(~same).alias("altered"))
 
 
 @query("""SELECT doc_id, to_json({'dataset': lang, 'record_id': doc_id::VARCHAR})::VARCHAR AS source, to_json({'dtype': source, 'name': lang})::VARCHAR AS generator FROM documents""")
@@ -138,9 +144,9 @@ def spatial_flag(spark, d):
 
 @query(f"WITH {R.EXTRACTED} SELECT instance, coalesce(list_position(list_transform(options, lambda o: lower(trim(o))), lower(trim(answer))), 0)::BIGINT - 1 AS baseline FROM extracted WHERE answer IS NOT NULL")
 def baseline_index(spark, d):
-    rows = R.extracted(spark, d).where("answer is not null")
-    place = F.array_position(F.transform("options", text.folded), text.folded(F.col("answer"))) - 1
-    return rows.select("instance", place.cast("long").alias("baseline"))
+    return R.extracted(spark, d).where("answer is not null").select("instance", descriptives.baseline_index(F.col("answer"), F.col("options")).alias("baseline"))
+
+
 
 
 _HIT = " OR ".join("regexp_matches({0}, '(?i)" + p + "')" for p in R.HITS)
@@ -151,6 +157,19 @@ def registry_scan(spark, d):
     return R.table(spark, d, "documents").select("doc_id", text.registry_hit(F.col("text"), R.HITS).alias("hit"))
 
 
+_SAID = "CASE WHEN (conv_id * 7 + turn) % 24 < 15 THEN [" + ", ".join("'" + p.replace("'", "''").replace(r"^\s*$", " ") + "'" for p in text.ABSTENTIONS) + "][(conv_id * 7 + turn) % 24 + 1] || CASE WHEN (conv_id * 7 + turn) % 24 > 0 THEN ', ' || text ELSE '' END ELSE text END"
+_REGISTERED = " OR ".join("regexp_matches(said, '(?i)" + p.replace("'", "''") + "')" for p in text.ABSTENTIONS)
+
+
+@query(f"SELECT conv_id, turn, {_REGISTERED} AS hit FROM (SELECT conv_id, turn, {_SAID} AS said FROM conversations)")
+def registered_patterns(spark, d):
+    """The whole registry over turns of which most begin with one of its phrases or are blank."""
+    pick = (F.col("conv_id") * 7 + F.col("turn")) % 24
+    phrases = F.array(*(F.lit(" " if p == r"^\s*$" else p) for p in text.ABSTENTIONS))
+    said = F.when(pick < 15, F.concat(F.get(phrases, pick.cast("int")), F.when(pick > 0, F.concat(F.lit(", "), "text")).otherwise(F.lit("")))).otherwise(F.col("text"))
+    return R.table(spark, d, "conversations").select("conv_id", "turn", text.registry_hit(said).alias("hit"))
+
+
 _GATED = (
     f"{R.EXTRACTED}, gated AS (SELECT *, coalesce({R.sql_strip('rationale')} <> '' AND len(list_filter(options, lambda o: lower(trim(o)) = lower(trim(answer)))) = 1, false) AS p1, "
     f"coalesce(NOT ({_HIT.format('rationale')}) AND {R.sql_tokens('rationale')} >= 5 AND lower(regexp_replace({R.sql_strip('rationale')}, '[.]+\\z', '')) <> lower(regexp_replace({R.sql_strip('answer')}, '[.]+\\z', '')), false) AS p2, turn % 3 <> 2 AS p3 FROM extracted), "
@@ -201,11 +220,7 @@ def p6_controls(spark, d):
 @query(f"""WITH {R.EXTRACTED} SELECT count(*) AS n, count(*) FILTER (WHERE answer IS NOT NULL) AS parsed, count(*) FILTER (WHERE rationale IS NOT NULL) AS with_rationale,
  count(*) FILTER (WHERE starts_with(raw, '<think>')) AS opened, count(*) FILTER (WHERE plain IS NULL) AS unclosed, round(count(*) FILTER (WHERE answer = 'cigar') / greatest(1, count(*) FILTER (WHERE answer IS NOT NULL))::DOUBLE, 3) AS agreement FROM extracted""")
 def extraction_quality(spark, d):
-    parsed = F.count_if(F.col("answer").isNotNull())
-    return R.extracted(spark, d).agg(
-        F.count("*").alias("n"), parsed.alias("parsed"), F.count_if(F.col("rationale").isNotNull()).alias("with_rationale"), F.count_if(F.col("raw").startswith("<think>")).alias("opened"),
-        F.count_if(F.col("plain").isNull()).alias("unclosed"), F.round(F.count_if(F.col("answer") == "cigar") / F.greatest(F.lit(1), parsed), 3).alias("agreement"),
-    )
+    return run.extraction_quality(R.extracted(spark, d), F.lit("cigar"))
 
 
 # --- ingest, identity, ledger ------------------------------------------------------------------------------
@@ -293,6 +308,11 @@ def ledger_no_duplicates(spark, d):
     return ledger.no_duplicates(R.table(spark, d, "events"), "event_id").agg(F.count("*").alias("keys"), F.sum("commits").alias("commits"))
 
 
+@query("SELECT user_id, count(*) AS commits FROM events GROUP BY user_id HAVING count(*) > 1")
+def ledger_duplicates(spark, d):
+    return ledger.duplicates(R.table(spark, d, "events"), "user_id")
+
+
 @query("SELECT count(*) AS comparable, count(*) FILTER (WHERE a.n_chars IS NOT DISTINCT FROM CASE WHEN a.doc_id % 9 <> 0 THEN a.n_chars END) AS identical FROM documents a")
 def determinism_check(spark, d):
     docs = R.table(spark, d, "documents").select("doc_id", "n_chars")
@@ -347,15 +367,43 @@ def wilson(spark, d):
     return rates.select("source", "n_docs", "hits", F.round(ci["low"], 6).alias("low"), F.round(ci["high"], 6).alias("high"))
 
 
-_GATE = "SELECT count(*) AS n, count(*) FILTER (WHERE answer IS NOT NULL) AS parsed, count(*) FILTER (WHERE answer = 'cigarette') AS agreed FROM extracted WHERE conv_id BETWEEN 10 AND 59"
+_SLICE = "sliced AS (SELECT *, row_number() OVER (ORDER BY instance) - 1 AS pos FROM extracted)"
+_SUMS = "count(*) AS n, count(*) FILTER (WHERE answer IS NOT NULL) AS parsed, count(*) FILTER (WHERE answer = 'cigarette') AS agreed"
+_PASSED = "round(parsed / n::DOUBLE, 4) AS parseability, coalesce(round(agreed / nullif(parsed, 0)::DOUBLE, 4), 0.0::DOUBLE) AS agreement, parsed / n::DOUBLE >= 0.9 AND coalesce(agreed / nullif(parsed, 0)::DOUBLE, 0) >= 0.6 AS passed"
+
 
+def _rounded_gate(gate):
+    return gate.withColumn("parseability", F.round("parseability", 4)).withColumn("agreement", F.round("agreement", 4))
 
-@query(f"WITH {R.EXTRACTED}, g AS ({_GATE}) SELECT n, round(parsed / n::DOUBLE, 4) AS parseability, coalesce(round(agreed / nullif(parsed, 0)::DOUBLE, 4), 0.0::DOUBLE) AS agreement, parsed / n::DOUBLE >= 0.9 AND coalesce(agreed / nullif(parsed, 0)::DOUBLE, 0) >= 0.6 AS passed FROM g")
+
+@query(f"WITH {R.EXTRACTED}, {_SLICE}, g AS (SELECT {_SUMS} FROM sliced WHERE pos < {run.GATE_SLICE}) SELECT n, {_PASSED} FROM g")
 def calibration_gate(spark, d):
-    part = R.extracted(spark, d).where("conv_id between 10 and 59")
-    sums = part.agg(F.count("*").alias("n"), F.count_if(F.col("answer").isNotNull()).alias("parsed"), F.count_if(F.col("answer") == "cigarette").alias("agreed"))
-    share, agreement = F.try_divide("parsed", "n"), F.coalesce(F.try_divide("agreed", "parsed"), F.lit(0.0))
-    return sums.select("n", F.round(share, 4).alias("parseability"), F.round(agreement, 4).alias("agreement"), ((share >= 0.9) & (agreement >= 0.6)).alias("passed"))
+    """The gate over its slice: the first records by assigned position."""
+    placed = identity.assign_position(R.extracted(spark, d), "instance")
+    from fidelis.sources.readers import shard
+
+    return _rounded_gate(run.calibration_gate(shard(placed, 0, run.GATE_SLICE), F.col("answer"), F.lit("cigarette")))
+
+
+@query(f"WITH {R.EXTRACTED}, x AS (SELECT conv_id % 7 AS generator, count(*) AS n, count(answer) AS parsed, count(*) FILTER (WHERE answer = 'cigarette') AS agreed FROM (SELECT conv_id, CASE WHEN conv_id % 7 < 3 THEN CASE WHEN conv_id % 7 < 2 THEN 'cigarette' ELSE coalesce(answer, 'pen') END ELSE answer END AS answer FROM extracted) GROUP BY 1) SELECT generator, n, {_PASSED} FROM x")
+def gates_by_generator(spark, d):
+    """A gate for each generator; two give the expected answer throughout, one always an answer, the others as it comes."""
+    g = F.col("conv_id") % 7
+    answer = F.when(g < 2, F.lit("cigarette")).when(g < 3, F.coalesce("answer", F.lit("pen"))).otherwise(F.col("answer"))
+    rows = R.extracted(spark, d).select(g.alias("generator"), answer.alias("answer"))
+    return _rounded_gate(run.calibration_gate(rows, F.col("answer"), F.lit("cigarette"), ["generator"]))
+
+
+@query("""WITH g AS (SELECT n_nationkey AS generator, 'g' || n_nationkey || CASE WHEN n_nationkey % 5 = 4 THEN '@old' ELSE '' END AS certified, n_nationkey % 3 <> 0 AS passed FROM nation WHERE n_nationkey < 20)
+SELECT generator, refused, count(*) AS runs FROM (SELECT r.generator, CASE WHEN contains(identity, 'int8') THEN 'quantized identity' WHEN certified IS NULL THEN 'no gate artifact' WHEN NOT passed THEN 'failed gate' WHEN identity <> certified THEN 'other identity' END AS refused
+ FROM (SELECT o_custkey % 25 AS generator, 'g' || (o_custkey % 25) || CASE WHEN o_orderkey % 6 = 0 THEN '-int8' ELSE '' END AS identity FROM orders) r LEFT JOIN g USING (generator)) GROUP BY ALL""")
+def shard_guards(spark, d):
+    """Runs of 25 generators, some quantized, against the gate artifacts of 20, of which some failed or certify an older identity."""
+    n = F.col("n_nationkey")
+    gates_made = R.table(spark, d, "nation").where(n < 20).select(n.alias("generator"), F.concat(F.lit("g"), n.cast("string"), F.when(n % 5 == 4, "@old").otherwise("")).alias("identity"), (n % 3 != 0).alias("passed"))
+    g = F.col("o_custkey") % 25
+    runs = R.table(spark, d, "orders").select(g.alias("generator"), F.concat(F.lit("g"), g.cast("string"), F.when(F.col("o_orderkey") % 6 == 0, "-int8").otherwise("")).alias("identity"))
+    return run.refusals(runs, gates_made).groupBy("generator", "refused").agg(F.count("*").alias("runs"))
 
 
 @query(f"WITH {R.READINGS} SELECT regime, count(*) AS n, count(*) FILTER (WHERE scores[instance % 3 + 1] >= list_max(scores)) AS with_ties, count(*) FILTER (WHERE list_position(scores, list_max(scores)) = instance % 3 + 1) AS first_only FROM readings GROUP BY regime")
@@ -387,23 +435,30 @@ def drift_auroc(spark, d):
     return evaluate.auroc(scored, "s", "t").withColumn("auroc", F.round("auroc", 6))
 
 
+@query(f"""WITH {R.DRIFTS}, scored AS (SELECT targeted AS s, 1 AS t FROM drifts UNION ALL SELECT control, 0 FROM drifts), a AS ({_AUC.format(by='', part='', group='').replace('round(sum(wins) / nullif(sum(pos) * sum(neg), 0)::DOUBLE, 6)', 'sum(wins) / nullif(sum(pos) * sum(neg), 0)::DOUBLE')}),
+v AS (SELECT *, sqrt(greatest(0.0::DOUBLE, auroc * (1 - auroc) + (n_pos - 1) * (auroc / (2 - auroc) - auroc * auroc) + (n_neg - 1) * (2 * auroc * auroc / (1 + auroc) - auroc * auroc)) / (n_pos::DOUBLE * n_neg)) AS se FROM a)
+SELECT round(auroc, 6) AS auroc, round(greatest(0.0::DOUBLE, auroc - 1.96 * se), 6) AS low, round(least(1.0::DOUBLE, auroc + 1.96 * se), 6) AS high, n_pos, n_neg, auroc - 1.96 * se >= 0.71 AS viable FROM v""")
+def drift_effect_gate(spark, d):
+    rows = R.drifts(spark, d)
+    scored = rows.select(F.explode(F.array(F.struct(F.col("targeted").alias("s"), F.lit(1).alias("t")), F.struct(F.col("control").alias("s"), F.lit(0).alias("t"))))).select("col.*")
+    return evaluate.effect_gate(scored, "s", "t").select(*(F.round(c, 6).alias(c) for c in ("auroc", "low", "high")), "n_pos", "n_neg", "viable")
+
+
 @query(f"WITH {R.DRIFTS} SELECT round(median(targeted - control), 6) AS delta, median(targeted - control) > 0 AS positive FROM drifts")
 def paired_delta(spark, d):
-    return R.drifts(spark, d).agg(F.median(F.col("targeted") - F.col("control")).alias("m")).select(F.round("m", 6).alias("delta"), (F.col("m") > 0).alias("positive"))
+    return descriptives.paired_delta(R.drifts(spark, d)).withColumn("delta", F.round("delta", 6))
 
 
 @query(f"WITH {R.DRIFTS} SELECT instance % 2 = 0 AS flipped, count(*) AS n, round(avg(targeted), 6) AS mean_drift, round(median(targeted), 6) AS median_drift FROM drifts GROUP BY 1")
 def drift_by_flip(spark, d):
-    return R.drifts(spark, d).groupBy((F.col("instance") % 2 == 0).alias("flipped")).agg(F.count("*").alias("n"), F.round(F.avg("targeted"), 6).alias("mean_drift"), F.round(F.median("targeted"), 6).alias("median_drift"))
+    return descriptives.drift_by(R.drifts(spark, d), F.col("instance") % 2 == 0, "flipped")
 
 
 @query(f"WITH {R.RESOLVED}, a AS (SELECT instance, res LIKE 'S%' AS on_res, drift >= 50 AS off_res FROM resolved), g AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE on_res <> off_res) AS flips FROM a) SELECT flips, n::BIGINT AS n, round((flips / n + 3.8416 / (2 * n) - 1.96 * sqrt(flips / n * (1 - flips / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS low FROM g")
 def ablation_flips(spark, d):
-    rows = R.resolved(spark, d)
-    off = R.candidates(spark, d).select("instance", (F.col("drift") >= 50).alias("off_res"))
-    both = rows.select("instance", F.col("res").startswith("S").alias("on_res")).join(off, "instance")
-    sums = both.agg(F.count_if(F.col("on_res") != F.col("off_res")).alias("flips"), F.count("*").alias("n"))
-    return sums.select("flips", "n", F.round(stats.wilson(F.col("flips"), F.col("n"))["low"], 6).alias("low"))
+    on = R.resolved(spark, d).select("instance", F.col("res").startswith("S").alias("kept"))
+    off = R.candidates(spark, d).select("instance", (F.col("drift") >= 50).alias("kept"))
+    return evaluate.rule_flips(on, off, "instance", "kept").withColumn("low", F.round("low", 6))
 
 
 # --- grids and images --------------------------------------------------------------------------------------
@@ -463,15 +518,41 @@ def refine_span(spark, d):
     return docs.select("doc_id", span.alias("s")).select("doc_id", (F.col("s.start") - 1).alias("start"), (F.col("s.end") - 1).alias("end"), "s.n")
 
 
-def _images(spark, d):
+def _pixels(height: int, width: int):
+    """Bytes of a small image that follow from the part's key."""
+    pixel = F.transform(F.sequence(F.lit(0), F.lit(height * width * 3 - 1)), lambda i: F.lpad(F.hex((i * 7 + F.col("instance") * 13) % 256), 2, "0"))
+    return F.unhex(F.array_join(pixel, ""))
+
+
+def _images(spark, d, height=32, width=48):
     """Tiny images from parts, with their derangement partners and boxes."""
-    small = R.table(spark, d, "part").where("p_size <= 50").select(F.col("p_partkey").alias("instance"), F.lit(32).alias("height"), F.lit(48).alias("width"))
-    pixel = F.transform(F.sequence(F.lit(0), F.lit(32 * 48 * 3 - 1)), lambda i: F.lpad(F.hex((i * 7 + F.col("instance") * 13) % 256), 2, "0"))
-    placed = identity.assign_position(small.withColumn("pixels", F.unhex(F.array_join(pixel, ""))), "instance")
+    small = R.table(spark, d, "part").where("p_size <= 50").select(F.col("p_partkey").alias("instance"), F.lit(height).alias("height"), F.lit(width).alias("width"))
+    placed = identity.assign_position(small.withColumn("pixels", _pixels(height, width)), "instance")
     partner = placed.select(F.col("instance").alias("partner"), F.col("height").alias("p_height"), F.col("width").alias("p_width"), F.col("pixels").alias("p_pixels"))
     return identity.derangement(placed, "instance").join(partner, "partner")
 
 
+def _sql_pixels(n: int, value: str) -> str:
+    return f"sha256(unhex(array_to_string(list_transform(range({n}), lambda i: format('{{:02X}}', {value})), '')))"
+
+
+_KEYED = "p AS (SELECT p_partkey AS k, coalesce(lead(p_partkey) OVER (ORDER BY p_partkey), first_value(p_partkey) OVER (ORDER BY p_partkey)) AS q FROM part WHERE p_size <= 50)"
+
+
+@query(f"""WITH {_KEYED} SELECT k AS instance, 'real' AS regime, {_sql_pixels(576, '(i * 7 + k * 13) % 256')} AS digest FROM p UNION ALL SELECT k, 'grey', {_sql_pixels(576, '128 + 0 * i')} FROM p
+ UNION ALL SELECT k, 'wrong-image', {_sql_pixels(576, '(i * 7 + q * 13) % 256')} FROM p UNION ALL SELECT k, 'hflip', {_sql_pixels(576, '(((i // 48) * 48 + (15 - (i // 3) % 16) * 3 + i % 3) * 7 + k * 13) % 256')} FROM p""")
+def image_fixed_regimes(spark, d):
+    """The regimes that draw nothing at random, on images of 12 by 16 pixels."""
+    return images.apply_regimes(_images(spark, d, 12, 16)).where("regime not in ('occlude', 'noise')").select("instance", "regime", F.sha2("pixels", 256).alias("digest"))
+
+
+@query(f"SELECT p_partkey AS instance, cell, {_sql_pixels(384, 'CASE WHEN i // 24 // 2 = cell // 8 AND (i // 3) % 8 = cell % 8 THEN 0 ELSE (i * 7 + p_partkey * 13) % 256 END')} AS digest FROM part, range(64) AS t(cell)")
+def image_sweep(spark, d):
+    """Each image, 16 by 8 pixels, with one cell of the grid blackened at a time."""
+    small = R.table(spark, d, "part").select(F.col("p_partkey").alias("instance"), F.lit(16).alias("height"), F.lit(8).alias("width"))
+    return images.sweep_cells(small.withColumn("pixels", _pixels(16, 8))).select("instance", "cell", F.sha2("pixels", 256).alias("digest"))
+
+
 @query()
 def image_regimes(spark, d):
     return images.apply_regimes(_images(spark, d)).select("instance", "regime", F.sha2("pixels", 256).alias("digest"))
@@ -484,13 +565,12 @@ def image_edits(spark, d):
     return images.apply_edits(placed).select("instance", F.sha2("targeted", 256).alias("targeted"), F.sha2("control", 256).alias("control"))
 
 
-@query("SELECT doc_id, 'A. ' || lang AS reply, n_chars::DOUBLE AS score FROM documents WHERE n_chars >= 200")
+@query("SELECT doc_id, 'A. ' || lang AS reply, n_chars::DOUBLE AS score FROM documents")
 def model_call(spark, d):
     def model():
         return lambda frame: frame.assign(reply="A. " + frame["lang"], score=frame["n_chars"].astype(float))[["doc_id", "reply", "score"]]
 
-    rows = R.table(spark, d, "documents").where("n_chars >= 200").select("doc_id", "lang", "n_chars")
-    return images.call_model(rows, model, "doc_id long, reply string, score double")
+    return images.call_model(R.table(spark, d, "documents").select("doc_id", "lang", "n_chars"), model, "doc_id long, reply string, score double")
 
 
 # --- assembly and views ------------------------------------------------------------------------------------
@@ -517,14 +597,29 @@ def hard_core(spark, d):
     return assemble.matched_pairs(R.predicted(spark, d), ["dataset", "qtype"], "truth", "instance")
 
 
+@query(f"WITH {R.PREDICTED}, r AS (SELECT *, row_number() OVER (PARTITION BY dataset, qtype, truth ORDER BY md5('control' || instance), instance) AS rn FROM predicted), m AS (SELECT a.dataset, a.qtype, a.rn AS rank, a.instance AS negative, b.instance AS positive, max(a.rn) OVER (PARTITION BY a.dataset, a.qtype) AS most FROM r a JOIN r b USING (dataset, qtype, rn) WHERE a.truth = 0 AND b.truth = 1) SELECT dataset, qtype, rank, negative, positive FROM m WHERE rank <= ceil(most * 0.5::DOUBLE)")
+def control_sample(spark, d):
+    """Half of the pairs of a stratum, paired at random, beside the hard core."""
+    return assemble.control_sample(R.predicted(spark, d), ["dataset", "qtype"], "truth", "instance", 0.5)
+
+
 @query(f"WITH {R.PREDICTED}, s AS (SELECT DISTINCT split, scene FROM predicted) SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared FROM s a JOIN s b USING (scene) WHERE a.split < b.split GROUP BY ALL")
 def split_disjointness(spark, d):
     return assemble.disjointness(R.predicted(spark, d), "scene")
 
 
-@query(f"WITH {R.PREDICTED} SELECT split, label, count(*) AS n, count(DISTINCT generator) AS generators, count(DISTINCT scene) AS scenes FROM predicted GROUP BY ROLLUP (split, label)")
+_DIGEST = "count(*) || ':' || bit_xor(('0x' || substr(h, 1, 15))::BIGINT) || ':' || sum(('0x' || substr(h, 16, 8))::BIGINT)"
+_HASHED = "hashed AS (SELECT *, sha256(concat_ws('|', instance::VARCHAR, label, coalesce(reason, '~'))) AS h FROM predicted)"
+
+
+@query(f"WITH {R.PREDICTED}, {_HASHED} SELECT split, label, count(*) AS n, count(DISTINCT generator) AS generators, count(DISTINCT scene) AS scenes, {_DIGEST} AS digest FROM hashed GROUP BY ROLLUP (split, label)")
 def manifest_counts(spark, d):
-    return assemble.manifest(R.predicted(spark, d))
+    return assemble.manifest(R.predicted(spark, d), ["instance", "label", "reason"])
+
+
+@query(f"WITH {R.PREDICTED}, {_HASHED} SELECT split, {_DIGEST} AS digest, count(*) AS n FROM hashed GROUP BY split")
+def entry_digests(spark, d):
+    return assurance.entry_digests(R.predicted(spark, d), ["split"], ["instance", "label", "reason"])
 
 
 @query(f"WITH {R.PREDICTED} SELECT count(*) AS entries FROM predicted")
@@ -533,10 +628,15 @@ def corpus_assembly(spark, d):
 
 
 def _released(spark, d):
-    return R.predicted(spark, d).withColumnsRenamed({"instance": "instance_id", "reason": "reason_code"}).withColumns({"state": F.when(F.col("label") == "faithful", "S3").otherwise("S1"), "generator_id": F.col("generator")})
+    """Entries with the whole tuple that predictors see, and what only auditors do."""
+    rows, i = R.predicted(spark, d).withColumnsRenamed({"instance": "instance_id", "reason": "reason_code"}), F.col("instance_id").cast("string")
+    return rows.withColumns({
+        "image": F.concat(F.lit("img/"), "scene"), "question": F.concat(F.lit("Q"), i), "options": F.lit("yes|no"), "chosen_answer": F.when(F.col("pred") == 1, "yes").otherwise("no"), "rationale": F.concat(F.lit("because of "), i),
+        "state": F.when(F.col("label") == "faithful", "S3").otherwise("S1"), "generator_id": F.col("generator"), "margins": F.col("score"), "sealed_provenance": F.concat(F.lit("p"), i),
+    })
 
 
-@query(f"WITH {R.PREDICTED} SELECT instance AS instance_id, split FROM predicted")
+@query(f"WITH {R.PREDICTED} SELECT instance AS instance_id, split, 'img/' || scene AS image, 'Q' || instance AS question, 'yes|no' AS options, CASE WHEN pred = 1 THEN 'yes' ELSE 'no' END AS chosen_answer, 'because of ' || instance AS rationale FROM predicted")
 def predictor_view(spark, d):
     return views.predictor_view(_released(spark, d))
 
@@ -546,7 +646,7 @@ def hidden_view(spark, d):
     return views.hidden_view(_released(spark, d))
 
 
-@query(f"WITH {R.PREDICTED} SELECT sha256('salt|' || instance) AS audit_id, CASE WHEN label = 'faithful' THEN 'S3' ELSE 'S1' END AS state, generator AS generator_id FROM predicted")
+@query(f"WITH {R.PREDICTED} SELECT sha256('salt|' || instance) AS audit_id, CASE WHEN label = 'faithful' THEN 'S3' ELSE 'S1' END AS state, generator AS generator_id, score AS margins, 'p' || instance AS sealed_provenance FROM predicted")
 def audit_view(spark, d):
     return views.audit_view(_released(spark, d), "salt")
 
@@ -602,10 +702,15 @@ def boundary_report(spark, d):
     return views.boundary_report({"predictor_view": text_ids, "train_labels": labels.withColumn("instance_id", F.col("instance_id").cast("string")), "hidden_view": views.hidden_view(_released(spark, d)), "audit_view": audit})
 
 
-@query("""SELECT event_id, CASE WHEN contains(props, 'a') THEN 'a' END AS flag FROM events WHERE contains(props, 'zzz') OR event_id % 100 = 0""")
+@query("""SELECT 'ragged_exclusions' AS "check", count(*) = 0 AS passed, count(*) AS violations, min(event_id::VARCHAR) AS first_violation FROM (SELECT event_id, json_merge_patch(props, CASE event_type WHEN 'error' THEN '{"margins": 1}' ELSE '{"note": 1}' END) AS j FROM events)
+ WHERE list_contains(json_keys(j), 'margins')""")
 def ragged_props(spark, d):
-    ev = R.table(spark, d, "events")
-    return ev.where(F.col("props").contains("zzz") | (F.col("event_id") % 100 == 0)).select("event_id", F.when(F.col("props").contains("a"), "a").alias("flag"))
+    """The props of every event, those of errors with a key that must not be seen."""
+    more = F.when(F.col("event_type") == "error", F.lit(', "margins": 1}')).otherwise(F.lit(', "note": 1}'))
+    rows = R.table(spark, d, "events").select("event_id", F.concat(F.regexp_replace("props", r"\}\s*$", ""), more).alias("props"))
+    return views.check_ragged(rows, "props", "event_id")
+
+
 
 
 _KEYS = "CASE WHEN json_valid(props) AND json_type(props) = 'OBJECT' THEN list_sort(list_distinct(json_keys(props))) END"
@@ -669,42 +774,41 @@ _PRIOR = "prior AS (SELECT (avg(truth) >= 0.5)::BIGINT AS majority FROM predicte
 
 @query(f"WITH {R.PREDICTED}, {_PRIOR}, based AS (SELECT p.*, majority, ({R.sql_uniform("'random'", 'instance')} < 0.5::DOUBLE)::BIGINT AS guess FROM predicted p, prior) SELECT split, round({_macro('truth', 'majority')}, 6) AS majority_f1, round({_macro('truth', 'guess')}, 6) AS random_f1 FROM based GROUP BY split")
 def random_and_majority_baselines(spark, d):
+    based = evaluate.baselines(R.predicted(spark, d), "truth", "instance")
+    return based.groupBy("split").agg(F.round(evaluate.macro_f1(F.col("truth"), F.col("majority")), 6).alias("majority_f1"), F.round(evaluate.macro_f1(F.col("truth"), F.col("random")), 6).alias("random_f1"))
+
+
+@query(f"""WITH {R.PREDICTED}, {_SWEEP.replace("split = 'validation'", "split = 'train'").replace('score', 'toxic_score')}, based AS (SELECT p.*, coalesce((qtype IN ('q0', 'q1'))::BIGINT, 0) AS heuristic, coalesce((toxic_score >= threshold)::BIGINT, 0) AS text_only FROM (SELECT *, (instance % 97)::DOUBLE AS toxic_score FROM predicted) p, (SELECT max(threshold) AS threshold FROM frozen) AS f)
+SELECT split, round({_macro('truth', 'heuristic')}, 6) AS heuristic_f1, round({_macro('truth', 'text_only')}, 6) AS text_only_f1 FROM based GROUP BY split""".replace("FROM predicted WHERE split = 'train' GROUP BY", "FROM (SELECT *, (instance % 97)::DOUBLE AS toxic_score FROM predicted) WHERE split = 'train' GROUP BY"))
+def heuristic_and_text_baselines(spark, d):
+    """A rule over the question type, and a threshold on a text score that train's labels have set."""
     entries = R.predicted(spark, d)
-    prior = entries.where("split = 'train'").agg((F.avg("truth") >= 0.5).cast("long").alias("majority"))
-    based = entries.crossJoin(F.broadcast(prior)).withColumn("guess", (stats.hash_uniform(F.lit("random"), F.col("instance")) < 0.5).cast("long"))
-    return based.groupBy("split").agg(F.round(evaluate.macro_f1(F.col("truth"), F.col("majority")), 6).alias("majority_f1"), F.round(evaluate.macro_f1(F.col("truth"), F.col("guess")), 6).alias("random_f1"))
+    based = evaluate.baselines(entries, "truth", "instance", (F.col("instance") % 97).cast("double"), F.col("qtype").isin("q0", "q1"))
+    return based.groupBy("split").agg(F.round(evaluate.macro_f1(F.col("truth"), F.col("heuristic")), 6).alias("heuristic_f1"), F.round(evaluate.macro_f1(F.col("truth"), F.col("text_only")), 6).alias("text_only_f1"))
 
 
 @query(f"WITH {R.PREDICTED}, {_PRIOR} SELECT split, round({_macro('truth', 'pred')} - {_macro('truth', 'majority')}, 6) AS floor_gap, round(1 - {_macro('truth', 'pred')}, 6) AS oracle_gap FROM predicted, prior GROUP BY split")
 def floor_gap(spark, d):
     entries = R.predicted(spark, d)
-    prior = entries.where("split = 'train'").agg((F.avg("truth") >= 0.5).cast("long").alias("majority"))
-    own, floor = (evaluate.macro_f1(F.col("truth"), F.col(c)) for c in ("pred", "majority"))
-    return entries.crossJoin(F.broadcast(prior)).groupBy("split").agg(F.round(own - floor, 6).alias("floor_gap"), F.round(1 - own, 6).alias("oracle_gap"))
+    rows = entries.crossJoin(F.broadcast(evaluate.majority(entries, "truth")))
+    return evaluate.floor_gaps(rows, "truth", "pred", "majority").select("split", F.round("floor_gap", 6).alias("floor_gap"), F.round("oracle_gap", 6).alias("oracle_gap"))
 
 
 @query(f"WITH {R.PREDICTED}, m AS (SELECT split, {_macro('truth', 'pred')} AS f FROM predicted GROUP BY split) SELECT o.split, round(i.f - o.f, 6) AS transfer_gap FROM m o, m i WHERE i.split = 'iid-test' AND o.split LIKE 'ood-%'")
 def transfer_gap(spark, d):
-    metric = R.predicted(spark, d).groupBy("split").agg(evaluate.macro_f1(F.col("truth"), F.col("pred")).alias("f"))
-    home = metric.where("split = 'iid-test'").select(F.col("f").alias("home"))
-    return metric.where(F.col("split").startswith("ood-")).crossJoin(F.broadcast(home)).select("split", F.round(F.col("home") - F.col("f"), 6).alias("transfer_gap"))
+    return evaluate.transfer_gaps(R.predicted(spark, d), "truth", "pred").withColumn("transfer_gap", F.round("transfer_gap", 6))
 
 
 @query(f"WITH {R.PREDICTED}, u AS (SELECT (reason = 'D1')::BIGINT AS t, pred AS p FROM predicted WHERE label = 'unfaithful') SELECT round({_macro('t', 'p')}, 6) AS reason_f1, count(*) AS n FROM u")
 def reason_code_f1(spark, d):
-    u = R.predicted(spark, d).where("label = 'unfaithful'").select((F.col("reason") == "D1").cast("long").alias("t"), F.col("pred").alias("p"))
-    return u.agg(F.round(evaluate.macro_f1(F.col("t"), F.col("p")), 6).alias("reason_f1"), F.count("*").alias("n"))
+    return evaluate.reason_f1(R.predicted(spark, d), "reason", "pred").withColumn("reason_f1", F.round("reason_f1", 6))
 
 
 @query("""WITH o AS (SELECT o_custkey % 500 AS question, o_orderkey % 4 AS gen, max(o_totalprice) > 300000 AS v FROM orders GROUP BY 1, 2), p AS (SELECT a.gen AS gen_a, b.gen AS gen_b, a.v AS x, b.v AS y FROM o a JOIN o b ON a.question = b.question AND a.gen < b.gen),
 s AS (SELECT gen_a, gen_b, count(*) AS n, avg((x = y)::INT) AS po, avg(x::INT) * avg(y::INT) + (1 - avg(x::INT)) * (1 - avg(y::INT)) AS pe FROM p GROUP BY ALL) SELECT gen_a, gen_b, n, round((po - pe) / (1 - pe), 6) AS kappa FROM s""")
 def kappa_pairs(spark, d):
     votes = R.table(spark, d, "orders").groupBy((F.col("o_custkey") % 500).alias("question"), (F.col("o_orderkey") % 4).alias("gen")).agg((F.max("o_totalprice") > 300000).alias("v"))
-    a, b = votes.select("question", F.col("gen").alias("gen_a"), F.col("v").alias("x")), votes.select("question", F.col("gen").alias("gen_b"), F.col("v").alias("y"))
-    both = a.join(b, "question").where("gen_a < gen_b")
-    s = both.groupBy("gen_a", "gen_b").agg(F.count("*").alias("n"), F.avg((F.col("x") == F.col("y")).cast("double")).alias("po"), F.avg(F.col("x").cast("double")).alias("px"), F.avg(F.col("y").cast("double")).alias("py"))
-    pe = F.col("px") * F.col("py") + (1 - F.col("px")) * (1 - F.col("py"))
-    return s.select("gen_a", "gen_b", "n", F.round((F.col("po") - pe) / (1 - pe), 6).alias("kappa"))
+    return evaluate.kappa_pairs(votes, "question", "gen", "v").withColumn("kappa", F.round("kappa", 6))
 
 
 @query(f"""WITH {R.ENTRIES}, s AS (SELECT count(*)::DOUBLE AS n, avg((truth = pred)::INT) AS po, avg(truth) * avg(pred) + (1 - avg(truth)) * (1 - avg(pred)) AS pe FROM entries)
@@ -713,19 +817,30 @@ def kappa(spark, d):
     return evaluate.kappa(R.entries(spark, d), "truth", "pred").select(*(F.round(c, 6).alias(c) for c in ("kappa", "low", "high")), "n")
 
 
-_U = R.sql_uniform("replicate", "instance")
+_U = R.sql_uniform("replicate", "dataset", "block")
 
 
-@query(f"""WITH {R.ENTRIES}, w AS (SELECT replicate, dataset, (truth = pred)::INT::DOUBLE AS v, {_U} AS u FROM entries, range(200) AS t(replicate)),
-x AS (SELECT replicate, dataset, v, (u >= 0.36787944117144233::DOUBLE)::INT + (u >= 0.7357588823428847::DOUBLE)::INT + (u >= 0.9196986029286058::DOUBLE)::INT + (u >= 0.9810118431238462::DOUBLE)::INT + (u >= 0.9963401531726563::DOUBLE)::INT AS w FROM w),
-s AS (SELECT replicate, dataset, sum(w) AS w, sum(w * v) AS wv, count(*) AS n FROM x GROUP BY ALL), m AS (SELECT replicate, sum(n * wv / w) / sum(n) AS mean FROM s WHERE w > 0 GROUP BY replicate)
+@query(f"""WITH {R.ENTRIES}, dealt AS (SELECT floor({R.sql_uniform("'block'", "instance")} * {evaluate.BLOCKS})::BIGINT AS block, dataset, (truth = pred)::INT::DOUBLE AS v FROM entries), b AS (SELECT dataset, block, count(*) AS n, sum(v) AS s FROM dealt GROUP BY ALL),
+w AS (SELECT replicate, dataset, n, s, {_U} AS u FROM b, range(10000) AS t(replicate)),
+x AS (SELECT *, (u >= 0.36787944117144233::DOUBLE)::INT + (u >= 0.7357588823428847::DOUBLE)::INT + (u >= 0.9196986029286058::DOUBLE)::INT + (u >= 0.9810118431238462::DOUBLE)::INT + (u >= 0.9963401531726563::DOUBLE)::INT AS w FROM w),
+y AS (SELECT replicate, dataset, sum(w * n) AS w, sum(w * s) AS ws, sum(n) AS n FROM x GROUP BY ALL), m AS (SELECT replicate, sum(n * ws / w) / sum(n) AS mean FROM y WHERE w > 0 GROUP BY replicate)
 SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, count(*) AS replicates FROM m""")
 def bootstrap_ci(spark, d):
-    rows = R.entries(spark, d).withColumn("hit", F.col("truth") == F.col("pred"))
-    ci = evaluate.bootstrap(rows.select("instance", F.col("hit").cast("double").alias("hit"), "dataset"), "instance", "hit", ["dataset"])
+    rows = R.entries(spark, d).withColumn("hit", (F.col("truth") == F.col("pred")).cast("double"))
+    ci = evaluate.bootstrap(rows, "instance", "hit", ["dataset"])
     return ci.select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "replicates")
 
 
+@query()
+def bootstrap_paired(spark, d):
+    """10,000 resamples of the difference of two predictors' accuracies, on the same entries."""
+    rows = R.entries(spark, d).select("dataset", "truth", "pred", (F.col("score") >= 3000).cast("long").alias("other"))
+    cells = evaluate.resample_cells([(t, p, o) for t in (0, 1) for p in (0, 1) for o in (0, 1)])
+    seen = evaluate.resample_cells([tuple(r) for r in rows.select("truth", "pred", "other").distinct().collect() if tuple(r) in cells])
+    gain = [(t == p) - (t == o) for t, p, o in seen]
+    return evaluate.resample(rows, ["dataset"], ["truth", "pred", "other"], lambda n: n @ gain / n.sum(axis=1))
+
+
 _P = "ps AS (SELECT p_brand AS family, p_partkey AS test, (p_retailprice % 100) / 1000.0::DOUBLE AS p FROM part)"
 
 
@@ -761,14 +876,7 @@ _GRAMS = "list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_
 @query(f"""WITH b AS (SELECT DISTINCT unnest({_GRAMS}) AS gram FROM (SELECT string_split(text, ' ') AS w FROM benchmark)), g AS (SELECT doc_id, unnest({_GRAMS}) AS gram FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))
 SELECT doc_id, count(*) AS shared FROM g WHERE gram IN (SELECT gram FROM b) GROUP BY doc_id""")
 def contamination(spark, d):
-    def grams(df, *keep):
-        # The words are bound by a lambda of their own, else each gram would split the text again.
-        words = F.filter(F.array(F.split("text", " ")), lambda w: F.size(w) >= 8)
-        every = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 7), lambda i: F.array_join(F.slice(w, i, F.lit(8)), " ")))
-        return df.select(*keep, F.explode(F.array_distinct(F.flatten(every))).alias("gram"))
-
-    held = grams(R.table(spark, d, "benchmark")).distinct()
-    return grams(R.table(spark, d, "documents"), "doc_id").join(held, "gram", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    return descriptives.contamination(R.table(spark, d, "documents"), "doc_id", R.table(spark, d, "benchmark"))
 
 
 @query(f"WITH {R.PREDICTED} SELECT dataset, qtype, label, count(*) AS n FROM predicted GROUP BY CUBE (dataset, qtype, label)")
@@ -776,46 +884,164 @@ def composition_cube(spark, d):
     return R.predicted(spark, d).cube("dataset", "qtype", "label").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {R.PREDICTED}, divided AS (SELECT scene FROM predicted WHERE split IN ('train', 'validation') GROUP BY scene HAVING count(DISTINCT split) > 1) SELECT 'one_entry_per_instance' AS "check", 0::BIGINT AS violations, true AS passed
- UNION ALL SELECT 'label_table', 0, true UNION ALL SELECT 'split_present', count(*) FILTER (WHERE split IS NULL), count(*) FILTER (WHERE split IS NULL) = 0 FROM predicted UNION ALL SELECT 'scene_in_one_split', count(*), count(*) = 0 FROM divided""")
-def assurance_checks(spark, d):
-    return assurance.release_report(assurance.standard_checks(_sealed(spark, d)))
+_STATE = "CASE WHEN label = 'faithful' THEN 'S3' WHEN reason = 'D1' THEN 'S1' ELSE 'S2' END"
+_SEALED = f"""sealed AS (SELECT instance, CASE WHEN instance % 41 = 0 THEN 'faithful' ELSE label END AS label, reason AS reason_code, {_STATE} AS state, CASE WHEN instance % 43 <> 0 THEN split END AS split, scene, dataset, CASE WHEN instance % 47 <> 0 THEN generator END AS generator,
+ CASE {_STATE} WHEN 'S1' THEN 1 ELSE 3 END AS flip_count, CASE WHEN ({_STATE} = 'S3') <> (instance % 53 = 0) THEN 60 ELSE 20 END AS drift FROM (SELECT * FROM predicted UNION ALL SELECT * FROM predicted WHERE instance % 40 = 0))"""
+_LEGAL = "coalesce((state = 'S1' AND label = 'unfaithful' AND reason_code = 'D1') OR (state = 'S2' AND label = 'unfaithful' AND reason_code = 'D2') OR (state = 'S3' AND label = 'faithful' AND reason_code IS NULL), false)"
 
 
 def _sealed(spark, d):
+    """Sealed entries with their provenance, of which some are repeated, mislabelled, without a split or a generator, or off their provenance."""
+    i, rows = F.col("instance"), R.predicted(spark, d)
+    rows = rows.unionAll(rows.where("instance % 40 = 0"))
     state = F.when(F.col("label") == "faithful", "S3").when(F.col("reason") == "D1", "S1").otherwise("S2")
-    return R.predicted(spark, d).withColumn("state", state).withColumnRenamed("reason", "reason_code")
+    rows = rows.withColumn("state", state).withColumnRenamed("reason", "reason_code")
+    return rows.withColumns({
+        "label": F.when(i % 41 == 0, "faithful").otherwise(F.col("label")), "split": F.when(i % 43 != 0, F.col("split")), "generator": F.when(i % 47 != 0, F.col("generator")), "source": F.col("scene"), "spec_versions": F.array(F.lit("1.0")),
+        "flip_count": F.when(F.col("state") == "S1", 1).otherwise(3), "k": F.lit(3), "drift": F.when((F.col("state") == "S3") != (i % 53 == 0), 60).otherwise(20), "theta": F.lit(R.THETA),
+    })
+
+
+def _n(check: str, where: str) -> str:
+    return f"SELECT '{check}' AS \"check\", count(*) AS violations FROM {where}"
+
+
+_STANDARD = " UNION ALL ".join((
+    _n("one_entry_per_instance", "(SELECT instance FROM sealed GROUP BY instance HAVING count(*) > 1)"), _n("label_table", f"sealed WHERE NOT {_LEGAL}"), _n("split_present", "sealed WHERE split IS NULL"),
+    _n("scene_in_one_split", "(SELECT scene FROM sealed WHERE split IN ('train', 'validation') GROUP BY scene HAVING count(DISTINCT split) > 1)"),
+))
+_CORPUS = " UNION ALL ".join((
+    _n("DF1", "(SELECT scene FROM sealed WHERE split <> 'ood-model' GROUP BY scene HAVING count(DISTINCT split) > 1)"),
+    _n("DF2", "(SELECT dataset FROM sealed WHERE dataset IS NOT NULL GROUP BY dataset HAVING bool_or(split = 'ood-dataset') AND bool_or(split <> 'ood-dataset'))"),
+    _n("DF3", "(SELECT generator FROM sealed WHERE generator IS NOT NULL GROUP BY generator HAVING bool_or(split = 'ood-model') AND bool_or(split <> 'ood-model'))"),
+    _n("DF4", "(SELECT split FROM sealed WHERE split IS NOT NULL GROUP BY split HAVING avg((label = 'faithful')::INT) < 0.05 OR avg((label = 'faithful')::INT) > 0.95)"),
+    _n("LF2", f"sealed WHERE NOT {_LEGAL} OR (state IN ('S2', 'S3') AND flip_count < 3)"),
+    _n("LF3", f"sealed WHERE CASE WHEN flip_count < 3 THEN 'S1' WHEN drift >= {R.THETA} THEN 'S3' ELSE 'S2' END IS DISTINCT FROM state"),
+    _n("LF4", "(SELECT DISTINCT p.instance FROM predicted p LEFT JOIN sealed s USING (instance) WHERE p.instance % 40 = 0 UNION ALL SELECT instance FROM predicted WHERE instance % 59 = 0 AND instance % 40 <> 0)"),
+))
+_SOURCES = _n("traceability", "sealed WHERE generator IS NULL")
+
+
+@query(f"WITH {R.PREDICTED}, {_SEALED} SELECT *, violations = 0 AS passed FROM ({_STANDARD})")
+def assurance_checks(spark, d):
+    return assurance.release_report(assurance.standard_checks(_sealed(spark, d)))
 
 
-@query("SELECT true AS releasable, 0::BIGINT AS violations")
+@query(f"WITH {R.PREDICTED}, {_SEALED} SELECT sum(violations) = 0 AS releasable, sum(violations)::BIGINT AS violations FROM ({_STANDARD})")
 def release_rollup(spark, d):
     return assurance.releasable(assurance.release_report(assurance.standard_checks(_sealed(spark, d))))
 
 
+def _corpus_checks(spark, d):
+    """The checks of the corpus; one in 59 candidates has no outcome."""
+    sealed = _sealed(spark, d)
+    return assurance.corpus_checks(sealed, R.predicted(spark, d), sealed.where("instance % 59 <> 0 or instance % 40 = 0"), "instance")
+
+
+@query(f"WITH {R.PREDICTED}, {_SEALED} SELECT *, violations = 0 AS passed FROM ({_CORPUS})")
+def corpus_checks(spark, d):
+    return assurance.release_report(_corpus_checks(spark, d))
+
+
+_CLEAR = " UNION ALL ".join(_n(c, "predicted WHERE false") for c in ("conformance", "label_stability", "hard_core_collapse", "boundary", "manifest"))
+_CRITERIA = " UNION ALL ".join(f"SELECT '{b}' AS criterion, '{c}' AS \"check\"" for b, cs in assurance.CRITERIA.items() for c in cs)
+_BLOCKING = f"""made AS ({_CORPUS} UNION ALL {_SOURCES} UNION ALL {_CLEAR}), rests AS ({_CRITERIA}), blocking AS (SELECT criterion, coalesce(sum(violations), 0)::BIGINT AS violations, count(*) FILTER (WHERE violations IS NULL) AS missing FROM rests LEFT JOIN made USING ("check") GROUP BY criterion),
+judged AS (SELECT *, violations = 0 AND missing = 0 AS cleared FROM blocking)"""
+
+
+def _release_checks(spark, d):
+    """All checks but the analysis plan, which nobody has made."""
+    clear = [assurance.violations(c, R.predicted(spark, d).where("false")) for c in ("conformance", "label_stability", "hard_core_collapse", "boundary", "manifest")]
+    made = [*_corpus_checks(spark, d), assurance.violations("traceability", assurance.untraceable(_sealed(spark, d))), *clear]
+    return assurance.release_report(made).select("check", "violations")
+
+
+@query(f"WITH {R.PREDICTED}, {_SEALED}, {_BLOCKING} SELECT * FROM judged")
+def release_criteria(spark, d):
+    return assurance.blocking(_release_checks(spark, d))
+
+
+@query(f"WITH {R.PREDICTED}, {_SEALED}, {_BLOCKING} SELECT bool_and(cleared) AS releasable, string_agg(criterion, ',' ORDER BY criterion) FILTER (WHERE NOT cleared) AS blocked_by FROM judged")
+def release_verdict(spark, d):
+    return assurance.release(_release_checks(spark, d))
+
+
+_RUNS = [(0, ["question", "rationale"], ["train"], False, "image and text", "v1", []), (1, ["question"], ["train"], False, "text", "v1", []), (2, ["question", "label"], ["train"], False, "text", "v1", []),
+         (3, ["question"], ["train", "validation"], False, None, "v1", []), (4, ["question"], [], True, "text", "v0", ["label"]), (5, ["question"], [], False, "text", "v1", [])]
+
+
+@query("""WITH t AS (SELECT doc_id AS instance, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents), p AS (SELECT r AS run, instance, CASE WHEN r = 2 THEN pos + 1 ELSE pos END AS pos FROM t, range(5) AS x(r) WHERE r <> 1 OR instance % 10 <> 0 UNION ALL SELECT 3, -1, -1),
+k AS (SELECT run, count(*) = (SELECT count(*) FROM t) AND count(DISTINCT p.instance) = (SELECT count(*) FROM t) AND count(t.instance) = count(*) AND count(*) FILTER (WHERE t.pos <> p.pos) = 0 AS k1 FROM p LEFT JOIN t USING (instance) GROUP BY run),
+d(run, k2, k3, k4, k5) AS (VALUES (0, true, true, true, true), (1, true, true, true, true), (2, false, true, true, true), (3, false, false, true, true), (4, false, true, false, false), (5, true, true, true, true)),
+j AS (SELECT d.run::BIGINT AS run, coalesce(k1, false) AS k1, k2, k3, k4, k5 FROM d LEFT JOIN k USING (run)) SELECT *, concat_ws(',', CASE WHEN NOT k1 THEN 'K-1' END, CASE WHEN NOT k2 THEN 'K-2' END, CASE WHEN NOT k3 THEN 'K-3' END, CASE WHEN NOT k4 THEN 'K-4' END, CASE WHEN NOT k5 THEN 'K-5' END) AS broken, k1 AND k2 AND k3 AND k4 AND k5 AS conformant FROM j""")
+def run_conformance(spark, d):
+    """Six runs: one conforms, the others miss, move or add instances, read what they mustn't, declare nothing, or give no prediction."""
+    truth = identity.assign_position(R.table(spark, d, "documents").select(F.col("doc_id").alias("instance")), "instance")
+    n = F.col("run")
+    given = truth.crossJoin(F.broadcast(spark.range(5).withColumnRenamed("id", "run"))).where((n != 1) | (F.col("instance") % 10 != 0))
+    given = given.select("run", "instance", F.when(n == 2, F.col("pos") + 1).otherwise(F.col("pos")).alias("pos")).unionAll(spark.createDataFrame([(3, -1, -1)], "run long, instance long, pos long"))
+    declared = spark.createDataFrame(_RUNS, "run long, columns array<string>, fit_splits array<string>, queried_generator boolean, access string, corpus_version string, overrides array<string>")
+    return evaluate.conformance(given, truth, declared, views.PREDICTOR, "v1")
+
+
+def _f_rows(name: str, rows: str, t: str, p: str) -> str:
+    """Macro-F1 of each split with its interval."""
+    cell = lambda a, b: f"count(*) FILTER (WHERE {t} = {a} AND {p} = {b})::DOUBLE"
+    return f"""SELECT split, '{name}' AS metric, f AS value, greatest(0.0::DOUBLE, f - spread) AS low, least(1.0::DOUBLE, f + spread) AS high, n FROM (SELECT *, 1.96 * sqrt(greatest(0.0::DOUBLE, tp * g1 * g1 + tn * g0 * g0 + (fp + fn) * go * go - n * pow((tp * g1 + tn * g0 + (fp + fn) * go) / n, 2))) AS spread FROM (SELECT *,
+ coalesce((fp + fn) / nullif(pow(2 * tp + fp + fn, 2), 0), 0) AS g1, coalesce((fp + fn) / nullif(pow(2 * tn + fp + fn, 2), 0), 0) AS g0, -coalesce(tp / nullif(pow(2 * tp + fp + fn, 2), 0), 0) - coalesce(tn / nullif(pow(2 * tn + fp + fn, 2), 0), 0) AS go,
+ ({_F1.format('tp', 'fp', 'fn')} + {_F1.format('tn', 'fn', 'fp')}) / 2 AS f FROM (SELECT split, {cell(1, 1)} AS tp, {cell(0, 1)} AS fp, {cell(1, 0)} AS fn, {cell(0, 0)} AS tn, count(*) AS n FROM {rows} GROUP BY split)))"""
+
+
+_HITS = "SELECT split, avg((truth = pred)::INT) AS p, count(*) AS n FROM predicted GROUP BY split"
+
+
+@query(f"""WITH {R.PREDICTED}, scored AS (SELECT split, score AS s, truth AS t FROM predicted), a AS ({_AUC.format(by='split,', part='PARTITION BY split', group='GROUP BY split').replace('round(sum(wins) / nullif(sum(pos) * sum(neg), 0)::DOUBLE, 6)', 'sum(wins) / nullif(sum(pos) * sum(neg), 0)::DOUBLE')}),
+v AS (SELECT *, 1.96 * sqrt(greatest(0.0::DOUBLE, auroc * (1 - auroc) + (n_pos - 1) * (auroc / (2 - auroc) - auroc * auroc) + (n_neg - 1) * (2 * auroc * auroc / (1 + auroc) - auroc * auroc)) / nullif(n_pos::DOUBLE * n_neg, 0)) AS se FROM a),
+u AS (SELECT split, (reason = 'D1')::BIGINT AS t, pred AS p FROM predicted WHERE label = 'unfaithful'),
+every AS (SELECT split, 'accuracy' AS metric, p AS value, greatest(0.0::DOUBLE, (p + 3.8416 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)) AS low, least(1.0::DOUBLE, (p + 3.8416 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n)) AS high, n FROM (SELECT split, p, n::DOUBLE AS n FROM ({_HITS}))
+ UNION ALL {_f_rows('macro_f1', 'predicted', 'truth', 'pred')} UNION ALL SELECT split, 'auroc', auroc, greatest(0.0::DOUBLE, CASE WHEN auroc IS NOT NULL THEN auroc - se END), least(1.0::DOUBLE, auroc + se), n_pos + n_neg FROM v UNION ALL {_f_rows('reason_f1', 'u', 't', 'p')})
+SELECT split, metric, round(value, 6) AS value, round(CASE WHEN value IS NOT NULL THEN low END, 6) AS low, round(CASE WHEN value IS NOT NULL THEN high END, 6) AS high, n::BIGINT AS n, 'v1' AS corpus_version, n >= 20 AS headline_ok FROM every""")
+def metric_table(spark, d):
+    card = evaluate.metric_table(R.predicted(spark, d), "truth", "pred", "score", "v1", 20, "reason")
+    ok = F.col("value").isNotNull()
+    return card.select("split", "metric", F.round("value", 6).alias("value"), F.round(F.when(ok, F.col("low")), 6).alias("low"), F.round(F.when(ok, F.col("high")), 6).alias("high"), "n", "corpus_version", "headline_ok")
+
+
 # --- streaming, batch twins --------------------------------------------------------------------------------
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS keys FROM events GROUP BY event_type")
 def ledger_stream(spark, d):
     """The event log streamed twice into one ledger; each key is there once."""
-    import uuid
-
-    from fidelis.sources.scratch import shared_dir
-
-    root = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    root = Scratch(spark, "ledger").path("stream")
     schema = R.table(spark, d, "events").schema
-    for run in range(2):
+    for turn in range(2):
         rows = spark.readStream.schema(schema).parquet(f"{d.rstrip('/')}/events.parquet*").select("event_id", "user_id", "event_type")
-        streams.commit_stream(rows, f"{root}/log", "event_id", f"{root}/checkpoint-{run}").awaitTermination()
+        streams.commit_stream(rows, f"{root}/log", "event_id", f"{root}/checkpoint-{turn}").awaitTermination()
     return spark.read.parquet(f"{root}/log").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("keys"))
 
 
-@query("""WITH e AS (SELECT user_id::VARCHAR AS instance, event_id AS seq, CASE WHEN event_id % 37 = 0 THEN 'seal' ELSE 'append' END AS kind FROM events), s AS (SELECT instance, min(seq) AS sealed_at FROM e WHERE kind = 'seal' GROUP BY instance)
-SELECT kind, coalesce(seq <= sealed_at, true) AS accepted, count(*) AS n FROM e LEFT JOIN s USING (instance) GROUP BY ALL""")
-def sealed_log(spark, d):
+_SEALS = """WITH e AS (SELECT user_id::VARCHAR AS instance, event_id AS seq, CASE WHEN event_id % 37 = 0 THEN 'seal' ELSE 'append' END AS kind FROM events), s AS (SELECT instance, min(seq) AS sealed_at FROM e WHERE kind = 'seal' GROUP BY instance)
+SELECT kind, coalesce(seq <= sealed_at, true) AS accepted, count(*) AS n FROM e LEFT JOIN s USING (instance) GROUP BY ALL"""
+
+
+def _appended(events):
     kind = F.when(F.col("event_id") % 37 == 0, "seal").otherwise("append")
-    rows = R.table(spark, d, "events").select(F.col("user_id").cast("string").alias("instance"), F.col("event_id").alias("seq"), kind.alias("kind"))
-    return streams.sealed_log_batch(rows).groupBy("kind", "accepted").agg(F.count("*").alias("n"))
+    return events.select(F.col("user_id").cast("string").alias("instance"), F.col("event_id").alias("seq"), kind.alias("kind"))
+
+
+@query(_SEALS)
+def sealed_log(spark, d):
+    return streams.sealed_log_batch(_appended(R.table(spark, d, "events"))).groupBy("kind", "accepted").agg(F.count("*").alias("n"))
+
+
+@query(_SEALS)
+def sealed_log_stream(spark, d):
+    """The same judged by the stream, with its state."""
+    root = Scratch(spark, "seals").path("stream")
+    events = spark.readStream.schema(R.table(spark, d, "events").schema).parquet(f"{d.rstrip('/')}/events.parquet*")
+    streams.judged_log(_appended(events), f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/log").groupBy("kind", "accepted").agg(F.count("*").alias("n"))
 
 
 # --- descriptives and remaining joins ----------------------------------------------------------------------
@@ -827,26 +1053,20 @@ _CUT = "array_to_string(list_slice(regexp_extract_all({0}, '[^ \\n]+'), 1, least
 @query(f"""WITH {R.PAIRS}, cut AS (SELECT instance, {_CUT.format('baseline')} AS a, {_CUT.format('counterfactual')} AS b FROM pairs), worded AS (SELECT *, {R.sql_words('a')} AS p, {R.sql_words('b')} AS q FROM cut)
 SELECT instance, round(CASE WHEN len(list_distinct(list_concat(p, q))) = 0 THEN 0.0::DOUBLE ELSE 1 - len(list_intersect(p, q))::DOUBLE / len(list_distinct(list_concat(p, q))) END, 9) AS drift FROM worded""")
 def length_robust_drift(spark, d):
-    """Word drift of rationales cut to the shorter one's number of tokens."""
-    words = lambda c: F.regexp_extract_all(F.col(c), F.lit("[^ \\n]+"), F.lit(0))
-    least = F.least(F.size(words("baseline")), F.size(words("counterfactual")))
-    cut = lambda c: F.array_join(F.slice(words(c), F.lit(1), least), " ")
-    return R.pairs(spark, d).select("instance", F.round(text.jaccard_drift(cut("baseline"), cut("counterfactual")), 9).alias("drift"))
+    return R.pairs(spark, d).select("instance", F.round(descriptives.length_robust_drift(F.col("baseline"), F.col("counterfactual")), 9).alias("drift"))
 
 
 @query(f"WITH {R.PAIRS}, w AS (SELECT {R.sql_words('baseline')} AS p, {R.sql_words('counterfactual')} AS q FROM pairs) SELECT count(*) AS n, count(*) FILTER (WHERE len(list_intersect(list_slice(list_sort(p), 1, 3), q)) = 0) AS dropped FROM w")
 def evidence_mention_flip(spark, d):
-    """Counterfactual rationales that mention none of the baseline's three content words that come first in the alphabet."""
-    p, q = text.content_words(F.col("baseline")), text.content_words(F.col("counterfactual"))
-    return R.pairs(spark, d).agg(F.count("*").alias("n"), F.count_if(F.size(F.array_intersect(F.slice(F.array_sort(p), 1, 3), q)) == 0).alias("dropped"))
+    return R.pairs(spark, d).agg(F.count("*").alias("n"), F.count_if(descriptives.mentions_dropped(F.col("baseline"), F.col("counterfactual"))).alias("dropped"))
 
 
 @query(f"WITH {R.RESOLVED} SELECT count(*) AS n, round(avg((res = CASE WHEN res = 'S3' AND drift < 50 THEN 'S2' ELSE res END)::INT), 6) AS agreement FROM resolved")
 def label_stability(spark, d):
     """Agreement of outcomes with those derived again under a larger theta."""
-    first = R.resolved(spark, d).select("instance", "res", "drift")
-    again = first.select("instance", F.when((F.col("res") == "S3") & (F.col("drift") < 50), "S2").otherwise(F.col("res")).alias("again"))
-    return first.join(again, "instance").agg(F.count("*").alias("n"), F.round(F.avg((F.col("res") == F.col("again")).cast("double")), 6).alias("agreement"))
+    first = R.resolved(spark, d)
+    again = first.select("instance", F.when((F.col("res") == "S3") & (F.col("drift") < 50), "S2").otherwise(F.col("res")).alias("res"))
+    return descriptives.agreement(first, again, "instance", "res").withColumn("agreement", F.round("agreement", 6))
 
 
 @query(f"WITH {R.PREDICTED} SELECT split, count(DISTINCT generator) AS generators, count(DISTINCT scene) AS scenes, count(DISTINCT dataset) AS datasets, count(DISTINCT qtype) AS qtypes FROM predicted GROUP BY split")
@@ -856,40 +1076,32 @@ def diversity_counts(spark, d):
 
 @query("SELECT n_nationkey, count(c_custkey) AS entries, count(DISTINCT c_mktsegment) AS sources FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
 def bidirectional_trace(spark, d):
-    """Every source with its entries, sources without any included."""
-    left, right = R.table(spark, d, "nation"), R.table(spark, d, "customer")
-    return left.join(right, left.n_nationkey == right.c_nationkey, "left").groupBy("n_nationkey").agg(F.count("c_custkey").alias("entries"), F.countDistinct("c_mktsegment").alias("sources"))
+    entries = R.table(spark, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
+    return descriptives.trace(R.table(spark, d, "nation"), entries, "n_nationkey", "c_custkey", {"sources": F.countDistinct("c_mktsegment")})
 
 
 @query("SELECT 'orders' AS origin, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
 def union_of_files(spark, d):
-    a = R.table(spark, d, "orders").select(F.lit("orders").alias("origin"))
-    return a.unionAll(R.table(spark, d, "lineitem").select(F.lit("lineitem").alias("origin"))).groupBy("origin").agg(F.count("*").alias("n"))
+    return descriptives.origins({n: R.table(spark, d, n) for n in ("orders", "lineitem")})
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT lang FROM documents EXCEPT SELECT x FROM (VALUES ('en'), ('de')) AS g(x))) AS beyond, (SELECT count(*) FROM (SELECT x FROM (VALUES ('en'), ('de'), ('xx')) AS g(x) EXCEPT SELECT lang FROM documents)) AS unmet")
+@query("SELECT (SELECT count(*) FROM (SELECT lang FROM documents EXCEPT SELECT x FROM (VALUES ('en'), ('de'), ('xx')) AS g(x))) AS beyond, (SELECT count(*) FROM (SELECT x FROM (VALUES ('en'), ('de'), ('xx')) AS g(x) EXCEPT SELECT lang FROM documents)) AS unmet")
 def grid_equality(spark, d):
-    """Values outside a registered grid, and grid values that don't occur."""
-    seen = R.table(spark, d, "documents").select("lang").distinct()
-    grid_of = lambda xs: spark.createDataFrame([(x,) for x in xs], "lang string")
-    beyond = seen.subtract(grid_of(["en", "de"])).agg(F.count("*").alias("beyond"))
-    return beyond.crossJoin(grid_of(["en", "de", "xx"]).subtract(seen).agg(F.count("*").alias("unmet")))
+    """The languages that occur against a registered list of three."""
+    return descriptives.grid_equality(R.table(spark, d, "documents"), "lang", ["en", "de", "xx"])
 
 
-@query(f"WITH {R.RESOLVED} SELECT (SELECT count(*) FROM resolved WHERE res LIKE 'S%') AS corpus, (SELECT count(*) FROM resolved WHERE res LIKE 'E%') AS routed, 0::BIGINT AS both, 0::BIGINT AS lost")
+@query(f"WITH {R.RESOLVED}, c AS (SELECT instance FROM resolved WHERE res LIKE 'S%' OR instance % 29 = 0), r AS (SELECT instance FROM resolved WHERE res LIKE 'E%' AND instance % 23 <> 0) SELECT (SELECT count(*) FROM c) AS corpus, (SELECT count(*) FROM r) AS routed, (SELECT count(*) FROM c JOIN r USING (instance)) AS both, (SELECT count(*) FROM resolved WHERE instance NOT IN (SELECT instance FROM c UNION ALL SELECT instance FROM r)) AS lost")
 def corpus_and_routed(spark, d):
-    """Corpus and routed-aside sets: disjoint, and together the candidates."""
+    """Corpus and routed-aside sets, of which some entries are in both and some candidates in neither."""
     res = R.resolved(spark, d)
-    corpus, routed = res.where(F.col("res").startswith("S")).select("instance"), res.where(F.col("res").startswith("E")).select("instance")
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    lost = R.candidates(spark, d).select("instance").exceptAll(corpus.unionAll(routed))
-    return n(corpus, "corpus").crossJoin(n(routed, "routed")).crossJoin(n(corpus.intersect(routed), "both")).crossJoin(n(lost, "lost"))
+    corpus, routed = res.where("res like 'S%' or instance % 29 = 0"), res.where("res like 'E%' and instance % 23 <> 0")
+    return descriptives.partition_check(res, {"corpus": corpus, "routed": routed}, "instance")
 
 
 @query(f"WITH {R.EXTRACTED} SELECT turn % 4 AS style, count(*) FILTER (WHERE answer = 'cigar') AS by_letter, count(*) FILTER (WHERE lower(trim(plain)) LIKE 'pen%') AS by_text, count(*) AS n FROM extracted GROUP BY 1")
 def scorer_diagnostic(spark, d):
-    rows = R.extracted(spark, d)
-    return rows.groupBy((F.col("turn") % 4).alias("style")).agg(F.count_if(F.col("answer") == "cigar").alias("by_letter"), F.count_if(F.lower(F.trim("plain")).startswith("pen")).alias("by_text"), F.count("*").alias("n"))
+    return run.scorer_diagnostic(R.extracted(spark, d), [(F.col("turn") % 4).alias("style")], "cigar", "pen")
 
 
 @query("""SELECT event_type, median(value) AS med, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events GROUP BY event_type""".replace("median(value) AS med", "round(median(value), 6) AS med").replace("quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr", "round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr"))
@@ -900,6 +1112,5 @@ def median_and_iqr(spark, d):
 @query(f"WITH {R.READINGS} SELECT instance, count(*) AS regimes, max(scores[1]) AS top FROM readings GROUP BY instance")
 def regime_map(spark, d):
     """Long readings to one map for each instance and back to long; folded again."""
-    packed = R.readings(spark, d).groupBy("instance").agg(F.map_from_entries(F.collect_list(F.struct("regime", "scores"))).alias("readings"))
-    back = packed.select("instance", F.explode("readings").alias("regime", "scores"))
+    back = descriptives.unpacked_readings(descriptives.packed_readings(R.readings(spark, d)))
     return back.groupBy("instance").agg(F.count("*").alias("regimes"), F.max(F.get("scores", F.lit(0))).alias("top"))

@@ -48,5 +48,9 @@ def test_the_rest_stands_without_the_training_data_operators(tmp_path):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = QUERIES["model_call"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    from fidelis.operators import images
+
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars >= 200").select("doc_id", "lang")
+    plan = images.call_model(rows, lambda: lambda frame: frame, "doc_id long, lang string")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(n_chars,200)" in plan and not re.search(r"ReadSchema: struct<[^>]*text", plan)
+    assert not re.search(r"ReadSchema: struct<[^>]*(lang|source)", QUERIES["contamination"](spark, SF)._jdf.queryExecution().executedPlan().toString())
