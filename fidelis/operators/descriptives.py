@@ -82,17 +82,18 @@ def partition_check(candidates: DataFrame, parts: dict[str, DataFrame], key: str
 def contamination(texts: DataFrame, key: str, benchmark: DataFrame, words: int = 8, most: int = 2_000_000) -> DataFrame:
     """For each key, how many distinct runs of so many words (between single blanks) it shares with a benchmark's texts; keys without any are missing.
 
-    Runs are two 64-bit hashes, taken without making strings of them. The benchmark's are counted, and broadcast if
-    there are at most `most` (16 bytes each); then texts meet them where they are read. Beyond that the join is shuffled.
+    Runs become two 64-bit hashes as soon as they are exploded. The benchmark's are counted, and broadcast if there are
+    at most `most` (16 bytes each); then texts meet them where they are read, and only what is shared is shuffled.
+    Beyond that the join is shuffled.
     """
 
     def runs(df: DataFrame, *keep: str) -> DataFrame:
         # The words are bound by a lambda of their own, else each run would split the text again.
         split = F.filter(F.array(F.split("text", " ")), lambda w: F.size(w) >= words)
-        hashed = lambda part: F.struct(F.xxhash64(part).alias("a"), F.xxhash64(F.lit(7), part).alias("b"))
-        every = F.transform(split, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: hashed(F.slice(w, i, F.lit(words)))))
-        return df.select(*keep, F.explode(F.array_distinct(F.flatten(every))).alias("run")).select(*keep, "run.*")
+        every = F.transform(split, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - words + 1), lambda i: F.array_join(F.slice(w, i, F.lit(words)), " ")))
+        exploded = df.select(*keep, F.explode(F.flatten(every)).alias("run"))
+        return exploded.select(*keep, F.xxhash64("run").alias("a"), F.xxhash64(F.lit(7), "run").alias("b"))
 
     held = runs(benchmark).distinct()
     held = F.broadcast(held) if held.count() <= most else held
-    return runs(texts, key).join(held, ["a", "b"], "left_semi").groupBy(key).agg(F.count("*").alias("shared"))
+    return runs(texts, key).join(held, ["a", "b"], "left_semi").groupBy(key).agg(F.countDistinct("a", "b").alias("shared"))
