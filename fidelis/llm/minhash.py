@@ -8,7 +8,8 @@ what is left is confirmed on the full shingle sets.
 Groups of copies never become all their pairs. Equal sets are one class from the start. Within a bucket, a
 first round confirms only a spanning forest of the plausible pairs, by blocks of BLOCK members; a second
 round holds every plausible pair whose ends are still in different components against the full sets, inside
-cells that get the sets, and hands on only links that join components. Buckets of any size go through both rounds.
+cells whose members in such a pair get theirs, and hands on only links that join components. Buckets of any size go
+through both rounds.
 
 A bucket's cells are its largest component's blocks, each with the other members, and pairs of blocks of these. Where
 that would make more than FAN rows a member, as in a large bucket of look-alikes that no link joins, the bucket is
@@ -179,46 +180,65 @@ def _plausible(n: np.ndarray, comp: np.ndarray, side: np.ndarray, rid: np.ndarra
     return a[order].tolist(), b[order].tolist()
 
 
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple] | None]:
+    """The rows of each cell of more than one row, which come one after another; None after each part of a batch."""
+    held: list[tuple] = []
+    for batch in slices(batches):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][0] != row[0]:
+                if len(held) > 1:
+                    yield held
+                held = []
+            held.append(row)
+        yield None
+    if len(held) > 1:
+        yield held
+
+
+def _cell(held: list[tuple]) -> tuple[np.ndarray, ...]:
+    """rid, n, component, side and registers of a cell's rows."""
+    return *(np.array([h[i] for h in held]) for i in (1, 2, 3, 4)), np.frombuffer(b"".join(h[5] for h in held), np.uint16).reshape(len(held), REGISTERS)
+
+
 def _pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """A spanning forest, over components, of each cell's plausible pairs; rows of a cell come one after another.
+    """A spanning forest, over components, of each cell's plausible pairs.
 
     Rows: cell, rid, n, component, side, registers and, in the second round, shingles. With shingles a pair is
     confirmed on the full sets before it joins the forest, so what comes out are links and the forest spans all
     links of the cell; without them it is likeliest first. Pairs with side 1 at both ends don't count.
     """
-    held: list[tuple] = []
-    left: list[int] = []
-    right: list[int] = []
-
-    def close() -> None:
-        if len(held) < 2:
-            return
-        rid, n, comp, side = (np.array([h[i] for h in held]) for i in (1, 2, 3, 4))
-        regs = np.frombuffer(b"".join(h[5] for h in held), np.uint16).reshape(len(held), REGISTERS)
+    found: list[tuple[int, int]] = []
+
+    def out() -> pa.RecordBatch:
+        ends = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+        found.clear()
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    for held in _by_cell(batches):
+        if held is None:
+            yield out()
+            continue
+        rid, n, comp, side, regs = _cell(held)
         first: dict[int, int] = {}
         parent = [first.setdefault(c, i) for i, c in enumerate(comp.tolist())]
         for a, b in zip(*_plausible(n, comp, side, rid, regs, threshold), strict=True):
             p, q = _find(parent, a), _find(parent, b)
             if p != q and (len(held[a]) == 6 or _alike(np.frombuffer(held[a][6], np.uint64), np.frombuffer(held[b][6], np.uint64), threshold)):
                 parent[p] = q
-                left.append(int(rid[a]))
-                right.append(int(rid[b]))
+                found.append((rid[a], rid[b]))
+    yield out()
 
-    def out() -> pa.RecordBatch:
-        a, b = np.array(left, np.int64), np.array(right, np.int64)
-        left.clear()
-        right.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    for batch in slices(batches):
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[0][0] != row[0]:
-                close()
-                held.clear()
-            held.append(row)
-        yield out()
-    close()
-    yield out()
+def _hopeful(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Those rows of each cell that are in a plausible pair."""
+    for held in _by_cell(batches):
+        if held is None:
+            continue
+        rid, n, comp, side, regs = _cell(held)
+        ends = sorted(set().union(*_plausible(n, comp, side, rid, regs, threshold)))
+        if ends:
+            rows = [held[i] for i in ends]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["cell", "rid", "n", "component", "side", "registers"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -309,10 +329,12 @@ def of_nodes(docs: DataFrame, k: int = 5, threshold: float = 0.75) -> DataFrame:
         # Round two: what links there still are between components, confirmed inside the cells.
         comps = components(links, scratch)
         placed = members.join(comps.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-        more = scratch.write(_in_cells(_cells(placed, scratch).join(sets, "rid").select("cell", "rid", "n", "component", "side", "registers", "shingles"), threshold), "more")
+        cells = _dealt(_cells(placed, scratch)).mapInArrow(lambda it: _hopeful(it, threshold), "cell long, rid long, n long, component long, side int, registers binary")
+        cells = scratch.write(cells, "hopeful")
+        more = scratch.write(_in_cells(cells.join(sets, "rid").select(*cells.columns, "shingles"), threshold), "more")
         if more.said["n"]:
             comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more), scratch)
-        scratch.drop(sets, pairs, links, more)
+        scratch.drop(sets, pairs, links, cells, more)
     else:
         comps = spark.createDataFrame([], "node long, component long")
     scratch.drop(members, ids)
@@ -324,9 +346,12 @@ def of_nodes(docs: DataFrame, k: int = 5, threshold: float = 0.75) -> DataFrame:
     )
 
 
+def _dealt(cells: DataFrame) -> DataFrame:
+    return cells.repartition("cell").sortWithinPartitions("cell", "rid")
+
+
 def _in_cells(cells: DataFrame, threshold: float) -> DataFrame:
-    ordered = cells.repartition("cell").sortWithinPartitions("cell", "rid")
-    return ordered.mapInArrow(lambda it: _pairs(it, threshold), "a long, b long").distinct()
+    return _dealt(cells).mapInArrow(lambda it: _pairs(it, threshold), "a long, b long").distinct()
 
 
 def _buckets(bands: DataFrame) -> DataFrame:
