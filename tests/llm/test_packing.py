@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from odd_texts import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,10 +56,11 @@ def test_repeated_rows_are_packed_each(docs_of):
     assert sorted(r.offset for r in rows) == [0, 3, 6] and len({r.sequence_id for r in rows}) == 1
 
 
-def test_many_equal_lengths_share_salts(docs_of, monkeypatch):
-    monkeypatch.setattr(packing, "SHARE", 20)
+@pytest.mark.parametrize("ids", [0, 1_000_000])
+def test_many_equal_lengths_over_many_tasks(docs_of, monkeypatch, ids):
+    monkeypatch.setattr("fidelis.llm.common.BROADCAST_IDS", ids)
     texts = ["a b c"] * 300 + ["a " * 600] * 90
-    check(docs_of(texts), dict(enumerate(texts)))
+    check(docs_of(texts).repartition(7), dict(enumerate(texts)))
 
 
 @settings(max_examples=60, deadline=None)
