@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fidelis.functions.stats import binomial_tail
+from fidelis.operators.evaluate import auroc
 from fidelis.operators.guard import guard
 
 # The registered rules.
@@ -50,3 +51,22 @@ def choose_k_binomial(noise: DataFrame, p: str = "p_noise", grid: tuple[int, ...
     """The smallest k whose chance of k or more of n spurious flips is small enough; null if none is."""
     k = F.coalesce(*(F.when(binomial_tail(n, k, F.col(p)) <= most, F.lit(k).cast("long")) for k in sorted(grid)))
     return noise.withColumn("k", k)
+
+
+# Drift instruments from the one of least risk to that of most, and how near AUROCs tie.
+INSTRUMENTS, NEAR = ("jaccard-content", "embed-cosine", "nli-bidir", "bertscore-baseline"), 0.01
+
+
+def choose_instrument(drifts: DataFrame, instruments: tuple[str, ...] = INSTRUMENTS, near: float = NEAR) -> DataFrame:
+    """The instrument, of drifts (instrument, targeted, control), of largest AUROC of targeted against control drift.
+
+    Only those whose median paired difference is positive can be chosen; of those nearer than `near` to the best of
+    these, the one of least risk. One row for each instrument: auroc, delta, chosen.
+    """
+    long = drifts.select("instrument", F.explode(F.array(F.struct(F.col("targeted").alias("s"), F.lit(1).alias("t")), F.struct(F.col("control").alias("s"), F.lit(0).alias("t")))).alias("x")).select("instrument", "x.*")
+    delta = drifts.groupBy("instrument").agg(F.median(F.col("targeted") - F.col("control")).alias("delta"))
+    found = auroc(long, "s", "t", ["instrument"]).select("instrument", "auroc").join(delta, "instrument")
+    risk = F.array_position(F.array(*map(F.lit, instruments)), F.col("instrument"))
+    able = found.where("delta > 0").select("instrument", "auroc", risk.alias("risk")).where("risk > 0")
+    best = able.crossJoin(F.broadcast(able.agg(F.max("auroc").alias("most")))).where(F.col("auroc") >= F.col("most") - near).agg(F.min_by("instrument", "risk").alias("winner"))
+    return found.crossJoin(F.broadcast(best)).select("instrument", "auroc", "delta", F.coalesce(F.col("instrument") == F.col("winner"), F.lit(False)).alias("chosen"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.functions import stats, text
+from fidelis.functions import drift, stats, text
 from fidelis.operators import assemble, assurance, calibrate, conditions, descriptives, evaluate, gates, grid, identity, images, ingest, ledger, run, views
 from fidelis.plans import roles as R
 from fidelis.sources.scratch import Scratch
@@ -424,6 +424,32 @@ def embed_cosine_drift(spark, d):
     return a.join(b, "vec_id").select("vec_id", F.round(1 - stats.cosine(F.col("embedding"), F.col("next")), 6).alias("drift"))
 
 
+@query("""WITH p AS (SELECT a.vec_id // 4 AS key, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON b.vec_id // 4 = a.vec_id // 4 + 1),
+r AS (SELECT key, avg(m) AS r FROM (SELECT key, i, max(c) AS m FROM p GROUP BY ALL) GROUP BY key), q AS (SELECT key, avg(m) AS q FROM (SELECT key, j, max(c) AS m FROM p GROUP BY ALL) GROUP BY key)
+SELECT key, round(1 - 2 * r * q / (r + q), 6) AS drift FROM r JOIN q USING (key)""")
+def token_matching_drift(spark, d):
+    """Four vectors in a row as a text's tokens, against the next four."""
+    tokens = R.table(spark, d, "embeddings").groupBy(F.floor(F.col("vec_id") / 4).alias("key")).agg(F.collect_list("embedding").alias("before"))
+    after = tokens.select((F.col("key") - 1).alias("key"), F.col("before").alias("after"))
+    return tokens.join(after, "key").select("key", F.round(drift.token_matching_drift(F.col("before"), F.col("after")), 6).alias("drift"))
+
+
+_LONG = "long AS (SELECT 'jaccard-content' AS instrument, targeted, control FROM drifts UNION ALL SELECT 'embed-cosine', round(targeted, 1), round(control, 1) FROM drifts UNION ALL SELECT 'nli-bidir', 1 - ((1 - targeted) + (1 - targeted) / 2) / 2, 1 - (1 - control) FROM drifts UNION ALL SELECT 'bertscore-baseline', control, targeted FROM drifts)"
+
+
+@query(f"""WITH {R.DRIFTS}, {_LONG}, m AS (SELECT instrument, median(targeted - control) AS delta FROM long GROUP BY instrument), scored AS (SELECT instrument, targeted AS s, 1 AS t FROM long UNION ALL SELECT instrument, control, 0 FROM long),
+c AS (SELECT instrument, s, count(*) FILTER (WHERE t = 1) AS pos, count(*) FILTER (WHERE t = 0) AS neg FROM scored GROUP BY ALL), w AS (SELECT *, pos * (coalesce(sum(neg) OVER (PARTITION BY instrument ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2) AS wins FROM c),
+a AS (SELECT instrument, sum(wins) / (sum(pos) * sum(neg))::DOUBLE AS auroc FROM w GROUP BY instrument), f AS (SELECT * FROM a JOIN m USING (instrument)),
+best AS (SELECT instrument FROM f WHERE delta > 0 AND auroc >= (SELECT max(auroc) FROM f WHERE delta > 0) - 0.01 ORDER BY list_position(['jaccard-content', 'embed-cosine', 'nli-bidir', 'bertscore-baseline'], instrument) LIMIT 1)
+SELECT f.instrument, round(auroc, 6) AS auroc, round(delta, 6) AS delta, coalesce(f.instrument = (SELECT instrument FROM best), false) AS chosen FROM f""")
+def instrument_choice(spark, d):
+    """Four stand-ins of instruments over the same pairs; the last has targeted and control drift swapped."""
+    t, c = F.col("targeted"), F.col("control")
+    made = {"jaccard-content": (t, c), "embed-cosine": (F.round(t, 1), F.round(c, 1)), "nli-bidir": (drift.entailment_drift(1 - t, (1 - t) / 2), drift.entailment_drift(1 - c, 1 - c)), "bertscore-baseline": (c, t)}
+    rows = R.drifts(spark, d).select(F.explode(F.array(*(F.struct(F.lit(n).alias("instrument"), a.alias("targeted"), b.alias("control")) for n, (a, b) in made.items()))).alias("x")).select("x.*")
+    return calibrate.choose_instrument(rows).withColumn("auroc", F.round("auroc", 6)).withColumn("delta", F.round("delta", 6))
+
+
 _AUC = """SELECT {by} round(sum(wins) / nullif(sum(pos) * sum(neg), 0)::DOUBLE, 6) AS auroc, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg FROM (SELECT *, pos * (coalesce(sum(neg) OVER ({part} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2) AS wins
  FROM (SELECT {by} s, count(*) FILTER (WHERE t = 1) AS pos, count(*) FILTER (WHERE t = 0) AS neg FROM scored GROUP BY {by} s)) {group}"""
 

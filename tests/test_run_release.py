@@ -210,3 +210,23 @@ def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch.shared_dir(Session())
+
+
+def test_token_matching_drift_is_that_of_greedy_matches(spark):
+    from fidelis.functions import drift
+
+    rng = np.random.default_rng(3)
+    a, b = rng.standard_normal((3, 5)), rng.standard_normal((4, 5))
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    cos = unit(a) @ unit(b).T
+    p, r = cos.max(axis=0).mean(), cos.max(axis=1).mean()
+    df = spark.createDataFrame([(a.tolist(), b.tolist(), []), (a.tolist(), a.tolist(), [])], "a array<array<double>>, b array<array<double>>, none array<array<double>>")
+    rows = df.select(drift.token_matching_drift(F.col("a"), F.col("b")).alias("d"), drift.token_matching_drift(F.col("a"), F.col("none")).alias("e")).collect()
+    assert rows[0].d == pytest.approx(1 - 2 * p * r / (p + r)) and rows[1].d == pytest.approx(0.0) and rows[0].e is None
+
+
+def test_a_missing_scorer_package_is_told():
+    from fidelis.functions import drift
+
+    with pytest.raises(RuntimeError, match="bert_score"):
+        drift.bertscore_model("roberta-large")()
