@@ -144,10 +144,17 @@ def bootstrap(df: DataFrame, key: str, value: str, strata: list[str], replicates
     dealt = df.select(F.floor(hash_uniform(F.lit("block"), F.col(key)) * blocks).cast("long").alias("block"), F.col(value).cast("double").alias("v"), *strata)
     sums = dealt.groupBy(*strata, "block").agg(F.count("v").alias("n"), F.sum("v").alias("s"))
     steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)
-    u = hash_uniform(F.col("replicate"), *map(F.col, strata), F.col("block"))
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    drawn = sums.repartition(F.col("block")).withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long")))).withColumn("w", weight)
-    by = drawn.groupBy("replicate", *strata).agg(F.sum(F.col("w") * F.col("n")).alias("w"), F.sum(F.col("w") * F.col("s")).alias("ws"), F.sum("n").alias("n"))
+    # Four replicates share a digest, 15 bits each, and a row.
+    groups = F.sequence(F.lit(0).cast("long"), F.lit(-(-replicates // 4) - 1).cast("long"))
+    drawn = sums.repartition(F.col("block")).withColumn("four", F.explode(groups))
+    digest = F.md5(F.concat_ws("|", F.col("four").cast("string"), *(F.col(c).cast("string") for c in strata), F.col("block").cast("string")))
+    drawn = drawn.withColumn("bits", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    u = [F.shiftright("bits", 15 * j).bitwiseAND(F.lit(32767)) / 32768.0 for j in range(4)]
+    drawn = drawn.withColumns({f"w{j}": sum((F.when(u[j] >= s, 1).otherwise(0) for s in steps), F.lit(0)) for j in range(4)})
+    totals = [a for j in range(4) for a in (F.sum(F.col(f"w{j}") * F.col("n")).alias(f"n{j}"), F.sum(F.col(f"w{j}") * F.col("s")).alias(f"s{j}"))]
+    fours = drawn.groupBy("four", *strata).agg(*totals, F.sum("n").alias("n"))
+    each = F.array(*(F.struct((F.col("four") * 4 + j).alias("replicate"), F.col(f"n{j}").alias("w"), F.col(f"s{j}").alias("ws")) for j in range(4)))
+    by = fours.select(*strata, "n", F.explode(each).alias("x")).select(*strata, "n", "x.*").where(F.col("replicate") < replicates)
     # Strata keep their own sizes: a stratum's resampled mean counts by its number of rows.
     means = by.where("w > 0").groupBy("replicate").agg((F.sum(F.col("n") * F.col("ws") / F.col("w")) / F.sum("n")).alias("mean"))
     q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))

@@ -843,7 +843,7 @@ def kappa(spark, d):
     return evaluate.kappa(R.entries(spark, d), "truth", "pred").select(*(F.round(c, 6).alias(c) for c in ("kappa", "low", "high")), "n")
 
 
-_U = R.sql_uniform("replicate", "dataset", "block")
+_U = "((('0x' || substr(md5(concat_ws('|', replicate // 4, dataset, block)), 1, 15))::BIGINT >> (15 * (replicate % 4))::INT) & 32767) / 32768.0::DOUBLE"
 
 
 @query(f"""WITH {R.ENTRIES}, dealt AS (SELECT floor({R.sql_uniform("'block'", "instance")} * {evaluate.BLOCKS})::BIGINT AS block, dataset, (truth = pred)::INT::DOUBLE AS v FROM entries), b AS (SELECT dataset, block, count(*) AS n, sum(v) AS s FROM dealt GROUP BY ALL),
