@@ -37,6 +37,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500, most: int = SLICE
                 part = part.slice(0, max(1, min(part.num_rows - 1, int(part.num_rows * most / part.nbytes))))
             yield part
             start += part.num_rows
+        # What is held of the last batch goes back before the next one comes.
+        batch = part = None
+        pa.default_memory_pool().release_unused()
 
 
 #: A side of at most so many rows of one long column each (16 MB) may be broadcast after counting it.
@@ -48,7 +51,7 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
-def text_chunks(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def text_chunks(texts: list, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Index ranges of texts of about `most` characters each, so that per-byte arrays stay small; a longer text is alone."""
     start, held = 0, 0
     for i, t in enumerate(texts):

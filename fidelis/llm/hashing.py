@@ -37,7 +37,7 @@ def _power(n: int, which: str) -> np.ndarray:
 
 
 #: Bytes that are hashed at once; a window ends before a blank, so only a longer word makes it longer.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 
 
 def _windows(space: np.ndarray) -> list[int]:

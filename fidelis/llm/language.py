@@ -30,7 +30,7 @@ BITS = 15
 BINS = 1 << BITS
 MOST = 256
 #: Characters whose trigrams are summed at once; a piece of text ends at a blank, so only a longer word makes it longer.
-PIECE = 1 << 19
+PIECE = 1 << 18
 PENALTY, ROUNDS, SMOOTH, FAINT = 4.0, 6, 0.5, 0.01
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
