@@ -141,22 +141,22 @@ def bootstrap(df: DataFrame, key: str, value: str, strata: list[str], replicates
     Rows are dealt to blocks of their stratum by a digest of the key and summed once. A replicate weighs a block by the
     Poisson(1) quantile of a digest, so the result depends on no partitioning, and the work on the number of rows only once.
     """
-    dealt = df.select(F.floor(hash_uniform(F.lit("block"), F.col(key)) * blocks).cast("long").alias("block"), F.col(value).cast("double").alias("v"), *strata)
-    sums = dealt.groupBy(*strata, "block").agg(F.count("v").alias("n"), F.sum("v").alias("s"))
+    dealt = df.select(*strata, F.floor(hash_uniform(F.lit("block"), F.col(key)) * blocks).cast("long").alias("__block"), F.col(value).cast("double").alias("__v"))
+    sums = dealt.groupBy(*strata, "__block").agg(F.count("__v").alias("__n"), F.sum("__v").alias("__s"))
     steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563)
     # Four replicates share a digest, 15 bits each, and a row.
     groups = F.sequence(F.lit(0).cast("long"), F.lit(-(-replicates // 4) - 1).cast("long"))
-    drawn = sums.repartition(F.col("block")).withColumn("four", F.explode(groups))
-    digest = F.md5(F.concat_ws("|", F.col("four").cast("string"), *(F.col(c).cast("string") for c in strata), F.col("block").cast("string")))
-    drawn = drawn.withColumn("bits", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
-    u = [F.shiftright("bits", 15 * j).bitwiseAND(F.lit(32767)) / 32768.0 for j in range(4)]
-    drawn = drawn.withColumns({f"w{j}": sum((F.when(u[j] >= s, 1).otherwise(0) for s in steps), F.lit(0)) for j in range(4)})
-    totals = [a for j in range(4) for a in (F.sum(F.col(f"w{j}") * F.col("n")).alias(f"n{j}"), F.sum(F.col(f"w{j}") * F.col("s")).alias(f"s{j}"))]
-    fours = drawn.groupBy("four", *strata).agg(*totals, F.sum("n").alias("n"))
-    each = F.array(*(F.struct((F.col("four") * 4 + j).alias("replicate"), F.col(f"n{j}").alias("w"), F.col(f"s{j}").alias("ws")) for j in range(4)))
-    by = fours.select(*strata, "n", F.explode(each).alias("x")).select(*strata, "n", "x.*").where(F.col("replicate") < replicates)
+    drawn = sums.repartition(F.col("__block")).withColumn("__four", F.explode(groups))
+    digest = F.md5(F.concat_ws("|", F.col("__four").cast("string"), *(F.col(c).cast("string") for c in strata), F.col("__block").cast("string")))
+    drawn = drawn.withColumn("__bits", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    u = [F.shiftright("__bits", 15 * j).bitwiseAND(F.lit(32767)) / 32768.0 for j in range(4)]
+    drawn = drawn.withColumns({f"__w{j}": sum((F.when(u[j] >= s, 1).otherwise(0) for s in steps), F.lit(0)) for j in range(4)})
+    totals = [a for j in range(4) for a in (F.sum(F.col(f"__w{j}") * F.col("__n")).alias(f"__n{j}"), F.sum(F.col(f"__w{j}") * F.col("__s")).alias(f"__s{j}"))]
+    fours = drawn.groupBy("__four", *strata).agg(*totals, F.sum("__n").alias("__n"))
+    each = F.array(*(F.struct((F.col("__four") * 4 + j).alias("replicate"), F.col(f"__n{j}").alias("w"), F.col(f"__s{j}").alias("ws")) for j in range(4)))
+    by = fours.select(F.col("__n").alias("n"), F.explode(each).alias("x")).select("n", "x.*").where((F.col("replicate") < replicates) & (F.col("w") > 0))
     # Strata keep their own sizes: a stratum's resampled mean counts by its number of rows.
-    means = by.where("w > 0").groupBy("replicate").agg((F.sum(F.col("n") * F.col("ws") / F.col("w")) / F.sum("n")).alias("mean"))
+    means = by.groupBy("replicate").agg((F.sum(F.col("n") * F.col("ws") / F.col("w")) / F.sum("n")).alias("mean"))
     q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
     return means.agg(F.get(q, F.lit(0)).alias("low"), F.get(q, F.lit(1)).alias("high"), F.count("*").alias("replicates"))
 
@@ -173,15 +173,15 @@ def resample(df: DataFrame, strata: list[str], cells: list[str], metric: Callabl
     the order of their sorted distinct labels over all strata, as `resample_cells` gives them. A paired comparison is a
     metric over both predictors' columns: the difference of theirs. More than MOST_CELLS counts are refused; see bootstrap.
     """
-    counts = df.groupBy(*strata, *cells).agg(F.count("*").alias("n"))
-    held = counts.select(F.to_json(F.struct(*strata, F.lit(0).alias("__all"))).alias("stratum"), *cells, "n").limit(MOST_CELLS + 1).toPandas()
+    counts = df.groupBy(*strata, *cells).agg(F.count("*").alias("__n"))
+    held = counts.select(F.to_json(F.struct(*strata, F.lit(0).alias("__all"))).alias("__stratum"), *cells, "__n").limit(MOST_CELLS + 1).toPandas()
     if len(held) > MOST_CELLS:
         raise ValueError(f"more than {MOST_CELLS} counts of strata and labels")
     labels = sorted({tuple(r) for r in held[cells].itertuples(index=False)}, key=str)
     place = {x: i for i, x in enumerate(labels)}
-    table = np.zeros((held["stratum"].nunique(), len(labels)), np.int64)
-    rows = {x: i for i, x in enumerate(sorted(held["stratum"].unique()))}
-    for stratum, n, *label in zip(held["stratum"], held["n"], *(held[c] for c in cells), strict=True):
+    table = np.zeros((held["__stratum"].nunique(), len(labels)), np.int64)
+    rows = {x: i for i, x in enumerate(sorted(held["__stratum"].unique()))}
+    for stratum, n, *label in zip(held["__stratum"], held["__n"], *(held[c] for c in cells), strict=True):
         table[rows[stratum], place[tuple(label)]] = n
     value = float(metric(table.sum(axis=0)[None, :])[0]) if len(labels) else None
     if not len(labels):
