@@ -38,7 +38,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"), run=substrings.RUN)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

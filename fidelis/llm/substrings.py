@@ -18,7 +18,9 @@ repeated_units leaves short lines, runs inside a longer sentence and scripts wit
 two kinds of pieces for them. Lines: every whole line that isn't blank, whatever its length. Windows: SPAN tokens in
 a row, across lines and sentences, where a token is a word or, in scripts without blanks, a character; of each
 AHEAD windows in a row the one of least hash is taken, so that every shared run of SPAN + AHEAD - 1 = 51 tokens has
-a window that is the same on both sides, and those taken within a run leave no gap between them.
+a window that is the same on both sides, and those taken within a run leave no gap between them. Repeated pieces of any
+kind that overlap or follow one another without a token between them are a run there, and those of runs of at least
+`run` tokens are removed: with 1 every repeated line is, with RUN short lines that clean documents have stay.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ MIN_WORDS, RUN = 6, 15
 PIECES = "row long, doc_id long, start long, end long, words int, h1 long, h2 long, kind int, nth int"
 _NAMES = ["row", "doc_id", "start", "end", "words", "h1", "h2", "kind", "nth"]
 KINDS = ("unit", "line", "window")
+Tokens = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 _LINE = re.compile(r"[^\n]+")
 _END = re.compile(r"[.!?]+(?=\s)")
 _OUTER = " \t\r\f\v.,;:!?\"'()[]{}<>|*#%&$-"
@@ -86,8 +89,11 @@ def _batch(part: pa.RecordBatch, where: np.ndarray, digests: np.ndarray, kind: i
     return pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *numbers, pa.array(np.full(n, kind, np.int32)), order], _NAMES)
 
 
-def _hashed(part: pa.RecordBatch, found: Iterator[tuple[int, int, int, str]], kind: int) -> pa.RecordBatch:
-    """Pieces of (row's number, start, end, normalised text), with their place among their row's."""
+def _hashed(part: pa.RecordBatch, found: Iterator[tuple[int, int, int, str]], kind: int, tokens: Tokens | None = None, at: int = 0) -> pa.RecordBatch:
+    """Pieces of (row's number, start, end, normalised text), with their place among their row's.
+
+    Given the tokens of the texts from row `at` on, the place is that of the first token, and words are tokens.
+    """
     where, digests, nth, last = [], [], [], (-1, -1)
     salt = KINDS[kind].encode() if kind else b""
     for i, start, end, piece in found:
@@ -96,19 +102,26 @@ def _hashed(part: pa.RecordBatch, found: Iterator[tuple[int, int, int, str]], ki
         where.append((i, start, end, piece.count(" ") + 1))
         digests.append(md5(salt + piece.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
     h = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2)
-    return _batch(part, np.array(where, np.int64).reshape(-1, 4), h, kind, np.array(nth, np.int32))
+    held, order = np.array(where, np.int64).reshape(-1, 4), np.array(nth, np.int32)
+    if tokens:
+        order, held[:, 3] = _places(tokens, held[:, 0] - at, held[:, 1], held[:, 2])
+    return _batch(part, held, h, kind, order)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], least: int, passages: bool) -> Iterator[pa.RecordBatch]:
     """Units and, for passages, lines and windows. Only those of one kind have digests in common."""
     for part in slices(batches):
         texts = [t or "" for t in part.column(2).to_pylist()]
-        yield _hashed(part, ((i, *u) for i, t in enumerate(texts) for u in units(t, least)), 0)
-        if passages:
-            yield _hashed(part, ((i, *u) for i, t in enumerate(texts) for u in lines(t, least)), 1)
-            for a, b in text_chunks(texts, 1 << 17):
-                doc, start, end, h1, h2 = windows(texts[a:b])
-                yield _batch(part, np.column_stack((doc + a, start, end, np.full(len(doc), SPAN))), np.column_stack((h1.view(np.int64), h2.view(np.int64))), 2)
+        if not passages:
+            yield _hashed(part, ((i, *u) for i, t in enumerate(texts) for u in units(t, least)), 0)
+            continue
+        for a, b in text_chunks(texts, 1 << 17):
+            tokens = _tokens(texts[a:b])
+            for kind, cut in enumerate((units, lines)):
+                yield _hashed(part, ((i, *u) for i in range(a, b) for u in cut(texts[i], least)), kind, tokens, a)
+            doc, start, end, h1, h2 = windows(texts[a:b], tokens)
+            where, digests = np.column_stack((doc + a, start, end, np.full(len(doc), SPAN))), np.column_stack((h1.view(np.int64), h2.view(np.int64)))
+            yield _batch(part, where, digests, 2, _places(tokens, doc, start, end)[0])
 
 
 def _repeats(rows: DataFrame, scratch: Scratch, least: int, passages: bool) -> DataFrame:
@@ -155,13 +168,26 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
-def windows(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Text number, start, end and two hashes of the windows taken."""
+def _tokens(texts: list[str]) -> Tokens:
+    """Code points of the texts in lower case, each with a line break after it; the tokens' starts and ends; the texts' lengths with the break."""
     each = np.array([len(t) + 1 for t in texts], np.int64)
     chars = np.frombuffer("".join(f"{_lower(t)}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     full, alone = ~_BLANK[chars], _ALONE[chars]
     apart = np.concatenate(([True], ~full[:-1] | ~full[1:] | alone[:-1] | alone[1:], [True]))
-    starts, ends = np.flatnonzero(full & apart[:-1]), np.flatnonzero(full & apart[1:]) + 1
+    return chars, np.flatnonzero(full & apart[:-1]), np.flatnonzero(full & apart[1:]) + 1, each
+
+
+def _places(tokens: Tokens, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each piece's first token in its text, and how many it has."""
+    _, starts, _, each = tokens
+    text = np.cumsum(each) - each
+    first, last = (np.searchsorted(starts, text[doc] + x) for x in (start, end))
+    return (first - np.searchsorted(starts, text)[doc]).astype(np.int32), last - first
+
+
+def windows(texts: list[str], tokens: Tokens | None = None) -> tuple[np.ndarray, ...]:
+    """Text number, start, end and two hashes of the windows taken."""
+    chars, starts, ends, each = tokens or _tokens(texts)
     n = len(starts) - SPAN + 1
     if n < AHEAD:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
@@ -191,18 +217,25 @@ def windows(texts: list[str]) -> tuple[np.ndarray, ...]:
     return doc, starts[at] - first[doc], ends[at + SPAN - 1] - first[doc], h[at], hashed(42)[at]
 
 
-def _passages_of(rows: DataFrame, scratch: Scratch, least: int) -> DataFrame:
+def _passages_of(rows: DataFrame, scratch: Scratch, least: int, run: int) -> DataFrame:
     """What an occurrence has in common with the kept one of its own row stays."""
     found = _repeats(rows, scratch, least, True)
+    # A run's tokens are those that its pieces cover; a piece that starts past all before it opens one.
+    order = Window.partitionBy("row").orderBy("nth", "words", "start", "end", "kind")
+    until = F.col("nth") + F.col("words")
+    covered = F.coalesce(F.max(until).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    found = found.withColumn("covered", covered).withColumn("island", F.sum((F.col("nth") > F.col("covered")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    own = F.greatest(F.lit(0), until - F.greatest("nth", "covered"))
+    found = found.withColumn("run_words", F.sum(own).over(Window.partitionBy("row", "island"))).where(F.col("run_words") >= run)
     found = found.withColumn("start", F.when(F.col("row") == F.col("first.row"), F.greatest("start", "first.end")).otherwise(F.col("start")))
     return found.where("start < end")
 
 
-def repeated_passages(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """Every occurrence of a unit, line or window to remove, as repeated_units has them, with its kind."""
-    found = _passages_of(_numbered(docs), Scratch(docs.sparkSession, "passages"), least)
+def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, run: int = 1) -> DataFrame:
+    """Every occurrence of a unit, line or window to remove, as repeated_units has them, with its kind; words are tokens."""
+    found = _passages_of(_numbered(docs), Scratch(docs.sparkSession, "passages"), least, run)
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
-    return found.select("doc_id", "start", "end", "words", kind.alias("kind"), "digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "occurrences")
+    return found.select("doc_id", "start", "end", "words", kind.alias("kind"), "digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "occurrences", "run_words")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,11 +250,11 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(2)], ["doc_id", "text", "removed"])
 
 
-def remove_units(docs: DataFrame, least: int = MIN_WORDS, run: int = RUN, passages: bool = False) -> DataFrame:
-    """doc_id, the text without its repeats, and these with their original offsets, for each row of docs."""
+def remove_units(docs: DataFrame, least: int = MIN_WORDS, run: int | None = None, passages: bool = False) -> DataFrame:
+    """doc_id, the text without its repeats, and these with their original offsets, for each row of docs; run: RUN for units, else 1."""
     scratch = Scratch(docs.sparkSession, "removal")
     rows = scratch.write(_numbered(docs), "rows")
-    found = _passages_of(rows, scratch, least) if passages else _units_of(rows, scratch, least, run)
+    found = _passages_of(rows, scratch, least, run or 1) if passages else _units_of(rows, scratch, least, RUN if run is None else run)
     spans = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed"))
     joined = rows.join(spans, "row", "left")
     return joined.select("doc_id", "text", "removed").mapInArrow(_without, "doc_id long, text string, removed array<struct<start:long,end:long>>")

@@ -1,3 +1,6 @@
+import re
+
+import pytest
 from odd_texts import ODD
 
 from fidelis.llm import substrings
@@ -124,3 +127,56 @@ def test_windows_keep_one_in_each_stretch():
         assert len(at) <= 3 * len(texts[d].split()) / substrings.AHEAD
     for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True):
         assert len(texts[d][s:e].split()) == substrings.SPAN
+
+
+def brute_passages(texts, run, least=6):
+    """Occurrences of repeated pieces in runs, by sets of covered words; texts is (doc_id, text) with ids in order."""
+    held = {}
+    for row, (doc_id, text) in enumerate(texts):
+        pieces = [(k, u, s, e) for k, cut in enumerate((substrings.units, substrings.lines)) for s, e, u in cut(text, least)]
+        pieces += [(2, (h, g), s, e) for _, s, e, h, g in zip(*(x.tolist() for x in substrings.windows([text])), strict=True)]
+        for kind, key, s, e in pieces:
+            held.setdefault((kind, key), []).append((doc_id, s, e, row, kind))
+    again = {}
+    for places in held.values():
+        first = min(places)
+        for p in places:
+            if p[3] != first[3] or p[1] != first[1]:
+                again.setdefault(p[3], []).append((p, first))
+    out = []
+    for row, found in again.items():
+        words = [m.start() for m in re.finditer(r"\S+", texts[row][1])]
+        at = [[i for i, w in enumerate(words) if p[1] <= w < p[2]] for p, _ in found]
+        covered = set().union(*at)
+
+        def length(i, covered=covered):
+            a, b = i, i
+            while a - 1 in covered:
+                a -= 1
+            while b + 1 in covered:
+                b += 1
+            return b - a + 1
+
+        for (p, first), own in zip(found, at, strict=True):
+            start = max(p[1], first[2]) if first[3] == row else p[1]
+            if length(own[0]) >= run and start < p[2]:
+                out.append((p[0], start, p[2], substrings.KINDS[p[4]], length(own[0])))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("run", [1, substrings.RUN, 40])
+def test_runs_of_passages_match_brute_force(corpus, docs_of, run):
+    own = [(r.doc_id, r.text) for r in corpus.where("n_chars < 6000").orderBy("doc_id").collect()]
+    lines = ["Menu", "Read more about this here today", "All rights reserved", " ".join(f"w{i}" for i in range(60)), "one two three. four five six seven eight nine. ten!"]
+    own += [(10**6 + i, "\n".join(lines[(i * 3 + j * j) % 5] if j % 3 else f"own line {i} {j}" for j in range(i % 7 + 2))) for i in range(30)]
+    found = substrings.repeated_passages(docs_of([t for _, t in own], [i for i, _ in own]), run=run).collect()
+    want = brute_passages(own, run)
+    assert want and sorted((r.doc_id, r.start, r.end, r.kind, r.run_words) for r in found) == want
+
+
+def test_lone_short_lines_stay_where_runs_are_asked_for(docs_of):
+    texts = ["Menu\nown words of the first\nAll rights reserved", "Menu\nother words of the second\nAll rights reserved", None, ""]
+    assert substrings.repeated_passages(docs_of(texts), run=substrings.RUN).count() == 0
+    assert [r.words for r in substrings.repeated_passages(docs_of(texts)).orderBy("start").collect()] == [1, 3]
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(20))
+    assert [r.words for r in substrings.repeated_passages(docs_of([han, f"前\n{han}"]), run=substrings.RUN).collect()] == [20]
