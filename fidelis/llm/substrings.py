@@ -31,7 +31,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidelis.llm.common import Scratch, slices, text_chunks
@@ -125,13 +125,18 @@ def _pieces(batches: Iterator[pa.RecordBatch], least: int, passages: bool) -> It
 
 
 def _repeats(rows: DataFrame, scratch: Scratch, least: int, passages: bool) -> DataFrame:
-    """Occurrences past the first of each digest, of rows (row, doc_id, text), with the first one's place in first."""
+    """Occurrences past the first of each digest, of rows (row, doc_id, text), with the first one's place, and its end, own_end, if it is of the same row."""
     found = scratch.write(rows.mapInArrow(lambda it: _pieces(it, least, passages), PIECES), "pieces")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "end", "row")
     shared = scratch.write(found.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("occurrences")).where("occurrences > 1"), "shared")
-    joined = found.join(shared, ["h1", "h2"])
-    digest = F.lower(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0")))
-    return joined.where("row <> first.row or start <> first.start").withColumn("digest", digest)
+    again = found.join(shared, ["h1", "h2"]).where("row <> first.row or start <> first.start")
+    own_end = F.when(F.col("row") == F.col("first.row"), F.col("first.end")).alias("own_end")
+    # Digests stay numbers, and the first one's place is flat, until they have been shuffled to their rows.
+    return again.select(*_NAMES, F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), own_end, "occurrences")
+
+
+def _digest() -> Column:
+    return F.lower(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))).alias("digest")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -149,7 +154,7 @@ def _units_of(rows: DataFrame, scratch: Scratch, least: int, run: int) -> DataFr
 def repeated_units(docs: DataFrame, least: int = MIN_WORDS, run: int = RUN) -> DataFrame:
     """Every occurrence to remove: doc_id, start, end, words, digest, the kept one's first_doc_id and first_start, occurrences, and the words of its run."""
     found = _units_of(_numbered(docs), Scratch(docs.sparkSession, "units"), least, run)
-    return found.select("doc_id", "start", "end", "words", "digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "occurrences", "run_words")
+    return found.select("doc_id", "start", "end", "words", _digest(), "first_doc_id", "first_start", "occurrences", "run_words")
 
 
 def lines(text: str, least: int = MIN_WORDS) -> Iterator[tuple[int, int, str]]:
@@ -227,15 +232,14 @@ def _passages_of(rows: DataFrame, scratch: Scratch, least: int, run: int) -> Dat
     found = found.withColumn("covered", covered).withColumn("island", F.sum((F.col("nth") > F.col("covered")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     own = F.greatest(F.lit(0), until - F.greatest("nth", "covered"))
     found = found.withColumn("run_words", F.sum(own).over(Window.partitionBy("row", "island"))).where(F.col("run_words") >= run)
-    found = found.withColumn("start", F.when(F.col("row") == F.col("first.row"), F.greatest("start", "first.end")).otherwise(F.col("start")))
-    return found.where("start < end")
+    return found.withColumn("start", F.greatest("start", "own_end")).where("start < end")
 
 
 def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, run: int = 1) -> DataFrame:
     """Every occurrence of a unit, line or window to remove, as repeated_units has them, with its kind; words are tokens."""
     found = _passages_of(_numbered(docs), Scratch(docs.sparkSession, "passages"), least, run)
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
-    return found.select("doc_id", "start", "end", "words", kind.alias("kind"), "digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "occurrences", "run_words")
+    return found.select("doc_id", "start", "end", "words", kind.alias("kind"), _digest(), "first_doc_id", "first_start", "occurrences", "run_words")
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
