@@ -8,8 +8,8 @@ every other one is a repeat. Repeats that follow one another in a text, with no
 of at least RUN words are removed, with their units' offsets in the original text retained. Shorter ones, single
 lines that many clean documents have, stay unless `run` is lowered.
 
-Units are cut once and written. Grouping sums on the map side, and digests that occur twice, written too, are joined
-with the units again by plain shuffles that can be split, so a line that a third of all documents has is no single
+Units are cut once and written. Those whose half digest occurs once go first; the rest is written, grouped by whole
+digests with sums on the map side, and joined with the groups again, all by plain shuffles that can be split, so a line that a third of all documents has is no single
 task's. Offsets are code points, ends exclusive. Defined results: a null or empty text has no units; of repeated rows
 all but one are removed unit by unit, for an occurrence is that of a row; rows without a doc_id come last; other columns
 are ignored; an empty table gives none.
@@ -126,7 +126,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], least: int, passages: bool) -> It
 
 def _repeats(rows: DataFrame, scratch: Scratch, least: int, passages: bool) -> DataFrame:
     """Occurrences past the first of each digest, of rows (row, doc_id, text), with the first one's place, and its end, own_end, if it is of the same row."""
-    found = scratch.write(rows.mapInArrow(lambda it: _pieces(it, least, passages), PIECES), "pieces")
+    pieces = scratch.write(rows.mapInArrow(lambda it: _pieces(it, least, passages), PIECES), "pieces")
+    # Most pieces occur once: those go by half a digest and a count, before anything wider is shuffled.
+    twice = pieces.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    found = scratch.write(pieces.join(twice, "h1", "left_semi").select(*_NAMES), "twice")
+    scratch.drop(pieces)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "start", "end", "row")
     shared = scratch.write(found.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count("*").alias("occurrences")).where("occurrences > 1"), "shared")
     again = found.join(shared, ["h1", "h2"]).where("row <> first.row or start <> first.start")
