@@ -106,10 +106,30 @@ factor AS (SELECT f FROM stepped WHERE f * w <= 1 ORDER BY k LIMIT 1),
 plan AS (SELECT source, lang, topic, w, least(1.0::DOUBLE, w * g.f) AS p FROM ordered, factor AS g)
 SELECT doc_id, source, lang, topic, n_words, round(w, 6) AS weight, round(p, 6) AS prob, ('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < p AS sampled FROM docs JOIN plan USING (source, lang, topic)
 """
+# Unsigned CRC-32 of a text of ASCII characters: eight steps of its polynomial for each table entry, one entry a character.
+_CRC = (
+    "xor(list_reduce(list_transform(string_split({x}, ''), lambda k: ascii(k)::BIGINT), lambda c, k: xor(c >> 8, crc.t[(xor(c, k) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+)
+
+SESSIONS = f"""
+WITH crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, i::BIGINT)) AS t),
+turns AS MATERIALIZED (SELECT conv_id, turn, {_CRC.format(x="conv_id::VARCHAR")} AS c, {_CRC.format(x="conv_id::VARCHAR || ':' || turn::VARCHAR")} AS h FROM conversations, crc WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+timed AS (SELECT 2 * (conv_id >> 3) + c % 2 AS "user", (c >> 1) % 7200 + 300 * turn + h % 600 AS s, h // 600 AS g, h FROM turns),
+events AS MATERIALIZED (SELECT "user", s, floor(s / 900.0)::BIGINT + CASE WHEN g % 5 = 0 THEN g % 4 ELSE 0 END AS b, h FROM timed),
+so_far AS (SELECT k."user", k.b AS batch, e.s, e.b, e.h, e.s - lag(e.s) OVER (PARTITION BY k."user", k.b ORDER BY e.s) > 600 AS opens FROM (SELECT DISTINCT "user", b FROM events) k JOIN events e ON e."user" = k."user" AND e.b <= k.b),
+runs AS (SELECT *, count(*) FILTER (WHERE opens) OVER (PARTITION BY "user", batch ORDER BY s) AS run FROM so_far),
+versions AS MATERIALIZED (SELECT "user", batch, min(s)::BIGINT AS start_s, max(s)::BIGINT AS end_s, count(*) AS n_events, count(*) FILTER (WHERE b = batch) AS n_new, sum(h)::BIGINT AS h_sum FROM runs GROUP BY "user", batch, run HAVING count(*) FILTER (WHERE b = batch) > 0),
+ended AS MATERIALIZED (SELECT v."user", v.batch, v.start_s, min(w.batch) AS retracted_batch, arg_min(w.start_s, w.batch) AS retracted_start_s FROM versions v JOIN versions w ON w."user" = v."user" AND w.batch > v.batch AND w.start_s <= v.start_s AND w.end_s >= v.end_s GROUP BY ALL),
+gone AS (SELECT "user", retracted_batch AS batch, retracted_start_s AS start_s, count(*) AS n FROM ended GROUP BY ALL)
+SELECT v."user", v.batch, v.start_s, v.end_s, v.n_events, v.n_new, coalesce(g.n, 0)::BIGINT AS n_retracted, v.h_sum, e.retracted_batch, e.retracted_start_s
+FROM versions v LEFT JOIN gone g USING ("user", batch, start_s) LEFT JOIN ended e USING ("user", batch, start_s)
+"""
+
 ORACLE_SQL = {
     "op1_minhash_near_dedup": NEAR_DUPLICATES,
     "op3_secret_scan": SECRETS,
     "op6_substring_dedup": SUBSTRINGS,
     "op8_chat_format": CHATS,
     "op10_mixing": MIXING,
+    "op12_session_merging": SESSIONS,
 }
