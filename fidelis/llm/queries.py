@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import chat, language, media, minhash, mixing, neighbours, packing, secrets, sessions, substrings, token_counts
+from fidelis.llm import chat, language, media, minhash, mixing, neighbours, packing, secrets, sessions, substrings, token_counts, whitening
 from fidelis.llm.common import table
 from fidelis.llm.oracles import ORACLE_SQL
 from fidelis.llm.tokenizers import public_path
@@ -74,12 +74,16 @@ def op12_session_merging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.session_versions(sessions.conversation_events(table(spark, sf_dir, "conversations")))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_best_fit_packing, op3_secret_scan, op4_media_columns, op5_nearest_neighbours,
         op6_substring_dedup, op6_repeated_passages, op7_language_id, op8_chat_format, op9_token_counts, op10_mixing, op10_token_mixing,
-        op12_session_merging,
+        op12_session_merging, op13_whitening,
     )
 }
 
