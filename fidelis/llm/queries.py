@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import chat, language, media, minhash, mixing, neighbours, packing, secrets, sessions, substrings, token_counts, whitening
+from fidelis.llm import chat, language, media, minhash, mixing, neighbours, packing, quality, secrets, sessions, substrings, token_counts, whitening
 from fidelis.llm.common import table
 from fidelis.llm.oracles import ORACLE_SQL
 from fidelis.llm.tokenizers import public_path
@@ -70,6 +70,10 @@ def op10_token_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mixing.mixture(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json")))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_session_merging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.session_versions(sessions.conversation_events(table(spark, sf_dir, "conversations")))
 
@@ -83,7 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_minhash_near_dedup, op2_best_fit_packing, op3_secret_scan, op4_media_columns, op5_nearest_neighbours,
         op6_substring_dedup, op6_repeated_passages, op7_language_id, op8_chat_format, op9_token_counts, op10_mixing, op10_token_mixing,
-        op12_session_merging, op13_whitening,
+        op11_quality_rules, op12_session_merging, op13_whitening,
     )
 }
 
