@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fidelis.functions.stats import binomial_tail
 from fidelis.operators.evaluate import auroc
 from fidelis.operators.guard import guard
+from fidelis.operators.quantiles import quantiles, quantiles_of
 
 # The registered rules.
 LEAST_SAMPLE, LEAST_IQR, LEAST_TARGETED, MOST_CONTROL, SPURIOUS = 250, 0.05, 0.25, 0.10, 0.05
@@ -17,14 +18,16 @@ def fold(pos: Column) -> Column:
     return F.when(pos % 2 == 0, "calibration").otherwise("verification")
 
 
-def iqr(c: Column) -> Column:
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-    return F.get(q, F.lit(1)) - F.get(q, F.lit(0))
+def median_iqr(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Median and interquartile range of each group."""
+    found = quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
+    return found.select(*by, "median", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 def theta_midpoint(drifts: DataFrame, least: int = LEAST_SAMPLE) -> DataFrame:
     """One row: theta between the medians of targeted and control drift, the viability evidence and the verdict."""
-    medians = drifts.agg(F.count("*").alias("n"), F.median("targeted").alias("mt"), F.median("control").alias("mc"), iqr(F.col("targeted")).alias("targeted_iqr"))
+    found = quantiles_of(drifts, {"mt": ("targeted", 0.5), "mc": ("control", 0.5), "q1": ("targeted", 0.25), "q3": ("targeted", 0.75)})
+    medians = drifts.agg(F.count("*").alias("n")).crossJoin(F.broadcast(found)).withColumn("targeted_iqr", F.col("q3") - F.col("q1"))
     medians = guard(medians, F.col("n") >= least, "too few pairs to calibrate").withColumn("theta", (F.col("mt") + F.col("mc")) / 2)
     shares = drifts.crossJoin(F.broadcast(medians.select("theta"))).agg(
         F.avg((F.col("targeted") >= F.col("theta")).cast("double")).alias("targeted_share"), F.avg((F.col("control") >= F.col("theta")).cast("double")).alias("control_share"),
@@ -34,11 +37,11 @@ def theta_midpoint(drifts: DataFrame, least: int = LEAST_SAMPLE) -> DataFrame:
 
 
 def theta_p90(drifts: DataFrame, control: str = "control") -> DataFrame:
-    return drifts.agg(F.percentile(control, F.lit(0.9)).alias("theta"))
+    return quantiles(drifts, control, {"theta": 0.9}).select("theta")
 
 
 def saliency_floor(drops: DataFrame, drop: str = "max_drop") -> DataFrame:
-    return drops.agg(F.percentile(drop, F.lit(0.1)).alias("floor"))
+    return quantiles(drops, drop, {"floor": 0.1}).select("floor")
 
 
 def choose_k_agreement(agreement: DataFrame, grid: tuple[int, ...] = (2, 3)) -> DataFrame:
@@ -64,7 +67,7 @@ def choose_instrument(drifts: DataFrame, instruments: tuple[str, ...] = INSTRUME
     these, the one of least risk. One row for each instrument: auroc, delta, chosen.
     """
     long = drifts.select("instrument", F.explode(F.array(F.struct(F.col("targeted").alias("s"), F.lit(1).alias("t")), F.struct(F.col("control").alias("s"), F.lit(0).alias("t")))).alias("x")).select("instrument", "x.*")
-    delta = drifts.groupBy("instrument").agg(F.median(F.col("targeted") - F.col("control")).alias("delta"))
+    delta = quantiles(drifts, F.col("targeted") - F.col("control"), {"delta": 0.5}, ["instrument"]).select("instrument", "delta")
     found = auroc(long, "s", "t", ["instrument"]).select("instrument", "auroc").join(delta, "instrument")
     risk = F.array_position(F.array(*map(F.lit, instruments)), F.col("instrument"))
     able = found.where("delta > 0").select("instrument", "auroc", risk.alias("risk")).where("risk > 0")

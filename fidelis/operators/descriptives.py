@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fidelis.functions import text
+from fidelis.operators.quantiles import median_interval, quantiles
 
 
 def baseline_index(answer: Column, options: Column) -> Column:
@@ -26,12 +27,21 @@ def unpacked_readings(packed: DataFrame, key: str = "instance") -> DataFrame:
 
 def drift_by(drifts: DataFrame, group: Column, name: str, drift: str = "targeted") -> DataFrame:
     """n, mean and median of the drift for each group, as for answers that flip and answers that persist."""
-    return drifts.groupBy(group.alias(name)).agg(F.count("*").alias("n"), F.round(F.avg(drift), 6).alias("mean_drift"), F.round(F.median(drift), 6).alias("median_drift"))
+    rows = drifts.select(F.struct(group.alias(name)).alias("__group"), F.col(drift).alias("__drift"))
+    sums = rows.groupBy("__group").agg(F.count("*").alias("n"), F.round(F.avg("__drift"), 6).alias("mean_drift"))
+    median = quantiles(rows, "__drift", {"median": 0.5}, ["__group"]).select("__group", F.round("median", 6).alias("median_drift"))
+    return sums.join(median, "__group").select("__group.*", "n", "mean_drift", "median_drift")
 
 
 def paired_delta(drifts: DataFrame) -> DataFrame:
     """Median of targeted less control drift within records, and whether it is positive."""
-    return drifts.agg(F.median(F.col("targeted") - F.col("control")).alias("delta")).withColumn("positive", F.col("delta") > 0)
+    return quantiles(drifts, F.col("targeted") - F.col("control"), {"delta": 0.5}).select("delta", (F.col("delta") > 0).alias("positive"))
+
+
+def paired_delta_interval(drifts: DataFrame, level: float = 0.95) -> DataFrame:
+    """The registered paired gate: n, median of targeted less control drift within records, its bootstrap interval, and whether that lies above 0."""
+    found = median_interval(drifts, F.col("targeted") - F.col("control"), level)
+    return found.select("n", F.col("median").alias("delta"), "low", "high", (F.col("low") > 0).alias("positive"))
 
 
 def length_robust_drift(before: Column, after: Column) -> Column:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fidelis.functions.stats import f1, hash_uniform, wilson
-from fidelis.operators.ranges import running
+from fidelis.operators.ranges import Ranged, running
 
 
 def macro_f1(truth: Column, pred: Column) -> Column:
@@ -35,15 +35,20 @@ def auroc(df: DataFrame, score: str, truth: str, by: list[str] | None = None) ->
 
 
 def operating_point(df: DataFrame, score: str, truth: str) -> DataFrame:
-    """The threshold (predict 1 at or above) of largest macro-F1, the larger one on ties; one row, none for no scores."""
-    counts = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
+    """The threshold (predict 1 at or above) of largest macro-F1 over scored rows, the larger one on ties; one row, none without a score.
+
+    Rows without a score are no candidates and in no class of the metric; `unscored` says how many they are.
+    """
+    every = df.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"), F.count("*").alias("n"))
+    counts = every.where("threshold is not null")
     above = running(counts, [F.desc("threshold")], {"pos_above": F.col("pos"), "neg_above": F.col("neg")})
     total = above.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     swept = above.withColumn("tp", (F.col("pos_above") + F.col("pos")).cast("double")).withColumn("fp", (F.col("neg_above") + F.col("neg")).cast("double")).crossJoin(F.broadcast(total))
     fn, tn = F.col("all_pos") - F.col("tp"), F.col("all_neg") - F.col("fp")
     swept = swept.withColumn("macro_f1", F.round((f1(F.col("tp"), F.col("fp"), fn) + f1(tn, fn, F.col("fp"))) / 2, 12))
     best = swept.agg(F.max_by("threshold", F.struct("macro_f1", "threshold")).alias("threshold"), F.max("macro_f1").alias("macro_f1"))
-    return best.where("macro_f1 is not null")
+    unscored = every.where("threshold is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("unscored"))
+    return best.where("macro_f1 is not null").crossJoin(F.broadcast(unscored))
 
 
 def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -126,11 +131,67 @@ def auroc_interval(df: DataFrame, score: str, truth: str, by: list[str] | None =
     return out.withColumn("low", F.greatest(F.lit(0.0), a - spread)).withColumn("high", F.least(F.lit(1.0), a + spread))
 
 
-def effect_gate(df: DataFrame, score: str, truth: str, least: float = 0.71) -> DataFrame:
+def closed_form_gate(df: DataFrame, score: str, truth: str, least: float = 0.71) -> DataFrame:
     """auroc_interval, and viable: false only if the interval's lower bound is below the least effect. No answer without both classes."""
     return auroc_interval(df, score, truth).withColumn("viable", F.col("low") >= least)
 
 
+#: Replicates that a task of resampled_auroc draws, and numbers that it draws at once.
+TOGETHER, AT_ONCE = 500, 1 << 20
+
+
+def resampled_auroc(df: DataFrame, score: str, truth: str, replicates: int = 10_000, seed: int = 0) -> DataFrame:
+    """The registered interval of AUROC: rows resampled with replacement within each class; auroc, low, high, n_pos, n_neg, replicates.
+
+    Rows are counted once, by distinct score. A replicate is a multinomial of these counts for each class, drawn for ranges
+    of scores first and then within each range, so that ranges are tasks of their own: a range's wins are those among its
+    own scores and those of its positives over all negatives of earlier ranges. Draws depend on the seed, the
+    replicates and the ranges only, not on tasks that run twice. Rows without a score or with another truth than 0
+    or 1 are left out; one class alone has neither value nor interval.
+    """
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
+    held = Ranged(counts.where("pos + neg > 0"), [], [F.col("s")])
+    # A row for each range, of which there are as many as shuffle partitions.
+    parts = held.rows.groupBy("__part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).orderBy("__part").collect()
+    place = {r["__part"]: i for i, r in enumerate(parts)}
+    pos, neg = (np.array([r[c] for r in parts], np.int64) for c in ("pos", "neg"))
+    n_pos, n_neg = int(pos.sum()), int(neg.sum())
+    spark = df.sparkSession
+    schema = "auroc double, low double, high double, n_pos long, n_neg long, replicates long"
+    if not n_pos or not n_neg:
+        return spark.createDataFrame([(None, None, None, n_pos, n_neg, 0)], schema)
+
+    def wins(key: tuple, part: pa.Table) -> pa.Table:
+        number, chunk = (k.as_py() for k in key)
+        i = place[number]
+        order = np.argsort(part["s"].to_numpy(), kind="stable")
+        own = [part[c].to_numpy()[order] for c in ("pos", "neg")]
+        first, last = (replicates * c // -(-replicates // TOGETHER) for c in (chunk, chunk + 1))
+        # The same for every range of a replicate: how many of each class fall into which range.
+        dealt = np.random.default_rng([seed, 1, chunk])
+        of_pos, of_neg = dealt.multinomial(n_pos, pos / n_pos, last - first), dealt.multinomial(n_neg, neg / n_neg, last - first)
+        rng, out = np.random.default_rng([seed, 2, chunk, i]), []
+        step = max(1, AT_ONCE // len(order))
+        for a in range(0, last - first, step):
+            b = min(a + step, last - first)
+            p, n = (rng.multinomial(m[a:b, i], c / max(1, c.sum())) if c.sum() else np.zeros((b - a, len(c)), np.int64) for m, c in zip((of_pos, of_neg), own, strict=True))
+            below = np.cumsum(n, axis=1) - n / 2
+            out.append((p * below).sum(axis=1) + p.sum(axis=1) * of_neg[a:b, :i].sum(axis=1))
+        return pa.table({"replicate": pa.array(np.arange(first, last), pa.int64()), "wins": pa.array(np.concatenate(out).astype(float))})
+
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // TOGETHER) - 1)))
+    drawn = held.rows.select("__part", "s", "pos", "neg", chunks.alias("__chunk")).groupBy("__part", "__chunk").applyInArrow(wins, "replicate long, wins double")
+    each = drawn.groupBy("replicate").agg((F.sum("wins") / (float(n_pos) * n_neg)).alias("v"))
+    q = F.percentile("v", F.array(F.lit(0.025), F.lit(0.975)))
+    interval = each.agg(F.get(q, F.lit(0)).alias("low"), F.get(q, F.lit(1)).alias("high"), F.count("*").alias("replicates"))
+    return auroc(df, score, truth).crossJoin(F.broadcast(interval)).select("auroc", "low", "high", "n_pos", "n_neg", "replicates")
+
+
+def effect_gate(df: DataFrame, score: str, truth: str, least: float = 0.71, replicates: int = 10_000, seed: int = 0) -> DataFrame:
+    """The registered gate: resampled_auroc, and viable, false only if the lower bound is below the least effect; null without both classes."""
+    return resampled_auroc(df, score, truth, replicates, seed).withColumn("viable", F.col("low") >= least)
+
+
 #: Random blocks that a stratum's rows are dealt to for `bootstrap`.
 BLOCKS = 200
 
@@ -205,20 +266,29 @@ def resample_cells(labels: list[tuple]) -> list[tuple]:
     return sorted(set(labels), key=str)
 
 
+def _stepped(df: DataFrame, p: str, family: list[str], key: str, step: Callable[[Column, Column, Column], Column], fold: str) -> DataFrame:
+    """df with `adjusted`: step(p, rank, number) over a family's non-null p in order, folded up to each (max) or from each on (min).
+
+    A family may be all rows: ranks, numbers and folds are carried over ranges of the order. A null p is no test: it
+    counts in no family and its adjusted value is null.
+    """
+    held = Ranged(df, family, [F.col(p), F.col(key)])
+    tested = held.carried(held.rows.where(F.col(p).isNotNull()), {"__rank": ("sum", F.lit(1))})
+    tested = held.of_groups(tested, {"__tests": F.lit(1)})
+    tested = tested.withColumn("__step", F.least(F.lit(1.0), step(F.col(p), F.col("__rank"), F.col("__tests"))))
+    adjusted = held.carried(tested, {"adjusted": (fold, F.col("__step"))}, later=fold == "min")
+    rest = held.rows.where(F.col(p).isNull()).withColumn("adjusted", F.lit(None).cast("double"))
+    return adjusted.select(*df.columns, "adjusted").unionAll(rest.select(*df.columns, "adjusted"))
+
+
 def holm(df: DataFrame, p: str, family: list[str], key: str) -> DataFrame:
-    """Step-down adjusted p-values within families, which are registered lists of tests: a family is one task's."""
-    w = Window.partitionBy(*family).orderBy(p, key)
-    m, i = F.count("*").over(Window.partitionBy(*family)), F.row_number().over(w)
-    stepped = df.withColumn("step", F.least(F.lit(1.0), F.col(p) * (m - i + 1)))
-    return stepped.withColumn("adjusted", F.max("step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("step")
+    """Step-down adjusted p-values within families; `key` orders equal ones."""
+    return _stepped(df, p, family, key, lambda x, i, m: x * (m - i + 1), "max")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, family: list[str], key: str) -> DataFrame:
     """Step-up adjusted p-values within families, as in holm."""
-    w = Window.partitionBy(*family).orderBy(p, key)
-    m, i = F.count("*").over(Window.partitionBy(*family)), F.row_number().over(w)
-    stepped = df.withColumn("step", F.least(F.lit(1.0), F.col(p) * m / i))
-    return stepped.withColumn("adjusted", F.min("step").over(w.rowsBetween(0, Window.unboundedFollowing))).drop("step")
+    return _stepped(df, p, family, key, lambda x, i, m: x * m / i, "min")
 
 
 def coverage(predictions: DataFrame, truth: DataFrame, key: str) -> DataFrame:

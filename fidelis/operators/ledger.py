@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fidelis.operators.guard import guard
+from fidelis.sources.scratch import exists
 
 
 def output_key(instance: Column) -> Column:
@@ -35,12 +36,24 @@ def duplicates(log: DataFrame, key: str) -> DataFrame:
     return log.groupBy(key).agg(F.count("*").alias("commits")).where("commits > 1")
 
 
+def conflicts(rows: DataFrame, held: DataFrame | None, key: str) -> DataFrame:
+    """Keys of rows that have more than one payload, among the rows or against the log held; null payloads are equal."""
+    every = rows if held is None else rows.unionByName(held.join(rows.select(key).distinct(), key, "left_semi"))
+    payload = F.sha2(F.to_json(F.struct(*(c for c in rows.columns if c != key)), {"ignoreNullFields": "false"}), 256)
+    return every.groupBy(key).agg(F.min(payload).alias("a"), F.max(payload).alias("b")).where("a <> b").select(key)
+
+
 def commit(rows: DataFrame, path: str, key: str) -> int:
-    """Append the rows whose key is not in the log at path; how many. Running it again appends none."""
+    """Append the rows whose key is not in the log at path; how many. Running it again appends none.
+
+    Equal rows of a key are one row, a retry. Rows of a key that differ, from each other or from the log's, stop the run
+    before anything is written: a committed payload is neither replaced nor hidden. A row without a key is refused too.
+    """
     spark = rows.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    held = spark.read.schema(rows.schema).parquet(path) if exists else None
+    held = spark.read.schema(rows.schema).parquet(path) if exists(spark, path) else None
+    wrong = [r[0] for r in conflicts(rows, held, key).limit(3).collect()] + rows.where(F.col(key).isNull()).select(key).limit(1).collect()
+    if wrong:
+        raise ValueError(f"second commits of a key with another payload, or rows without a key: {wrong}")
     fresh = rows.dropDuplicates([key])
     fresh = uncommitted(fresh, held, key) if held is not None else fresh
     seen = Observation()

@@ -465,9 +465,29 @@ def drift_auroc(spark, d):
 v AS (SELECT *, sqrt(greatest(0.0::DOUBLE, auroc * (1 - auroc) + (n_pos - 1) * (auroc / (2 - auroc) - auroc * auroc) + (n_neg - 1) * (2 * auroc * auroc / (1 + auroc) - auroc * auroc)) / (n_pos::DOUBLE * n_neg)) AS se FROM a)
 SELECT round(auroc, 6) AS auroc, round(greatest(0.0::DOUBLE, auroc - 1.96 * se), 6) AS low, round(least(1.0::DOUBLE, auroc + 1.96 * se), 6) AS high, n_pos, n_neg, auroc - 1.96 * se >= 0.71 AS viable FROM v""")
 def drift_effect_gate(spark, d):
+    """The gate by a closed form; drift_effect_resampled is the registered one."""
     rows = R.drifts(spark, d)
     scored = rows.select(F.explode(F.array(F.struct(F.col("targeted").alias("s"), F.lit(1).alias("t")), F.struct(F.col("control").alias("s"), F.lit(0).alias("t"))))).select("col.*")
-    return evaluate.effect_gate(scored, "s", "t").select(*(F.round(c, 6).alias(c) for c in ("auroc", "low", "high")), "n_pos", "n_neg", "viable")
+    return evaluate.closed_form_gate(scored, "s", "t").select(*(F.round(c, 6).alias(c) for c in ("auroc", "low", "high")), "n_pos", "n_neg", "viable")
+
+
+@query()
+def drift_effect_resampled(spark, d):
+    """10,000 resamples within each class, and the verdict of their lower bound."""
+    scored = R.drifts(spark, d).select(F.explode(F.array(F.struct(F.col("targeted").alias("s"), F.lit(1).alias("t")), F.struct(F.col("control").alias("s"), F.lit(0).alias("t"))))).select("col.*")
+    return evaluate.effect_gate(scored, "s", "t")
+
+
+_TAIL = "list_sum(list_transform(range(m, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(k / n::DOUBLE) + (n - j) * ln(1 - k / n::DOUBLE))))"
+
+
+@query(f"""WITH {R.DRIFTS}, x AS MATERIALIZED (SELECT targeted - control AS v, row_number() OVER (ORDER BY targeted - control) AS k, count(*) OVER () AS n FROM drifts),
+mids AS (SELECT DISTINCT n, unnest([(n + 1) // 2, n // 2 + 1]) AS m FROM x), chances AS (SELECT x.v, x.k, x.n, m, CASE WHEN k = x.n THEN 1.0::DOUBLE ELSE {_TAIL.replace('(n ', '(x.n ').replace('(n -', '(x.n -').replace(', n ', ', x.n ').replace('/ n:', '/ x.n:')} END AS c FROM x, mids),
+bounds AS (SELECT m, min(v) FILTER (WHERE c >= 0.025) AS low, min(v) FILTER (WHERE c >= 0.975) AS high FROM chances GROUP BY m)
+SELECT (SELECT count(*) FROM drifts) AS n, (SELECT round(median(v), 6) FROM x) AS delta, round(avg(low), 6) AS low, round(avg(high), 6) AS high, avg(low) > 0 AS positive FROM bounds""")
+def paired_delta_interval(spark, d):
+    found = descriptives.paired_delta_interval(R.drifts(spark, d))
+    return found.select("n", *(F.round(c, 6).alias(c) for c in ("delta", "low", "high")), "positive")
 
 
 @query(f"WITH {R.DRIFTS} SELECT round(median(targeted - control), 6) AS delta, median(targeted - control) > 0 AS positive FROM drifts")
@@ -782,11 +802,18 @@ pointed AS (SELECT threshold, round(({_F1.format('tp', 'fp', 'fn')} + {_F1.forma
 frozen AS (SELECT threshold, macro_f1 FROM pointed ORDER BY macro_f1 DESC, threshold DESC LIMIT 1)"""
 
 
-@query(f"WITH {R.PREDICTED}, {_SWEEP} SELECT threshold, round(macro_f1, 6) AS macro_f1 FROM frozen")
+@query(f"WITH {R.PREDICTED}, {_SWEEP} SELECT threshold, round(macro_f1, 6) AS macro_f1, 0::BIGINT AS unscored FROM frozen")
 def operating_point(spark, d):
     return evaluate.operating_point(R.predicted(spark, d).where("split = 'validation'"), "score", "truth").withColumn("macro_f1", F.round("macro_f1", 6))
 
 
+@query(f"WITH {R.PREDICTED.replace('predicted AS', 'whole AS')}, predicted AS (SELECT * EXCLUDE (score), CASE WHEN instance % 5 > 0 THEN score END AS score FROM whole), {_SWEEP.replace('GROUP BY score)', 'AND score IS NOT NULL GROUP BY score)')} SELECT threshold, round(macro_f1, 6) AS macro_f1, (SELECT count(*) FROM predicted WHERE split = 'validation' AND score IS NULL) AS unscored FROM frozen")
+def operating_point_unscored(spark, d):
+    """Every fifth entry has no score."""
+    rows = R.predicted(spark, d).where("split = 'validation'").withColumn("score", F.when(F.col("instance") % 5 > 0, F.col("score")))
+    return evaluate.operating_point(rows, "score", "truth").withColumn("macro_f1", F.round("macro_f1", 6))
+
+
 @query(f"WITH {R.PREDICTED}, {_SWEEP}, scored AS (SELECT p.*, (score >= threshold)::BIGINT AS chosen FROM predicted p, frozen) SELECT split, round({_macro('truth', 'chosen')}, 6) AS macro_f1 FROM scored GROUP BY split")
 def operating_point_applied(spark, d):
     entries = R.predicted(spark, d)
@@ -867,19 +894,20 @@ def bootstrap_paired(spark, d):
     return evaluate.resample(rows, ["dataset"], ["truth", "pred", "other"], lambda n: n @ gain / n.sum(axis=1))
 
 
-_P = "ps AS (SELECT p_brand AS family, p_partkey AS test, (p_retailprice % 100) / 1000.0::DOUBLE AS p FROM part)"
+_P = "ps AS (SELECT p_brand AS family, p_partkey AS test, CASE WHEN p_partkey % 17 > 0 THEN (p_retailprice % 100) / 1000.0::DOUBLE END AS p FROM part)"
 
 
 def _tests(spark, d):
-    return R.table(spark, d, "part").select(F.col("p_brand").alias("family"), F.col("p_partkey").alias("test"), ((F.col("p_retailprice") % 100) / 1000.0).alias("p"))
+    return R.table(spark, d, "part").select(F.col("p_brand").alias("family"), F.col("p_partkey").alias("test"), F.when(F.col("p_partkey") % 17 > 0, (F.col("p_retailprice") % 100) / 1000.0).alias("p"))
 
 
-@query(f"WITH {_P}, s AS (SELECT *, least(1.0::DOUBLE, p * (count(*) OVER (PARTITION BY family) - row_number() OVER w + 1)) AS step FROM ps WINDOW w AS (PARTITION BY family ORDER BY p, test)) SELECT family, test, round(max(step) OVER (PARTITION BY family ORDER BY p, test ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM s")
+@query(f"WITH {_P}, s AS (SELECT *, least(1.0::DOUBLE, p * (count(*) OVER (PARTITION BY family) - row_number() OVER w + 1)) AS step FROM ps WHERE p IS NOT NULL WINDOW w AS (PARTITION BY family ORDER BY p, test)) SELECT family, test, round(max(step) OVER (PARTITION BY family ORDER BY p, test ROWS UNBOUNDED PRECEDING), 6) AS adjusted FROM s UNION ALL SELECT family, test, NULL FROM ps WHERE p IS NULL")
 def holm(spark, d):
+    """Families of which every 17th test has no p-value."""
     return evaluate.holm(_tests(spark, d), "p", ["family"], "test").select("family", "test", F.round("adjusted", 6).alias("adjusted"))
 
 
-@query(f"WITH {_P}, s AS (SELECT *, least(1.0::DOUBLE, p * count(*) OVER (PARTITION BY family) / row_number() OVER w) AS step FROM ps WINDOW w AS (PARTITION BY family ORDER BY p, test)) SELECT family, test, round(min(step) OVER (PARTITION BY family ORDER BY p, test ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS adjusted FROM s")
+@query(f"WITH {_P}, s AS (SELECT *, least(1.0::DOUBLE, p * count(*) OVER (PARTITION BY family) / row_number() OVER w) AS step FROM ps WHERE p IS NOT NULL WINDOW w AS (PARTITION BY family ORDER BY p, test)) SELECT family, test, round(min(step) OVER (PARTITION BY family ORDER BY p, test ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) AS adjusted FROM s UNION ALL SELECT family, test, NULL FROM ps WHERE p IS NULL")
 def bh(spark, d):
     return evaluate.benjamini_hochberg(_tests(spark, d), "p", ["family"], "test").select("family", "test", F.round("adjusted", 6).alias("adjusted"))
 
@@ -1132,7 +1160,8 @@ def scorer_diagnostic(spark, d):
 
 @query("""SELECT event_type, median(value) AS med, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events GROUP BY event_type""".replace("median(value) AS med", "round(median(value), 6) AS med").replace("quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr", "round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr"))
 def median_and_iqr(spark, d):
-    return R.table(spark, d, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("med"), F.round(calibrate.iqr(F.col("value")), 6).alias("iqr"))
+    found = calibrate.median_iqr(R.table(spark, d, "events"), "value", ["event_type"])
+    return found.select("event_type", F.round("median", 6).alias("med"), F.round("iqr", 6).alias("iqr"))
 
 
 @query(f"WITH {R.READINGS} SELECT instance, count(*) AS regimes, max(scores[1]) AS top FROM readings GROUP BY instance")
