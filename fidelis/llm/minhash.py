@@ -12,11 +12,13 @@ cells whose members in such a pair get theirs, and hands on only links that join
 through both rounds.
 
 A bucket's cells are its largest component's blocks, each with the other members, and pairs of blocks of these. Where
-that would make more than FAN rows a member, as in a large bucket of look-alikes that no link joins, the bucket is
-refined instead: members that agree in a second band too are a bucket of their own, BANDS - 1 rows a member. A pair at
-the threshold that shares a band shares another but for a chance of 3 in 100,000, the same as that of sharing none at
-all. Refining is done DEPTH times; so the second round makes at most FAN + BANDS rows a member, but for members that
-agree in DEPTH + 1 bands, 20 registers, and are linked by nothing: these meet in pairs of blocks, all of them.
+that would make more than FAN rows a member, as in a large bucket of look-alikes that no link joins, its members go
+another way, all such buckets' members together and once each: two sets at the threshold share one of the rarest shingles
+of either, so many of them as a set of that size can lose to one of that size and still be similar enough (a prefix filter, exact at
+the threshold). Members that have a rare shingle and a class of sizes in common are a group, and groups are held like buckets, by pairs
+of blocks whatever their size. A member has rows in proportion to its own set, not to the others; a shingle that many
+unlinked members have is no rare one of theirs unless they lack shingles of their own, and then they are links. No
+pair that shares a bucket is lost; the one loss is that of a pair that shares no band at all.
 
 Defined results: a null or empty text, or one without words, has n_shingles 0 and is its own component;
 repeated rows come back once for each row; extra columns of the input are ignored; an empty table gives none.
@@ -25,11 +27,12 @@ doc_id is the key: rows that share it are in one component, whatever their texts
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fidelis.llm.common import Scratch, sized, slices, text_chunks
@@ -40,8 +43,10 @@ from fidelis.operators.ranges import running
 BANDS, ROWS, MANTISSA = 40, 5, 10
 REGISTERS = BANDS * ROWS
 EMPTY = np.uint16(0xFFFF)
-#: Rows a member that pairs of blocks may make before a bucket is refined, and how often.
-FAN, DEPTH = 40, 3
+#: Rows a member that pairs of blocks may make before a bucket's members meet by rare shingles.
+FAN = 40
+#: Classes of set sizes for that, each so many times the last.
+WIDER = 1.05
 #: Members of a bucket that are compared at once, and about so many shingle hashes of theirs.
 BLOCK, BLOCK_HASHES = 256, 1 << 21
 #: For register i, the order in which it looks for a filled bucket when its own is empty.
@@ -124,23 +129,40 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], ["band", "rid"])
 
 
-def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, used, rid, n, component, registers) once for each band that is not used yet, its key joined to that of the bucket."""
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rid, n, shingle) of rows (rid, n, shingles)."""
     for part in slices(batches, 200):
-        keys = _band_keys(np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint16))
-        bucket, used = part.column(0).to_numpy().view(np.uint64), part.column(1).to_pylist()
-        # A bucket that wasn't refined has the key of one band for its own.
-        raw = np.array([not u for u in used], bool)
-        used = [u or np.flatnonzero(k == b).tolist() for u, k, b in zip(used, keys, bucket, strict=True)]
-        free = np.array([[i not in u for i in range(BANDS)] for u in used], bool).reshape(-1, BANDS)
-        row, band = np.nonzero(free)
-        # Which bands are joined counts and not their order, so that a set of bands is one bucket.
-        joined = np.where(raw, mix(bucket, 61), bucket)[row] + mix(keys[row, band], 61)
-        rows = pa.array(row)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(joined.view(np.int64)), pa.array([[*used[r], b] for r, b in zip(row.tolist(), band.tolist(), strict=True)], pa.list_(pa.int32())), *(part.column(i).take(rows) for i in range(2, 6))],
-            ["band", "used", "rid", "n", "component", "registers"],
-        )
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+        rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+        yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(np.concatenate(sets))], ["rid", "n", "shingle"])
+
+
+def rare_groups(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(band, rid, own, class): groups of members (rid, n) such that any two at the threshold have one in common.
+
+    Shingles are ranked within a set from the rarest on, over all members, ties by value; those of one member only come first and
+    group nobody. Sets of sizes x and y reach the threshold with ceil(th * (x + y) / (100 + th)) common shingles, th in hundredths, so the
+    first x less that number plus one of the one and of the other meet. y is taken from its class of sizes, at its least.
+    """
+    th = round(threshold * 100)
+    each = members.select("rid", "n").join(sets, "rid").select("rid", "n", "shingles").mapInArrow(_each_shingle, "rid long, n long, shingle long")
+    shared = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    own = Window.partitionBy("rid")
+    ranked = each.join(shared, "shingle").withColumn("nth", F.row_number().over(own.orderBy("f", "shingle")) + F.col("n") - F.count(F.lit(1)).over(own))
+    size = lambda n: F.floor(F.log(n.cast("double")) / math.log(WIDER)).cast("long")
+    n, c = F.col("n"), F.col("class")
+    least, most = F.expr(f"(n * {th} + 99) div 100"), F.expr(f"n * 100 div {th}")
+    placed = ranked.where(F.col("nth") <= n - least + 1).select("rid", "n", "shingle", "nth", size(n).alias("own"), least.alias("least"), F.explode(F.sequence(size(least), size(most))).alias("class"))
+    partner = F.greatest(F.floor(F.pow(F.lit(WIDER), c)), F.col("least"))
+    placed = placed.withColumn("sum", n + partner).where(n - F.expr(f"(sum * {th} + {99 + th}) div {100 + th}") + 1 >= F.col("nth"))
+    return placed.select(F.xxhash64("shingle", F.least("own", "class"), F.greatest("own", "class")).alias("band"), "rid", "own", "class")
+
+
+def _met(groups: DataFrame) -> DataFrame:
+    """Those groups in which both classes of sizes are there; of those with the same members, one."""
+    both = groups.groupBy("band").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.max(F.col("own") == F.col("class")).alias("same")).where("same or a < b")
+    kept = groups.join(both.select("band"), "band").select("band", "rid")
+    return kept.join(_buckets(kept).select("band"), "band")
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -329,7 +351,7 @@ def of_nodes(docs: DataFrame, k: int = 5, threshold: float = 0.75) -> DataFrame:
         # Round two: what links there still are between components, confirmed inside the cells.
         comps = components(links, scratch)
         placed = members.join(comps.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-        cells = _dealt(_cells(placed, scratch)).mapInArrow(lambda it: _hopeful(it, threshold), "cell long, rid long, n long, component long, side int, registers binary")
+        cells = _dealt(_cells(placed, sets, threshold, scratch)).mapInArrow(lambda it: _hopeful(it, threshold), "cell long, rid long, n long, component long, side int, registers binary")
         cells = scratch.write(cells, "hopeful")
         more = scratch.write(_in_cells(cells.join(sets, "rid").select(*cells.columns, "shingles"), threshold), "more")
         if more.said["n"]:
@@ -360,11 +382,12 @@ def _buckets(bands: DataFrame) -> DataFrame:
     return marks.where("size > 1").groupBy("size", "x", "s").agg(F.min("band").alias("band")).select("band", "size")
 
 
-def _cells(placed: DataFrame, scratch: Scratch, depth: int = DEPTH) -> DataFrame:
-    """Cells for every pair of a bucket's members in different components.
+def _cells(placed: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch, whole: bool = False) -> DataFrame:
+    """Cells for every pair of a bucket's members in different components that may be similar enough.
 
     The bucket's largest component goes to blocks, each member to one; the others meet each of those blocks
-    and, block by block, one another. A bucket of one component has no cell; one that would make too many rows is refined.
+    and, block by block, one another. A bucket of one component has no cell; members of one that would make too many rows meet
+    by rare_groups, which are taken whole.
     """
     by = placed.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum("n").alias("h"))
     main = F.max_by(F.struct("component", "c", "h"), F.struct("c", "component")).alias("main")
@@ -372,7 +395,7 @@ def _cells(placed: DataFrame, scratch: Scratch, depth: int = DEPTH) -> DataFrame
     blocks = lambda c, h: F.ceil(F.greatest(c / BLOCK, h / BLOCK_HASHES))
     rest = F.col("c") - F.col("main.c")
     shape = shape.withColumns({"blocks_main": blocks(F.col("main.c"), F.col("main.h")), "blocks_rest": blocks(rest, F.col("h") - F.col("main.h"))})
-    shape = shape.withColumn("refine", F.lit(depth > 0) & (F.col("main.c") + rest * (F.col("blocks_main") + F.col("blocks_rest")) > FAN * F.col("c")))
+    shape = shape.withColumn("refine", F.lit(not whole) & (F.col("main.c") + rest * (F.col("blocks_main") + F.col("blocks_rest")) > FAN * F.col("c")))
     shape = scratch.write(shape.select("band", F.col("main.component").alias("largest"), "blocks_main", "blocks_rest", "refine"), "shape", refined=F.count_if("refine"))
     rows = placed.join(sized(shape, shape.said["n"]), "band")
     in_main = F.col("component") == F.col("largest")
@@ -385,8 +408,8 @@ def _cells(placed: DataFrame, scratch: Scratch, depth: int = DEPTH) -> DataFrame
     cells = cells.select(F.xxhash64("band", "at.kind", "at.i", "at.j").alias("cell"), "rid", "n", "component", "at.side", "registers")
     if not shape.said["refined"]:
         return cells
-    used = F.col("used") if "used" in placed.columns else F.array().cast("array<int>")
-    large = rows.where("refine").select("band", used.alias("used"), "rid", "n", "component", "registers")
-    finer = scratch.write(large.mapInArrow(_refined, "band long, used array<int>, rid long, n long, component long, registers binary"), "finer")
-    kept = _buckets(finer.select("band", "rid")).select("band")
-    return cells.unionAll(_cells(scratch.write(finer.join(kept, "band"), "refined"), scratch, depth - 1))
+    large = scratch.write(rows.where("refine").select("rid", "n", "component", "registers").dropDuplicates(["rid"]), "large")
+    groups = scratch.write(rare_groups(large, sets, threshold), "groups")
+    met = scratch.write(_met(groups).join(large, "rid"), "met")
+    scratch.drop(groups)
+    return cells.unionByName(_cells(met, sets, threshold, scratch, whole=True))

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from odd_texts import ODD
 
 from fidelis.llm import minhash
@@ -117,50 +118,72 @@ def test_hashing_by_windows_does_not_show(monkeypatch):
         assert (got == words).all() and (n == m).all()
 
 
-def placed_bucket(spark, n):
-    """One bucket of n members, each a component of its own: equal in the first band, by fours in the second, else of random registers."""
-    rng = np.random.Generator(np.random.PCG64(3))
-    regs = rng.integers(0, 1 << 16, (n, minhash.REGISTERS)).astype(np.uint16)
-    regs[:, : minhash.ROWS] = 7
-    regs[:, minhash.ROWS : 2 * minhash.ROWS] = (np.arange(n) // 4)[:, None]
-    key = int(minhash._band_keys(regs[:1])[0, 0].view(np.int64))
-    rows = [(key, i, 50, i, bytearray(r.tobytes())) for i, r in enumerate(regs)]
-    return spark.createDataFrame(rows, "band long, rid long, n long, component long, registers binary")
-
-
-def test_rows_of_cells_grow_with_the_members(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 8)
-    seen = []
-
-    class Counted(minhash.Scratch):
-        def write(self, df, name, **sums):
-            out = super().write(df, name, **sums)
-            seen.append(out.said["n"])
-            return out
-
-    counts = []
-    for n in (500, 2000):
-        seen.clear()
-        cells = minhash._cells(placed_bucket(spark, n), Counted(spark, "test")).collect()
-        together = {}
-        for c in cells:
-            together.setdefault(c.cell, set()).add(c.rid)
-        assert all(any({4 * i + x, 4 * i + y} <= t for t in together.values()) for i in range(n // 4) for x in range(4) for y in range(x))
-        counts.append(len(cells) + sum(seen))
-        assert counts[-1] <= (minhash.FAN + minhash.BANDS) * n
-    assert counts[1] <= 5 * counts[0]
-
-
-def test_refined_buckets_lose_no_link(docs_of, monkeypatch):
-    for name, x in {"BLOCK": 2, "FAN": 2, "DEPTH": 2}.items():
-        monkeypatch.setattr(minhash, name, x)
-    monkeypatch.setattr(minhash._cells, "__defaults__", (2,))
-    rng = random.Random(11)
-    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+def look_alikes(n, changed, seed=3):
+    """Texts of a common one with `changed` words of each replaced, five words apart: alike in many bands, but linked only if few are replaced."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(120)]
     texts = []
-    for i in range(150):
+    for i in range(n):
         words = list(base)
-        for _ in range(rng.randrange(3, 11)):
-            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        for at in rng.sample(range(2, 120, 5), changed if isinstance(changed, int) else rng.choice(changed)):
+            words[at] = f"x{i}-{at}"
         texts.append(" ".join(words))
+    return texts
+
+
+def test_rows_of_cells_grow_with_the_members_in_many_buckets(docs_of, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "FAN", 4)
+    written = {}
+    own = minhash.Scratch.write
+
+    def counted(self, df, name, **sums):
+        out = own(self, df, name, **sums)
+        written[name] = max(written.get(name, 0), out.said["n"])
+        return out
+
+    monkeypatch.setattr(minhash.Scratch, "write", counted)
+    held = []
+    for n in (150, 600):
+        written.clear()
+        texts = look_alikes(n, 4)
+        sets, counts = shingle_sets(texts)
+        keys = minhash._band_keys(minhash.registers(sets, counts))
+        _, sizes = np.unique(keys, return_counts=True)
+        assert (sizes > 4 * minhash.BLOCK * minhash.FAN // 2).sum() >= 13
+        assert all(r.kept for r in minhash.near_duplicates(docs_of(texts)).collect())
+        assert written["large"] > 0.9 * n and written["met"] <= 4 * n
+        held.append(sum(v for k, v in written.items() if k in ("met", "groups", "hopeful", "more")))
+    assert held[1] <= 5 * held[0] + 600
+
+
+@pytest.mark.parametrize("changed", [(1, 2, 3, 4), (2, 3)])
+def test_large_buckets_lose_no_link(docs_of, monkeypatch, changed):
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    monkeypatch.setattr(minhash, "FAN", 2)
+    texts = look_alikes(150, changed, seed=11)
     assert got(docs_of(texts)) == brute(dict(enumerate(texts)))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_any_two_at_the_threshold_have_a_rare_group_in_common(spark, seed):
+    rng = np.random.Generator(np.random.PCG64(seed))
+    pools = [rng.integers(0, 1 << 62, 400).astype(np.uint64) for _ in range(4)]
+    sets = []
+    for i in range(160):
+        pool, n = pools[i % 4], int(rng.choice((3, 8, 40, 44, 50, 57, 60)))
+        core = pool[: max(1, n - int(rng.integers(0, 1 + n // 6)))]
+        sets.append(np.unique(np.concatenate((core, rng.choice(pool, n // 20), rng.integers(0, 1 << 62, n // 14).astype(np.uint64)))))
+    # Pairs of exactly 75 hundredths: 3 of 4, 6 of 8, 60 of 80.
+    for k in (1, 2, 20):
+        common = rng.integers(0, 1 << 62, 3 * k).astype(np.uint64)
+        sets += [np.unique(common), np.unique(np.concatenate((common, rng.integers(0, 1 << 62, k).astype(np.uint64))))]
+    members = spark.createDataFrame([(i, len(x)) for i, x in enumerate(sets)], "rid long, n long")
+    held = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "rid long, shingles binary")
+    groups = {}
+    for r in minhash.rare_groups(members, held, 0.75).collect():
+        groups.setdefault(r.rid, set()).add(r.band)
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if minhash._alike(sets[i], sets[j], 0.75)]
+    assert len(links) > 100 and all(groups.get(i, set()) & groups.get(j, set()) for i, j in links)
+    pairs = {(i, j) for i in groups for j in groups if j < i and groups[i] & groups[j]}
+    assert len(pairs) < 0.5 * len(sets) * (len(sets) - 1) / 2
