@@ -41,9 +41,14 @@ def assign_splits(entries: DataFrame, families: list[str], datasets: list[str],
 
 
 def balance(entries: DataFrame, splits: tuple[str, ...] = ("train", "validation"), key: str = "instance") -> DataFrame:
-    """The given splits cut down to equal classes, choosing by digest of the key; the other splits as they are."""
+    """The given splits cut down to equal classes, choosing by digest of the key; the other splits as they are.
+
+    Classes are the labels of all entries: a split that lacks one can't be balanced and is left without entries.
+    """
+    classes = entries.where("label is not null").select("label").distinct().agg(F.count("*").alias("__classes"))
     sizes = entries.where(F.col("split").isin(*splits)).groupBy("split", "label").agg(F.count("*").alias("n"))
-    least = sizes.groupBy("split").agg(F.min("n").alias("quota"))
+    least = sizes.groupBy("split").agg(F.min("n").alias("quota"), F.count("label").alias("__held")).crossJoin(F.broadcast(classes))
+    least = least.select("split", F.when(F.col("__held") < F.col("__classes"), 0).otherwise(F.col("quota")).alias("quota"))
     ranked = ranked_by_digest(entries, ["split", "label"], key, "__rank").join(F.broadcast(least), "split", "left")
     return ranked.where(F.col("quota").isNull() | (F.col("__rank") <= F.col("quota"))).drop("__rank", "quota")
 

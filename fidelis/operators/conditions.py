@@ -15,17 +15,23 @@ def fold_readings(readings: DataFrame, key: str = "instance", *also: Column) ->
     """One row per subject of long readings (key, regime, scores, baseline).
 
     Regimes 1 to DESTRUCTIVE should move the answer; HFLIP should not. One pass: counts and sums are partial
-    before the shuffle. flip_count is null while a destructive reading is absent or null. also: further aggregates.
+    before the shuffle. flip_count is null while a destructive regime is absent or null. A regime that is there twice for
+    a subject stops the run, as it would stand for one that is missing. also: further aggregates.
     """
     held = baseline_held(F.col("scores"), F.col("baseline"))
     destructive = F.col("regime") <= DESTRUCTIVE
-    return readings.groupBy(key).agg(
+    known = F.col("regime").between(1, HFLIP)
+    sums = readings.groupBy(key).agg(
+        F.count_if(known).alias("__readings"),
+        F.bit_or(F.when(known, F.expr("shiftleft(1, cast(regime as int))"))).alias("__regimes"),
         F.count_if(destructive).alias("n_destructive"),
         F.count_if(destructive & held.isNull()).alias("n_null"),
         F.count_if(destructive & ~held).alias("n_flips"),
         F.max(F.when(F.col("regime") == HFLIP, held)).alias("hflip_held"),
         *also,
-    ).withColumn("flip_count", F.when((F.col("n_destructive") >= DESTRUCTIVE) & (F.col("n_null") == 0), F.col("n_flips")))
+    )
+    once = guard(sums, F.col("__readings") == F.coalesce(F.bit_count("__regimes"), F.lit(0)), "a regime was read twice for a subject").drop("__readings", "__regimes")
+    return once.withColumn("flip_count", F.when((F.col("n_destructive") >= DESTRUCTIVE) & (F.col("n_null") == 0), F.col("n_flips")))
 
 
 def condition_a(flip_count: Column, k: int) -> Column:

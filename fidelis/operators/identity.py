@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fidelis.operators.guard import guard
 from fidelis.operators.ranges import running
+from fidelis.sources.scratch import shared_dir
 
 
 def source_key(dataset: Column, record: Column) -> Column:
@@ -60,17 +61,24 @@ def derangement(positioned: DataFrame, key: str, pos: str = "pos") -> DataFrame:
 def ids_digest(df: DataFrame, key: str) -> DataFrame:
     """SHA-256 of all ids in order, one a line, with their number; one row.
 
-    A digest of ids in a row is one task's by its nature; that task sorts, with spilling, and hashes them as they pass, so
-    it holds a batch at a time.
+    Ids are sorted in ranges, by many tasks, and checkpointed in that order. The digest of a sequence is a fold by its
+    nature: one task reads the sorted ranges one after another and holds a batch at a time; it sorts nothing, and stops
+    if an id comes before the last one.
     """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, digest = 0, hashlib.sha256()
+        n, digest, last = 0, hashlib.sha256(), b""
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                digest.update(f"\n{x}".encode("utf-8", "surrogatepass") if n else x.encode("utf-8", "surrogatepass"))
-                n += 1
+                own = x.encode("utf-8", "surrogatepass")
+                if own < last:
+                    raise ValueError("ranges were read out of order")
+                digest.update(b"\n" + own if n else own)
+                n, last = n + 1, own
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], ["n", "digest"])
 
-    ids = df.select(F.col(key).cast("string").alias("id")).where("id is not null")
-    return ids.repartition(1).sortWithinPartitions("id").mapInArrow(run, "n long, digest string")
+    ids = df.select(F.col(key).cast("string").alias("id")).where("id is not null").orderBy("id").checkpoint()
+    return ids.coalesce(1).mapInArrow(run, "n long, digest string")

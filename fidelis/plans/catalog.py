@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.functions import drift, stats, text
-from fidelis.operators import assemble, assurance, calibrate, conditions, descriptives, evaluate, gates, grid, identity, images, ingest, ledger, run, views
+from fidelis.operators import assemble, assurance, calibrate, conditions, descriptives, evaluate, gates, grid, identity, images, ingest, ledger, merkle, overlap, run, scoring, views
 from fidelis.plans import roles as R
 from fidelis.sources.scratch import Scratch
 from fidelis.streaming import ledger_stream as streams
@@ -572,7 +572,7 @@ def _pixels(height: int, width: int):
 
 def _images(spark, d, height=32, width=48):
     """Tiny images from parts, with their derangement partners and boxes."""
-    small = R.table(spark, d, "part").where("p_size <= 50").select(F.col("p_partkey").alias("instance"), F.lit(height).alias("height"), F.lit(width).alias("width"))
+    small = R.table(spark, d, "part").select(F.col("p_partkey").alias("instance"), F.lit(height).alias("height"), F.lit(width).alias("width"))
     placed = identity.assign_position(small.withColumn("pixels", _pixels(height, width)), "instance")
     partner = placed.select(F.col("instance").alias("partner"), F.col("height").alias("p_height"), F.col("width").alias("p_width"), F.col("pixels").alias("p_pixels"))
     return identity.derangement(placed, "instance").join(partner, "partner")
@@ -582,7 +582,7 @@ def _sql_pixels(n: int, value: str) -> str:
     return f"sha256(unhex(array_to_string(list_transform(range({n}), lambda i: format('{{:02X}}', {value})), '')))"
 
 
-_KEYED = "p AS (SELECT p_partkey AS k, coalesce(lead(p_partkey) OVER (ORDER BY p_partkey), first_value(p_partkey) OVER (ORDER BY p_partkey)) AS q FROM part WHERE p_size <= 50)"
+_KEYED = "p AS (SELECT p_partkey AS k, coalesce(lead(p_partkey) OVER (ORDER BY p_partkey), first_value(p_partkey) OVER (ORDER BY p_partkey)) AS q FROM part)"
 
 
 @query(f"""WITH {_KEYED} SELECT k AS instance, 'real' AS regime, {_sql_pixels(576, '(i * 7 + k * 13) % 256')} AS digest FROM p UNION ALL SELECT k, 'grey', {_sql_pixels(576, '128 + 0 * i')} FROM p
@@ -592,6 +592,16 @@ def image_fixed_regimes(spark, d):
     return images.apply_regimes(_images(spark, d, 12, 16)).where("regime not in ('occlude', 'noise')").select("instance", "regime", F.sha2("pixels", 256).alias("digest"))
 
 
+@query(f"""WITH {R.BOXES}, placed AS (SELECT instance // 8 AS image, * EXCLUDE (height, width) FROM boxes), moved AS (SELECT image, instance, top + instance % 13 * 9 - 40 AS top, "left" - instance % 7 * 11 + 20 AS "left", bottom + instance % 13 * 9 - 40 + (CASE WHEN instance % 41 = 0 THEN 3000 ELSE 0 END) AS bottom, "right" - instance % 7 * 11 + 20 AS "right" FROM placed)
+SELECT a.image, a.instance AS instance_a, b.instance AS instance_b, (least(a.bottom, b.bottom) - greatest(a.top, b.top)) * (least(a."right", b."right") - greatest(a."left", b."left")) AS area FROM placed a JOIN moved b ON a.image = b.image AND a.top < b.bottom AND b.top < a.bottom AND a."left" < b."right" AND b."left" < a."right\"""")
+def overlapping_boxes(spark, d):
+    """Evidence boxes against boxes moved about, eight to an image, a few of them far larger."""
+    placed = R.boxes(spark, d).withColumn("image", F.expr("instance div 8"))
+    down, across = F.col("instance") % 13 * 9 - 40, 20 - F.col("instance") % 7 * 11
+    moved = placed.withColumns({"top": F.col("top") + down, "left": F.col("left") + across, "bottom": F.col("bottom") + down + F.when(F.col("instance") % 41 == 0, 3000).otherwise(0), "right": F.col("right") + across})
+    return overlap.overlap_join(placed, moved, "instance", ["image"])
+
+
 @query(f"SELECT p_partkey AS instance, cell, {_sql_pixels(384, 'CASE WHEN i // 24 // 2 = cell // 8 AND (i // 3) % 8 = cell % 8 THEN 0 ELSE (i * 7 + p_partkey * 13) % 256 END')} AS digest FROM part, range(64) AS t(cell)")
 def image_sweep(spark, d):
     """Each image, 16 by 8 pixels, with one cell of the grid blackened at a time."""
@@ -619,6 +629,32 @@ def model_call(spark, d):
     return images.call_model(R.table(spark, d, "documents").select("doc_id", "lang", "n_chars"), model, "doc_id long, reply string, score double")
 
 
+_TOKEN = "(instance * 31 + option * 17 + {p} * 7) % 64"
+_LOGITS = f"""steps AS (SELECT vec_id // 16 AS instance, vec_id // 4 % 4 AS option, vec_id % 4 AS pos, list_transform(embedding, lambda x: x::DOUBLE * 40) AS x FROM embeddings),
+lp AS (SELECT instance, option, pos, x[{_TOKEN.format(p='(pos + 1)')} + 1] - list_max(x) - ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) AS lp FROM steps),
+scores AS (SELECT instance, option, count(*) AS n_tokens, sum(lp) AS score FROM lp WHERE pos >= instance % 2 GROUP BY ALL)"""
+
+
+def _reply_scores(spark, d):
+    """Vectors as logits of four positions, four options to an instance; tokens follow from the keys, prompts are of one or two."""
+    v = F.col("vec_id")
+    logits = R.table(spark, d, "embeddings").select(F.expr("vec_id div 16").alias("instance"), (F.expr("vec_id div 4") % 4).alias("option"), (v % 4).alias("pos"), F.transform("embedding", lambda x: x.cast("double") * 40).alias("logits"))
+    sequences = logits.select("instance", "option").distinct().withColumn("prompt_len", 1 + F.col("instance") % 2)
+    sequences = sequences.withColumn("ids", F.transform(F.sequence(F.lit(0), F.lit(4)), lambda p: (F.col("instance") * 31 + F.col("option") * 17 + p * 7) % 64))
+    sequences = sequences.withColumn("reply_ids", F.slice("ids", F.col("prompt_len").cast("int") + 1, 5))
+    return scoring.reply_scores(sequences, logits, ["instance", "option"])
+
+
+@query(f"WITH {_LOGITS} SELECT instance, option, n_tokens, round(score, 6) AS score FROM scores")
+def reply_scores(spark, d):
+    return _reply_scores(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_LOGITS}, r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS second FROM scores WINDOW w AS (PARTITION BY instance ORDER BY score DESC, option)) SELECT instance, option AS choice, round(score - second, 6) AS margin FROM r WHERE k = 1")
+def reply_choices(spark, d):
+    return scoring.choices(_reply_scores(spark, d), ["instance"], "option").withColumn("margin", F.round("margin", 6))
+
+
 # --- assembly and views ------------------------------------------------------------------------------------
 
 
@@ -627,7 +663,7 @@ def split_assign(spark, d):
     return R.predicted(spark, d).select("instance", "scene", "split")
 
 
-@query(f"WITH {R.PREDICTED}, q AS (SELECT split, min(n) AS quota FROM (SELECT split, label, count(*) AS n FROM predicted WHERE split IN ('train', 'validation') GROUP BY ALL) GROUP BY split), r AS (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY md5(instance::VARCHAR), instance) AS rn FROM predicted) SELECT instance, split, label FROM r LEFT JOIN q USING (split) WHERE quota IS NULL OR rn <= quota")
+@query(f"WITH {R.PREDICTED}, q AS (SELECT split, CASE WHEN count(*) < (SELECT count(DISTINCT label) FROM predicted) THEN 0 ELSE min(n) END AS quota FROM (SELECT split, label, count(*) AS n FROM predicted WHERE split IN ('train', 'validation') GROUP BY ALL) GROUP BY split), r AS (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY md5(instance::VARCHAR), instance) AS rn FROM predicted) SELECT instance, split, label FROM r LEFT JOIN q USING (split) WHERE quota IS NULL OR rn <= quota")
 def balance_split(spark, d):
     return assemble.balance(R.predicted(spark, d)).select("instance", "split", "label")
 
@@ -649,6 +685,31 @@ def control_sample(spark, d):
     return assemble.control_sample(R.predicted(spark, d), ["dataset", "qtype"], "truth", "instance", 0.5)
 
 
+_LEAVES = "{name} AS (SELECT sha256(instance::VARCHAR) AS path, sha256('leaf:' || to_json({{'instance': instance, 'split': split, 'label': label, 'reason': reason}})::VARCHAR) AS leaf, instance::VARCHAR AS key FROM {rows})"
+_NODES = """l2 AS (SELECT substr(path, 1, 2) AS prefix, sha256('node:' || string_agg(path || leaf, '' ORDER BY path)) AS digest, count(*) AS n FROM leaves GROUP BY 1),
+l1 AS (SELECT substr(prefix, 1, 1) AS up, sha256('node:' || string_agg(prefix || digest, '' ORDER BY prefix)) AS digest, sum(n) AS n FROM l2 GROUP BY 1)"""
+
+
+def _release(spark, d):
+    return R.predicted(spark, d).select("instance", "split", "label", "reason")
+
+
+@query(f"WITH {R.PREDICTED}, {_LEAVES.format(name='leaves', rows='predicted')}, {_NODES} SELECT 2::BIGINT AS level, prefix, digest, n FROM l2 UNION ALL SELECT 1, up, digest, n::BIGINT FROM l1 UNION ALL SELECT 0, '', sha256('node:' || string_agg(up || digest, '' ORDER BY up)), sum(n)::BIGINT FROM l1")
+def merkle_nodes(spark, d):
+    """The tree of a release, two levels deep."""
+    return merkle.tree(merkle.leaves(_release(spark, d), "instance", ["split", "label", "reason"]), 2)
+
+
+@query(f"WITH {R.PREDICTED}, later AS (SELECT instance, split, CASE WHEN instance % 31 = 0 THEN 'withdrawn' ELSE label END AS label, reason FROM predicted WHERE instance % 37 > 0 UNION ALL SELECT -instance - 1, split, label, reason FROM predicted WHERE instance % 41 = 0), {_LEAVES.format(name='x', rows='predicted')}, {_LEAVES.format(name='y', rows='later')} SELECT coalesce(x.key, y.key) AS key, CASE WHEN x.leaf IS NULL THEN 'added' WHEN y.leaf IS NULL THEN 'removed' ELSE 'changed' END AS kind FROM x FULL JOIN y USING (path) WHERE x.leaf IS DISTINCT FROM y.leaf")
+def merkle_difference(spark, d):
+    """A release against a later one with entries added, withdrawn and removed."""
+    first, i = _release(spark, d), F.col("instance")
+    kept = first.where(i % 37 > 0).withColumn("label", F.when(i % 31 == 0, "withdrawn").otherwise(F.col("label")))
+    later = kept.unionByName(first.where(i % 41 == 0).withColumn("instance", -i - 1))
+    sides = [merkle.leaves(x, "instance", ["split", "label", "reason"]) for x in (first, later)]
+    return merkle.difference(merkle.tree(sides[0], 2), sides[0], merkle.tree(sides[1], 2), sides[1])
+
+
 @query(f"WITH {R.PREDICTED}, s AS (SELECT DISTINCT split, scene FROM predicted) SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared FROM s a JOIN s b USING (scene) WHERE a.split < b.split GROUP BY ALL")
 def split_disjointness(spark, d):
     return assemble.disjointness(R.predicted(spark, d), "scene")
