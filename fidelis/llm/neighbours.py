@@ -259,11 +259,11 @@ def _search(batches: Iterator[pa.RecordBatch], radii: dict[int, float], dims: in
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vector) of the rows that take part, in double precision."""
+    """(vec_id, vector) of the rows that take part, in double precision; of several vectors of one vec_id the least, entry by entry."""
     real = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(F.forall("vector", real) & F.exists("vector", lambda x: x != 0), F.lit(False)))
-    return rows.dropDuplicates(["vec_id"])
+    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
 def nearest(vectors: DataFrame, asks: Column, k: int = 20, confidence: float = CONFIDENCE, sent: list | None = None) -> DataFrame:

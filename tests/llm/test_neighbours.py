@@ -98,3 +98,10 @@ def test_a_cell_that_got_too_much_is_split(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     got, want = found(df, F.col("vec_id") % 20 == 0), brute([(r.vec_id, r.embedding) for r in df.collect()], lambda i: i % 20 == 0, 20)
     assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.95 * 20 * len(want)
+
+
+def test_the_least_of_several_vectors_of_an_id_takes_part(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 5.0]), (1, [2.0, -5.0]), (1, [3.0, 0.0]), (1, None), (2, [1.5, 0.0])]
+    for own in (rows, rows[::-1]):
+        df = spark.createDataFrame(own, "vec_id long, embedding array<double>")
+        assert [tuple(r) for r in neighbours.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 2.0), (0, 2, 2, 1.5)]

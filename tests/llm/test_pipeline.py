@@ -129,3 +129,13 @@ def test_texts_that_share_an_id_are_several_documents(spark, docs_of):
     a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
     out = corpus_pipeline.drop_near_duplicates(spark, docs_of([a, b, a, c, b, c, b, None, None], [3, 5, 5, 5, 7, 4, 5, 5, None]), "")
     assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, ""), (3, a), (4, c), (5, ""), (5, b)]
+
+
+def test_the_order_of_repeated_rows_does_not_show(spark):
+    text = "a b c d e f g"
+    rows = [(1, text, "fr", "s2", 3), (1, text, "en", None, 3), (1, text, "en", "s1", 3), (2, "h i", None, None, None)]
+    got = set()
+    for order in itertools.permutations(rows):
+        df = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+        got.add(tuple(sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, df, "").collect()))))
+    assert len(got) == 1 and "lang='en', source='s1'" in min(got)[0]
