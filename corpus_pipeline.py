@@ -34,7 +34,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of smallest doc_id, once.
 
-    A document is a doc_id with its text: rows that share both are one, whose other columns are those of any of them, and
+    A document is a doc_id with its text: rows that share both are one, the first of them by its columns as JSON with nulls, and
     rows that share a doc_id but not the text are several. Rows without a doc_id all stay, as do texts without words.
     """
     free_names(docs, "__node", "__doc", "__digest")
@@ -45,7 +45,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = scratch.write(decided.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__node")), "gone")
     left = rows.join(sized(gone, gone.said["n"]), "__node", "left_anti")
     if said["n"]:
-        left = left.where("__node is not null").dropDuplicates(["__node"]).unionByName(left.where("__node is null"))
+        own = F.to_json(F.struct(*(c for c in docs.columns if c != "text")), {"ignoreNullFields": "false"})
+        one = left.where("__node is not null").groupBy("__node").agg(F.min_by(F.struct(*docs.columns), own).alias("__doc"))
+        left = one.select("__doc.*").unionByName(left.where("__node is null").select(*docs.columns))
     return left.select(*docs.columns)
 
 
