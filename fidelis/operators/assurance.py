@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fidelis.operators import merkle
 
 # The blocking criteria and what each rests on; the manifest's fields.
 CRITERIA = {
@@ -144,7 +145,8 @@ def release_manifest(entries: DataFrame, routed: DataFrame, declared: dict, colu
     """The release manifest as one record: what is counted here, and what must be declared for it. A missing field is refused.
 
     entries: instance, split, label, generator, dataset and the other columns of the digest; routed: instance, e_code.
-    declared: corpus_version, spec_versions, origins (each generator and dataset with LICENCES), selectors,
+    Beside the order-free digest, entries has the root and depth of their Merkle tree, against which a holder of one entry can prove it
+    (merkle.proof) and two releases can be compared. declared: corpus_version, spec_versions, origins (each generator and dataset with LICENCES), selectors,
     rederivation (REDERIVATION) and views.
     """
     if lacking := [f for f in MANIFEST if f not in declared and f not in ("entries", "splits")]:
@@ -157,7 +159,9 @@ def release_manifest(entries: DataFrame, routed: DataFrame, declared: dict, colu
     whole = entry_digests(entries, [], columns).first()
     codes = {r["e_code"]: r["n"] for r in routed.groupBy("e_code").agg(F.count("*").alias("n")).collect()}
     splits = [r.asDict() for r in entry_digests(entries, ["split", "label"], columns).orderBy("split", "label").collect()]
-    return {**declared, "entries": {"n": whole["n"], "digest": whole["digest"], "routed": codes}, "splits": splits}
+    depth = merkle.depth_of(whole["n"])
+    root = merkle.root(merkle.tree(merkle.leaves(entries, "instance", [c for c in columns if c != "instance"]), depth))
+    return {**declared, "entries": {"n": whole["n"], "digest": whole["digest"], "root": root, "depth": depth, "routed": codes}, "splits": splits}
 
 
 def manifest_row(entries: DataFrame, routed: DataFrame, declared: dict, columns: list[str]) -> DataFrame:
