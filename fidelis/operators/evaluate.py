@@ -65,14 +65,15 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def kappa_pairs(votes: DataFrame, item: str, rater: str, label: str) -> DataFrame:
-    """Cohen's kappa of each pair of raters over the items that both have a yes or no for."""
+    """Cohen's kappa of each pair of raters over the items that both have a yes or no for, with its large-sample interval; null where chance alone agrees always."""
     a = votes.select(item, F.col(rater).alias(f"{rater}_a"), F.col(label).cast("boolean").alias("x"))
     b = votes.select(item, F.col(rater).alias(f"{rater}_b"), F.col(label).cast("boolean").alias("y"))
     both = a.join(b, item).where(F.col(f"{rater}_a") < F.col(f"{rater}_b")).where("x is not null and y is not null")
     share = lambda c: F.avg(c.cast("double"))
     s = both.groupBy(f"{rater}_a", f"{rater}_b").agg(F.count("*").alias("n"), share(F.col("x") == F.col("y")).alias("po"), share(F.col("x")).alias("px"), share(F.col("y")).alias("py"))
     pe = F.col("px") * F.col("py") + (1 - F.col("px")) * (1 - F.col("py"))
-    return s.select(f"{rater}_a", f"{rater}_b", "n", F.try_divide(F.col("po") - pe, 1 - pe).alias("kappa"))
+    k, half = F.try_divide(F.col("po") - pe, 1 - pe), 1.96 * F.sqrt(F.try_divide(F.col("po") * (1 - F.col("po")), F.col("n") * (1 - pe) * (1 - pe)))
+    return s.select(f"{rater}_a", f"{rater}_b", "n", k.alias("kappa"), (k - half).alias("low"), (k + half).alias("high"))
 
 
 def majority(entries: DataFrame, truth: str, split: str = "train") -> DataFrame:

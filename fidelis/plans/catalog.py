@@ -919,10 +919,12 @@ def reason_code_f1(spark, d):
 
 
 @query("""WITH o AS (SELECT o_custkey % 500 AS question, o_orderkey % 4 AS gen, max(o_totalprice) > 300000 AS v FROM orders GROUP BY 1, 2), p AS (SELECT a.gen AS gen_a, b.gen AS gen_b, a.v AS x, b.v AS y FROM o a JOIN o b ON a.question = b.question AND a.gen < b.gen),
-s AS (SELECT gen_a, gen_b, count(*) AS n, avg((x = y)::INT) AS po, avg(x::INT) * avg(y::INT) + (1 - avg(x::INT)) * (1 - avg(y::INT)) AS pe FROM p GROUP BY ALL) SELECT gen_a, gen_b, n, round((po - pe) / (1 - pe), 6) AS kappa FROM s""")
+s AS (SELECT gen_a, gen_b, count(*) AS n, avg((x = y)::INT) AS po, avg(x::INT) * avg(y::INT) + (1 - avg(x::INT)) * (1 - avg(y::INT)) AS pe FROM p GROUP BY ALL), h AS (SELECT *, 1.96 * sqrt(po * (1 - po) / (n * (1 - pe) * (1 - pe))) AS half FROM s)
+SELECT gen_a, gen_b, n, round((po - pe) / (1 - pe), 6) AS kappa, round((po - pe) / (1 - pe) - half, 6) AS low, round((po - pe) / (1 - pe) + half, 6) AS high FROM h""")
 def kappa_pairs(spark, d):
     votes = R.table(spark, d, "orders").groupBy((F.col("o_custkey") % 500).alias("question"), (F.col("o_orderkey") % 4).alias("gen")).agg((F.max("o_totalprice") > 300000).alias("v"))
-    return evaluate.kappa_pairs(votes, "question", "gen", "v").withColumn("kappa", F.round("kappa", 6))
+    found = evaluate.kappa_pairs(votes, "question", "gen", "v")
+    return found.select("gen_a", "gen_b", "n", *(F.round(c, 6).alias(c) for c in ("kappa", "low", "high")))
 
 
 @query(f"""WITH {R.ENTRIES}, s AS (SELECT count(*)::DOUBLE AS n, avg((truth = pred)::INT) AS po, avg(truth) * avg(pred) + (1 - avg(truth)) * (1 - avg(pred)) AS pe FROM entries)

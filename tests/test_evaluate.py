@@ -72,3 +72,14 @@ def test_splits_never_divide_a_scene(spark):
     with pytest.raises(Exception, match="incomplete"):
         assemble.assemble(out.withColumn("label", F.lit(None).cast("string")), ("label",)).count()
     assert tuple(assemble.totality(df, df.unionAll(df.limit(1)).where("instance <> 5"), "instance").first()[:2]) == (1, 0)
+
+
+def test_kappa_of_pairs_has_the_interval_of_one_pair(spark):
+    rows = [(i, r, v) for i, (a, b) in enumerate([(1, 1)] * 20 + [(1, 0)] * 5 + [(0, 1)] * 10 + [(0, 0)] * 15) for r, v in (("p", a), ("q", b))] + [(99, "p", 1), (98, "q", None)]
+    got = evaluate.kappa_pairs(spark.createDataFrame(rows, "i long, r string, v int"), "i", "r", "v").collect()
+    pair = spark.createDataFrame([(1, 1)] * 20 + [(1, 0)] * 5 + [(0, 1)] * 10 + [(0, 0)] * 15, "a int, b int")
+    one = evaluate.kappa(pair, "a", "b").first()
+    assert len(got) == 1 and got[0].n == 50
+    assert all(got[0][c] == pytest.approx(one[c]) for c in ("kappa", "low", "high"))
+    same = spark.createDataFrame([(i, r, 1) for i in range(4) for r in "pq"], "i long, r string, v int")
+    assert evaluate.kappa_pairs(same, "i", "r", "v").first().low is None
