@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.functions import drift, stats, text
-from fidelis.operators import assemble, assurance, calibrate, conditions, descriptives, evaluate, gates, grid, identity, images, ingest, ledger, merkle, overlap, run, scoring, views
+from fidelis.operators import assemble, assurance, calibrate, conditions, descriptives, evaluate, gates, grid, identity, images, ingest, ledger, matching, merkle, overlap, run, scoring, views
 from fidelis.plans import roles as R
 from fidelis.sources.scratch import Scratch
 from fidelis.streaming import ledger_stream as streams
@@ -685,6 +685,33 @@ def control_sample(spark, d):
     return assemble.control_sample(R.predicted(spark, d), ["dataset", "qtype"], "truth", "instance", 0.5)
 
 
+#: Every round works on what the rounds before left; the last one that finds a pair is the last that is kept.
+_NEAREST = """m AS (SELECT 0 AS r, dataset, qtype, instance, truth, score, NULL::BIGINT AS partner, NULL::DOUBLE AS distance FROM predicted WHERE score IS NOT NULL AND truth IN (0, 1)
+ UNION ALL SELECT r + 1, dataset, qtype, instance, truth, score, partner, distance FROM (SELECT *, count(partner) OVER () AS found FROM (SELECT r, dataset, qtype, instance, truth, score,
+  CASE WHEN opens AND after - score <= 40 THEN next WHEN NOT opens AND score - before <= 40 THEN last END AS partner, CASE WHEN opens AND after - score <= 40 THEN after - score WHEN NOT opens AND score - before <= 40 THEN score - before END AS distance
+ FROM (SELECT *, lead(instance) OVER w AS next, lead(score) OVER w AS after, lag(instance) OVER w AS last, lag(score) OVER w AS before FROM (SELECT *, (level >= 0) = (truth = 1) AS opens
+ FROM (SELECT *, least(height, height - step) AS level FROM (SELECT *, sum(step) OVER (PARTITION BY dataset, qtype, chain ORDER BY score, instance ROWS UNBOUNDED PRECEDING) AS height
+ FROM (SELECT *, 2 * truth - 1 AS step, sum(coalesce((score - prev > 40)::INT, 1)) OVER (PARTITION BY dataset, qtype ORDER BY score, instance ROWS UNBOUNDED PRECEDING) AS chain
+ FROM (SELECT *, lag(score) OVER (PARTITION BY dataset, qtype ORDER BY score, instance) AS prev FROM m WHERE partner IS NULL)))))
+ WINDOW w AS (PARTITION BY dataset, qtype, chain, level ORDER BY score, instance)))) WHERE found > 0)"""
+_MATCHED = (["dataset", "qtype"], "truth", "instance", "score", 40.0)
+
+
+@query(f"WITH RECURSIVE {R.PREDICTED}, {_NEAREST} SELECT dataset, qtype, instance AS negative, partner AS positive, distance FROM m WHERE truth = 0 AND partner IS NOT NULL")
+def plausibility_pairs(spark, d):
+    """Negatives and positives of near scores within dataset and question type."""
+    return matching.nearest_pairs(R.predicted(spark, d), *_MATCHED)
+
+
+@query(f"""WITH RECURSIVE {R.PREDICTED}, {_NEAREST}, kept AS (SELECT DISTINCT instance FROM m WHERE partner IS NOT NULL), c AS (SELECT p.* FROM predicted p JOIN kept USING (instance))
+SELECT count(*) AS n, count(*) FILTER (WHERE truth = 1) AS positives, round(avg((pred = truth)::INT), 6) AS accuracy, '{{"caliper": 40.0, "key": "instance", "label": "truth", "rule": "nearest-score, without replacement", "score": "score", "stratum": ["dataset", "qtype"]}}' AS selector FROM c""")
+def plausibility_control(spark, d):
+    """A predictor's accuracy on the matched control subset, beside what a manifest records of its selection."""
+    entries = R.predicted(spark, d)
+    held = matching.matched_membership(entries, matching.nearest_pairs(entries, *_MATCHED), _MATCHED[0], "instance")
+    return held.agg(F.count("*").alias("n"), F.count_if(F.col("truth") == 1).alias("positives"), F.round(F.avg((F.col("pred") == F.col("truth")).cast("int")), 6).alias("accuracy")).withColumn("selector", matching.selector(*_MATCHED))
+
+
 _LEAVES = "{name} AS (SELECT sha256(instance::VARCHAR) AS path, sha256('leaf:' || to_json({{'instance': instance, 'split': split, 'label': label, 'reason': reason}})::VARCHAR) AS leaf, instance::VARCHAR AS key FROM {rows})"
 _NODES = """l2 AS (SELECT substr(path, 1, 2) AS prefix, sha256('node:' || string_agg(path || leaf, '' ORDER BY path)) AS digest, count(*) AS n FROM leaves GROUP BY 1),
 l1 AS (SELECT substr(prefix, 1, 1) AS up, sha256('node:' || string_agg(prefix || digest, '' ORDER BY prefix)) AS digest, sum(n) AS n FROM l2 GROUP BY 1)"""
