@@ -1,12 +1,12 @@
 """Token counts behind a cache that is keyed by content digest and tokenizer version.
 
-Contents are digested where they are read. Texts travel once, compressed, to meet their equals; copies within a
+Contents are normalised and digested where they are read. Texts travel once, compressed, to meet their equals; copies within a
 task are dropped before that. One of each content that the cache lacks is encoded, whole, and appended to the
 cache; then every document takes its content's count by a join of digests, whose two sides are plain shuffles, so
 that a content that a third of all documents has can be split.
 
-Content is digested as it is: two texts that differ in anything, blanks or letter case too, can have different tokens, so
-a digest of anything coarser would give wrong counts.
+Content is digested in the tokenizer's own normal form, with which its encoding begins: texts of one form have the same tokens by
+construction, and which blanks, letters or compositions are the same is the file's to say. Any coarser form would give wrong counts.
 
 The cache is a Parquet table (content binary, version string, n_tokens long). Appending is safe to repeat:
 equal keys have equal counts, and reading takes one of them.
@@ -17,24 +17,37 @@ columns of the input are ignored; an empty table gives none.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructType
 
 from fidelis.llm.common import Scratch, exists, slices, text_chunks
-from fidelis.llm.tokenizers import counter, version
+from fidelis.llm.tokenizers import counter, normal_form, version
 
 CACHE = "content binary, version string, n_tokens long"
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(texts: pa.Array, path: str) -> pa.Array:
+    """The digest of each text's normal form, whole; texts are taken in chunks, as a form may be three times as long."""
+    held, form = texts.to_pylist(), normal_form(path)
+    return pa.array([hashlib.sha256(x.encode()).digest() for a, b in text_chunks(held) for x in form(held[a:b])], pa.binary())
+
+
+def _pack(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in slices(batches):
-        packed = [squeeze(x.as_buffer()) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["content", "packed"])
+        packed = [squeeze(x.as_buffer()) for x in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([_digests(batch.column(0), path), pa.array(packed, pa.binary())], ["content", "packed"])
+
+
+def _key(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _digests(batch.column(2), path)], ["doc_id", "n_bytes", "content"])
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, stamp: str) -> Iterator[pa.RecordBatch]:
@@ -58,11 +71,12 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, cache: str
     """doc_id, n_bytes, n_tokens and over_limit for each row of docs; cache: the stored counts' path, else a new one."""
     scratch = Scratch(docs.sparkSession, "tokens")
     cache, stamp = cache or scratch.path("cache"), version(tokenizer)
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text")).withColumn("content", F.unhex(F.sha2("text", 256)))
-    packed = keyed.select("content", "text").mapInArrow(_pack, "content binary, packed binary")
+    text = F.coalesce("text", F.lit("")).alias("text")
+    packed = docs.select(text).mapInArrow(lambda it: _pack(it, tokenizer), "content binary, packed binary")
     misses = packed.groupBy("content").agg(F.first("packed").alias("packed")).join(read_cache(docs, cache, stamp), "content", "left_anti")
     misses.mapInArrow(lambda it: _encode(it, tokenizer, stamp), CACHE).write.mode("append").option("compression", "zstd").parquet(cache)
     counts = scratch.write(read_cache(docs, cache, stamp), "counts")
-    counted = keyed.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")).join(counts, "content")
+    keys = StructType([docs.schema["doc_id"]]).add("n_bytes", LongType()).add("content", BinaryType())
+    keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text).mapInArrow(lambda it: _key(it, tokenizer), keys)
+    counted = keyed.join(counts, "content")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

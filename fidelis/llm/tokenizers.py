@@ -20,8 +20,23 @@ def public_path(name: str) -> str:
 
 @lru_cache(maxsize=4)
 def version(path: str) -> str:
-    """Digest of a tokenizer file; a changed vocabulary is another version."""
-    return hashlib.sha256(Path(path).read_bytes()).hexdigest()
+    """Digest of a tokenizer file and of how contents are keyed for it; a changed vocabulary is another version."""
+    return hashlib.sha256(b"normal form\n" + Path(path).read_bytes()).hexdigest()
+
+
+@lru_cache(maxsize=4)
+def normal_form(path: str):
+    """A function from texts to the form in which the file's library cuts them: equal forms have equal tokens.
+
+    A .model file's normaliser is the first step of its encoding, and nothing later sees the text itself. A .json file's library
+    looks for added tokens in the text before it normalises the rest, so there the text is the form.
+    """
+    if path.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda texts: model.normalize(texts)
+    return lambda texts: texts
 
 
 @lru_cache(maxsize=4)

@@ -3,7 +3,7 @@ import sentencepiece
 from odd_texts import ODD
 
 from fidelis.llm import token_counts
-from fidelis.llm.tokenizers import public_path, version
+from fidelis.llm.tokenizers import library, normal_form, public_path, version
 
 PATH = public_path("piece_bpe_32k.model")
 MODEL = sentencepiece.SentencePieceProcessor(model_file=PATH)
@@ -43,3 +43,26 @@ def test_what_is_no_cache_is_refused(docs_of, spark, tmp_path):
     spark.range(3).write.parquet(path)
     with pytest.raises(ValueError, match="no cache"):
         token_counts.token_counts(docs_of(["a"]), PATH, cache=path)
+
+
+def test_equal_forms_have_equal_tokens():
+    form = normal_form(PATH)
+    pool = [*TEXTS, *(f"{a}x{b}y{c}" for a in ("", " ", "\u2581", "\u00a0") for b in (" ", "  ", "\u2581", "\u3000", "\t") for c in ("", " ", "\u2581"))]
+    of = {}
+    for t in pool:
+        of.setdefault(form([t or ""])[0], set()).add(tuple(MODEL.encode(t or "")))
+    assert all(len(tokens) == 1 for tokens in of.values()) and len(of) < len({t or "" for t in pool})
+
+
+def test_texts_of_one_form_are_encoded_once(docs_of, spark, tmp_path):
+    texts, cache = ["a b", "a\u2581b", "a  b", "A b"], str(tmp_path / "cache")
+    got = token_counts.token_counts(docs_of(texts), PATH, cache=cache)
+    assert sorted(map(tuple, got.collect())) == want(texts)
+    assert spark.read.parquet(cache).count() == 3
+
+
+def test_a_json_file_s_texts_are_their_own_form(docs_of):
+    path = public_path("byte_bpe_50k.json")
+    assert normal_form(path)(["A ", "a"]) == ["A ", "a"]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs_of(TEXTS), path).collect()}
+    assert got == {i: len(library(path).encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(TEXTS)}
