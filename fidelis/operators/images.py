@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # The regimes and the constants of their transforms.
 REGIMES = ("real", "grey", "wrong-image", "occlude", "noise", "hflip")
@@ -72,6 +73,24 @@ def _array(raw: bytes, height: int, width: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(height, width, 3)
 
 
+def paired(pool: DataFrame, decoded: DataFrame) -> DataFrame:
+    """What apply_regimes takes, for each row of the pool that has its own image and its partner's.
+
+    pool: instance, pos, record_id and partner_id, as the whole pool's derangement has them, so that a shard's partners may lie outside
+    of it; decoded: record_id, height, width, pixels, one for each id. Null ids and unreadable images have no image; `lacking` tells which rows are left out.
+    """
+    held = decoded.where("pixels is not null").select("record_id", "height", "width", "pixels")
+    other = held.select(F.col("record_id").alias("partner_id"), *(F.col(c).alias(f"p_{c}") for c in ("height", "width", "pixels")))
+    return pool.select("instance", "pos", "record_id", "partner_id").join(held, "record_id").join(other, "partner_id").drop("record_id", "partner_id")
+
+
+def lacking(pool: DataFrame, decoded: DataFrame) -> DataFrame:
+    """(instance, which, reason): rows of the pool whose image or partner's is missing or unreadable; no pixels are moved for it."""
+    said = decoded.select("record_id", F.col("pixels").isNotNull().alias("readable")).groupBy("record_id").agg(F.bool_or("readable").alias("readable"))
+    asked = pool.select("instance", F.explode(F.map_from_arrays(F.array(F.lit("own"), F.lit("partner")), F.array("record_id", "partner_id"))).alias("which", "record_id"))
+    return asked.join(said, "record_id", "left").where("readable is null or not readable").select("instance", "which", F.when(F.col("readable").isNull(), "missing").otherwise("unreadable").alias("reason"))
+
+
 def apply_regimes(images: DataFrame) -> DataFrame:
     """(instance, regime, pixels) for all regimes of images (instance, pos, height, width, pixels, p_height, p_width, p_pixels)."""
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.operators.guard import guard
@@ -69,8 +72,40 @@ def configuration(spark: SparkSession, path: str, required: tuple[str, ...] = ("
 
 def image_files(spark: SparkSession, path: str) -> DataFrame:
     """Files as (record_id, content); the id is the file name without zeros in front and without its ending."""
-    name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    return spark.read.format("binaryFile").load(path).select(F.regexp_replace(name, "^0+(?=.)", "").alias("record_id"), "content")
+    return spark.read.format("binaryFile").load(path).select(_record_id(F.col("path")).alias("record_id"), "content")
+
+
+def _record_id(path: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1), "^0+(?=.)", "")
+
+
+def _to_rgb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grey, BGR or BGRA bytes as RGB, one image at a time; alpha is dropped, as a conversion to RGB does."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            one = batch.slice(at, 1)
+            record, path, height, width, channels = (c[0].as_py() for c in one.columns[:5])
+            pixels = None
+            if height > 0 and width > 0:
+                raw = np.frombuffer(one.column(5)[0].as_buffer(), np.uint8).reshape(height, width, channels)
+                pixels = (np.repeat(raw, 3, axis=2) if channels == 1 else raw[:, :, 2::-1]).tobytes()
+            size = [height, width] if pixels is not None else [None, None]
+            yield pa.RecordBatch.from_pydict({"record_id": [record], "path": [path], "height": pa.array(size[:1], pa.int32()), "width": pa.array(size[1:], pa.int32()), "pixels": pa.array([pixels], pa.binary())})
+
+
+def decoded_images(spark: SparkSession, path: str) -> DataFrame:
+    """Image files as (record_id, path, height, width, pixels), pixels being rows of RGB bytes; a file that can't be decoded has nulls.
+
+    Spark's image source decodes in the JVM where the file is read; ids are as in image_files.
+    """
+    image = [F.col(f"image.{c}").alias(c) for c in ("height", "width", "nChannels", "data")]
+    found = spark.read.format("image").option("dropInvalid", "false").load(path).select(_record_id(F.col("image.origin")).alias("record_id"), F.col("image.origin").alias("path"), *image)
+    return found.mapInArrow(_to_rgb, "record_id string, path string, height int, width int, pixels binary")
+
+
+def unreadable(images: DataFrame) -> DataFrame:
+    """The side output of decoded_images: files without pixels."""
+    return images.where("pixels is null").select("record_id", "path")
 
 
 def shard(positioned: DataFrame, start: int, end: int) -> DataFrame:
