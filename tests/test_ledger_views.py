@@ -86,7 +86,12 @@ def test_log_scan(spark, tmp_path):
 def test_commits_are_once(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k long, v string")
     path = str(tmp_path / "log")
-    assert ledger.commit(df, path, "k") == 2 and ledger.commit(df, path, "k") == 0 and ledger.commit(df.selectExpr("k + 1 as k", "v"), path, "k") == 1
+    assert ledger.commit(df, path, "k") == 2 and ledger.commit(df, path, "k") == 0
+    # The log holds (2, "b"): a second payload of 2 halts, and 3 isn't committed beside it.
+    with pytest.raises(ValueError, match="second commits"):
+        ledger.commit(df.selectExpr("k + 1 as k", "v"), path, "k")
+    assert spark.read.parquet(path).count() == 2
+    assert ledger.commit(df.where("k = 2").unionAll(df.where("k = 2").selectExpr("k + 1", "v")), path, "k") == 1
     assert ledger.no_duplicates(spark.read.parquet(path), "k").count() == 3
     with pytest.raises(Exception, match="twice"):
         ledger.no_duplicates(df, "k").count()
@@ -100,8 +105,12 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(spark.table("sealed")) == key(ledger_stream.sealed_log_batch(rows)) and spark.table("sealed").where("not accepted").count() == 2
+    # Two payloads of "a" in a batch halt the stream before anything is written; one of each key is committed once in two runs.
+    with pytest.raises(Exception, match="second commits"):
+        ledger_stream.commit_stream(stream.where("seq < 3"), str(tmp_path / "out"), "instance", str(tmp_path / "0")).awaitTermination()
+    assert not (tmp_path / "out").exists()
     for run in ("1", "2"):
-        ledger_stream.commit_stream(stream.where("seq < 3"), str(tmp_path / "out"), "instance", str(tmp_path / run)).awaitTermination()
+        ledger_stream.commit_stream(stream.where("seq < 2"), str(tmp_path / "out"), "instance", str(tmp_path / run)).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
