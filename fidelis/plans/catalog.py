@@ -11,6 +11,7 @@ from fidelis.functions import drift, stats, text
 from fidelis.operators import assemble, assurance, calibrate, conditions, descriptives, evaluate, gates, grid, identity, images, ingest, ledger, matching, merkle, overlap, run, scoring, views
 from fidelis.plans import roles as R
 from fidelis.sources.scratch import Scratch
+from fidelis.streaming import artifacts
 from fidelis.streaming import ledger_stream as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1188,6 +1189,38 @@ def sealed_log_stream(spark, d):
     return spark.read.parquet(f"{root}/log").groupBy("kind", "accepted").agg(F.count("*").alias("n"))
 
 
+_ARTIFACTS = """WITH e AS (SELECT user_id::VARCHAR AS instance, event_id AS seq, CASE WHEN event_id % 37 = 0 THEN 'seal' WHEN event_id % 29 = 0 THEN 'observation' ELSE 'determination' END AS kind, CASE WHEN event_id % 3 = 0 THEN 'E1' ELSE event_type END AS payload FROM events),
+m AS (SELECT instance, min(seq) FILTER (WHERE kind = 'seal' AND payload = 'E1') AS e1, min(seq) FILTER (WHERE kind = 'seal' AND payload IS DISTINCT FROM 'E1') AS other, min(seq) FILTER (WHERE kind = 'observation') AS seen FROM e GROUP BY instance),
+s AS (SELECT instance, least(CASE WHEN seen IS NULL OR e1 < seen THEN e1 END, other) AS sealed_at FROM m),
+j AS (SELECT e.*, CASE WHEN seq IS NULL OR seq > sealed_at THEN 'rejected' WHEN sealed_at IS NULL THEN 'open' WHEN kind = 'seal' AND seq < sealed_at THEN 'refused' ELSE 'sealed' END AS status FROM e LEFT JOIN s ON e.instance IS NOT DISTINCT FROM s.instance)
+SELECT instance, kind, status, count(*) AS n, sum(seq)::BIGINT AS seqs FROM j WHERE {} GROUP BY ALL"""
+
+
+def _entries_to_seal(events):
+    """Events as entries of their user's artifact; one in 37 is a seal, a third of these of E1."""
+    i = F.col("event_id")
+    kind = F.when(i % 37 == 0, "seal").when(i % 29 == 0, "observation").otherwise("determination")
+    return events.select(F.col("user_id").cast("string").alias("instance"), i.alias("seq"), kind.alias("kind"), F.when(i % 3 == 0, "E1").otherwise(F.col("event_type")).alias("payload"))
+
+
+def _by_status(judged):
+    return judged.groupBy("instance", "kind", "status").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+@query(_ARTIFACTS.format("true"))
+def sealed_artifacts(spark, d):
+    return _by_status(artifacts.statuses(_entries_to_seal(R.table(spark, d, "events"))))
+
+
+@query(_ARTIFACTS.format("status <> 'open'"))
+def sealed_artifacts_stream(spark, d):
+    """The same from the stream, which emits an artifact when it is sealed and keeps open ones as state."""
+    root = Scratch(spark, "artifacts").path("stream")
+    events = spark.readStream.schema(R.table(spark, d, "events").schema).parquet(f"{d.rstrip('/')}/events.parquet*")
+    artifacts.seal_stream(_entries_to_seal(events), f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    return _by_status(spark.read.parquet(f"{root}/log"))
+
+
 # --- descriptives and remaining joins ----------------------------------------------------------------------
 
 
