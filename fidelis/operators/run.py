@@ -9,7 +9,8 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.functions.text import folded
+from fidelis.functions.stats import argmax_first
+from fidelis.functions.text import MARKER, folded, lstrip
 from fidelis.sources.scratch import path_of
 
 # The gate's floors and slice, and the part of an identity that is refused.
@@ -49,18 +50,54 @@ def calibration_gate(outputs: DataFrame, answer: Column, expected: Column, by: l
     return sums.select(*(by or []), "n", share.alias("parseability"), agreement.alias("agreement"), passed.alias("passed"))
 
 
-def extraction_quality(outputs: DataFrame, expected: Column) -> DataFrame:
-    """Of outputs (raw, plain, answer, rationale): how many were parsed, opened or never closed a reasoning block, and agree."""
-    parsed = F.count_if(F.col("answer").isNotNull())
-    return outputs.agg(
-        F.count("*").alias("n"), parsed.alias("parsed"), F.count_if(F.col("rationale").isNotNull()).alias("with_rationale"), F.count_if(F.col("raw").startswith("<think>")).alias("opened"),
-        F.count_if(F.col("plain").isNull()).alias("unclosed"), F.round(F.count_if(F.col("answer") == expected) / F.greatest(F.lit(1), parsed), 3).alias("agreement"),
+def _option(options: Column, at: Column) -> Column:
+    """The option at a 0-based place; null where there is none."""
+    return F.when(at >= 0, F.get(options, at.cast("int")))
+
+
+def _agrees(scores: str) -> Column:
+    """Whether the first option of the largest score is the parsed answer, without case and surrounding white space."""
+    return folded(_option(F.col("options"), argmax_first(F.col(scores)))) == folded(F.col("answer"))
+
+
+def _of_parsed(agreed: Column) -> Column:
+    """A share of the parsed outputs to 3 digits, 0 if none was parsed."""
+    return F.round(F.count_if(F.col("answer").isNotNull() & agreed) / F.greatest(F.lit(1), F.count_if(F.col("answer").isNotNull())), 3)
+
+
+def _gold_correct() -> Column:
+    return F.count_if(F.col("answer") == _option(F.col("options"), F.col("gold")))
+
+
+def _mean(seconds: str) -> Column:
+    """A sum over all outputs divided by their number, to 1 digit; a missing time adds nothing, and no outputs give 0."""
+    return F.round(F.coalesce(F.sum(F.col(seconds).cast("double")), F.lit(0.0)) / F.greatest(F.lit(1), F.count("*")), 1)
+
+
+def extraction_quality(outputs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How well outputs (raw, answer, rationale, options, scores, gold, t_generate, t_score) can be read, in one aggregate.
+
+    gold is the right option's 0-based place; scores are the options' scores, whose first largest one is held against the
+    answer. Null, empty and too short scores agree with nothing, a null gold or answer is not correct, and an empty
+    rationale is none. by: one row for each group; without it no outputs give one row of zeros.
+    """
+    opened = F.coalesce(lstrip(F.col("raw")).startswith("<think>"), F.lit(False))
+    return outputs.groupBy(*(by or [])).agg(
+        F.count("*").alias("n"), F.count("answer").alias("parsed"), F.count_if(F.length("rationale") > 0).alias("with_rationale"), F.count_if(opened).alias("opened"),
+        F.count_if(opened & ~F.col("raw").contains("</think>")).alias("unclosed"), F.count_if(F.col("raw").contains(MARKER)).alias("marker_compliance"),
+        _of_parsed(_agrees("scores")).alias("agreement"), _gold_correct().alias("gold_correct"), _mean("t_generate").alias("mean_t_generate"), _mean("t_score").alias("mean_t_score"),
     )
 
 
-def scorer_diagnostic(outputs: DataFrame, by: list[Column], expected: str, prefix: str) -> DataFrame:
-    """For each style of outputs (answer, plain), how often the letter and how often the text names the expected option."""
-    return outputs.groupBy(*by).agg(F.count_if(F.col("answer") == expected).alias("by_letter"), F.count_if(folded(F.col("plain")).startswith(prefix)).alias("by_text"), F.count("*").alias("n"))
+def scorer_diagnostic(outputs: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Of outputs (answer, options, letter_scores, text_scores, gold), which of two scorers agrees with the answers given.
+
+    letter_scores are those of the options' letters, text_scores those of their texts, each read as extraction_quality
+    reads scores; better is the scorer of more agreements, null where they are equal.
+    """
+    letter, whole = _of_parsed(_agrees("letter_scores")), _of_parsed(_agrees("text_scores"))
+    found = outputs.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.count("answer").alias("parsed"), letter.alias("letter_agreement"), whole.alias("text_agreement"), _gold_correct().alias("gold_correct"))
+    return found.withColumn("better", F.when(F.col("letter_agreement") > F.col("text_agreement"), "letter").when(F.col("letter_agreement") < F.col("text_agreement"), "text"))
 
 
 def _write(spark: SparkSession, path: str, text: str, overwrite: bool) -> None:

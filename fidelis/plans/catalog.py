@@ -218,10 +218,35 @@ def p6_controls(spark, d):
     return rows.groupBy((F.col("turn") % 2 == 0).alias("a_true"), gates.controls_hold(results).alias("holds")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {R.EXTRACTED} SELECT count(*) AS n, count(*) FILTER (WHERE answer IS NOT NULL) AS parsed, count(*) FILTER (WHERE rationale IS NOT NULL) AS with_rationale,
- count(*) FILTER (WHERE starts_with(raw, '<think>')) AS opened, count(*) FILTER (WHERE plain IS NULL) AS unclosed, round(count(*) FILTER (WHERE answer = 'cigar') / greatest(1, count(*) FILTER (WHERE answer IS NOT NULL))::DOUBLE, 3) AS agreement FROM extracted""")
+_SCORE = "CASE WHEN instance % 23 <> 0 THEN list_transform(range(1, 5 - (instance % 19 = 0)::INT), lambda i: ((length(text) * {0} + i * {1}) % {2})::DOUBLE) END"
+_READ = f""", read AS (SELECT *, conv_id % 6 AS style, {_SCORE.format(1, 3, 7)} AS letter_scores, {_SCORE.format(5, 4, 9)} AS text_scores, CASE WHEN turn % 5 <> 0 THEN conv_id % 5 END AS gold, length(raw) / 100.0::DOUBLE AS t_generate, CASE WHEN turn % 3 <> 0 THEN turn / 4.0::DOUBLE END AS t_score FROM extracted)"""
+_BEST = "lower(options[list_position({0}, list_max({0}))]) = lower(answer)"
+_SHARE = "round(count(*) FILTER (WHERE answer IS NOT NULL AND {0}) / greatest(1, count(answer))::DOUBLE, 3)"
+_GOLD = "count(*) FILTER (WHERE answer = options[gold + 1]) AS gold_correct"
+
+
+def _read_outputs(spark, d):
+    """Extracted replies with scores of options by letter and by text, some of them missing or short, a right option, that may be none, and times."""
+    i, n = F.col("instance"), F.length("text")
+    places = F.sequence(F.lit(1), F.when(i % 19 == 0, 3).otherwise(4))
+    score = lambda a, b, m: F.when(i % 23 != 0, F.transform(places, lambda x: ((n * a + x * b) % m).cast("double")))
+    return R.extracted(spark, d).withColumns({
+        "style": F.col("conv_id") % 6, "letter_scores": score(1, 3, 7), "text_scores": score(5, 4, 9), "gold": F.when(F.col("turn") % 5 != 0, F.col("conv_id") % 5),
+        "t_generate": F.length("raw") / 100.0, "t_score": F.when(F.col("turn") % 3 != 0, F.col("turn") / 4.0),
+    })
+
+
+@query(f"""WITH {R.EXTRACTED}{_READ} SELECT style, count(*) AS n, count(answer) AS parsed, count(*) FILTER (WHERE rationale <> '') AS with_rationale, count(*) FILTER (WHERE starts_with(lead, '<think>')) AS opened,
+ count(*) FILTER (WHERE starts_with(lead, '<think>') AND NOT contains(raw, '</think>')) AS unclosed, count(*) FILTER (WHERE contains(raw, 'Rationale:')) AS marker_compliance, {_SHARE.format(_BEST.format('letter_scores'))} AS agreement, {_GOLD},
+ round(coalesce(sum(t_generate), 0) / count(*), 1) AS mean_t_generate, round(coalesce(sum(t_score), 0) / count(*), 1) AS mean_t_score FROM (SELECT *, regexp_replace(raw, '^[{text.SPACE}]+', '') AS lead FROM read) GROUP BY style""")
 def extraction_quality(spark, d):
-    return run.extraction_quality(R.extracted(spark, d), F.lit("cigar"))
+    return run.extraction_quality(_read_outputs(spark, d).withColumnRenamed("letter_scores", "scores"), ["style"])
+
+
+@query(f"""WITH {R.EXTRACTED}{_READ}, s AS (SELECT style, count(*) AS n, count(answer) AS parsed, {_SHARE.format(_BEST.format('letter_scores'))} AS letter_agreement, {_SHARE.format(_BEST.format('text_scores'))} AS text_agreement, {_GOLD} FROM read GROUP BY style)
+SELECT *, CASE WHEN letter_agreement > text_agreement THEN 'letter' WHEN letter_agreement < text_agreement THEN 'text' END AS better FROM s""")
+def scorer_diagnostic(spark, d):
+    return run.scorer_diagnostic(_read_outputs(spark, d), ["style"])
 
 
 # --- ingest, identity, ledger ------------------------------------------------------------------------------
@@ -1276,11 +1301,6 @@ def corpus_and_routed(spark, d):
     return descriptives.partition_check(res, {"corpus": corpus, "routed": routed}, "instance")
 
 
-@query(f"WITH {R.EXTRACTED} SELECT turn % 4 AS style, count(*) FILTER (WHERE answer = 'cigar') AS by_letter, count(*) FILTER (WHERE lower(trim(plain)) LIKE 'pen%') AS by_text, count(*) AS n FROM extracted GROUP BY 1")
-def scorer_diagnostic(spark, d):
-    return run.scorer_diagnostic(R.extracted(spark, d), [(F.col("turn") % 4).alias("style")], "cigar", "pen")
-
-
 @query("""SELECT event_type, median(value) AS med, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM events GROUP BY event_type""".replace("median(value) AS med", "round(median(value), 6) AS med").replace("quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr", "round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr"))
 def median_and_iqr(spark, d):
     found = calibrate.median_iqr(R.table(spark, d, "events"), "value", ["event_type"])
