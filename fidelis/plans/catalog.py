@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fidelis.functions import drift, stats, text
 from fidelis.operators import assemble, assurance, calibrate, conditions, descriptives, evaluate, gates, grid, identity, images, ingest, ledger, matching, merkle, overlap, run, scoring, views
 from fidelis.plans import roles as R
+from fidelis.sources import log_source
 from fidelis.sources.scratch import Scratch
 from fidelis.streaming import artifacts
 from fidelis.streaming import ledger_stream as streams
@@ -1191,6 +1192,18 @@ def ledger_stream(spark, d):
     return spark.read.parquet(f"{root}/log").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("keys"))
 
 
+@query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS keys, sum(length(props))::BIGINT AS chars FROM events GROUP BY event_type")
+def keyed_log(spark, d):
+    """Events committed twice to a log of JSON lines, read back as a stream of byte ranges."""
+    root = Scratch(spark, "keyed-log").path("log")
+    events = R.table(spark, d, "events").select(F.col("event_id").cast("string").alias("key"), F.to_json(F.struct("event_type", "props")).alias("payload"))
+    for _ in range(2):
+        log_source.commit_log(events, f"{root}/log")
+    log_source.stream_log(spark, f"{root}/log").writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{root}/rows").select("key", F.from_json("payload", "event_type string, props string").alias("p"))
+    return rows.groupBy("p.event_type").agg(F.count("*").alias("n"), F.countDistinct("key").alias("keys"), F.sum(F.length("p.props")).alias("chars"))
+
+
 _SEALS = """WITH e AS (SELECT user_id::VARCHAR AS instance, event_id AS seq, CASE WHEN event_id % 37 = 0 THEN 'seal' ELSE 'append' END AS kind FROM events), s AS (SELECT instance, min(seq) AS sealed_at FROM e WHERE kind = 'seal' GROUP BY instance)
 SELECT kind, coalesce(seq <= sealed_at, true) AS accepted, count(*) AS n FROM e LEFT JOIN s USING (instance) GROUP BY ALL"""
 
