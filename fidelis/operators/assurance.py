@@ -102,6 +102,36 @@ def unstable(first: DataFrame, again: DataFrame, key: str, column: str, toleranc
     return share.where(F.col("flips") > tolerance)
 
 
+def nonconformant(judged: DataFrame) -> DataFrame:
+    """BL4: runs of evaluate.conformance that break a rule; a run that couldn't be judged counts."""
+    return judged.where(~F.coalesce("conformant", F.lit(False)))
+
+
+def easy_core(pairs: DataFrame, scores: DataFrame, key: str, score: str, most: float) -> DataFrame:
+    """BL6: one row with share and n if a score tells the positives of the hard core's (negative, positive) pairs from their negatives too well.
+
+    The share is that of pairs whose positive scores higher, ties counting a half; pairs with a missing score are left
+    out, and without any other pair the core isn't shown to be hard, which counts as a violation too.
+    """
+    of = lambda side: scores.select(F.col(key).alias(side), F.col(score).alias(f"__{side}"))
+    both = pairs.join(of("negative"), "negative").join(of("positive"), "positive")
+    won = F.when(F.col("__positive") > F.col("__negative"), 1.0).when(F.col("__positive") == F.col("__negative"), 0.5).when(F.col("__positive") < F.col("__negative"), 0.0)
+    return both.agg(F.avg(won).alias("share"), F.count(won).alias("n")).where(F.col("share").isNull() | (F.col("share") > most))
+
+
+def breaches(report: DataFrame) -> DataFrame:
+    """BL7: the rows of views.boundary_report, or of views.whole_report, that did not pass; an obligation that nobody attested did not."""
+    return report.where(~F.coalesce("passed", F.lit(False)))
+
+
+def manifest_differences(recorded: DataFrame, again: DataFrame, by: list[str]) -> DataFrame:
+    """BL8: groups whose entry_digests, as recorded and as made again, differ or are on one side only."""
+    a, b = recorded.alias("a"), again.alias("b")
+    same = reduce(Column.__and__, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by))
+    held = [F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in by]
+    return a.join(b, same, "full_outer").where(~F.col("a.digest").eqNullSafe(F.col("b.digest"))).select(*held, F.col("a.digest").alias("recorded"), F.col("b.digest").alias("found"))
+
+
 def release_report(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, checks).withColumn("passed", F.col("violations") == 0)
 

@@ -856,11 +856,32 @@ def boundary_audit(spark, d):
     return views.check_audit(audit, predictor.withColumn("instance_id", F.col("instance_id").cast("string")))
 
 
-@query(f"WITH {R.PREDICTED}, {_LABELS} " + " UNION ALL ".join(_CHECKS))
-def boundary_report(spark, d):
+def _four_views(spark, d):
     predictor, labels, audit = _views(spark, d)
     text_ids = predictor.withColumn("instance_id", F.col("instance_id").cast("string"))
-    return views.boundary_report({"predictor_view": text_ids, "train_labels": labels.withColumn("instance_id", F.col("instance_id").cast("string")), "hidden_view": views.hidden_view(_released(spark, d)), "audit_view": audit})
+    return {"predictor_view": text_ids, "train_labels": labels.withColumn("instance_id", F.col("instance_id").cast("string")), "hidden_view": views.hidden_view(_released(spark, d)), "audit_view": audit}
+
+
+@query(f"WITH {R.PREDICTED}, {_LABELS} " + " UNION ALL ".join(_CHECKS))
+def boundary_report(spark, d):
+    return views.boundary_report(_four_views(spark, d))
+
+
+# One attested for this version, by two people; one for another version only; one without a name.
+_ATTESTED = [("N12.2", "rey", "v1"), ("N12.2", "ann", "v1"), ("N12.5", "ann", "v0"), ("N13.2", " ", "v1"), ("N99", "ann", "v1")]
+
+
+def _whole_report(spark, d):
+    return views.whole_report(_four_views(spark, d), spark.createDataFrame(_ATTESTED, "obligation string, attested_by string, corpus_version string"), "v1")
+
+
+_WHOLE = f"""SELECT 'verified' AS kind, *, NULL::VARCHAR AS attested_by FROM ({' UNION ALL '.join(_CHECKS)}) UNION ALL
+ SELECT 'attested', code, code = 'N12.2', NULL, NULL, CASE WHEN code = 'N12.2' THEN 'ann' END FROM (VALUES ('N12.2'), ('N12.5'), ('N13.2')) AS o(code)"""
+
+
+@query(f"WITH {R.PREDICTED}, {_LABELS} {_WHOLE}")
+def boundary_obligations(spark, d):
+    return _whole_report(spark, d)
 
 
 @query("""SELECT 'ragged_exclusions' AS "check", count(*) = 0 AS passed, count(*) AS violations, min(event_id::VARCHAR) AS first_violation FROM (SELECT event_id, json_merge_patch(props, CASE event_type WHEN 'error' THEN '{"margins": 1}' ELSE '{"note": 1}' END) AS j FROM events)
@@ -1114,19 +1135,62 @@ def corpus_checks(spark, d):
     return assurance.release_report(_corpus_checks(spark, d))
 
 
-_CLEAR = " UNION ALL ".join(_n(c, "predicted WHERE false") for c in ("conformance", "label_stability", "hard_core_collapse", "boundary", "manifest"))
+_RUNS = [(0, ["question", "rationale"], ["train"], False, "image and text", "v1", []), (1, ["question"], ["train"], False, "text", "v1", []), (2, ["question", "label"], ["train"], False, "text", "v1", []),
+         (3, ["question"], ["train", "validation"], False, None, "v1", []), (4, ["question"], [], True, "text", "v0", ["label"]), (5, ["question"], [], False, "text", "v1", [])]
+
+
+_CONFORMANCE = """WITH t AS (SELECT doc_id AS instance, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents), p AS (SELECT r AS run, instance, CASE WHEN r = 2 THEN pos + 1 ELSE pos END AS pos FROM t, range(5) AS x(r) WHERE r <> 1 OR instance % 10 <> 0 UNION ALL SELECT 3, -1, -1),
+k AS (SELECT run, count(*) = (SELECT count(*) FROM t) AND count(DISTINCT p.instance) = (SELECT count(*) FROM t) AND count(t.instance) = count(*) AND count(*) FILTER (WHERE t.pos <> p.pos) = 0 AS k1 FROM p LEFT JOIN t USING (instance) GROUP BY run),
+d(run, k2, k3, k4, k5) AS (VALUES (0, true, true, true, true), (1, true, true, true, true), (2, false, true, true, true), (3, false, false, true, true), (4, false, true, false, false), (5, true, true, true, true)),
+j AS (SELECT d.run::BIGINT AS run, coalesce(k1, false) AS k1, k2, k3, k4, k5 FROM d LEFT JOIN k USING (run)) SELECT *, concat_ws(',', CASE WHEN NOT k1 THEN 'K-1' END, CASE WHEN NOT k2 THEN 'K-2' END, CASE WHEN NOT k3 THEN 'K-3' END, CASE WHEN NOT k4 THEN 'K-4' END, CASE WHEN NOT k5 THEN 'K-5' END) AS broken, k1 AND k2 AND k3 AND k4 AND k5 AS conformant FROM j"""
+
+
+@query(_CONFORMANCE)
+def run_conformance(spark, d):
+    """Six runs: one conforms, the others miss, move or add instances, read what they mustn't, declare nothing, or give no prediction."""
+    truth = identity.assign_position(R.table(spark, d, "documents").select(F.col("doc_id").alias("instance")), "instance")
+    n = F.col("run")
+    given = truth.crossJoin(F.broadcast(spark.range(5).withColumnRenamed("id", "run"))).where((n != 1) | (F.col("instance") % 10 != 0))
+    given = given.select("run", "instance", F.when(n == 2, F.col("pos") + 1).otherwise(F.col("pos")).alias("pos")).unionAll(spark.createDataFrame([(3, -1, -1)], "run long, instance long, pos long"))
+    declared = spark.createDataFrame(_RUNS, "run long, columns array<string>, fit_splits array<string>, queried_generator boolean, access string, corpus_version string, overrides array<string>")
+    return evaluate.conformance(given, truth, declared, views.PREDICTOR, "v1")
+
+
+_PAIRS_OF_CORE = "(SELECT a.score AS n, b.score AS p FROM (SELECT *, row_number() OVER (PARTITION BY dataset, qtype, truth ORDER BY md5(instance::VARCHAR), instance) AS rn FROM predicted) a JOIN (SELECT *, row_number() OVER (PARTITION BY dataset, qtype, truth ORDER BY md5(instance::VARCHAR), instance) AS rn FROM predicted) b USING (dataset, qtype, rn) WHERE a.truth = 0 AND b.truth = 1)"
+_RECORDED, _FOUND = "SELECT split, label, instance, reason FROM predicted", "SELECT split, label, instance, reason_code FROM sealed"
+_MADE = " UNION ALL ".join((
+    _n("conformance", f"({_CONFORMANCE}) WHERE NOT conformant"),
+    _n("label_stability", "(SELECT avg((instance % 11 = 0 OR instance % 31 = 0)::INT) AS flips FROM predicted) WHERE flips > 0.02"),
+    _n("hard_core_collapse", f"(SELECT avg(CASE WHEN p > n THEN 1.0 WHEN p = n THEN 0.5 WHEN p < n THEN 0.0 END) AS share FROM {_PAIRS_OF_CORE}) WHERE share IS NULL OR share > 0.55"),
+    _n("boundary", f"({_WHOLE}) WHERE NOT passed"),
+    _n("manifest", f"(SELECT DISTINCT split, label FROM (({_RECORDED} EXCEPT ALL {_FOUND}) UNION ALL ({_FOUND} EXCEPT ALL {_RECORDED})))"),
+))
 _CRITERIA = " UNION ALL ".join(f"SELECT '{b}' AS criterion, '{c}' AS \"check\"" for b, cs in assurance.CRITERIA.items() for c in cs)
-_BLOCKING = f"""made AS ({_CORPUS} UNION ALL {_SOURCES} UNION ALL {_CLEAR}), rests AS ({_CRITERIA}), blocking AS (SELECT criterion, coalesce(sum(violations), 0)::BIGINT AS violations, count(*) FILTER (WHERE violations IS NULL) AS missing FROM rests LEFT JOIN made USING ("check") GROUP BY criterion),
+_BLOCKING = f"""{_LABELS}, made AS ({_CORPUS} UNION ALL {_SOURCES} UNION ALL {_MADE}), rests AS ({_CRITERIA}), blocking AS (SELECT criterion, coalesce(sum(violations), 0)::BIGINT AS violations, count(*) FILTER (WHERE violations IS NULL) AS missing FROM rests LEFT JOIN made USING ("check") GROUP BY criterion),
 judged AS (SELECT *, violations = 0 AND missing = 0 AS cleared FROM blocking)"""
 
 
 def _release_checks(spark, d):
-    """All checks but the analysis plan, which nobody has made."""
-    clear = [assurance.violations(c, R.predicted(spark, d).where("false")) for c in ("conformance", "label_stability", "hard_core_collapse", "boundary", "manifest")]
-    made = [*_corpus_checks(spark, d), assurance.violations("traceability", assurance.untraceable(_sealed(spark, d))), *clear]
+    """All checks, each over rows that break it, but the analysis plan, which nobody has made."""
+    rows, sealed, i = R.predicted(spark, d), _sealed(spark, d), F.col("instance")
+    again = rows.where(i % 31 != 0).select("instance", F.when(i % 11 == 0, "other").otherwise(F.col("label")).alias("label"))
+    digests = lambda df, reason: assurance.entry_digests(df, ["split", "label"], ["instance", "label", reason])
+    made = [
+        *_corpus_checks(spark, d), assurance.violations("traceability", assurance.untraceable(sealed)),
+        assurance.violations("conformance", assurance.nonconformant(run_conformance(spark, d))),
+        assurance.violations("label_stability", assurance.unstable(rows, again, "instance", "label", 0.02)),
+        assurance.violations("hard_core_collapse", assurance.easy_core(hard_core(spark, d), rows, "instance", "score", 0.55)),
+        assurance.violations("boundary", assurance.breaches(_whole_report(spark, d))),
+        assurance.violations("manifest", assurance.manifest_differences(digests(rows, "reason"), digests(sealed, "reason_code"), ["split", "label"])),
+    ]
     return assurance.release_report(made).select("check", "violations")
 
 
+@query(f"WITH {R.PREDICTED}, {_SEALED}, {_LABELS}, made AS ({_CORPUS} UNION ALL {_SOURCES} UNION ALL {_MADE}) SELECT * FROM made")
+def release_checks(spark, d):
+    return _release_checks(spark, d)
+
+
 @query(f"WITH {R.PREDICTED}, {_SEALED}, {_BLOCKING} SELECT * FROM judged")
 def release_criteria(spark, d):
     return assurance.blocking(_release_checks(spark, d))
@@ -1137,24 +1201,6 @@ def release_verdict(spark, d):
     return assurance.release(_release_checks(spark, d))
 
 
-_RUNS = [(0, ["question", "rationale"], ["train"], False, "image and text", "v1", []), (1, ["question"], ["train"], False, "text", "v1", []), (2, ["question", "label"], ["train"], False, "text", "v1", []),
-         (3, ["question"], ["train", "validation"], False, None, "v1", []), (4, ["question"], [], True, "text", "v0", ["label"]), (5, ["question"], [], False, "text", "v1", [])]
-
-
-@query("""WITH t AS (SELECT doc_id AS instance, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents), p AS (SELECT r AS run, instance, CASE WHEN r = 2 THEN pos + 1 ELSE pos END AS pos FROM t, range(5) AS x(r) WHERE r <> 1 OR instance % 10 <> 0 UNION ALL SELECT 3, -1, -1),
-k AS (SELECT run, count(*) = (SELECT count(*) FROM t) AND count(DISTINCT p.instance) = (SELECT count(*) FROM t) AND count(t.instance) = count(*) AND count(*) FILTER (WHERE t.pos <> p.pos) = 0 AS k1 FROM p LEFT JOIN t USING (instance) GROUP BY run),
-d(run, k2, k3, k4, k5) AS (VALUES (0, true, true, true, true), (1, true, true, true, true), (2, false, true, true, true), (3, false, false, true, true), (4, false, true, false, false), (5, true, true, true, true)),
-j AS (SELECT d.run::BIGINT AS run, coalesce(k1, false) AS k1, k2, k3, k4, k5 FROM d LEFT JOIN k USING (run)) SELECT *, concat_ws(',', CASE WHEN NOT k1 THEN 'K-1' END, CASE WHEN NOT k2 THEN 'K-2' END, CASE WHEN NOT k3 THEN 'K-3' END, CASE WHEN NOT k4 THEN 'K-4' END, CASE WHEN NOT k5 THEN 'K-5' END) AS broken, k1 AND k2 AND k3 AND k4 AND k5 AS conformant FROM j""")
-def run_conformance(spark, d):
-    """Six runs: one conforms, the others miss, move or add instances, read what they mustn't, declare nothing, or give no prediction."""
-    truth = identity.assign_position(R.table(spark, d, "documents").select(F.col("doc_id").alias("instance")), "instance")
-    n = F.col("run")
-    given = truth.crossJoin(F.broadcast(spark.range(5).withColumnRenamed("id", "run"))).where((n != 1) | (F.col("instance") % 10 != 0))
-    given = given.select("run", "instance", F.when(n == 2, F.col("pos") + 1).otherwise(F.col("pos")).alias("pos")).unionAll(spark.createDataFrame([(3, -1, -1)], "run long, instance long, pos long"))
-    declared = spark.createDataFrame(_RUNS, "run long, columns array<string>, fit_splits array<string>, queried_generator boolean, access string, corpus_version string, overrides array<string>")
-    return evaluate.conformance(given, truth, declared, views.PREDICTOR, "v1")
-
-
 def _f_rows(name: str, rows: str, t: str, p: str) -> str:
     """Macro-F1 of each split with its interval."""
     cell = lambda a, b: f"count(*) FILTER (WHERE {t} = {a} AND {p} = {b})::DOUBLE"
