@@ -2,11 +2,13 @@ import hashlib
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from fidelis.functions import logits
 from fidelis.operators import assemble, conditions, identity, merkle, overlap, scoring
+from fidelis.plans import catalog
 
 BOX = "image long, k long, top long, left long, bottom long, right long"
 
@@ -155,3 +157,17 @@ def test_a_regime_read_twice_stops(spark):
     assert conditions.fold_readings(rows([1, 2, 3, 5])).first().flip_count is None and conditions.fold_readings(rows([1, 2, 3, 4])).first().flip_count == 0
     with pytest.raises(Exception, match="read twice"):
         conditions.fold_readings(rows([1, 1, 2, 3])).collect()
+
+
+@pytest.mark.parametrize("ids", [range(38), range(37), [0, 2, 3, 16, 17, 20, 21, 21, 23, 36]])
+@pytest.mark.parametrize("name", ["reply_scores"])
+def test_vectors_that_end_amid_a_sequence_are_scored_as_far_as_they_go(spark, tmp_path, ids, name):
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 38")
+    spark.createDataFrame([(i,) for i in ids], "vec_id long").join(vectors, "vec_id").select(*vectors.columns).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(catalog.ORACLE_SQL[name]).fetchall()
+    got = catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) > 0
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[:-1] == b[:-1] and (a[-1] == b[-1] or a[-1] == pytest.approx(b[-1], abs=2e-6))
