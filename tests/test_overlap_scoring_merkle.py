@@ -160,7 +160,7 @@ def test_a_regime_read_twice_stops(spark):
 
 
 @pytest.mark.parametrize("ids", [range(38), range(37), [0, 2, 3, 16, 17, 20, 21, 21, 23, 36]])
-@pytest.mark.parametrize("name", ["reply_scores"])
+@pytest.mark.parametrize("name", ["reply_scores", "reply_choices"])
 def test_vectors_that_end_amid_a_sequence_are_scored_as_far_as_they_go(spark, tmp_path, ids, name):
     vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 38")
     spark.createDataFrame([(i,) for i in ids], "vec_id long").join(vectors, "vec_id").select(*vectors.columns).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
