@@ -17,13 +17,13 @@ def test_pixels_follow_from_the_key(spark):
     assert all(bytes(r.x) == bytes((i * 7 + r.instance * 13) % 256 for i in range(576)) for r in got) and len(got) == len(keys)
 
 
-@pytest.mark.parametrize("name", ["image_fixed_regimes", "image_edits"])
+@pytest.mark.parametrize("name", ["image_fixed_regimes", "image_regimes", "image_edits"])
 def test_pixels_are_neither_ordered_nor_written_nor_joined(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and not re.search(r"ReadSchema: struct<[^>]*pixels", plan) and not re.search(r"(Exchange|Sort |Join)[^\n]*pixels", plan)
 
 
-@pytest.mark.parametrize("name", ["image_sweep", "image_fixed_regimes", "image_edits"])
+@pytest.mark.parametrize("name", ["image_sweep", "image_fixed_regimes", "image_regimes", "image_edits"])
 def test_a_small_table_of_many_images_is_many_tasks(spark, name):
     assert catalog.QUERIES[name](spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
