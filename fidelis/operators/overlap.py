@@ -24,7 +24,8 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, on: list[str], cell: int
     Boxes are half open, in whole numbers: (top, left, bottom, right). A box lies in at most four cells of its own level; it is
     laid out on coarser levels too, of those that occur, so that a pair meets on the coarser one's level and a large box is never
     cut into many cells. Only the cell that holds the upper left corner of what both share counts, so no pair
-    comes twice. The join is on equal cells: no product of the tables, and a crowded cell is split like any hot key.
+    comes twice. The join is on equal cells: no product of the tables, and a crowded cell is split like any hot key. It is sorted
+    on both sides, never broadcast: Spark would go by the size of the files, which doesn't tell how many cells are laid out.
 
     Empty boxes, boxes with a null and rows with a null in `on` overlap nothing; repeated rows give repeated pairs.
     """
@@ -43,7 +44,7 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, on: list[str], cell: int
         own = (F.col("__at") == F.col("__level")).alias(f"__own_{side}")
         return wide.select(*on, "__at", "__row", "__column", "__size", own, F.col(key).alias(f"{key}_{side}"), *(F.col(c).alias(f"__{c}_{side}") for c in BOX))
 
-    met = laid(a, "a").join(laid(b, "b").drop("__size"), [*on, "__at", "__row", "__column"])
+    met = laid(a, "a").join(laid(b, "b").drop("__size").hint("merge"), [*on, "__at", "__row", "__column"])
     top, left = F.greatest("__top_a", "__top_b"), F.greatest("__left_a", "__left_b")
     height, width = F.least("__bottom_a", "__bottom_b") - top, F.least("__right_a", "__right_b") - left
     here = (F.floor(top / F.col("__size")) == F.col("__row")) & (F.floor(left / F.col("__size")) == F.col("__column"))

@@ -50,6 +50,11 @@ def test_overlaps_are_an_equal_join(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_boxes_of_small_files_are_not_broadcast(spark):
+    plan = catalog.QUERIES["overlapping_boxes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_log_sums_are_stable(spark):
     rows = [([1000.0, 1000.0],), ([-1000.0, -1001.0],), ([0.0],), ([],), ([1.0, None],), ([float("nan"), 1.0],), ([float("-inf"), 2.0],), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "x array<double>").select(logits.log_sum_exp(F.col("x"))).collect()]
