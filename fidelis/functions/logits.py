@@ -32,3 +32,14 @@ def log_probability(logits: Column, token: Column) -> Column:
     """The log-probability of one place, from 0; null out of range and where log_sum_exp is null or infinite."""
     own = F.get(logits.cast("array<double>"), token.cast("int"))
     return _with(log_sum_exp(logits), lambda z: F.when(F.abs(z) < float("inf"), own - z))
+
+
+def log_probability_of_known(logits: Column, token: Column) -> Column:
+    """As log_probability, but over the entries that are not null, as SQL's aggregates take them; NaN with a NaN entry or an infinite largest one, null where no entry or the token's own is known."""
+    x = logits.cast("array<double>")
+    own = F.get(x, token.cast("int"))
+
+    def run(x: Column, most: Column) -> Column:
+        return own - most - F.log(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - most)))
+
+    return _with(F.filter(x, lambda v: v.isNotNull()), lambda x: _with(F.array_max(x), lambda most: run(x, most)))

@@ -176,3 +176,26 @@ def test_vectors_that_end_amid_a_sequence_are_scored_as_far_as_they_go(spark, tm
     assert len(got) == len(want) > 0
     for a, b in zip(sorted(got), sorted(want), strict=True):
         assert a[:-1] == b[:-1] and (a[-1] == b[-1] or a[-1] == pytest.approx(b[-1], abs=2e-6))
+
+
+@pytest.mark.parametrize("change", ["NULL", "slice(embedding, 1, 8)", "slice(embedding, 1, 0)", "transform(embedding, (x, i) -> if(i = 3, NULL, x))", "transform(embedding, x -> float(NULL))",
+                                    "transform(embedding, (x, i) -> if(i = 3, float('NaN'), x))", "transform(embedding, (x, i) -> if(i = 3, float('inf'), x))"])
+@pytest.mark.parametrize("name", ["reply_scores", "reply_choices"])
+def test_a_vector_that_is_not_whole_stops_no_other(spark, tmp_path, change, name):
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id < 64")
+    vectors.withColumn("embedding", F.expr(f"CASE WHEN vec_id = 5 OR vec_id BETWEEN 16 AND 19 OR vec_id >= 48 THEN {change} ELSE embedding END")).coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(con.execute(catalog.ORACLE_SQL[name]).fetchall(), key=lambda r: r[:2])
+    got = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()), key=lambda r: r[:2])
+    assert [r[:-1] for r in got] == [r[:-1] for r in want] and len(got) > 3
+    for (*_, a), (*_, b) in zip(got, want, strict=True):
+        assert a == b or a == pytest.approx(b, abs=2e-6, nan_ok=True)
+
+
+@pytest.mark.parametrize(("drop", "token"), [(2, 1), (None, -1)])
+def test_known_logits_still_need_a_row_for_each_token(spark, drop, token):
+    steps = spark.createDataFrame([("a", p, None if p == 1 else [float(p), 1.0]) for p in range(5) if p != drop], "k string, pos int, logits array<double>")
+    assert scoring.reply_scores(sequence(spark, [0, 0, 1], 2, [1]), steps, ["k"], known_only=True).first().score is None
+    with pytest.raises(Exception, match="reply token"):
+        scoring.reply_scores(sequence(spark, [0, 0, 1, token], 2, [1, token]), steps, ["k"], known_only=True).collect()
